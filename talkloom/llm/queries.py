@@ -86,3 +86,11 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from talkloom.llm.decontaminate import contaminated
 
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and templates met by the lines of every document."""
+    from talkloom.llm.license_scan import scan
+
+    return scan(table(spark, sf_dir, "documents"))
