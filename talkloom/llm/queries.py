@@ -94,3 +94,30 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from talkloom.llm.license_scan import scan
 
     return scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_embedding_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings within their labels, at a cosine of 0.93."""
+    from talkloom.llm.pq import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+ORACLE_SQL["op9_embedding_pq"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, x -> x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+), reach(x, y) AS (
+  SELECT vec_id, vec_id FROM v UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x
+), comp AS (SELECT x, min(y) AS c FROM reach GROUP BY x),
+deg AS (SELECT x, count(*) AS n FROM links GROUP BY x)
+SELECT e.vec_id, CAST(coalesce(d.n, 0) AS BIGINT) AS n_links, coalesce(c.c, e.vec_id) AS component_id,
+       e.vec_id = coalesce(c.c, e.vec_id) AS kept
+FROM embeddings e LEFT JOIN comp c ON e.vec_id = c.x LEFT JOIN deg d ON e.vec_id = d.x
+"""
