@@ -121,3 +121,13 @@ SELECT e.vec_id, CAST(coalesce(d.n, 0) AS BIGINT) AS n_links, coalesce(c.c, e.ve
        e.vec_id = coalesce(c.c, e.vec_id) AS kept
 FROM embeddings e LEFT JOIN comp c ON e.vec_id = c.x LEFT JOIN deg d ON e.vec_id = d.x
 """
+
+
+@query
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log10 probability, learned from four fifths of the ids."""
+    from talkloom.llm.lm_score import Lattice, score
+
+    lattice = Lattice.from_sentencepiece(tokenizer_path("piece_bpe_32k.model"))
+    train = F.crc32(F.col("doc_id").cast("string")) % 5 != 1
+    return score(table(spark, sf_dir, "documents"), lattice, train)
