@@ -31,7 +31,7 @@ NO_ID = (1 << 63) - 1  # stands for a null id: no id is greater
 
 @dataclass
 class Blocks:
-    """df: block, ids, flags, ends (of each text in data), data (the texts' bytes)."""
+    """df: block, ids, flags, ends (of each text in data), data (the texts' bytes), rest."""
 
     df: DataFrame
     n_bytes: int
@@ -41,38 +41,45 @@ class Blocks:
         return max(1, math.ceil(self.n_bytes / bytes_each))
 
 
-def make_blocks(docs: DataFrame, id_col: str, text: str, flag: Column | None = None, block_bytes: int = BLOCK_BYTES) -> Blocks:
-    """All documents in blocks of about block_bytes; a longer text is a block by itself."""
+def make_blocks(docs: DataFrame, id_col: str, text: str, flag: Column | None = None, block_bytes: int = BLOCK_BYTES, keep: list[str] | None = None) -> Blocks:
+    """All documents in blocks of about block_bytes; a longer text is a block by itself.
+
+    keep: further columns that travel with each document, as structs in the column rest.
+    """
     spark = docs.sparkSession
     small_batches(spark, rows=2048, size=4 << 20)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), (F.lit(False) if flag is None else flag).alias("flag"), F.coalesce(F.encode(F.col(text), "UTF-8"), F.lit(b"")).alias("data"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), (F.lit(False) if flag is None else flag).alias("flag"), F.coalesce(F.encode(F.col(text), "UTF-8"), F.lit(b"")).alias("data"), F.struct(F.lit(0).alias("_"), *(keep or [])).alias("rest"))
     size = rows.agg(F.sum(F.length("data").cast("long")).alias("bytes"), F.count("*").alias("docs")).first()
     n_bytes = size["bytes"] or 0
+    rest_type = rows.schema["rest"].dataType
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
-        ids, flags, parts, total = [], [], [], 0
+        ids, flags, parts, rest, total = [], [], [], [], 0
 
         def row() -> pa.RecordBatch:
             ends = np.cumsum([len(p) for p in parts], dtype=np.int64)
             cols = [pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([flags], pa.list_(pa.bool_())), pa.array([ends], pa.list_(pa.int64())), pa.array([b"".join(parts)], pa.binary())]
-            return pa.RecordBatch.from_arrays(cols, names=["block", "ids", "flags", "ends", "data"])
+            cols.append(pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.concat_arrays(rest)))
+            return pa.RecordBatch.from_arrays(cols, names=["block", "ids", "flags", "ends", "data", "rest"])
 
         for batch in batches:
-            for i, f, d in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            for k, (i, f, d) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2))):
                 d = d.as_py()
                 if parts and total + len(d) > block_bytes:
                     yield row()
                     number += 1
-                    ids, flags, parts, total = [], [], [], 0
+                    ids, flags, parts, rest, total = [], [], [], [], 0
                 ids.append(NO_ID if i is None else i)
                 flags.append(bool(f))
                 parts.append(d)
+                rest.append(batch.column(3).slice(k, 1))
                 total += len(d)
         if parts:
             yield row()
 
-    packed = rows.mapInArrow(pack, "block long, ids array<long>, flags array<boolean>, ends array<long>, data binary")
+    schema = T.StructType([*T._parse_datatype_string("block long, ids array<long>, flags array<boolean>, ends array<long>, data binary").fields, T.StructField("rest", T.ArrayType(rest_type))])
+    packed = rows.mapInArrow(pack, schema)
     name = f"talkloom_blocks_{uuid.uuid4().hex}"
     n = max(8, math.ceil(n_bytes / (4 * block_bytes)))
     writer = packed.write.format("parquet").bucketBy(n, "block").option("path", scratch_path(spark, "blocks"))

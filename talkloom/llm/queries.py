@@ -131,3 +131,11 @@ def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     lattice = Lattice.from_sentencepiece(tokenizer_path("piece_bpe_32k.model"))
     train = F.crc32(F.col("doc_id").cast("string")) % 5 != 1
     return score(table(spark, sf_dir, "documents"), lattice, train)
+
+
+@query
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What remains of every document when 50-byte strings of earlier documents are removed."""
+    from talkloom.llm.suffix_dedup import dedup
+
+    return dedup(table(spark, sf_dir, "documents"), with_text=False)
