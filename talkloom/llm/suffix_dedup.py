@@ -269,12 +269,14 @@ def dedup(
     anchor: int = ANCHOR,
     keep: list[str] | None = None,
     with_text: bool = True,
+    decode: bool = False,
     block_bytes: int = BLOCK_BYTES,
     bucket_bytes: tuple[int, int] = (TRIGGER_BYTES, PHRASE_BYTES),
     hot: int = HOT,
 ) -> DataFrame:
     """id_col, n_bytes, n_removed, n_spans (maximal runs removed), kept_sha256, and with_text the
-    remaining bytes (kept); keep names further columns that are passed on."""
+    remaining bytes (kept; with decode as a string, without what a cut has left of a character);
+    keep names further columns that are passed on."""
     if not 8 <= anchor < length < 1000:
         raise ValueError("8 <= anchor < length < 1000")
     blocks = make_blocks(docs, id_col, text, None, block_bytes, keep)
@@ -297,7 +299,7 @@ def dedup(
     phrases = answer(send(known, ask_phrases, ["text", "counts", "least"]), lambda m: (repeated(m, length), []))
     rest = blocks.df.schema["rest"].dataType.elementType.fields[1:]
     digest = [T.StructField(n, t()) for n, t in (("n_bytes", T.LongType), ("n_removed", T.LongType), ("n_spans", T.LongType), ("kept_sha256", T.StringType))]
-    schema = T.StructType([T.StructField(id_col, T.LongType()), *digest, *([T.StructField("kept", T.BinaryType())] if with_text else []), *rest])
+    schema = T.StructType([T.StructField(id_col, T.LongType()), *digest, *([T.StructField("kept", T.StringType() if decode else T.BinaryType())] if with_text else []), *rest])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -312,7 +314,7 @@ def dedup(
                     start = end
                 cols = [pa.array([None if i == NO_ID else i for i in ids.tolist()], pa.int64()), *(pa.array([r[c] for r in rows], pa.int64()) for c in range(3)), pa.array([r[3] for r in rows], pa.string())]
                 if with_text:
-                    cols.append(pa.array([r[4] for r in rows], pa.binary()))
+                    cols.append(pa.array([r[4].decode("utf-8", "ignore") for r in rows], pa.string()) if decode else pa.array([r[4] for r in rows], pa.binary()))
                 extra = batch.column(batch.schema.get_field_index("rest"))[k].values
                 cols += [extra.field(i + 1) for i in range(len(rest))]
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)
