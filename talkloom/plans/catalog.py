@@ -1,4 +1,413 @@
-"""The registered queries of the conversation engine and their SQL equivalents."""
+"""The registered queries of the conversation engine and their SQL equivalents.
+
+Every query takes (spark, sf_dir) and runs over its whole tables.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from talkloom.functions import text as X
+from talkloom.operators import events as E
+from talkloom.operators import retrieve, rounds, stream_text, trust
+from talkloom.operators.providers import contract_violations, provider
+from talkloom.sources import stores
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rounds with the offline provider's flags and analyses, segmented."""
+    p = provider("offline")
+    r = p.analyses(p.flags(rounds.pair_rounds(_table(spark, sf_dir, "conversations"))))
+    return rounds.segment(r, F.col("topic_changed"), F.col("is_noise"))
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with a change of trust: the kind of event stands in for a judged score."""
+    kinds = {"purchase": 5, "signup": 3, "click": 1, "view": 0}
+    change: Column = F.lit(-5)
+    for kind, n in kinds.items():
+        change = F.when(F.col("event_type") == kind, F.lit(n)).otherwise(change)
+    return _table(spark, sf_dir, "events").withColumn("change", change)
+
+
+_TRIM = f"'{X.WHITE_SPACE}'"
+_CHANGE = "CASE event_type WHEN 'purchase' THEN 5 WHEN 'signup' THEN 3 WHEN 'click' THEN 1 WHEN 'view' THEN 0 ELSE -5 END"
+_ROUNDS = f"""
+said AS (
+  SELECT conv_id, turn, role, text, lead(role) OVER w AS reply_role, lead(text) OVER w AS agent_text
+  FROM conversations WHERE role <> 'system' WINDOW w AS (PARTITION BY conv_id ORDER BY turn)
+), rounds AS (
+  SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS round_no, text AS user_text, agent_text,
+    'user: ' || trim(coalesce(text, ''), {_TRIM}) || chr(10) || 'agent: ' || trim(coalesce(agent_text, ''), {_TRIM}) AS round_dialog
+  FROM said WHERE role = 'user' AND reply_role = 'assistant'
+)"""
+_WORDS = "list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
+_MARKED = " OR ".join(f"contains(coalesce(user_text, ''), '{m}')" for m in ("之前", "刚才", "对了", "哦对了", "另外", "换个话题", "说到这个", "插个问题"))
+_SEGMENTED = f"""{_ROUNDS}, termed AS (
+  SELECT *, list_distinct({_WORDS.format("concat_ws(' ', user_text, agent_text)")}) AS t FROM rounds
+), lagged AS (SELECT *, lag(t) OVER (PARTITION BY conv_id ORDER BY round_no) AS p FROM termed
+), flagged AS (
+  SELECT *, p IS NOT NULL AND ({_MARKED} OR len(list_intersect(t, p)) / greatest(least(len(t), len(p)), 1) < 0.3) AS topic_changed,
+    length(coalesce(user_text, '')) < 60 AS is_noise,
+    trim(substring(coalesce(user_text, ''), 1, 12), {_TRIM}) AS user_prediction,
+    CASE WHEN length(coalesce(user_text, '')) > 300 THEN 'long message' ELSE '' END AS user_risk,
+    trim(substring(coalesce(agent_text, ''), 1, 8), {_TRIM}) AS agent_empathy,
+    CASE WHEN contains(coalesce(agent_text, ''), '?') THEN 'asks' ELSE 'tells' END AS agent_action
+  FROM lagged
+), marked AS (
+  SELECT *, round_no > 1 AND topic_changed AND NOT is_noise AS boundary, round_no > 1 AND topic_changed AND is_noise AS dropped FROM flagged
+), segmented AS (
+  SELECT *, CAST(sum(CAST(boundary AS INTEGER)) OVER (PARTITION BY conv_id ORDER BY round_no ROWS UNBOUNDED PRECEDING) AS INTEGER) AS topic_no,
+    CAST(coalesce(sum(CAST(boundary AS INTEGER)) OVER (PARTITION BY conv_id ORDER BY round_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS analysis_topic
+  FROM marked
+)"""
+
+
+def _distinct_sql(value: str, topic: str) -> str:
+    return f"""(SELECT conv_id, topic_no, string_agg(v, ' | ' ORDER BY rn) AS v FROM (
+      SELECT conv_id, {topic} AS topic_no, {value} AS v, min(round_no) AS rn FROM segmented WHERE {value} <> '' GROUP BY 1, 2, 3) GROUP BY 1, 2)"""
+
+
+def _accumulated_sql(topic: str) -> str:
+    joins = " ".join(f"LEFT JOIN {_distinct_sql(a, topic)} {a[0]}{i} USING (conv_id, topic_no)" for i, a in enumerate(rounds.ANALYSES))
+    cols = ", ".join(f"coalesce({a[0]}{i}.v, '') AS {a}" for i, a in enumerate(rounds.ANALYSES))
+    return f"WITH {_SEGMENTED} SELECT conv_id, topic_no, {cols} FROM (SELECT DISTINCT conv_id, {topic} AS topic_no FROM segmented) {joins}"
+
+
+@query(f"WITH {_ROUNDS} SELECT * FROM rounds")
+def rounds_paired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounds.pair_rounds(_table(spark, sf_dir, "conversations"))
+
+
+@query(f"WITH {_SEGMENTED} SELECT conv_id, round_no, boundary, dropped, topic_no, analysis_topic FROM segmented")
+def topic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _judged(spark, sf_dir).select("conv_id", "round_no", "boundary", "dropped", "topic_no", "analysis_topic")
+
+
+_MEMORIES = f"""WITH {_SEGMENTED}, topics AS (
+  SELECT conv_id, topic_no, list(round_dialog ORDER BY round_no) AS rs FROM segmented WHERE NOT dropped GROUP BY ALL
+), acc AS ({{acc}})
+SELECT t.conv_id, t.topic_no, t.topic_no = max(t.topic_no) OVER (PARTITION BY t.conv_id) AS is_open, CAST(len(rs) AS INTEGER) AS n_rounds,
+  coalesce(nullif(trim(substring(rs[1], 1, 30), {_TRIM}), ''), '{X.UNNAMED_TOPIC}') AS topic, array_to_string(rs[-3:], chr(10)) AS content,
+  {", ".join(f"coalesce(a.{x}, '') AS {x}" for x in rounds.ANALYSES)}
+FROM topics t LEFT JOIN acc a USING (conv_id, topic_no)"""
+
+
+@query(_MEMORIES.replace("{acc}", _accumulated_sql("analysis_topic")))
+def topic_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounds.build_memories(_judged(spark, sf_dir))
+
+
+@query(_accumulated_sql("analysis_topic"))
+def analysis_accumulation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounds.accumulate(_judged(spark, sf_dir))
+
+
+@query(_accumulated_sql("topic_no"))
+def analysis_own_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounds.accumulate(_judged(spark, sf_dir), own_topic=True)
+
+
+@query(f"WITH {_SEGMENTED} SELECT conv_id, round_no, round_dialog FROM segmented WHERE dropped")
+def noise_dropped_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _judged(spark, sf_dir).where("dropped").select("conv_id", "round_no", "round_dialog")
+
+
+@query(f"""SELECT conv_id, topic_no, '当前话题：' || topic || chr(10) || '对话轮次：' || n_rounds AS status
+FROM ({_MEMORIES.replace("{acc}", _accumulated_sql("analysis_topic"))}) WHERE is_open""")
+def buffer_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The open topic of each conversation, as it is shown."""
+    m = rounds.build_memories(_judged(spark, sf_dir)).where("is_open")
+    return m.select("conv_id", "topic_no", X.buffer_status(F.col("topic"), F.col("n_rounds")).alias("status"))
+
+
+def _last_said(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "conversations").withColumnRenamed("turn", "seq")
+
+
+@query("SELECT conv_id, arg_max(role, turn) AS role, arg_max(text, turn) AS text, max(turn) AS seq FROM conversations GROUP BY 1")
+def latest_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last record of each conversation, by its order and not by a time."""
+    return stores.latest(_last_said(spark, sf_dir), "conv_id").select("conv_id", "role", "text", "seq")
+
+
+@query("SELECT event_id, replace(substring(strftime(ts, '%Y-%m-%dT%H:%M:%S'), 1, 16), 'T', ' ') AS shown FROM events ORDER BY event_id DESC")
+def memory_listing_newest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = stores.newest_first(_table(spark, sf_dir, "events"), "event_id")
+    return e.select("event_id", X.short_time(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")).alias("shown"))
+
+
+@query(f"""WITH terms AS (SELECT doc_id, unnest({_WORDS.format('text')}) AS term FROM documents),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM terms WHERE length(term) >= 4 GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY tf DESC, term) AS rn FROM tf)
+SELECT doc_id, array_to_string(list(term ORDER BY rn), ',') AS keywords FROM ranked WHERE rn <= 5 GROUP BY 1""")
+def keywords_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = rounds.top_terms(_table(spark, sf_dir, "documents"), ["doc_id"], "text")
+    return k.select("doc_id", F.array_join("keywords", ",").alias("keywords"))
+
+
+@query(f"""WITH k AS (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS x, generate_subscripts(string_split(text, ' '), 1) AS i FROM conversations),
+c AS (SELECT conv_id, turn, trim(x, {_TRIM}) AS x, min(i) AS i FROM k WHERE trim(x, {_TRIM}) <> '' GROUP BY 1, 2, 3)
+SELECT conv_id, turn, string_agg(x, ',' ORDER BY i) AS keywords FROM c GROUP BY 1, 2""")
+def keywords_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _table(spark, sf_dir, "conversations")
+    k = c.select("conv_id", "turn", X.clean_keywords(F.split("text", " ")).alias("k")).where(F.size("k") > 0)
+    return k.select("conv_id", "turn", F.array_join("k", ",").alias("keywords"))
+
+
+_FOLD = "list_reduce(list_prepend(0, list({c} ORDER BY ts, event_id)), lambda a, x: greatest(0, least(100, a + x)))"
+_PREFIX = f"""WITH e AS (SELECT *, {_CHANGE} AS change FROM events), p AS (
+  SELECT *, list(change) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS cs FROM e), r AS (
+  SELECT user_id, event_id, ts, change, CAST(list_reduce(list_prepend(0, cs), lambda a, x: greatest(0, least(100, a + x))) AS INTEGER) AS trust_score FROM p)"""
+_STAGE = "CASE WHEN {t} < 30 THEN 'Initial (Suspicion)' WHEN {t} < 80 THEN 'Process (Utilization)' ELSE 'Final (Symbiosis)' END"
+
+
+@query(f"SELECT user_id, CAST({_FOLD.format(c=_CHANGE)} AS INTEGER) AS trust_score FROM events GROUP BY 1")
+def trust_final(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trust.final_trust(_scored(spark, sf_dir))
+
+
+@query(f"{_PREFIX} SELECT user_id, event_id, change, trust_score FROM r")
+def trust_running(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trust.running_trust(_scored(spark, sf_dir)).select("user_id", "event_id", "change", "trust_score")
+
+
+@query(f"SELECT user_id, trust_score, {_STAGE.format(t='trust_score')} AS stage FROM (SELECT user_id, CAST({_FOLD.format(c=_CHANGE)} AS INTEGER) AS trust_score FROM events GROUP BY 1)")
+def trust_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trust.final_trust(_scored(spark, sf_dir)).withColumn("stage", X.trust_stage(F.col("trust_score")))
+
+
+@query(f"""{_PREFIX}, s AS (SELECT user_id, event_id, coalesce(lag(trust_score) OVER (PARTITION BY user_id ORDER BY ts, event_id), 0) AS before, trust_score FROM r)
+SELECT user_id, event_id, {_STAGE.format(t='before')} AS from_stage, {_STAGE.format(t='trust_score')} AS to_stage FROM s WHERE from_stage <> to_stage""")
+def trust_stage_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = trust.running_trust(_scored(spark, sf_dir)).select(
+        "user_id", "event_id", X.trust_stage(F.col("trust_before")).alias("from_stage"), X.trust_stage(F.col("trust_score")).alias("to_stage")
+    )
+    return t.where(F.col("from_stage") != F.col("to_stage"))
+
+
+@query("""WITH k AS (SELECT event_id, regexp_replace(props, '[^-0-9]', '', 'g') AS s FROM events)
+SELECT event_id, CASE WHEN s = '' THEN 0 ELSE TRY_CAST(s AS INTEGER) END AS score FROM k""")
+def trust_score_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "events").select("event_id", X.parse_score(F.col("props")).alias("score"))
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    v = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    return v.where(F.col("id") % 20 == 0), v
+
+
+_DENSE = """WITH s AS (SELECT q.vec_id AS query_id, r.vec_id AS record_id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(r.embedding AS DOUBLE[])) AS sim
+  FROM embeddings q, embeddings r WHERE q.vec_id % 20 = 0 AND q.vec_id <> r.vec_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, record_id) AS rank FROM s WHERE {where})
+SELECT query_id, record_id, CAST(rank AS INTEGER) AS rank, round(sim, 4) AS similarity FROM k WHERE rank <= 5"""
+
+
+@query(_DENSE.format(where="true"))
+def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieve.dense_top_k(*_vectors(spark, sf_dir), threshold=None, others_only=True).withColumn("similarity", F.round("similarity", 4))
+
+
+@query(_DENSE.format(where="sim > 0.3"))
+def vector_topk_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieve.dense_top_k(*_vectors(spark, sf_dir), others_only=True).withColumn("similarity", F.round("similarity", 4))
+
+
+_LEXICAL = f"""WITH d AS (SELECT doc_id AS id, unnest({_WORDS.format('text')}) AS term FROM documents),
+b AS (SELECT id, unnest({_WORDS.format('text')}) AS term FROM ({{queries}})),
+dc AS (SELECT id, term, count(*) AS tf FROM d GROUP BY ALL), bc AS (SELECT id, term, count(*) AS tf FROM b GROUP BY ALL),
+dn AS (SELECT id, sqrt(CAST(sum(tf * tf) AS DOUBLE)) AS n FROM dc GROUP BY 1), bn AS (SELECT id, sqrt(CAST(sum(tf * tf) AS DOUBLE)) AS n FROM bc GROUP BY 1),
+dot AS (SELECT bc.id AS query_id, dc.id AS record_id, CAST(sum(bc.tf * dc.tf) AS DOUBLE) AS dot FROM bc JOIN dc USING (term) GROUP BY 1, 2),
+s AS (SELECT query_id, record_id, round(dot / (bn.n * dn.n), 6) AS similarity FROM dot JOIN bn ON query_id = bn.id JOIN dn ON record_id = dn.id),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, record_id) AS rank FROM s WHERE similarity > 0.3)
+SELECT query_id, record_id, similarity, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 5"""
+
+
+@query(_LEXICAL.replace("{queries}", "SELECT item_id AS id, text FROM benchmark"))
+def lexical_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
+    return retrieve.lexical_top_k(q, _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
+
+
+@query(_LEXICAL.replace("{queries}", "SELECT item_id AS id, concat_ws(' ', text, nullif(substring(text, 1, item_id % 3 * 10), ''), nullif(substring(text, 11, item_id % 2 * 10), '')) AS text FROM benchmark"))
+def expanded_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As above, with queries expanded by a prediction and a risk (here parts of the query itself)."""
+    b = _table(spark, sf_dir, "benchmark")
+    prediction = F.expr("substring(text, 1, cast(item_id % 3 * 10 as int))")
+    risk = F.expr("substring(text, 11, cast(item_id % 2 * 10 as int))")
+    q = b.select(F.col("item_id").alias("id"), X.expand_query(F.col("text"), prediction, risk).alias("text"))
+    return retrieve.lexical_top_k(q, _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
+
+
+@query("""SELECT conv_id, topic_no, concat_ws(' ', topic, content, '', nullif(user_prediction, ''), nullif(user_risk, '')) AS document
+FROM (""" + _MEMORIES.replace("{acc}", _accumulated_sql("analysis_topic")) + ")")
+def memory_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text under which each memory is found."""
+    m = rounds.build_memories(_judged(spark, sf_dir))
+    doc = X.memory_document(F.col("topic"), F.col("content"), F.array().cast("array<string>"), F.col("user_prediction"), F.col("user_risk"))
+    return m.select("conv_id", "topic_no", doc.alias("document"))
+
+
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w >= INTERVAL 30 MINUTES THEN 1 ELSE 0 END AS cut FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(cut) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g)
+SELECT user_id, min(ts) AS session_start, max(ts) AS session_end, count(*) AS n_events FROM s GROUP BY user_id, n""")
+def idle_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.idle_sessions(_table(spark, sf_dir, "events"))
+
+
+@query("""SELECT user_id, event_id, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= INTERVAL 24 HOURS, false) AS due FROM events""")
+def profile_refresh_due(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.refresh_due(_table(spark, sf_dir, "events")).select("user_id", "event_id", "due")
+
+
+def _layers_old(k: str = "k") -> str:
+    return '{"Meta_Layer":"m0","Cognitive_Layer":"c0","Behavior_Layer":"b0","Concrete_Layer":"d0"}'
+
+
+@query("""WITH n AS (SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)
+SELECT event_id, 'm' || k AS "Meta_Layer", CASE WHEN k % 2 = 0 THEN NULL ELSE 'c0' END AS "Cognitive_Layer", 'b0' AS "Behavior_Layer", CASE WHEN k % 3 = 0 THEN 'd' || k ELSE 'd0' END AS "Concrete_Layer" FROM n""")
+def layer_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A profile of four layers, merged with updates built from events: layers present, absent and null."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    new = F.concat(
+        F.lit('{"Meta_Layer":"m'), k.cast("string"), F.lit('"'),
+        F.when(k % 2 == 0, ',"Cognitive_Layer":null').otherwise(""),
+        F.when(k % 3 == 0, F.concat(F.lit(',"Concrete_Layer":"d'), k.cast("string"), F.lit('"'))).otherwise(""),
+        F.lit(',"Other":1}'),
+    )
+    return _table(spark, sf_dir, "events").select("event_id", *stores.layer_merge(F.lit(_layers_old()), new))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 3 = 2 THEN trim(props) ELSE regexp_extract(CASE event_id % 3 WHEN 0 THEN 'x ```json' || chr(10) || props || chr(10) || '``` y ``` {} ```' ELSE '``` ' || props || '```' END,
+  '(?s)```(?:json)?\\s*(.*?)\\s*```', 1) END AS json FROM events""")
+def fenced_json_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = F.col("event_id") % 3
+    raw = F.when(m == 0, F.concat(F.lit("x ```json\n"), "props", F.lit("\n``` y ``` {} ```"))).when(m == 1, F.concat(F.lit("``` "), "props", F.lit("```"))).otherwise(F.concat(F.lit(" "), "props"))
+    return _table(spark, sf_dir, "events").select("event_id", X.json_text(raw).alias("json"))
+
+
+@query(f"SELECT doc_id, regexp_replace(regexp_replace(trim(text, {_TRIM}), '[\\x{{10000}}-\\x{{10FFFF}}]', '', 'g'), '[（(](?s:.*?)[）)]', '', 'g') AS said FROM documents")
+def clean_brackets_astral(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", X.spoken(F.col("text")).alias("said"))
+
+
+@query("SELECT doc_id, substring(sha256(text), 1, 16) AS key, substring(sha256(lang || ':' || text), 1, 16) AS voice_key FROM documents")
+def content_cache_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("text")
+    return _table(spark, sf_dir, "documents").select("doc_id", X.cache_key(t).alias("key"), X.cache_key(t, F.col("lang")).alias("voice_key"))
+
+
+_FRAMES = """WITH t AS (SELECT conv_id * 1000 + turn AS turn_id, role, list_filter(string_split(text, chr(10)), lambda x: x <> '') AS chunks FROM conversations WHERE role = 'assistant'),
+e AS (SELECT turn_id, 0 AS seq, 'thinking' AS type, role AS content FROM t
+  UNION ALL SELECT turn_id, unnest(range(1, len(chunks) + 1)), 'chunk', unnest(chunks) FROM t
+  UNION ALL SELECT turn_id, len(chunks) + 1, 'done', NULL FROM t)"""
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _table(spark, sf_dir, "conversations").where("role = 'assistant'")
+    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("turn_id"), F.col("role").alias("thinking"), F.split("text", "\n").alias("chunks"))
+
+
+@query(_FRAMES + """SELECT turn_id, CAST(seq AS INTEGER) AS seq, type, 'data: ' || CASE WHEN content IS NULL THEN '{"type":"done"}'
+  ELSE '{"type":"' || type || '","content":' || CAST(to_json(content) AS VARCHAR) || '}' END || chr(10) || chr(10) AS frame FROM e""")
+def sse_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.turn_frames(_turns(spark, sf_dir))
+
+
+@query(_FRAMES + "SELECT turn_id AS stream_id, CAST(seq AS INTEGER) AS seq, type, content FROM e")
+def sse_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames joined to a stream with a tail that isn't complete, and parsed again."""
+    f = E.turn_frames(_turns(spark, sf_dir)).groupBy("turn_id").agg(F.array_sort(F.collect_list(F.struct("seq", "frame"))).alias("fs"))
+    text = F.concat(F.array_join(F.transform("fs", lambda x: x["frame"]), ""), F.lit('data: {"type":"chu'))
+    return E.parse_frames(f.select(F.col("turn_id").alias("stream_id"), text.alias("text")))
+
+
+@query("SELECT page_id, replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped FROM pages")
+def html_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "pages").select("page_id", X.html_escape(F.col("html")).alias("escaped"))
+
+
+@query(f"""WITH {_ROUNDS} SELECT conv_id, string_agg(round_dialog, chr(10) || chr(10) ORDER BY round_no) AS history, string_agg(round_dialog, chr(10) ORDER BY round_no) AS dialogs,
+  CASE WHEN count(*) < 3 THEN 'Initial' WHEN count(*) < 8 THEN 'Process' ELSE 'Final' END AS stage FROM rounds GROUP BY 1""")
+def prompt_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a prompt carries of a conversation: its rounds joined both ways, and the stage (ten points of trust a round)."""
+    r = rounds.pair_rounds(_table(spark, sf_dir, "conversations")).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("round_no", "round_dialog"))).alias("rs"))
+    ds = F.transform("rs", lambda x: x["round_dialog"])
+    return r.select("conv_id", F.array_join(ds, "\n\n").alias("history"), F.array_join(ds, "\n").alias("dialogs"), X.trust_attitude(F.size("rs") * 10)["stage"].alias("stage"))
+
+
+@query("""SELECT conv_id, turn, CASE WHEN length(text) > 20 THEN 'topic_length,' ELSE '' END || CASE WHEN len(string_split(text, ' ')) NOT BETWEEN 5 AND 10 THEN 'keyword_count,' ELSE '' END
+  || CASE WHEN len(list_filter(string_split(text, ' '), lambda x: length(x) > 5)) > 0 THEN 'keyword_length,' ELSE '' END || CASE WHEN abs(turn - 3) > 5 THEN 'score_range,' ELSE '' END AS violations FROM conversations""")
+def contract_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("topic"), F.split("text", " ").alias("keywords"), (F.col("turn") - 3).alias("score"))
+    v = contract_violations(c)
+    return v.select("conv_id", "turn", F.array_join(F.transform("violations", lambda x: F.concat(x, F.lit(","))), "").alias("violations"))
+
+
+@query("SELECT event_id FROM events WHERE event_type = 'view' AND TIMESTAMP '2024-01-15 00:00:00' - ts > INTERVAL 24 HOURS")
+def stale_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recordings that are over a day old; events stand in for a folder's files."""
+    name = F.concat(F.when(F.col("event_type") == "view", "recording_").otherwise("other_"), F.col("event_id").cast("string"), F.lit(".wav"))
+    files = _table(spark, sf_dir, "events").select("event_id", name.alias("name"), F.col("ts").alias("modified"))
+    return E.stale(files, F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")).select("event_id")
+
+
+@query()
+def sentence_stream_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents streamed word by word and cut into speakable pieces."""
+    words = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("stream_id"), F.posexplode(F.split("text", "(?<= )")).alias("chunk_seq", "chunk"))
+    return stream_text.segment_streams(words)
+
+
+@query("""SELECT count(*) AS n_records, count(DISTINCT conv_id) AS n_conversations, CAST(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) AS BIGINT) AS n_user_turns FROM conversations""")
+def store_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _table(spark, sf_dir, "conversations")
+    return c.agg(F.count("*").alias("n_records"), F.countDistinct("conv_id").alias("n_conversations"), F.count_if(F.col("role") == "user").alias("n_user_turns"))
+
+
+@query(f"SELECT conv_id, turn, trim(text, {_TRIM}) AS message, lower(trim(text, {_TRIM})) IN ('exit', 'show buffer') AS is_command FROM conversations WHERE role = 'user' AND trim(text, {_TRIM}) <> ''")
+def user_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Incoming messages, stripped; blank ones are turned away."""
+    c = _table(spark, sf_dir, "conversations").where("role = 'user'").withColumn("message", X.strip(F.col("text"))).where(F.col("message") != "")
+    return c.select("conv_id", "turn", "message", X.is_command(F.col("message"), "exit", "show buffer").alias("is_command"))
+
+
+@query("""WITH c AS (SELECT conv_id, turn, unnest(list_filter(string_split(text, ' '), lambda x: x <> '')) AS chunk, generate_subscripts(list_filter(string_split(text, ' '), lambda x: x <> ''), 1) AS i FROM conversations WHERE role = 'assistant')
+SELECT conv_id, turn, string_agg(chunk, '' ORDER BY i) AS reply FROM c GROUP BY 1, 2""")
+def reply_from_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies put together from the chunks in which they came; empty chunks are left out."""
+    c = _table(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.posexplode(F.split("text", " ")).alias("i", "chunk")).where(F.col("chunk") != "")
+    g = c.groupBy("conv_id", "turn").agg(F.array_sort(F.collect_list(F.struct("i", "chunk"))).alias("cs"))
+    return g.select("conv_id", "turn", F.array_join(F.transform("cs", lambda x: x["chunk"]), "").alias("reply"))
+
+
+@query("""WITH f AS (SELECT user_id AS stream_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INTEGER) AS segment_id, event_id AS done_seq, event_type <> 'error' AS ok FROM events),
+r AS (SELECT *, max(done_seq) OVER (PARTITION BY stream_id ORDER BY segment_id ROWS UNBOUNDED PRECEDING) AS released_after FROM f)
+SELECT stream_id, segment_id, done_seq, released_after FROM r WHERE ok""")
+def segments_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Completions that come in any order, released by segment; failed ones hold nothing up."""
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    done = _table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("stream_id"), F.row_number().over(order).alias("segment_id"), F.col("event_id").alias("done_seq"), (F.col("event_type") != "error").alias("ok")
+    )
+    return stream_text.release_in_order(done).drop("ok")
