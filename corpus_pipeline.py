@@ -24,11 +24,21 @@ def _without(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
     return docs.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "doc_id", "left_anti")
 
 
+def _packed(docs: DataFrame, *used: str) -> DataFrame:
+    """The used columns, and all others in one struct, so that no name clashes with a result's."""
+    return docs.select(*used, F.struct(F.lit(0).alias("_"), *[c for c in docs.columns if c not in used]).alias("_others"))
+
+
+def _unpacked(df: DataFrame, columns: list[str], *used: str) -> DataFrame:
+    return df.select(*[F.col(c) if c in used else F.col(f"_others.`{c}`").alias(c) for c in columns])
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter, and those that no language fits; learns from the labelled rows."""
     model = langid.train(docs, F.lit(True))
-    told = langid.predict(docs, model)
-    return told.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    told = langid.predict(_packed(docs, "text"), model)
+    kept = told.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    return _unpacked(kept, docs.columns, "text")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,10 +56,10 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
     A document of which nothing but white space is left goes.
     """
-    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    cut = suffix_dedup.dedup(docs, keep=others, decode=True)
-    cut = cut.where(F.col("kept").rlike(r"\S")).withColumnRenamed("kept", "text").withColumn("n_chars", F.length("text").cast("long"))
-    return cut.select(*docs.columns)
+    used = ("doc_id", "text", "n_chars")
+    cut = suffix_dedup.dedup(_packed(docs, *used), keep=["_others"], decode=True)
+    cut = cut.where(F.col("kept").rlike(r"\S")).select("doc_id", F.col("kept").alias("text"), F.length("kept").cast("long").alias("n_chars"), "_others")
+    return _unpacked(cut, docs.columns, *used)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

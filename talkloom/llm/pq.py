@@ -163,6 +163,8 @@ def link_rows(encoded: DataFrame, index: Index, block: int = BLOCK) -> DataFrame
                     seen[np.repeat(np.arange(b - a), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy(zero_copy_only=False)] = True
                     parts.append((vec, node, copies, codes, part["error"].to_numpy(zero_copy_only=False), seen))
                     continue
+                if not parts:
+                    continue  # no vector of the list fell into this block
                 if store is None:
                     store = [np.concatenate(x) for x in zip(*parts)]
                 svec, snode, scopies, scodes, serror, sseen = store

@@ -276,9 +276,11 @@ def dedup(
 ) -> DataFrame:
     """id_col, n_bytes, n_removed, n_spans (maximal runs removed), kept_sha256, and with_text the
     remaining bytes (kept; with decode as a string, without what a cut has left of a character);
-    keep names further columns that are passed on."""
+    keep names further columns that are passed on, unless they bear the name of a result."""
     if not 8 <= anchor < length < 1000:
         raise ValueError("8 <= anchor < length < 1000")
+    results = (id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
+    keep = [c for c in keep or [] if c not in results]
     blocks = make_blocks(docs, id_col, text, None, block_bytes, keep)
     n_triggers, n_phrases = blocks.buckets(bucket_bytes[0]), blocks.buckets(bucket_bytes[1])
 

@@ -1,0 +1,245 @@
+"""Token counts, byte-level BPE, URL filters, language identification, license scans, decontamination."""
+
+import hashlib
+import random
+
+import numpy as np
+import public_tokenizers
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from talkloom.llm import bpe, decontaminate, langid, license_scan, token_counts, url_filter
+
+ODD = ["", " ", "a", "\n", "  a  b ", "x\u2028y", "é" * 300, "😀😀", "<|endoftext|> it's", "a\n\n b\t\tc", "word " * 5000, "\x00\x01", "a" * 20000, "don't  stop\n \n now"]
+
+
+# -- token counts
+
+
+def greedy(word, starts, insides):
+    """Longest match first, by trying every length."""
+    n, at = 0, 0
+    while at < len(word):
+        pieces = insides if at else starts
+        size = next((k for k in range(len(word) - at, 0, -1) if word[at : at + k] in pieces), 0)
+        if not size:
+            return 0
+        n, at = n + 1, at + size
+    return n
+
+
+@given(st.sets(st.text("abc", min_size=1, max_size=5), min_size=1, max_size=12), st.sets(st.text("abc", min_size=1, max_size=5), min_size=1, max_size=12), st.text("abcd", max_size=25))
+@settings(max_examples=500, deadline=None)
+def test_automaton_counts_as_greedy_longest_match(starts, insides, word):
+    assert token_counts.Automaton(starts, insides).count(word) == (greedy(word, starts, insides) if word else 0)
+
+
+def test_token_counts_over_a_table(spark, documents):
+    starts, insides = token_counts.piece_sets(public_tokenizers.path("piece_bpe_32k.model"))
+    s, i = set(starts), set(insides)
+    rows = [(k, t, "en") for k, t in enumerate(ODD)] + [(3, "the same", "en"), (3, "the same", "en"), (None, "no id", None), (9, None, "en")]
+    got = token_counts.count_tokens(documents(rows), starts, insides).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        words = [w.decode() for w in (r["text"] or "").encode().split()]
+        each = [greedy(w, s, i) for w in words]
+        assert (r["n_words"], r["n_tokens"], r["n_unknown"]) == (len(words), sum(each) + each.count(0), each.count(0))
+    assert token_counts.count_tokens(documents([]), starts, insides).count() == 0
+
+
+# -- byte-level BPE
+
+
+def tiktoken_encoder(name="byte_bpe_multi_50k.tiktoken"):
+    import tiktoken
+
+    ranks = bpe.load_ranks(public_tokenizers.path(name))
+    return ranks, tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_bpe_matches_the_library_and_round_trips(spark, documents):
+    ranks, library = tiktoken_encoder()
+    rng = random.Random(4)
+    odd = ["".join(rng.choice([" ", "  ", "\n", "\t", "\xa0", "a", "'s", "é", "1", "!", "😀", "it", "中文"]) for _ in range(rng.randrange(25))) for _ in range(400)]
+    rows = [(k, t, "en") for k, t in enumerate(ODD + odd)] + [(1, "again", None), (1, "again", None), (None, None, None)]
+    got = bpe.encode(documents(rows), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        ids = library.encode_ordinary(r["text"] or "")
+        assert r["token_ids"] == ids and r["n_tokens"] == len(ids)
+        assert r["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert bytes(r["decoded"]) == (r["text"] or "").encode()
+        assert r["decoded_sha256"] == hashlib.sha256((r["text"] or "").encode()).hexdigest()
+    slim = bpe.encode(documents([]), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
+    assert slim.count() == 0 and "token_ids" not in slim.columns
+
+
+def test_bpe_caches_start_anew(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE", 3)
+    ranks, library = tiktoken_encoder()
+    codec = bpe.Codec(bpe.serialise(ranks), public_tokenizers.PATTERN)
+    for _ in range(3):
+        for (ids, _, raw), t in zip(codec.encode(ODD), ODD):
+            assert [i for x in ids for i in x] == library.encode_ordinary(t) and raw == t.encode()
+
+
+# -- URL filters
+
+RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+def judged(url):
+    host, path = url_filter.split_url(url)
+    best = None
+    for verdict, rule in RULES:
+        h, _, p = rule.partition("/")
+        if (host == h or host.endswith("." + h)) and path.startswith("/" + p) and (best is None or len(rule) > len(best[1])):
+            best = verdict, rule
+    return host, path, best
+
+
+def test_url_rules_and_classifier(spark):
+    urls = [
+        "http://a.EXAMPLE.com/en/x?y#z", "https://www.example.com/en/1", "http://m.www.example.com/en/", "http://example.com/de", "http://x.net/es/1", "http://net/fr/", "http://xnet/fr/",
+        "http://a.com", "http://a.com?x", "http://a.com#/", "no scheme", "", None, "a://b://c/d", "http://É.com/en/", "http://casino-royal.org/en/1", "http://www.museum-news.org/en/1", "http://x\n.net/es/", "http://a.net/es/" + "é" * 5000,
+        "http://a.com/", "http://a.com/",
+    ]
+    pages = spark.createDataFrame([(i, u, "old", "old") for i, u in enumerate(urls)], "page_id long, url string, host string, score string")
+    got = {r["page_id"]: r for r in url_filter.judge(pages, RULES).collect()}
+    assert len(got) == len(urls)
+    for i, u in enumerate(urls):
+        host, path, best = judged(u)
+        r = got[i]
+        assert (r["host"], r["path"], r["rule"]) == (host, path, best and best[1])
+        assert 0 <= r["score"] <= 1
+        assert r["verdict"] == (best[0] if best else "block" if r["score"] >= 0.5 else "allow")
+    assert got[15]["verdict"] == "block" and got[16]["verdict"] == "allow"
+    assert url_filter.judge(pages.limit(0), RULES).count() == 0
+
+
+def test_url_classifier_on_held_out_names():
+    w, b = url_filter.fit()
+    p = lambda u: 1 / (1 + np.exp(-(w[f].sum() / len(f) ** 0.5 + b))) if len(f := url_filter.features(*url_filter.split_url(u))) else 0
+    bad = [f"https://{a}{x}{z}.org/en/9" for a in ("", "my-", "best") for x in ("casino", "poker", "spam", "adult", "bets") for z in ("", "-win", "24")]
+    good = [f"https://{a}{x}{z}.org/en/9" for a in ("", "my-", "the") for x in ("library", "science", "garden", "museum", "lake") for z in ("", "-home", "24")]
+    right = sum(p(u) >= 0.5 for u in bad) + sum(p(u) < 0.5 for u in good)
+    assert right / (len(bad) + len(good)) >= 0.9
+
+
+# -- language identification
+
+
+def invented(rng, lang, n):
+    parts = {"aa": ["ka", "lo", "mi", "ta"], "bb": ["ß", "sch", "ei", "un"], "cc": ["é", "eau", "oi", "ou"]}[lang]
+    return " ".join("".join(rng.choice(parts) for _ in range(rng.randrange(1, 5))) for _ in range(n))
+
+
+def test_language_id(spark, documents):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(1)
+    rows = [(i, invented(rng, lang, rng.randrange(3, 60)), lang) for i, lang in enumerate(["aa", "bb", "cc"] * 80)]
+    odd = [(1000, None, "aa"), (1001, "", "aa"), (1002, "12 34 !!", "bb"), (1003, invented(rng, "cc", 30000), None), (None, invented(rng, "aa", 9), "aa"), (5, rows[5][1], rows[5][2])]
+    docs = documents(rows + odd)
+    model = langid.train(docs, F.col("doc_id") % 4 != 2)
+    got = langid.predict(docs, model).collect()
+    assert len(got) == len(rows) + len(odd)
+    by_id = {r["doc_id"]: r for r in got}
+    held = [by_id[i] for i in range(240) if i % 4 == 2]
+    assert sum(r["lang_pred"] == r["lang"] for r in held) / len(held) >= 0.97
+    for i in (1000, 1001, 1002):
+        assert (by_id[i]["lang_pred"], by_id[i]["score"]) == ("und", 0.0)
+    assert by_id[1003]["lang_pred"] == "cc" and all(0 <= r["score"] <= 1 for r in got)
+    none = langid.train(docs, F.lit(False))
+    assert {r["lang_pred"] for r in langid.predict(docs, none).collect()} == {"und"}
+    assert langid.predict(documents([]), model).count() == 0
+
+
+def test_language_model_is_sparse_and_calibrated():
+    rng = random.Random(2)
+    rows = [(invented(rng, lang, 20), lang) for lang in ["aa", "bb", "cc"] * 60]
+    model = langid.fit(rows)
+    assert 0 < (model.table != 0).any(1).sum() < len(model.table) / 4
+    assert 0.1 <= model.temperature <= 10
+
+
+# -- license scans
+
+
+def scanned(text, templates, phrases, threshold):
+    words = license_scan.words_of(text or "")
+    places, base, labels, best = [], set(), set(), 0.0
+    for phrase, label in phrases.items():
+        p = phrase.split()
+        for i in range(len(words)):
+            if words[i : i + len(p)] == p:
+                places.append(i)
+                base.add(label)
+    for line in (text or "").split("\n"):
+        line = set(license_scan.words_of(line))
+        for label, t in templates.items():
+            t = set(license_scan.words_of(t))
+            share = len(t & line) / len(t)
+            if share >= threshold - 1e-9:
+                labels.add(label)
+                best = max(best, share)
+    return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(base | labels)), best
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.9, 1.0])
+def test_license_scan_is_exact(spark, documents, threshold):
+    rng = random.Random(3)
+    vocab = sorted({w for t in license_scan.TEMPLATES.values() for w in license_scan.words_of(t)}) + ["lorem", "ipsum", "é", "kelvin", "K"]
+    templates = dict(license_scan.TEMPLATES) | {"one": "permission"}
+    texts = ["\n".join(" ".join(rng.choice(vocab) for _ in range(rng.randrange(0, 25))) for _ in range(4)) for _ in range(60)]
+    texts += list(license_scan.TEMPLATES.values()) + [t.upper() + " and more" for t in license_scan.TEMPLATES.values()]
+    texts += ["", None, "MIT License mit license", "cc by cc by-nc", "mit\nlicense", "amit license", "mit licensed", "Apache  License, MIT/License CC\tBY", "mit license " * 4000, "gnu general public licensé"]
+    rows = [(i, t, None) for i, t in enumerate(texts)] + [(None, "Released under the MIT License", None), (2, texts[2], None)]
+    got = license_scan.scan(documents(rows), templates=templates, threshold=threshold).collect()
+    assert len(got) == len(rows)
+    told = {r["doc_id"]: tuple(r)[1:] for r in got}
+    for i, t, _ in rows:
+        assert told[i] == scanned(t, templates, license_scan.PHRASES, threshold), t
+    assert license_scan.scan(documents([])).count() == 0
+
+
+def test_license_scan_stays_native(spark, documents):
+    plan = license_scan.scan(documents([(1, "x", None)]))._jdf.queryExecution().executedPlan().toString()
+    assert not any(k in plan for k in ("Python", "Pandas", "Arrow"))
+
+
+# -- decontamination
+
+
+def test_stretch_is_the_longest():
+    rng = np.random.default_rng(1)
+    for _ in range(1500):
+        same = rng.random(rng.integers(1, 25)) < rng.choice([0.4, 0.7, 0.9])
+        i, n, share = decontaminate.stretch(same)
+        best = max((y - x for x in range(len(same)) for y in range(x + 1, len(same) + 1) if same[x] and same[y - 1] and same[x:y].mean() >= 0.8 - 1e-9), default=0)
+        assert n == best and (not n or share >= 0.8 - 1e-9 and same[i] and same[i + n - 1])
+
+
+def test_decontamination_finds_planted_passages(spark, documents):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    items = [(k, " ".join(word() for _ in range(n))) for k, n in enumerate([20, 40, 9, 300, 5, 30])] + [(6, None), (7, ""), (None, " ".join(word() for _ in range(25)))]
+    noise = lambda n: " ".join(word() for _ in range(n))
+    plant = {
+        0: noise(50) + " " + items[0][1].upper() + ", " + noise(50),  # as it is, in capitals
+        1: noise(3) + " " + " ".join(w if i % 9 else word() for i, w in enumerate(items[1][1].split())) + noise(4),  # substitutions
+        2: items[2][1],  # a short item
+        3: noise(200) + " " + " ".join(items[3][1].split()[100:160]),  # a part of a long one
+        5: noise(2000) + " " + items[5][1] + " " + noise(2000) + " " + items[0][1],
+    }
+    clean = [(100 + k, noise(300), "en") for k in range(30)] + [(200, items[4][1], "en"), (201, " ".join(items[0][1].split()[:8]), "en"), (202, None, None), (203, "", None)]
+    rows = [(k, t, "en") for k, t in plant.items()] + [(0, plant[0], "en"), (None, items[1][1], None), (9, items[8][1], None)] + clean
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    pairs = lambda df: sorted((r["doc_id"] is None, r["doc_id"] or 0, r["item_id"] is None, r["item_id"] or 0) for r in df.collect())
+    got = pairs(decontaminate.contaminated(documents(rows), bench))
+    expected = [(0, 0), (0, 0), (1, 1), (2, 2), (3, 3), (5, 0), (5, 5), (9, None), (None, 1)]
+    assert got == sorted((d is None, d or 0, i is None, i or 0) for d, i in expected)
+    assert pairs(decontaminate.contaminated(documents(rows), bench, block_bytes=200)) == got  # many blocks
+    assert decontaminate.contaminated(documents([]), bench).count() == 0
+    assert decontaminate.contaminated(documents(rows), bench.limit(0)).count() == 0
