@@ -85,7 +85,7 @@ def segment_streams(chunks: DataFrame) -> DataFrame:
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         got = segments(c or "" for c in rows.sort_values("chunk_seq")["chunk"])
-        return pd.DataFrame({"stream_id": [key[0]] * len(got), "segment_id": [n for n, _ in got], "segment": [s for _, s in got]})
+        return pd.DataFrame([(key[0], n, s) for n, s in got], columns=["stream_id", "segment_id", "segment"], dtype=object)
 
     return chunks.groupBy("stream_id").applyInPandas(run, f"stream_id {kind}, segment_id int, segment string")
 

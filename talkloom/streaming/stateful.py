@@ -44,7 +44,7 @@ class _Topics(StatefulProcessor):
                 topic_no, rounds, gathered = topic_no + 1, [], [[] for _ in ANALYSES]
             rounds.append(r["round_dialog"])
         self.open.update((topic_no, seen, rounds, *gathered))
-        yield pd.DataFrame(out, columns=["conv_id", "topic_no", "n_rounds", "topic", "content", *ANALYSES])
+        yield pd.DataFrame(out, columns=["conv_id", "topic_no", "n_rounds", "topic", "content", *ANALYSES], dtype=object)
 
     def close(self) -> None:
         pass
@@ -90,7 +90,7 @@ class _Pieces(StatefulProcessor):
             if r["last"] is True:
                 out += s.finish()
         self.held.update((s.pending, s.cuts, s.number))
-        yield pd.DataFrame([(key[0], n, p) for n, p in out], columns=["stream_id", "segment_id", "segment"])
+        yield pd.DataFrame([(key[0], n, p) for n, p in out], columns=["stream_id", "segment_id", "segment"], dtype=object)
 
     def close(self) -> None:
         pass
