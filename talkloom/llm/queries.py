@@ -139,3 +139,48 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from talkloom.llm.suffix_dedup import dedup
 
     return dedup(table(spark, sf_dir, "documents"), with_text=False)
+
+
+ORACLE_SQL["op1_suffix_dedup"] = """
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS i FROM b)),
+f AS (SELECT s, min(doc_id) AS m FROM w GROUP BY s),
+g AS (SELECT w.doc_id, w.i, lag(w.i) OVER (PARTITION BY w.doc_id ORDER BY w.i) AS p FROM w JOIN f USING (s) WHERE f.m < w.doc_id),
+n AS (SELECT *, sum(CASE WHEN p IS NULL OR i > p + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS k FROM g),
+spans AS (SELECT doc_id, k, min(i) AS a, max(i) + 50 AS z FROM n GROUP BY doc_id, k),
+cuts AS (SELECT doc_id, k, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY k), 0) AS last FROM spans),
+parts AS (
+  SELECT doc_id, sum(z - a) AS gone, count(*) AS spans, string_agg(substr(h, CAST(2 * last + 1 AS BIGINT), CAST(2 * (a - last) AS BIGINT)), '' ORDER BY k) || substr(max(h), CAST(2 * max(z) + 1 AS BIGINT)) AS kept
+  FROM cuts JOIN b USING (doc_id) GROUP BY doc_id
+)
+SELECT b.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM b LEFT JOIN parts USING (doc_id)
+"""
+
+
+def _license_sql() -> str:
+    from talkloom.llm.license_scan import PHRASES, TEMPLATES, THRESHOLD, words_of
+
+    low = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    words = f"list_filter(regexp_split_to_array({low}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+    templates = ", ".join(f"('{label}', {sorted(set(words_of(t)))})" for label, t in TEMPLATES.items())
+    phrases = ", ".join(f"({p.split()}, '{label}')" for p, label in PHRASES.items())
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, {words.format('t')} AS ws FROM d),
+t(label, ts) AS (VALUES {templates}), p(ps, label) AS (VALUES {phrases}),
+hits AS (SELECT doc_id, i, label FROM (SELECT doc_id, ws, unnest(range(len(ws))) AS i FROM w), p WHERE ws[i + 1] = ps[1] AND ws[i + 1 : i + len(ps)] = ps),
+base AS (SELECT doc_id, count(*) AS n, min(i) AS first, max(i) AS last, list_distinct(list(label)) AS labels FROM hits GROUP BY doc_id),
+lines AS (SELECT doc_id, list_distinct({words.format('line')}) AS ls FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)),
+met AS (SELECT doc_id, label, len(list_intersect(ls, ts)) / len(ts) AS share FROM lines, t WHERE len(list_intersect(ls, ts)) >= ceil({THRESHOLD} * len(ts) - 1e-9)),
+best AS (SELECT doc_id, max(share) AS score, list_distinct(list(label)) AS labels FROM met GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_base, CAST(first AS BIGINT) AS first_word, CAST(last AS BIGINT) AS last_word,
+  coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(best.labels, [])))), ','), '') AS labels,
+  CAST(coalesce(score, 0) AS DOUBLE) AS score
+FROM w LEFT JOIN base USING (doc_id) LEFT JOIN best USING (doc_id)
+"""
+
+
+ORACLE_SQL["op6_license_scan"] = _license_sql()
