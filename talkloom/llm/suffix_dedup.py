@@ -14,10 +14,10 @@ Three exchanges between blocks of documents and buckets of triggers (see blocks)
  1. Each block sends its distinct triggers' hashes; what only one document has is dropped, as its
     strings can't repeat. A collision of hashes keeps a trigger that could be dropped, no more.
  2. Blocks send the distinct phrases of the remaining triggers, with the least id they occur in.
-    A bucket sorts all suffixes of its phrases that are at least LENGTH long, by their first
-    LENGTH bytes: the part of the dictionary's suffix array that matters. Neighbours that agree in
-    LENGTH bytes are occurrences of one string, and the least id among them is known. As all
-    strings of a trigger are in one bucket, this is corpus order for them.
+    A bucket makes a dictionary of them, each distinct phrase once, and ranks all its suffixes that
+    are at least LENGTH long by their first LENGTH bytes: the part of the dictionary's suffix array
+    that matters. Suffixes of one rank are occurrences of one string, and the least id among them is
+    known. As all strings of a trigger are in one bucket, this is corpus order for them.
  3. The answers, a bit for each suffix, are laid on the block's parse, and removed bytes are cut.
 A trigger that more than HOT blocks share may have very many phrases (a common line between
 unlike neighbours); its strings are sent one by one, dealt out by their own hash, so no bucket
@@ -231,33 +231,71 @@ class Entries:
         return np.cumsum(change[:-1]) > 0
 
 
+def _dense(x: np.ndarray) -> np.ndarray:
+    """The rank of each number among the distinct ones."""
+    order = np.argsort(x)
+    rank = np.empty(len(x), np.int64)
+    rank[order] = np.cumsum(np.concatenate([[False], x[order][1:] != x[order][:-1]]))
+    return rank
+
+
+def _dense_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The rank of each pair of ranks among the distinct pairs, by the first, then the second."""
+    if len(a) > 1 << 21:
+        return _dense(a << 32 | b)
+    key = np.sort(a << 42 | b << 21 | np.arange(len(a)))  # the pair and its place in one number
+    rank = np.empty(len(a), np.int64)
+    rank[key & ((1 << 21) - 1)] = np.cumsum(np.concatenate([[False], key[1:] >> 21 != key[:-1] >> 21]))
+    return rank
+
+
+def suffix_ranks(words: np.ndarray, suffix: np.ndarray, length: int) -> np.ndarray:
+    """The rank of each suffix among the distinct ones, as ordered by their first bytes.
+
+    words has at each place the next eight bytes as a big-endian number; the last word taken ends
+    with the length, and so overlaps the one before it.
+    """
+    rank = None
+    for p in sorted({*range(0, length - 7, 8), length - 8}):
+        w = _dense(words[suffix + p])
+        rank = w if rank is None else _dense_pairs(rank, w)
+    return rank
+
+
 def repeated(messages: list[list[bytes]], length: int) -> list[bytes]:
     """For each message a bit for each string of its phrases: whether a lesser id than the phrase's has it."""
     text = np.frombuffer(b"".join(m[0] for m in messages), np.uint8)
     counts = [np.frombuffer(m[1], np.uint16).astype(np.int64) for m in messages]
     count, least = np.concatenate(counts), np.concatenate([_numbers(m[2], np.int64) for m in messages])
-    size = count + length - 1
-    suffix = np.repeat(np.cumsum(size) - size, count) + _ramp(count)
-    owner = np.repeat(least, count)
-    # the suffixes by their first bytes, as big-endian words: the last word ends with the string
+    start = np.cumsum(count + length - 1) - (count + length - 1)
     words = text.astype(np.uint64)
     for step in (1, 2, 4):
         words = words[:-step] << np.uint64(8 * step) | words[step:]
-    places = sorted({*range(0, length - 7, 8), length - 8})
-    order = np.lexsort([words[suffix + p] for p in reversed(places)])
-    fresh = np.zeros(len(order), bool)
-    fresh[:1] = True
-    for p in places:
-        w = words[suffix[order] + p]
-        fresh[1:] |= w[1:] != w[:-1]
-    first = np.flatnonzero(fresh)
-    lowest = np.empty(len(order), np.int64)
-    lowest[order] = np.repeat(np.minimum.reduceat(owner[order], first), np.diff(np.append(first, len(order))))
-    flags, out, i = lowest < owner, [], 0
+    # the dictionary: each distinct phrase once; a phrase is its first and its last string (they overlap)
+    ends = [words[at + p] for at in (start, start + count - 1) for p in sorted({*range(0, length - 7, 8), length - 8})]
+    name = count.astype(np.uint64)
+    for w in ends:
+        name = _mix((name ^ w) * np.uint64(_BASE))
+    _, first, phrase = np.unique(name, return_index=True, return_inverse=True)
+    like = first[phrase]
+    other = count != count[like]
+    for w in ends:
+        other |= w != w[like]
+    if other.any():  # a collision of names: such phrases stand for themselves
+        phrase[other] = len(first) + np.arange(other.sum())
+        first = np.append(first, np.flatnonzero(other))
+    owner = np.full(len(first), NO_ID, np.int64)
+    np.minimum.at(owner, phrase, least)
+    size = count[first]
+    rank = suffix_ranks(words, np.repeat(start[first], size) + _ramp(size), length)
+    lowest = np.full(int(rank.max()) + 1, NO_ID, np.int64)
+    np.minimum.at(lowest, rank, np.repeat(owner, size))
+    lowest = lowest[rank]
+    offset, out, i = np.cumsum(size) - size, [], 0
     for c in counts:
-        n = int(c.sum())
-        out.append(np.packbits(flags[i : i + n]).tobytes())
-        i += n
+        mine = slice(i, i + len(c))
+        out.append(np.packbits(lowest[np.repeat(offset[phrase[mine]], c) + _ramp(c)] < np.repeat(least[mine], c)).tobytes())
+        i += len(c)
     return out
 
 
