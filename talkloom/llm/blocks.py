@@ -81,7 +81,8 @@ def make_blocks(docs: DataFrame, id_col: str, text: str, flag: Column | None = N
     schema = T.StructType([*T._parse_datatype_string("block long, ids array<long>, flags array<boolean>, ends array<long>, data binary").fields, T.StructField("rest", T.ArrayType(rest_type))])
     packed = rows.mapInArrow(pack, schema)
     name = f"talkloom_blocks_{uuid.uuid4().hex}"
-    n = max(8, math.ceil(n_bytes / (4 * block_bytes)))
+    # a table with fewer buckets than a shuffle has partitions would be shuffled again for a join
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n_bytes / (4 * block_bytes)))
     writer = packed.write.format("parquet").bucketBy(n, "block").option("path", scratch_path(spark, "blocks"))
     for k, v in (("compression", "zstd"), ("parquet.block.size", 16 << 20), ("parquet.page.size.row.check.min", 1), ("parquet.block.size.row.check.min", 1)):
         writer = writer.option(k, v)
