@@ -278,7 +278,7 @@ def profile_refresh_due(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.refresh_due(_table(spark, sf_dir, "events")).select("user_id", "event_id", "due")
 
 
-def _layers_old(k: str = "k") -> str:
+def _layers_old() -> str:
     return '{"Meta_Layer":"m0","Cognitive_Layer":"c0","Behavior_Layer":"b0","Concrete_Layer":"d0"}'
 
 
@@ -411,3 +411,26 @@ def segments_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("user_id").alias("stream_id"), F.row_number().over(order).alias("segment_id"), F.col("event_id").alias("done_seq"), (F.col("event_type") != "error").alias("ok")
     )
     return stream_text.release_in_order(done).drop("ok")
+
+
+@query("""SELECT event_id, event_id % 5 IN (0, 3) AS topic_changed, event_id % 5 = 3 AS is_noise, event_id % 5 NOT IN (1, 3) AS is_worthy FROM events""")
+def judgement_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flags of responses that are plain, false, no JSON, fenced, or quoted (which is no boolean)."""
+    from talkloom.operators.profiles import flag
+
+    forms = ['{"topic_changed": true, "confidence": 0.9}', '{"topic_changed": false, "is_worthy": false}', "cannot say", '```json\n{"topic_changed": true, "is_noise": true, "is_worthy": false}\n```', '{"topic_changed": "true", "is_noise": "true", "is_worthy": "false"}']
+    raw = F.element_at(F.array(*map(F.lit, forms)), (F.col("event_id") % 5 + 1).cast("int"))
+    e = _table(spark, sf_dir, "events")
+    return e.select("event_id", flag(raw, "topic_boundary", "topic_changed").alias("topic_changed"), flag(raw, "noise", "is_noise").alias("is_noise"), flag(raw, "worthiness", "is_worthy").alias("is_worthy"))
+
+
+@query(f"""SELECT conv_id AS id, 'm0' AS "Meta_Layer", 'c0' AS "Cognitive_Layer", CAST(count(*) AS VARCHAR) AS "Behavior_Layer", arg_max(topic, topic_no) AS "Concrete_Layer"
+FROM ({_MEMORIES.replace("{acc}", _accumulated_sql("analysis_topic"))}) GROUP BY 1""")
+def profile_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles of conversations, updated from their memories: here by their number and the last topic."""
+    from talkloom.operators.profiles import update_profiles
+
+    m = rounds.build_memories(_judged(spark, sf_dir)).select(F.col("conv_id").alias("id"), F.col("topic_no").alias("seq"), "topic")
+    profiles = m.select("id").distinct().withColumn("document", F.lit(_layers_old()))
+    judge = lambda ms: F.to_json(F.struct(F.size(ms).cast("string").alias("Behavior_Layer"), F.element_at(ms, -1)["topic"].alias("Concrete_Layer")))
+    return update_profiles(profiles, m, judge)
