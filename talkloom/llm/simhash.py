@@ -2,14 +2,16 @@
 
 A text's fingerprint has a bit set where over half of its word shingles' hashes have it. Two
 fingerprints that differ in at most three bits are linked. To find links, the 64 bits are cut
-into segments of 23, 23 and 18 bits. Of at most three errors, some two segments have at most one
-each (pigeonhole: leave out the worst). The binary Golay code of length 23 is perfect with radius
-three, so the codeword nearest to one text's segment is at most four bits from the other's: a
-segment gives as keys the indices of all codewords within four bits, one or six of them. The keys
-of two segments together, 24 bits, are joined with the pair of nearest codewords of the other side,
-and the join keeps what differs in three bits at most. Equal fingerprints are one node throughout.
+into segments A, B and C of 23, 23 and 18 bits. The binary Golay code of length 23 is perfect with
+radius three, so the codeword nearest to one text's segment is at most four bits from the other's
+if they differ in one bit: the index of the nearest codeword is the one side's key, and the indices
+of all codewords within four bits, one or six of them, are the other side's keys.
 
-The segments hold the fingerprint's bits from the highest; the last is padded with zeros.
+Of three errors, by pigeonhole, either one segment has none and another one at most, or each has one:
+  - any segment as it is, with the codeword of any other (six tables, keys of 30 or 35 bits);
+  - the codewords of A and B, with a half of C as it is (two tables, keys of 33 bits).
+Both sides' keys are joined, and the join keeps what differs in three bits at most. Equal
+fingerprints are one node throughout. Segment C is padded with zeros for the code.
 
 Defined results: lower-casing is of A-Z only; words are maximal runs of characters other than
 space and U+0009-U+000D. Without words (null or empty text) the fingerprint is zero, and is linked
@@ -20,7 +22,7 @@ ids and rows are allowed; a null id never becomes a component's id unless all id
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate, combinations
+from itertools import accumulate, combinations, permutations
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +37,8 @@ SEED = 42
 #: Shingles whose bits are counted at once.
 _BLOCK = 1 << 14
 _GENERATOR = 0xC75  # x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1, of the Golay code of length 23
-_SEGMENTS = ((41, 23), (18, 23), (0, 18))  # shift, bits
+_SEGMENTS = ((41, 23), (18, 23), (0, 18))  # shift, bits: A, B, C
+_HALF = 9  # bits of half of C
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
@@ -99,19 +102,23 @@ def golay_keys(segment: np.ndarray, tables: tuple[np.ndarray, np.ndarray]) -> np
 
 
 def key_rows(fps: np.ndarray, tables: tuple[np.ndarray, np.ndarray], probe: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers and keys: all pairs of near codewords if probe, else the pairs of nearest ones."""
+    """Row numbers and keys: those of all near codewords if probe, else those of the nearest ones."""
     u = fps.view(np.uint64)
-    near = [golay_keys((u >> np.uint64(s) & np.uint64((1 << n) - 1)).astype(np.int64), tables) for s, n in _SEGMENTS]
+    exact = [(u >> np.uint64(s) & np.uint64((1 << n) - 1)).astype(np.int64) for s, n in _SEGMENTS]
+    near = [golay_keys(x, tables)[:, : None if probe else 1] for x in exact]
+    fresh = [(x != x[:, :1]) | (np.arange(x.shape[1]) == 0) for x in near]  # slots that repeat the nearest are void
     rows, keys = [], []
-    for k, (a, b) in enumerate(combinations(range(len(_SEGMENTS)), 2)):
-        x, y = (near[a], near[b]) if probe else (near[a][:, :1], near[b][:, :1])
-        both = (k << 24 | x[:, :, None] << 12 | y[:, None, :]).reshape(len(fps), -1)
-        fresh = ((x[:, :, None] != x[:, :1, None]) | (np.arange(x.shape[1]) == 0)[None, :, None]) & (
-            (y[:, None, :] != y[:, None, :1]) | (np.arange(y.shape[1]) == 0)[None, None, :]
-        )
-        row, slot = np.nonzero(fresh.reshape(len(fps), -1))
+
+    def add(key: np.ndarray, ok: np.ndarray) -> None:
+        row, slot = np.nonzero(ok.reshape(len(fps), -1))
         rows.append(row)
-        keys.append(both[row, slot])
+        keys.append(len(keys) << 36 | key.reshape(len(fps), -1)[row, slot])
+
+    for x, y in permutations(range(3), 2):
+        add(exact[x][:, None] << 12 | near[y], fresh[y])
+    both, ok = near[0][:, :, None] << 12 | near[1][:, None, :], fresh[0][:, :, None] & fresh[1][:, None, :]
+    for half in (exact[2] >> _HALF, exact[2] & ((1 << _HALF) - 1)):
+        add(half[:, None, None] << 24 | both, ok)
     return np.concatenate(rows), np.concatenate(keys)
 
 
@@ -129,13 +136,13 @@ def links(nodes: DataFrame, distance: int = 3) -> DataFrame:
                 for i in range(0, len(fps), 1024):
                     part = fps[i : i + 1024]
                     rows, keys = key_rows(part, tables, probe)
-                    yield pa.RecordBatch.from_arrays([pa.array(part[rows]), pa.array(keys.astype(np.int32))], names=["fp", "key"])
+                    yield pa.RecordBatch.from_arrays([pa.array(part[rows]), pa.array(keys)], names=["fp", "key"])
 
         return run
 
     only = nodes.select("fp")
-    index = only.mapInArrow(keyed(False), "fp long, key int").withColumnRenamed("fp", "src")
-    probe = only.mapInArrow(keyed(True), "fp long, key int").withColumnRenamed("fp", "dst")
+    index = only.mapInArrow(keyed(False), "fp long, key long").withColumnRenamed("fp", "src")
+    probe = only.mapInArrow(keyed(True), "fp long, key long").withColumnRenamed("fp", "dst")
     near = (F.col("src") < F.col("dst")) & (F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) <= distance)
     return index.join(probe, (index.key == probe.key) & near).select("src", "dst").distinct()
 
