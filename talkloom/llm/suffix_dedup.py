@@ -46,7 +46,7 @@ from talkloom.llm.common import written
 LENGTH, ANCHOR = 50, 20
 HOT = 1024
 #: Bytes of corpus for each bucket of triggers, and of phrases.
-TRIGGER_BYTES, PHRASE_BYTES = 16 << 20, 8 << 20
+TRIGGER_BYTES, PHRASE_BYTES = 16 << 20, 4 << 20
 _CHUNK = 1 << 17
 _BASE = 0x9E3779B97F4A7C15
 _WORD = (1 << 64) - 1
@@ -320,7 +320,7 @@ def dedup(
     results = (id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
     keep = [c for c in keep or [] if c not in results]
     blocks = make_blocks(docs, id_col, text, None, block_bytes, keep)
-    n_triggers, n_phrases = blocks.buckets(bucket_bytes[0]), blocks.buckets(bucket_bytes[1])
+    n_triggers, n_phrases = (min(1 << 20, blocks.buckets(b)) for b in bucket_bytes)  # a key holds 20 bits of the bucket
 
     def parsed(batch: pa.RecordBatch, k: int) -> tuple[Parse, np.ndarray, np.ndarray, bytes]:
         ids, _, ends, data = texts(batch, k)
