@@ -82,8 +82,14 @@ def test_trust_is_the_clamped_fold(spark):
         state[user] = max(0, min(100, before + (change or 0)))
         after[event] = (before, state[user])
     assert {r["user_id"]: r["trust_score"] for r in trust.final_trust(df).collect()} == state
-    for unit in ("hour", "day"):
-        assert {r["event_id"]: (r["trust_before"], r["trust_score"]) for r in trust.running_trust(df, unit=unit).collect()} == after
+    assert {r["user_id"]: r["trust_score"] for r in trust.final_trust(df, unit="day").collect()} == state
+    for n in ("1", "4", "40"):  # users in one partition, and spread over many
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        got = trust.running_trust(df).collect()
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        assert {r["event_id"]: (r["trust_before"], r["trust_score"]) for r in got} == after
+    none = df.withColumn("user_id", F.lit(None).cast("long")).where("event_id < 9")
+    assert trust.running_trust(none).count() == 9 and trust.running_trust(df.limit(0)).count() == 0
 
 
 def test_dense_retrieval(spark):
