@@ -1,7 +1,7 @@
 """Embedding near-duplicates by product quantisation over inverted lists.
 
-Unit vectors are assigned to coarse cells (k-means on a sample of at most SAMPLE vectors; the
-number of cells is the square root of the number of distinct vectors, at most MAX_CELLS), and each
+Unit vectors are assigned to coarse cells (as many as the square root of the number of distinct
+vectors, at most MAX_CELLS; k-means on a sample of SAMPLE_PER_CELL vectors for each), and each
 vector's residual is coded by PARTS sub-quantisers. A vector searches its own cell and every cell
 whose border lies within REACH standard deviations of a link's displacement: a link of length r in
 d dimensions moves about r / sqrt(d) along any fixed direction. In a cell, table lookups give the
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from talkloom.llm.common import small_batches, written
 from talkloom.llm.components import components
 
-SAMPLE, MAX_CELLS = 16_384, 1024
+SAMPLE_PER_CELL, MAX_CELLS = 32, 4096
 PARTS, CODES = 8, 64
 REACH = 2.0
 BLOCK = 2048
@@ -55,7 +55,7 @@ def _squares(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-    return np.concatenate([_squares(x[i : i + 4096], c).argmin(1) for i in range(0, len(x), 4096)]) if len(x) else np.zeros(0, np.int64)
+    return np.concatenate([_squares(x[i : i + 1024], c).argmin(1) for i in range(0, len(x), 1024)]) if len(x) else np.zeros(0, np.int64)
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -80,12 +80,16 @@ class Index:
     def pad(self, x: np.ndarray) -> np.ndarray:
         return np.pad(x, ((0, 0), (0, -x.shape[1] % PARTS)))
 
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Home cell, codes, coding error and, as a matrix of flags, the cells to search."""
-        d = _squares(x, self.centres)
-        home = d.argmin(1)
-        ahead = d - d[np.arange(len(x)), home][:, None]  # twice the gap times the distance to the border
-        search = ahead <= 2 * self.gaps[home] * self.margin + _SLACK
+    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Home cell, codes, coding error, and the cells to search, of each vector."""
+        homes, search = [], []
+        for i in range(0, len(x), 256):
+            d = _squares(x[i : i + 256], self.centres)
+            home = d.argmin(1)
+            ahead = d - d[np.arange(len(d)), home][:, None]  # twice the gap times the distance to the border
+            search += [np.flatnonzero(s) for s in ahead <= 2 * self.gaps[home] * self.margin + _SLACK]
+            homes.append(home)
+        home = np.concatenate(homes)
         rest = self.pad(x - self.centres[home])
         parts = np.split(rest, PARTS, axis=1)
         codes = np.stack([nearest(p, b) for p, b in zip(parts, self.books)], axis=1).astype(np.uint8)
@@ -203,10 +207,12 @@ def near_duplicates(
         keyed.where("node is not null").groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.first("vec").alias("vec"), F.first("label").alias("label")), "vectors"
     )
     count = nodes.count()
-    sample = np.array([r["vec"] for r in nodes.select("vec", "node").orderBy("node").limit(SAMPLE).collect()], dtype=np.float64).reshape(-1, dim)
     kind = vectors.schema[label].dataType.simpleString()
     if count:
         cells = max(1, min(MAX_CELLS, round(count**0.5)))
+        # nodes are hashes: the first ones are a fair sample, of a bounded number
+        chosen = nodes.select("vec", "node").orderBy("node").limit(SAMPLE_PER_CELL * cells).select("vec").toArrow()
+        sample = chosen.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
         index = Index(unit(sample), cells, threshold, reach)
         shared = spark.sparkContext.broadcast(index)
 
@@ -219,7 +225,7 @@ def near_duplicates(
                 home, codes, error, search = ix.encode(unit(x))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), batch.column(1), pa.array(home.astype(np.int32)), pa.array([v.tobytes() for v in x], pa.binary()), pa.array([v.tobytes() for v in codes], pa.binary()),
-                     pa.array(error), pa.array([np.flatnonzero(s) for s in search], pa.list_(pa.int32())), batch.column(3)],
+                     pa.array(error), pa.array(search, pa.list_(pa.int32())), batch.column(3)],
                     names=["node", "copies", "home", "vec", "codes", "error", "search", "label"],
                 )
 
