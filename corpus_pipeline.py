@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkloom.llm import bpe, decontaminate, langid, simhash, suffix_dedup
+from talkloom.llm import bpe, decontaminate, langid, near_copies, suffix_dedup
 from talkloom.llm.common import table, written
 
 #: A document is rejected when no language has this probability.
@@ -42,11 +42,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of linked fingerprints.
+    """Keeps the document with the smallest id of each group of texts whose 5-word shingles are alike by 0.8 or more.
 
     Documents without an id can't be told apart by one and stay; rows that repeat an id stay or go together.
     """
-    groups = simhash.near_duplicates(docs)
+    groups = near_copies.near_duplicates(docs)
     gone = written(groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "near-duplicates")
     return _without(docs, gone, gone.count()).select(*docs.columns)
 

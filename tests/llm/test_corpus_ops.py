@@ -258,3 +258,54 @@ def test_pipeline_matches_its_stages_by_brute_force(spark, tmp_path, documents):
         assert staged.columns == docs.columns, name
         empty = stage(spark, docs.limit(0), str(tmp_path))
         assert empty.count() == 0 and empty.columns == docs.columns, name
+
+
+# -- near copies
+
+
+def test_near_copies_match_brute_force(spark, documents):
+    from talkloom.llm import near_copies
+
+    rng = random.Random(12)
+    words = [f"w{k}" for k in range(400)]
+    footer = " ".join(rng.choice(words) for _ in range(25))
+    texts = []
+    for _ in range(25):
+        base = [rng.choice(words) for _ in range(rng.randrange(20, 300))]
+        for _ in range(rng.randrange(1, 6)):
+            copy = list(base)
+            for _ in range(rng.randrange(0, 1 + len(base) // 30)):
+                copy[rng.randrange(len(copy))] = "edit"
+            texts.append(" ".join(copy) + (" " + footer if rng.random() < 0.3 else ""))
+    texts += ["", None, "   ", "one", "ONE", "one two", "a b c d e", "A b  c\td e", "a b c d e f", "é É", "word " * 3000]
+    ids = rng.sample(range(1000), len(texts))
+    rows = [(i, t, None) for i, t in zip(ids, texts)] + [(None, texts[0], None), (None, "lonely text that none else has", None), (ids[3], texts[3], None)]
+
+    def shingles(t):
+        w = (t or "").encode().lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [shingles(t) for _, t, _ in rows]
+    alike = lambda a, b: len(a & b) >= 0.8 * len(a | b) - 1e-9
+    linked = [(a, b) for a in range(len(rows)) for b in range(a) if alike(sets[a], sets[b])]
+    far = sum((plain_fingerprint(rows[a][1]) ^ plain_fingerprint(rows[b][1])).bit_count() > 3 for a, b in linked)
+    assert far > 10  # pairs that op4's fingerprints don't link
+    root = least_reachable(range(len(rows)), linked)
+    least = {}
+    for k, (i, _, _) in enumerate(rows):
+        if i is not None:
+            least[root[k]] = min(least.get(root[k], i), i)
+    expected = sorted((-1 if i is None else i, least.get(root[k], -1)) for k, (i, _, _) in enumerate(rows))
+    got = near_copies.near_duplicates(documents(rows).repartition(3)).collect()
+    assert sorted((-1 if r[0] is None else r[0], -1 if r[1] is None else r[1]) for r in got) == expected
+    assert near_copies.near_duplicates(documents([])).count() == 0
+
+
+def test_pipeline_stage_drops_near_copies(spark, documents):
+    import corpus_pipeline
+
+    rng = random.Random(13)
+    base = [f"w{rng.randrange(500)}" for _ in range(100)]
+    copy = base[:40] + ["x", "y"] + base[42:]
+    docs = documents([(1, " ".join(base), None), (2, " ".join(copy), None), (3, " ".join(reversed(base)), None)])
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [1, 3]
