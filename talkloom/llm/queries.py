@@ -55,10 +55,11 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word-piece lengths of every document under the 32,000-piece vocabulary."""
-    from talkloom.llm.token_counts import count_tokens, piece_sets
+    from talkloom.llm.token_counts import count_tokens, piece_sets, spelling
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return count_tokens(docs, *piece_sets(tokenizer_path("piece_bpe_32k.model"))).drop("text")
+    model = tokenizer_path("piece_bpe_32k.model")
+    return count_tokens(docs, *piece_sets(model), spelling=spelling(model)).drop("text")
 
 
 @query

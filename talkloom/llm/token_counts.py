@@ -6,9 +6,12 @@ and the number of pieces popped on the way, precomputed as in linear max-match t
 (Song et al., Fast WordPiece Tokenization). A word's length in pieces is then found in one pass
 over its characters, without building a piece.
 
-Words are maximal runs of characters other than space and U+0009-U+000D. A word that greedy
-longest match cannot finish counts as one unknown token. Defined results: a null or empty text
-has no words and no tokens; long words cost linear time; repeated rows are counted alike; an empty
+Words are maximal runs of characters other than space and U+0009-U+000D. A vocabulary that has the
+word-start mark as a piece of its own spells words no start piece fits: the mark counts as one token,
+and pieces that continue a word follow. A vocabulary with byte pieces spells characters that are in no
+single piece: each of their UTF-8 bytes is a token. Both are what Spelling tells; greedy longest match takes
+them last. A word that can't be finished even so counts
+as one unknown token. Defined results: a null or empty text has no words and no tokens; long words cost linear time; repeated rows are counted alike; an empty
 table gives no rows; columns named like a result are replaced.
 """
 
@@ -16,6 +19,7 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,7 +34,8 @@ _WIDTH = 21  # bits of a code point
 
 
 def piece_sets(model_path: str) -> tuple[list[str], list[str]]:
-    """Pieces that start a word and pieces that continue one, from a sentencepiece vocabulary."""
+    """Pieces that start a word and pieces that continue one, from a sentencepiece vocabulary; without
+    the mark alone and the byte pieces, which spelling() tells."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=model_path)
@@ -38,10 +43,26 @@ def piece_sets(model_path: str) -> tuple[list[str], list[str]]:
     return [p[1:] for p in plain if p[0] == "▁" and len(p) > 1 and "▁" not in p[1:]], [p for p in plain if "▁" not in p]
 
 
+@dataclass(frozen=True)
+class Spelling:
+    """What a vocabulary has beside its plain pieces: the word-start mark alone, and all byte pieces."""
+
+    mark: bool = False
+    octets: bool = False
+
+
+def spelling(model_path: str) -> Spelling:
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=model_path)
+    known = range(sp.get_piece_size())
+    return Spelling(any(sp.id_to_piece(i) == "▁" for i in known), sum(sp.is_byte(i) for i in known) == 256)
+
+
 class Automaton:
     """go: child by (node, code point) in one dict; fail and pops: by node; -1: no failure link."""
 
-    def __init__(self, starts: Iterable[str], insides: Iterable[str]):
+    def __init__(self, starts: Iterable[str], insides: Iterable[str], spelling: Spelling = Spelling()):
         go: dict[int, int] = {}
         children: list[list[tuple[int, int]]] = [[], []]
         ends = [False, False]
@@ -60,6 +81,8 @@ class Automaton:
                 ends[at] = True
         ends[START] = ends[INSIDE] = False
         fail, pops = [-1] * len(ends), [0] * len(ends)
+        if spelling.mark:
+            fail[START], pops[START] = INSIDE, 1  # nothing read of the word yet: only its mark is popped
         queue = deque([START, INSIDE])
         while queue:
             at = queue.popleft()
@@ -68,13 +91,18 @@ class Automaton:
                     fail[child], pops[child] = INSIDE, 1
                 else:
                     z, n = fail[at], pops[at]
-                    while z != -1 and (z << _WIDTH | ch) not in go:
-                        n += pops[z]
-                        z = fail[z]
+                    if at == INSIDE:
+                        z = INSIDE if spelling.octets else -1  # go has ch there, but no piece ends with it
+                        nxt = None
+                    else:
+                        while z != -1 and (nxt := go.get(z << _WIDTH | ch)) is None and not (z == INSIDE and spelling.octets):
+                            n += pops[z]
+                            z = fail[z]
                     if z != -1:
-                        fail[child], pops[child] = go[z << _WIDTH | ch], n
+                        fail[child], pops[child] = (nxt, n) if nxt is not None else (INSIDE, n + len(chr(ch).encode()))
                 queue.append(child)
         self.go, self.fail, self.pops = go, fail, pops
+        self.octets = spelling.octets
 
     def count(self, word: str) -> int:
         """Pieces of greedy longest match, or 0 where it fails."""
@@ -84,6 +112,10 @@ class Automaton:
             code = ord(ch)
             while (nxt := go.get(at << _WIDTH | code)) is None:
                 n += pops[at]
+                if at == INSIDE and self.octets:
+                    n += len(ch.encode())
+                    nxt = INSIDE
+                    break
                 at = fail[at]
                 if at == -1:
                     return 0
@@ -96,14 +128,14 @@ class Automaton:
         return n
 
 
-def count_tokens(docs: DataFrame, starts: Iterable[str], insides: Iterable[str], text: str = "text") -> DataFrame:
+def count_tokens(docs: DataFrame, starts: Iterable[str], insides: Iterable[str], text: str = "text", spelling: Spelling = Spelling()) -> DataFrame:
     """Adds n_words, n_tokens and n_unknown (words that are one unknown token), all long.
 
     The automaton grows with the vocabulary only and is broadcast.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    shared = spark.sparkContext.broadcast(Automaton(starts, insides))
+    shared = spark.sparkContext.broadcast(Automaton(starts, insides, spelling))
     new = ["n_words", "n_tokens", "n_unknown"]
     plain = docs.select(*[c for c in docs.columns if c not in new])
     schema = T.StructType(plain.schema.fields + [T.StructField(n, T.LongType()) for n in new])

@@ -48,6 +48,33 @@ def test_token_counts_over_a_table(spark, documents):
     assert token_counts.count_tokens(documents([]), starts, insides).count() == 0
 
 
+def spelled(word, starts, insides):
+    """Longest match first; the mark alone where no start fits, bytes where no piece does."""
+    n, at = 0, next((k for k in range(len(word), 0, -1) if word[:k] in starts), 0)
+    n = 1
+    while at < len(word):
+        size = next((k for k in range(len(word) - at, 0, -1) if word[at : at + k] in insides), 0)
+        n, at = n + (1 if size else len(word[at].encode())), at + (size or 1)
+    return n
+
+
+@given(st.sets(st.text("abé", min_size=1, max_size=5), max_size=12), st.sets(st.text("abé", min_size=1, max_size=5), max_size=12), st.text("abé中", min_size=1, max_size=25))
+@settings(max_examples=500, deadline=None)
+def test_mark_and_bytes_spell_every_word(starts, insides, word):
+    both = token_counts.Spelling(True, True)
+    assert token_counts.Automaton(starts, insides, both).count(word) == spelled(word, starts, insides)
+
+
+def test_token_counts_leave_no_spellable_word_unknown(spark, documents):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    starts, insides = token_counts.piece_sets(path)
+    assert token_counts.spelling(path) == token_counts.Spelling(True, True)
+    rows = [(1, "ñandú ça êtes", "es"), (2, "没有空格的中文", "zh"), (3, "😀😀 \x00\x01", None), (4, None, None)]
+    for r in token_counts.count_tokens(documents(rows), starts, insides, spelling=token_counts.spelling(path)).collect():
+        each = [spelled(w.decode(), set(starts), set(insides)) for w in (r["text"] or "").encode().split()]
+        assert (r["n_tokens"], r["n_unknown"]) == (sum(each), 0)
+
+
 # -- byte-level BPE
 
 
