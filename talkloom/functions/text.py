@@ -55,8 +55,8 @@ def expand_query(query: Column, prediction: Column, risk: Column) -> Column:
     return F.concat_ws(" ", query, not_empty(prediction), not_empty(risk))
 
 
-def memory_document(topic: Column, content: Column, keywords: Column, prediction: Column, risk: Column) -> Column:
-    """The text under which a memory is found. Empathy, action and times are not part of it."""
+def record_document(topic: Column, content: Column, keywords: Column, prediction: Column, risk: Column) -> Column:
+    """The text under which a record is found. Empathy, action and times are not part of it."""
     main = F.concat_ws(" ", text_or_empty(topic), text_or_empty(content), F.array_join(F.coalesce(keywords, F.array().cast("array<string>")), " "))
     return expand_query(main, prediction, risk)
 

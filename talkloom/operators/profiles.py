@@ -1,4 +1,4 @@
-"""Contracts of model responses, and profiles that are updated from memories."""
+"""Contracts of model responses, and profiles that are updated from records."""
 
 from __future__ import annotations
 
@@ -37,17 +37,17 @@ def flag(response: Column, name: str, field: str) -> Column:
     return F.coalesce(contract(response, name)[field], F.lit(FLAG_DEFAULTS[field]))
 
 
-def update_profiles(profiles: DataFrame, memories: DataFrame, judge: Callable[[Column], Column], last_seen: Column | None = None) -> DataFrame:
-    """id and the four layers after an update from all of a profile's memories, in their order.
+def update_profiles(profiles: DataFrame, records: DataFrame, judge: Callable[[Column], Column], last_seen: Column | None = None) -> DataFrame:
+    """id and the four layers after an update from all of a profile's records, in their order.
 
-    profiles: id, document (JSON text). memories: id, seq and any other columns. judge gets the
-    memories as an array of structs and returns the new document as JSON text, of which only the layers it has
-    replace the old ones; null leaves the profile as it is, as do no memories. last_seen, a
+    profiles: id, document (JSON text). records: id, seq and any other columns. judge gets the
+    records as an array of structs and returns the new document as JSON text, of which only the layers it has
+    replace the old ones; null leaves the profile as it is, as do no records. last_seen, a
     boolean column of profiles, restricts the update to profiles that are due.
     """
-    others = [c for c in memories.columns if c not in ("id", "seq")]
-    lists = memories.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("seq", *others))).alias("_memories"))
-    new = F.when(F.col("_memories").isNotNull() & (F.lit(True) if last_seen is None else F.coalesce(last_seen, F.lit(False))), judge(F.col("_memories")))
+    others = [c for c in records.columns if c not in ("id", "seq")]
+    lists = records.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("seq", *others))).alias("_records"))
+    new = F.when(F.col("_records").isNotNull() & (F.lit(True) if last_seen is None else F.coalesce(last_seen, F.lit(False))), judge(F.col("_records")))
     joined = profiles.join(lists, "id", "left").withColumn("_new", F.coalesce(new, F.lit("{}")))
     return joined.select("id", *layer_merge(F.col("document"), F.col("_new")))
 

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from talkloom.functions import text as X
 
-#: Words and phrases that announce another topic.
-MARKERS = ("之前", "刚才", "对了", "哦对了", "另外", "换个话题", "说到这个", "插个问题")
+#: Phrases that announce another topic, unless the caller has others.
+MARKERS = ("by the way", "on another note", "changing the subject", "something else", "顺便问一下", "聊点别的")
 
 
 class Provider(Protocol):
@@ -29,15 +29,15 @@ class Offline:
     """relatedness: below it a round is another topic than the one before; short: a user's text of
     fewer characters is noise when the topic changes."""
 
-    def __init__(self, relatedness: float = 0.3, short: int = 60):
-        self.relatedness, self.short = relatedness, short
+    def __init__(self, relatedness: float = 0.3, short: int = 60, markers: tuple[str, ...] = MARKERS):
+        self.relatedness, self.short, self.markers = relatedness, short, markers
 
     def flags(self, rounds: DataFrame) -> DataFrame:
         order = Window.partitionBy("conv_id").orderBy("round_no")
         terms = rounds.withColumn("_t", F.array_distinct(X.words(F.concat_ws(" ", "user_text", "agent_text")))).withColumn("_p", F.lag("_t").over(order))
         common = F.size(F.array_intersect("_t", "_p")) / F.greatest(F.least(F.size("_t"), F.size("_p")), F.lit(1))
         marked = F.lit(False)
-        for m in MARKERS:
+        for m in self.markers:
             marked = marked | F.contains(X.text_or_empty(F.col("user_text")), F.lit(m))
         changed = F.col("_p").isNotNull() & (marked | (common < self.relatedness))
         return terms.withColumns({"topic_changed": changed, "is_noise": F.length(X.text_or_empty(F.col("user_text"))) < self.short}).drop("_t", "_p")

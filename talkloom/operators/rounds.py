@@ -1,4 +1,4 @@
-"""Dialogue rounds, topic segmentation and the memory records of topics.
+"""Dialogue rounds, topic segmentation and the topic records of topics.
 
 All state is keyed by conversation. The model's judgements (has the topic changed, is this noise,
 what does it suggest) are columns, which a provider fills; here they only have to be there.
@@ -66,8 +66,8 @@ def accumulate(segmented: DataFrame, own_topic: bool = False) -> DataFrame:
     return segmented.groupBy("conv_id", F.col(topic).alias("topic_no")).agg(*lists)
 
 
-def build_memories(segmented: DataFrame, own_topic: bool = False, emit_open: bool = True) -> DataFrame:
-    """A memory record for each topic: conv_id, topic_no, is_open, n_rounds, topic, content, analyses.
+def build_records(segmented: DataFrame, own_topic: bool = False, emit_open: bool = True) -> DataFrame:
+    """A topic record for each topic: conv_id, topic_no, is_open, n_rounds, topic, content, analyses.
 
     Topic and content are the fallbacks that need no model. The last topic of a conversation is
     still open; without emit_open it makes no record.

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from talkloom.functions import text as X
 from talkloom.operators import events as E
 from talkloom.operators import retrieve, rounds, stream_text, trust
-from talkloom.operators.providers import contract_violations, provider
+from talkloom.operators.providers import MARKERS, contract_violations, provider
 from talkloom.sources import stores
 
 QUERIES: dict = {}
@@ -60,7 +60,7 @@ said AS (
   FROM said WHERE role = 'user' AND reply_role = 'assistant'
 )"""
 _WORDS = "list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
-_MARKED = " OR ".join(f"contains(coalesce(user_text, ''), '{m}')" for m in ("之前", "刚才", "对了", "哦对了", "另外", "换个话题", "说到这个", "插个问题"))
+_MARKED = " OR ".join(f"contains(coalesce(user_text, ''), '{m}')" for m in MARKERS)
 _SEGMENTED = f"""{_ROUNDS}, termed AS (
   SELECT *, list_distinct({_WORDS.format("concat_ws(' ', user_text, agent_text)")}) AS t FROM rounds
 ), lagged AS (SELECT *, lag(t) OVER (PARTITION BY conv_id ORDER BY round_no) AS p FROM termed
@@ -102,7 +102,7 @@ def topic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(spark, sf_dir).select("conv_id", "round_no", "boundary", "dropped", "topic_no", "analysis_topic")
 
 
-_MEMORIES = f"""WITH {_SEGMENTED}, topics AS (
+_RECORDS = f"""WITH {_SEGMENTED}, topics AS (
   SELECT conv_id, topic_no, list(round_dialog ORDER BY round_no) AS rs FROM segmented WHERE NOT dropped GROUP BY ALL
 ), acc AS ({{acc}})
 SELECT t.conv_id, t.topic_no, t.topic_no = max(t.topic_no) OVER (PARTITION BY t.conv_id) AS is_open, CAST(len(rs) AS INTEGER) AS n_rounds,
@@ -111,9 +111,9 @@ SELECT t.conv_id, t.topic_no, t.topic_no = max(t.topic_no) OVER (PARTITION BY t.
 FROM topics t LEFT JOIN acc a USING (conv_id, topic_no)"""
 
 
-@query(_MEMORIES.replace("{acc}", _accumulated_sql("analysis_topic")))
-def topic_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounds.build_memories(_judged(spark, sf_dir))
+@query(_RECORDS.replace("{acc}", _accumulated_sql("analysis_topic")))
+def topic_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounds.build_records(_judged(spark, sf_dir))
 
 
 @query(_accumulated_sql("analysis_topic"))
@@ -132,10 +132,10 @@ def noise_dropped_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""SELECT conv_id, topic_no, '当前话题：' || topic || chr(10) || '对话轮次：' || n_rounds AS status
-FROM ({_MEMORIES.replace("{acc}", _accumulated_sql("analysis_topic"))}) WHERE is_open""")
+FROM ({_RECORDS.replace("{acc}", _accumulated_sql("analysis_topic"))}) WHERE is_open""")
 def buffer_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The open topic of each conversation, as it is shown."""
-    m = rounds.build_memories(_judged(spark, sf_dir)).where("is_open")
+    m = rounds.build_records(_judged(spark, sf_dir)).where("is_open")
     return m.select("conv_id", "topic_no", X.buffer_status(F.col("topic"), F.col("n_rounds")).alias("status"))
 
 
@@ -144,13 +144,13 @@ def _last_said(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("SELECT conv_id, arg_max(role, turn) AS role, arg_max(text, turn) AS text, max(turn) AS seq FROM conversations GROUP BY 1")
-def latest_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
+def latest_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last record of each conversation, by its order and not by a time."""
     return stores.latest(_last_said(spark, sf_dir), "conv_id").select("conv_id", "role", "text", "seq")
 
 
 @query("SELECT event_id, replace(substring(strftime(ts, '%Y-%m-%dT%H:%M:%S'), 1, 16), 'T', ' ') AS shown FROM events ORDER BY event_id DESC")
-def memory_listing_newest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+def record_listing_newest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = stores.newest_first(_table(spark, sf_dir, "events"), "event_id")
     return e.select("event_id", X.short_time(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")).alias("shown"))
 
@@ -258,11 +258,11 @@ def expanded_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT conv_id, topic_no, concat_ws(' ', topic, content, '', nullif(user_prediction, ''), nullif(user_risk, '')) AS document
-FROM (""" + _MEMORIES.replace("{acc}", _accumulated_sql("analysis_topic")) + ")")
-def memory_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The text under which each memory is found."""
-    m = rounds.build_memories(_judged(spark, sf_dir))
-    doc = X.memory_document(F.col("topic"), F.col("content"), F.array().cast("array<string>"), F.col("user_prediction"), F.col("user_risk"))
+FROM (""" + _RECORDS.replace("{acc}", _accumulated_sql("analysis_topic")) + ")")
+def record_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text under which each record is found."""
+    m = rounds.build_records(_judged(spark, sf_dir))
+    doc = X.record_document(F.col("topic"), F.col("content"), F.array().cast("array<string>"), F.col("user_prediction"), F.col("user_risk"))
     return m.select("conv_id", "topic_no", doc.alias("document"))
 
 
@@ -425,12 +425,12 @@ def judgement_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""SELECT conv_id AS id, 'm0' AS "Meta_Layer", 'c0' AS "Cognitive_Layer", CAST(count(*) AS VARCHAR) AS "Behavior_Layer", arg_max(topic, topic_no) AS "Concrete_Layer"
-FROM ({_MEMORIES.replace("{acc}", _accumulated_sql("analysis_topic"))}) GROUP BY 1""")
+FROM ({_RECORDS.replace("{acc}", _accumulated_sql("analysis_topic"))}) GROUP BY 1""")
 def profile_update(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Profiles of conversations, updated from their memories: here by their number and the last topic."""
+    """Profiles of conversations, updated from their records: here by their number and the last topic."""
     from talkloom.operators.profiles import update_profiles
 
-    m = rounds.build_memories(_judged(spark, sf_dir)).select(F.col("conv_id").alias("id"), F.col("topic_no").alias("seq"), "topic")
+    m = rounds.build_records(_judged(spark, sf_dir)).select(F.col("conv_id").alias("id"), F.col("topic_no").alias("seq"), "topic")
     profiles = m.select("id").distinct().withColumn("document", F.lit(_layers_old()))
     judge = lambda ms: F.to_json(F.struct(F.size(ms).cast("string").alias("Behavior_Layer"), F.element_at(ms, -1)["topic"].alias("Concrete_Layer")))
     return update_profiles(profiles, m, judge)

@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from talkloom.operators.rounds import ANALYSES
 from talkloom.operators.stream_text import Segmenter
 
-MEMORY_SCHEMA = "conv_id long, topic_no int, n_rounds int, topic string, content string, " + ", ".join(f"{a} string" for a in ANALYSES)
+RECORD_SCHEMA = "conv_id long, topic_no int, n_rounds int, topic string, content string, " + ", ".join(f"{a} string" for a in ANALYSES)
 
 
 class _Topics(StatefulProcessor):
@@ -51,9 +51,9 @@ class _Topics(StatefulProcessor):
 
 
 def closed_topics(rounds: DataFrame) -> DataFrame:
-    """Memory records of topics as they close, from a stream of judged rounds (conv_id, round_no,
+    """topic records of topics as they close, from a stream of judged rounds (conv_id, round_no,
     round_dialog, topic_changed, is_noise and the four analyses)."""
-    return rounds.groupBy("conv_id").transformWithStateInPandas(_Topics(), MEMORY_SCHEMA, "Append", "None")
+    return rounds.groupBy("conv_id").transformWithStateInPandas(_Topics(), RECORD_SCHEMA, "Append", "None")
 
 
 class _Trust(StatefulProcessor):

@@ -37,7 +37,7 @@ def random_rounds(seed, n=40):
 COLUMNS = "conv_id long, round_no int, round_dialog string, topic_changed boolean, is_noise boolean, user_prediction string, user_risk string, agent_empathy string, agent_action string"
 
 
-def expected_memories(rows, emit_open=True):
+def expected_records(rows, emit_open=True):
     out = {}
     for conv in {r[0] for r in rows}:
         topics = machine([(r[3], r[4], r[2], r[5]) for r in sorted(r for r in rows if r[0] == conv)] if True else [])
@@ -51,8 +51,8 @@ def test_segmentation_equals_the_state_machine(spark, emit_open):
     rows = random_rounds(1)
     rows = [(*r[:3], bool(r[3]), bool(r[4]), *r[5:]) for r in rows] if emit_open else rows
     seg = rounds.segment(spark.createDataFrame(rows, COLUMNS), F.col("topic_changed"), F.col("is_noise"))
-    got = {(r["conv_id"], r["topic_no"]): (r["n_rounds"], r["topic"], r["content"], r["user_prediction"]) for r in rounds.build_memories(seg, emit_open=emit_open).collect()}
-    assert got == expected_memories(rows, emit_open)
+    got = {(r["conv_id"], r["topic_no"]): (r["n_rounds"], r["topic"], r["content"], r["user_prediction"]) for r in rounds.build_records(seg, emit_open=emit_open).collect()}
+    assert got == expected_records(rows, emit_open)
 
 
 def test_own_topic_attribution(spark):
@@ -139,7 +139,7 @@ def test_streaming_topics_equal_batch(spark, tmp_path):
     rows = random_rounds(5, 12)
     got = stream(spark, tmp_path, spark.createDataFrame(rows, COLUMNS), ["round_no", "conv_id"], stateful.closed_topics, "topics").collect()
     told = {(r["conv_id"], r["topic_no"]): (r["n_rounds"], r["topic"], r["content"], r["user_prediction"]) for r in got}
-    assert len(told) == len(got) and told == expected_memories(rows, emit_open=False)
+    assert len(told) == len(got) and told == expected_records(rows, emit_open=False)
 
 
 def test_streaming_trust_equals_batch(spark, tmp_path):

@@ -20,11 +20,11 @@ def test_contracts(spark):
 
 def test_profile_updates(spark):
     old = spark.createDataFrame([(1, '{"Meta_Layer":"m","Concrete_Layer":"c"}', True), (2, '{"Meta_Layer":"n"}', True), (3, '{"Meta_Layer":"o"}', False)], "id long, document string, due boolean")
-    memories = spark.createDataFrame([(1, 2, "later"), (1, 1, "first"), (3, 1, "x")], "id long, seq int, topic string")
+    records = spark.createDataFrame([(1, 2, "later"), (1, 1, "first"), (3, 1, "x")], "id long, seq int, topic string")
     judge = lambda ms: F.to_json(F.struct(F.element_at(ms, -1)["topic"].alias("Concrete_Layer")))
     of = lambda df: {r["id"]: (r["Meta_Layer"], r["Concrete_Layer"]) for r in df.collect()}
-    assert of(profiles.update_profiles(old, memories, judge)) == {1: ("m", "later"), 2: ("n", None), 3: ("o", "x")}
-    assert of(profiles.update_profiles(old, memories, judge, F.col("due"))) == {1: ("m", "later"), 2: ("n", None), 3: ("o", None)}
+    assert of(profiles.update_profiles(old, records, judge)) == {1: ("m", "later"), 2: ("n", None), 3: ("o", "x")}
+    assert of(profiles.update_profiles(old, records, judge, F.col("due"))) == {1: ("m", "later"), 2: ("n", None), 3: ("o", None)}
 
 
 def test_activation(spark):

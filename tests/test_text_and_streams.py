@@ -28,7 +28,7 @@ def test_rounds_and_fallbacks(spark):
         content=X.last_rounds(F.array(*map(F.lit, "abcd"))),
         short=X.last_rounds(F.array(F.lit("a"))),
         query=X.expand_query(F.lit("q"), F.lit(""), F.lit("r")),
-        document=X.memory_document(F.lit("t"), F.lit("c"), F.array(F.lit("k1"), F.lit("k2")), F.lit("p"), F.lit("")),
+        document=X.record_document(F.lit("t"), F.lit("c"), F.array(F.lit("k1"), F.lit("k2")), F.lit("p"), F.lit("")),
         keywords=X.clean_keywords(F.array(*map(F.lit, [" a", "b ", "", "a"]))),
         joined=X.ordered_distinct(F.array(*map(F.lit, ["b", "", "a", "b"]))),
     )
@@ -101,7 +101,7 @@ def test_release_in_order(spark):
     assert [(r["segment_id"], r["released_after"]) for r in stream_text.release_in_order(done).orderBy("segment_id").collect()] == [(1, 7), (2, 7), (4, 9)]
 
 
-def test_memory_store(spark, tmp_path):
+def test_record_store(spark, tmp_path):
     path = str(tmp_path / "store")
     assert stores.read_jsonl(spark, path).count() == 0 and stores.clear(spark, path)
     full = {"topic": "t", "content": "c", "keywords": ["k", "k"], "create_time": "2026-01-02T00:00:00", "update_time": "", "user_prediction": "p", "user_risk": "", "agent_empathy": "", "agent_action": "é"}
@@ -113,12 +113,32 @@ def test_memory_store(spark, tmp_path):
     assert [r["line"] for r in stores.bad_lines(spark, path).orderBy("seq").collect()] == ["{broken", "123"]
     assert stores.latest(stores.read_jsonl(spark, path)).first()["topic"] == "last"
     assert [r["topic"] for r in stores.newest_first(stores.read_jsonl(spark, path)).collect()] == ["last", "", "t"]
+    assert [r["topic"] for r in stores.read_jsonl(spark, str(tmp_path / "store" / "part-0.txt")).orderBy("seq").collect()] == ["t", "", "last"]
     copy = str(tmp_path / "copy")
-    stores.append_jsonl(stores.read_jsonl(spark, path), copy, [f.name for f in stores.MEMORY.fields])
+    stores.append_jsonl(stores.read_jsonl(spark, path), copy, [f.name for f in stores.RECORD.fields])
     assert sorted(r["topic"] for r in stores.read_jsonl(spark, copy).collect()) == ["", "last", "t"]
     assert stores.clear(spark, copy) and stores.read_jsonl(spark, copy).count() == 0
 
 
+def test_store_keeps_the_order_of_appends(spark, tmp_path):
+    path, told = str(tmp_path / "log"), []
+    for k in range(4):
+        rows = [(f"u{k}", 1, 10 * k + i) for i in range(5)]
+        told += [r[2] for r in rows]
+        stores.append_jsonl(spark.createDataFrame(rows[::-1], stores.TRUST).repartition(3), path, order=["trust_score"])
+        assert stores.last_trust(spark, path) == told[-1]
+        log = stores.read_jsonl(spark, path, stores.TRUST)
+        assert stores.latest(log).first()["trust_score"] == told[-1]
+        assert [r["trust_score"] for r in stores.newest_first(log).collect()] == told[::-1]
+    of_each = {r["user_input"]: r["trust_score"] for r in stores.latest(log, "user_input").collect()}
+    assert of_each == {f"u{k}": 10 * k + 4 for k in range(4)}
+    (tmp_path / "log" / "batch-5").mkdir()
+    (tmp_path / "log" / "batch-5" / "part-00000.txt").write_text("broken\n")
+    assert stores.last_trust(spark, path) == 0 and stores.bad_lines(spark, path).count() == 1
+    stores.append_jsonl(log.limit(1), path, ["trust_score"])
+    assert stores.read_jsonl(spark, path, stores.TRUST).count() == 21
+
+
 @pytest.mark.parametrize("lines, score", [([], 0), (['{"user_input": "a", "change": 1, "trust_score": 31}'], 31), (['{"trust_score": 31}', "broken"], 0)])
 def test_trust_log(spark, tmp_path, lines, score):
     (tmp_path / "log.jsonl").write_text("\n".join(lines) + "\n")
@@ -132,11 +152,15 @@ def test_documents_and_profiles(spark, tmp_path):
     assert stores.read_json_document(spark, str(tmp_path / "d.json")).count() == 1
     assert stores.read_json_document(spark, str(tmp_path / "bad.json")).count() == 0
     assert stores.read_json_document(spark, str(tmp_path / "none.json")).count() == 0
-    stores.save_profile(spark.createDataFrame([(1, "default")], "id int, p string"), str(tmp_path / "default"))
-    load = lambda: stores.load_profile(spark, str(tmp_path / "own"), str(tmp_path / "default")).first()["p"]
-    assert load() == "default"
-    stores.save_profile(spark.createDataFrame([(1, "own")], "id int, p string"), str(tmp_path / "own"))
-    assert load() == "own"
+    default = spark.createDataFrame([(1, "default"), (2, "default")], "id int, p string")
+    own, load = str(tmp_path / "own"), lambda **k: {r["id"]: r["p"] for r in stores.load_profile(spark, str(tmp_path / "own"), default, **k).collect()}
+    assert load(save=False) == {1: "default", 2: "default"} and not stores._exists(spark, own)
+    stores.save_profile(spark.createDataFrame([(1, "own"), (3, "own")], "id int, p string"), own)
+    assert load() == load(save=False) == {1: "own", 2: "default", 3: "own"}
+    for k in range(3):  # load, update, save to the same place
+        stores.save_profile(stores.load_profile(spark, own, default).withColumn("p", F.concat("p", F.lit(str(k)))), own)
+    assert load() == {1: "own012", 2: "default012", 3: "own012"}
+    assert stores.load_profile(spark, own, default.limit(0)).count() == 3 and stores.load_profile(spark, str(tmp_path / "fresh"), default).count() == 2
     old, new = '{"Meta_Layer":"m","Cognitive_Layer":{"x":1},"Behavior_Layer":"b"}', '{"Meta_Layer":null,"Behavior_Layer":"B","Zzz":1}'
     row = spark.range(1).select(*stores.layer_merge(F.lit(old), F.lit(new))).first()
     assert tuple(row) == (None, '{"x":1}', "B", None)
