@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Bytes and rows of one Arrow batch sent to Python: this bounds a worker's memory.
+#: Bytes and rows of one Arrow batch sent to Python: this bounds what a worker holds.
 BATCH_BYTES = 8 << 20
 BATCH_ROWS = 4096
 
@@ -25,18 +26,20 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
+    """The folder that spark.checkpoint.dir names. Where it is unset, a temporary one if all runs on
+    one machine (tests, benches); else an error, as executors would write to disks of their own."""
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not at:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="talkloom-")
-    if not sc.getCheckpointDir():
         sc.setCheckpointDir(at)
-    return at
+    return at.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/talkloom-{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/talkloom-{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
