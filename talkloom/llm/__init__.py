@@ -1,11 +1 @@
-"""Operators of a training-data pipeline. Nothing else in the library imports this package.
-
-Functions of this package that run on executors are shipped by value, so that executors
-need no copy of the package on their own import path.
-"""
-
-import sys
-
-from pyspark import cloudpickle
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+"""Operators of a training-data pipeline. Nothing else in the library imports this package."""

@@ -7,7 +7,7 @@ match of the split pattern is encoded by itself; a match that is a token as a wh
 Ids are ranks: the model's ids less one, as id 0 is the unknown piece that sentencepiece demands.
 
 Defined results: a null text counts as empty, has no ids and decodes to no bytes. Texts of any
-length are encoded whole; the caches of matches are bounded. Repeated rows are encoded alike, an
+length are encoded whole, also those without a space; the caches are bounded in bytes. Repeated rows are encoded alike, an
 empty table gives no rows. encode() keeps the input's other columns; a column that bears the name
 of a result column is replaced.
 """
@@ -28,6 +28,10 @@ from talkloom.llm.common import small_batches
 
 #: Matches, and chunks, whose ids are kept; beyond that a cache starts anew before the next batch.
 CACHE = 200_000
+#: Longer ones are encoded each time: a cache holds at most CACHE times this many characters.
+LONGEST_KEPT = 64
+#: The pattern for which texts may be cut at spaces before they are split (the one of the public rank files).
+CUT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -72,9 +76,9 @@ def serialise(ranks: dict[bytes, int]) -> bytes:
 class Codec:
     """Encodes and decodes on one worker. Ranks must be 0, 1, 2 and so on, with all single bytes.
 
-    A text is cut into chunks at places where the pattern can never match across: before a space
-    that follows another character than white space, or that ends a run of white space. Chunks
-    and matches recur, so their ids are kept, up to CACHE of each.
+    With CUT_PATTERN a text is cut into chunks at places where the pattern can never match across:
+    before a space that follows another character than white space. With another pattern it is
+    split as a whole. Chunks and matches recur, so the ids of short ones are kept, up to CACHE of each.
     """
 
     def __init__(self, model: bytes, pattern: str):
@@ -82,6 +86,7 @@ class Codec:
         import sentencepiece
 
         self.split = regex.compile(pattern).findall
+        self.may_cut = pattern == CUT_PATTERN
         self.runs = regex.compile(r"\s ?(?=\s)|\s$").search
         self.sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.to_chars = {b: c for b, c in enumerate(byte_chars())}
@@ -96,20 +101,20 @@ class Codec:
     def cut(self, text: str) -> list[str]:
         if not text:
             return []
-        if self.runs(text):  # white space of two characters or more: no cut may fall into it
+        if not self.may_cut or self.runs(text):  # white space of two characters or more: no cut may fall into it
             return self.split(text)
         first, *rest = text.split(" ")
         return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
 
-    def learn(self, chunks: set[str]) -> None:
-        """Fills the caches for these chunks; the model sees each unknown match once."""
+    def learn(self, chunks: set[str]) -> dict[str, tuple[tuple[int, ...], str, bytes]]:
+        """Fills the caches for these chunks; the model sees each unknown match once. Returns what is too long to be kept."""
         if len(self.chunks) > CACHE:
             self.chunks.clear()
         if len(self.matches) > CACHE:
             self.matches.clear()
         new = [c for c in chunks if c not in self.chunks]
-        found = [self.split(c) for c in new]
-        unknown = []
+        found = [self.split(c) for c in new] if self.may_cut else [[c] for c in new]  # else chunks are matches
+        unknown, once = [], {}
         for m in {m for x in found for m in x if m not in self.matches}:
             ids = self.whole.get(m.encode())
             if ids is None:
@@ -118,18 +123,20 @@ class Codec:
                 self.matches[m] = ids
         mapped = [m.encode().decode("latin-1").translate(self.to_chars) for m in unknown]
         for m, ids in zip(unknown, self.sp.encode(mapped, num_threads=1) if mapped else []):
-            self.matches[m] = tuple(i - 1 for i in ids)
+            (self.matches if len(m) <= LONGEST_KEPT else once)[m] = tuple(i - 1 for i in ids)
+        long = {}
         for c, x in zip(new, found):
-            ids = tuple(chain.from_iterable(map(self.matches.__getitem__, x)))
-            self.chunks[c] = ids, ",".join(map(self.decimal.__getitem__, ids)), self.decode(ids)
+            ids = tuple(chain.from_iterable(self.matches[m] if m in self.matches else once[m] for m in x)) if once else tuple(chain.from_iterable(map(self.matches.__getitem__, x)))
+            (self.chunks if len(c) <= LONGEST_KEPT else long)[c] = ids, ",".join(map(self.decimal.__getitem__, ids)), self.decode(ids)
+        return long
 
     def encode(self, texts: list[str]) -> Iterator[tuple[list[tuple[int, ...]], str, bytes]]:
         """For each text: its ids by chunk, the ids in decimal, and the decoded bytes."""
         cuts = [self.cut(t) for t in texts]
-        self.learn(set(chain.from_iterable(cuts)))
+        long = self.learn(set(chain.from_iterable(cuts)))
         for chunks in cuts:
-            got = list(map(self.chunks.__getitem__, chunks))
-            yield [x[0] for x in got], ",".join([x[1] for x in got]), b"".join([x[2] for x in got])
+            got = [self.chunks[c] if c in self.chunks else long[c] for c in chunks] if long else list(map(self.chunks.__getitem__, chunks))
+            yield [x[0] for x in got], ",".join([x[1] for x in got if x[1]]), b"".join([x[2] for x in got])
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))

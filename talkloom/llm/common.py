@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +26,15 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
+def share(spark: SparkSession, value: object) -> Broadcast:
+    """Broadcasts a value with its classes by value: plain broadcasts name classes, which executors would have to import."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def received(shared: Broadcast) -> object:
+    return cloudpickle.loads(shared.value)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names. Where it is unset, a temporary one if all runs on
     one machine (tests, benches); else an error, as executors would write to disks of their own."""

@@ -6,13 +6,14 @@ are means of table entries over its positions. Weights are trained with follow-t
 leader (per-coordinate, proximal) with elastic-net penalties; a temperature fitted on a part of
 the sample that training leaves out calibrates the probabilities.
 
-The classifier is fitted on the driver on a bounded sample of labelled rows: at most PER_LANGUAGE
-texts of each of at most MAX_LANGUAGES languages, of MAX_CHARS characters at most, chosen by a hash
-of the row. Prediction reads every text whole.
+The classifier is fitted on the driver on a bounded sample of labelled rows: of every language that
+occurs, PER_LANGUAGE distinct texts (all, where it has fewer), chosen by a hash of the text, so that
+copies count once. With more than MANY_LANGUAGES languages each has a smaller share, LEAST_SHARE
+at least. Of a longer text the fit sees the first MAX_CHARS characters. Prediction reads every text whole.
 
 Defined results: "und" with score 0 where the text is null or has no letter, and everywhere if
-no labelled row exists. Ties go to the language first in order. Repeated rows are judged alike; an empty table
-gives no rows; columns named like a result are replaced.
+no labelled row exists. Ties go to the language first in order. Repeated rows are judged alike; texts of
+any length are read in pieces; an empty table gives no rows; columns named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -22,15 +23,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from talkloom.llm.common import small_batches
+from talkloom.llm.common import received, share, small_batches
 
 BITS = 16
 ORDERS = (1, 2, 3)
-PER_LANGUAGE, MAX_LANGUAGES, MAX_CHARS = 500, 64, 10_000
+PER_LANGUAGE, MANY_LANGUAGES, LEAST_SHARE, MAX_CHARS = 500, 64, 20, 10_000
 UNKNOWN = "und"
 #: Characters whose n-grams are looked up at once.
 _BLOCK = 1 << 18
@@ -130,19 +131,21 @@ def fit(rows: list[tuple[str, str]], epochs: int = 3, alpha: float = 0.5, beta:
 
 
 def sample(docs: DataFrame, learn: Column, text: str, lang: str) -> list[tuple[str, str]]:
-    """The bounded training sample: by language, rows whose hash is below the language's share."""
-    rows = docs.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull()).where(F.length(text) <= MAX_CHARS)
-    counts = rows.groupBy(F.col(lang).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    """The bounded training sample, of every language, in an order that doesn't depend on the language."""
+    rows = docs.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    # by a hash of the text: copies have one mark
+    marked = rows.select("lang", "text", F.pmod(F.xxhash64("text"), F.lit(1 << 30)).alias("mark")).where(F.regexp_like("text", F.lit(r"\p{L}")))
+    counts = {r["lang"]: r["n"] for r in marked.groupBy("lang").agg(F.approx_count_distinct("mark").alias("n")).collect()}
     if not counts:
         return []
-    mark = F.pmod(F.xxhash64(F.col(text)), F.lit(1 << 30))
-    chosen = F.lit(False)
-    for r in counts:
-        chosen = chosen | ((F.col(lang) == r["lang"]) & (mark < int((1 << 30) * min(1.0, PER_LANGUAGE / r["count"]))))
-    # exact copies have one hash: count each text once, and keep the bound by the hash's order
-    got = rows.where(chosen).groupBy(F.col(lang).alias("lang"), F.col(text).alias("text")).agg(F.min(mark).alias("mark"))
-    got = got.orderBy(F.xxhash64("mark", "lang"), "lang", "text").limit(2 * PER_LANGUAGE * len(counts))
-    return [(r["text"], r["lang"]) for r in got.select("text", "lang").collect()]
+    most = max(LEAST_SHARE, min(PER_LANGUAGE, PER_LANGUAGE * MANY_LANGUAGES // len(counts)))
+    share = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, int((1 << 30) * min(1.0, 2 * most / max(1, n))))])
+    # about twice as many as are taken, so that the window below sees a bounded number of each language
+    some = marked.where(F.col("mark") < F.element_at(share, F.col("lang"))).select("lang", "mark", F.substring("text", 1, MAX_CHARS).alias("text"))
+    some = some.groupBy("lang", "mark").agg(F.min("text").alias("text"))
+    chosen = some.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("mark"))).where(F.col("place") <= most)
+    got = chosen.select("text", "lang", F.xxhash64("mark", "lang").alias("h")).collect()
+    return [(r["text"], r["lang"]) for r in sorted(got, key=lambda r: (r["h"], r["lang"]))]
 
 
 def train(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang") -> Model:
@@ -153,13 +156,13 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Adds lang_pred and score (the calibrated probability of lang_pred)."""
     spark = docs.sparkSession
     small_batches(spark)
-    shared = spark.sparkContext.broadcast(model)  # 2**BITS rows by at most MAX_LANGUAGES: 16 MB at most
+    shared = share(spark, model)  # 2**BITS floats a language: 256 KB for each
     new = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
     plain = docs.select(*[c for c in docs.columns if c not in ("lang_pred", "score")])
     schema = T.StructType(plain.schema.fields + new)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = received(shared)
         for batch in batches:
             got = [m.predict(s.as_py()) for s in batch.column(batch.schema.get_field_index(text))]
             cols = [pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())]

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from talkloom.llm.common import small_batches
+from talkloom.llm.common import received, share, small_batches
 
 #: Words whose counts are kept; beyond that the cache starts anew.
 CACHE = 200_000
@@ -135,13 +135,13 @@ def count_tokens(docs: DataFrame, starts: Iterable[str], insides: Iterable[str],
     """
     spark = docs.sparkSession
     small_batches(spark)
-    shared = spark.sparkContext.broadcast(Automaton(starts, insides, spelling))
+    shared = share(spark, Automaton(starts, insides, spelling))
     new = ["n_words", "n_tokens", "n_unknown"]
     plain = docs.select(*[c for c in docs.columns if c not in new])
     schema = T.StructType(plain.schema.fields + [T.StructField(n, T.LongType()) for n in new])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = shared.value
+        automaton = received(shared)
 
         class Counts(dict):
             def __missing__(self, word: bytes) -> int:

@@ -203,12 +203,13 @@ def test_embedding_links_match_brute_force(spark):
         centre = rng.normal(size=dim)
         for _ in range(int(rng.integers(1, 12))):
             rows.append(((centre + rng.normal(size=dim) * 0.12).astype(np.float32).tolist(), int(rng.integers(0, 3))))
+    rows += [((centre[:8] + rng.normal(size=8) * 0.05).tolist(), int(k % 2)) for k in range(12)] + [([1.0, 0.0], 1), ([1.0, -0.0], 1), ([2.0, 0.0], 1), ([1.0, 0.5], 1), ([5.0], 0)]
     rows += [(rows[0][0], rows[0][1])] * 30 + [(rows[1][0], None), (None, 1), ([0.0] * dim, 1), ([math.nan] + [1.0] * (dim - 1), 1), ([None] + [1.0] * (dim - 1), 1), ([math.inf] * dim, 1), ([1.0] * 3, 1), ([], 1)]
     ids = rng.permutation(len(rows)).tolist()
     table = spark.createDataFrame([(i, v, lab, "x") for i, (v, lab) in zip(ids, rows)], "vec_id long, embedding array<float>, label int, n_links string")
-    ok = [v is not None and len(v) == dim and lab is not None and all(x is not None and math.isfinite(x) for x in v) and any(v) for v, lab in rows]
+    ok = [v is not None and len(v) > 0 and lab is not None and all(x is not None and math.isfinite(x) for x in v) and any(v) for v, lab in rows]
     unit = [np.array(v, np.float64) / np.linalg.norm(np.array(v, np.float64)) if good else None for (v, _), good in zip(rows, ok)]
-    linked = [(a, b) for a in range(len(rows)) for b in range(a) if ok[a] and ok[b] and rows[a][1] == rows[b][1] and unit[a] @ unit[b] >= 0.93]
+    linked = [(a, b) for a in range(len(rows)) for b in range(a) if ok[a] and ok[b] and len(unit[a]) == len(unit[b]) and rows[a][1] == rows[b][1] and unit[a] @ unit[b] >= 0.93]
     degree = Counter(x for e in linked for x in e)
     root = least_reachable(ids, [(ids[a], ids[b]) for a, b in linked])
     expected = sorted((i, degree[k], root[i], root[i] == i) for k, i in enumerate(ids))
@@ -217,6 +218,26 @@ def test_embedding_links_match_brute_force(spark):
     assert pq.near_duplicates(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("rank, second", [(64, False), (6, False), (64, True)])
+def test_recall_with_many_cells(monkeypatch, rank, second):
+    """The share of links whose cells are searched, by brute force; vectors of low rank among them."""
+    rng = np.random.default_rng(rank)
+    base = rng.normal(size=(3000, rank)) @ rng.normal(size=(rank, 64))
+    near = base[:1500] + rng.normal(size=(1500, rank)) @ rng.normal(size=(rank, 64)) * 0.3
+    x = pq.unit(np.concatenate([base, near]))
+    if second:
+        monkeypatch.setattr(pq, "FIRST", 12)
+    index = pq.Index(x[rng.permutation(len(x))[:4000]], 240, 0.93)
+    assert len(index.first) * len(index.second) >= 240
+    home, _, error, search = index.encode(x)
+    assert all(h in s for h, s in zip(home, search))
+    i, j = np.nonzero(x @ x.T >= 0.93)
+    i, j = i[i < j], j[i < j]
+    found = sum(home[b] in search[a] or home[a] in search[b] for a, b in zip(i.tolist(), j.tolist()))
+    assert len(i) > 100 and found >= 0.97 * len(i)
+    assert np.mean([len(s) for s in search]) < 200  # and not by searching everything
+
+
 # -- the pipeline
 
 

@@ -111,6 +111,22 @@ def test_bpe_caches_start_anew(monkeypatch):
             assert [i for x in ids for i in x] == library.encode_ordinary(t) and raw == t.encode()
 
 
+def test_bpe_with_another_pattern_and_texts_without_spaces():
+    import tiktoken
+
+    ranks, library = tiktoken_encoder()
+    pattern = r"\S+ \S+|\s+|\S+"
+    other = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(6)
+    texts = ["a b c  d e", "x", "", "".join(rng.choice("没有空格的中文是一个") for _ in range(20000)), "z" * 3000, "a" * 70 + " " + "b" * 70]
+    for p, lib in ((pattern, other), (public_tokenizers.PATTERN, library)):
+        codec = bpe.Codec(bpe.serialise(ranks), p)
+        for (ids, said, raw), t in zip(codec.encode(texts), texts):
+            told = [i for x in ids for i in x]
+            assert told == lib.encode_ordinary(t) and raw == t.encode() and said == ",".join(map(str, told))
+        assert max(map(len, codec.chunks), default=0) <= bpe.LONGEST_KEPT and sum(map(len, codec.matches)) < 10000
+
+
 # -- URL filters
 
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -191,6 +207,70 @@ def test_language_model_is_sparse_and_calibrated():
     assert 0.1 <= model.temperature <= 10
 
 
+def test_every_language_is_learned(spark, documents):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(3)
+    many = {f"l{k:02d}": [chr(0x4E00 + 8 * k + j) * 2 for j in range(8)] for k in range(70)}
+    rows = [(i, " ".join(rng.choice(parts) for _ in range(40)), lang) for i, (lang, parts) in enumerate(list(many.items()) * 6)]
+    rows += [(5000 + i, ["zxq " * 30, "qxz " * 30][i % 2], "copied") for i in range(3000)]  # two texts only
+    rows += [(9000 + i, "jvw wvj " * 2000 + str(i), "long") for i in range(8)]  # none of them is short
+    docs = documents(rows)
+    model = langid.train(docs, F.lit(True))
+    assert set(model.languages) == {*many, "copied", "long"}
+    told = langid.predict(docs, model).where("lang = lang_pred").count()
+    assert told >= 0.97 * len(rows)
+    rows = langid.sample(documents(rows), F.lit(True), "text", "lang")
+    assert max(len(t) for t, _ in rows) <= langid.MAX_CHARS and sum(lang == "copied" for _, lang in rows) == 2
+
+
+def test_logits_and_training_step_by_hand():
+    """The trained table against a plain per-coordinate version of the same algorithm."""
+    rng = random.Random(4)
+    rows = [(invented(rng, lang, 8), lang) for lang in ["aa", "bb"] * 6]
+    alpha, beta, l1, l2, scale = 0.5, 1.0, 0.02, 0.02, 30.0
+    grams = []
+    for text, _ in rows:
+        counts = {}
+        for n in langid.ORDERS:
+            for h in langid.hashed(langid.codes_of(text), n).tolist():
+                counts[h] = counts.get(h, 0) + 1
+        total = sum(counts.values())
+        grams.append({h: c / total for h, c in counts.items()})
+    df = {}
+    for g in grams:
+        for h in g:
+            df[h] = df.get(h, 0) + 1
+    idf = lambda h: np.log((1 + len(rows)) / (1 + df.get(h, 0))) + 1
+    z, n = {}, {}
+
+    def weight(key, a1):
+        zi, ni = z.get(key, 0.0), n.get(key, 0.0)
+        return 0.0 if abs(zi) <= a1 else -(zi - np.sign(zi) * a1) / ((beta + ni**0.5) / alpha + l2)
+
+    for _ in range(3):
+        for g, (_, lang) in zip(grams, rows):
+            x = {h: share * idf(h) * scale for h, share in g.items()}
+            w = {(h, k): weight((h, k), l1) for h in x for k in (0, 1)}
+            b = [weight(("b", k), 0.0) for k in (0, 1)]
+            s = np.array([b[k] + sum(x[h] * w[h, k] for h in x) for k in (0, 1)])
+            p = np.exp(s - s.max()) / np.exp(s - s.max()).sum() - np.eye(2)[["aa", "bb"].index(lang)]
+            for k in (0, 1):
+                for key, value, old in [((h, k), x[h], w[h, k]) for h in x] + [(("b", k), 1.0, b[k])]:
+                    grad, before = value * p[k], n.get(key, 0.0)
+                    z[key] = z.get(key, 0.0) + grad - ((before + grad**2) ** 0.5 - before**0.5) / alpha * old
+                    n[key] = before + grad**2
+    model = langid.fit(rows)  # under 20 rows: none is held out, the temperature stays 1
+    for h in df:
+        assert model.table[h] == pytest.approx([weight((h, k), l1) * idf(h) * scale for k in (0, 1)], rel=1e-4, abs=1e-5)
+    text = rows[0][0] + " é"
+    flat = [h for m in langid.ORDERS for h in langid.hashed(langid.codes_of(text), m).tolist()]
+    logits = sum(model.table[h].astype(float) for h in flat) / len(flat) + model.bias
+    p = np.exp(logits) / np.exp(logits).sum()
+    lang, score = model.predict(text)
+    assert lang == model.languages[int(p.argmax())] and score == pytest.approx(p.max()) and model.temperature == 1.0
+
+
 # -- license scans
 
 
@@ -248,6 +328,61 @@ def test_stretch_is_the_longest():
         assert n == best and (not n or share >= 0.8 - 1e-9 and same[i] and same[i + n - 1])
 
 
+def aligned(words, item):
+    """The best stretch of an item in a text, by trying every alignment and every pair of ends."""
+    best = None
+    least = min(13, len(item))
+    for shift in range(-len(item) + 1, len(words)):
+        a, b = max(0, -shift), min(len(item), len(words) - shift)
+        same = [item[k] == words[k + shift] for k in range(a, b)]
+        for x in range(len(same)):
+            for y in range(x + least, len(same) + 1):
+                share = sum(same[x:y]) / (y - x)
+                if same[x] and same[y - 1] and share >= (0.8 - 1e-9 if len(item) >= 8 else 1):
+                    best = max(best or (0,), (y - x, share, -(x + a + shift)))
+    return best
+
+
+def test_decontamination_against_all_alignments(spark, documents):
+    rng = random.Random(8)
+    vocab = ["w%d" % k for k in range(60)]
+    some = lambda n: [rng.choice(vocab) for _ in range(n)]
+    items = [(k, some(n)) for k, n in enumerate([1, 2, 3, 5, 7, *range(8, 16), 16, 18, 20, 25, 40])]
+    docs = []
+    for d in range(150):
+        words = some(rng.randrange(0, 25))
+        for _ in range(2):
+            part = list(rng.choice(items)[1])
+            if rng.random() < 0.3:
+                part = part[rng.randrange(3) :]
+            for _ in range(rng.randrange(0, 4) if part else 0):
+                part[rng.randrange(len(part))] = rng.choice(vocab)
+            words += part + some(rng.randrange(0, 6))
+        docs.append((d, words))
+    expected = {(d, i): best for d, words in docs for i, item in items if (best := aligned(words, item))}
+    bench = spark.createDataFrame([(i, " ".join(item)) for i, item in items], "item_id long, text string")
+    df = documents([(d, " ".join(words), None) for d, words in docs])
+    got = {(r["doc_id"], r["item_id"]): (r["n_tokens"], r["identity"], -r["first_token"]) for r in decontaminate.contaminated(df, bench).collect()}
+    assert set(got) <= set(expected)
+    lengths = dict((i, len(item)) for i, item in items)
+    assert {k for k in expected if lengths[k[1]] < 16} <= set(got)  # none is missed
+    long = {k for k in expected if lengths[k[1]] >= 16}
+    assert len(long & set(got)) >= 0.97 * len(long) and len(long) > 30
+    assert sum(got[k][0] != expected[k][0] for k in got) <= 0.02 * len(got)
+
+
+def test_decontamination_block_is_small():
+    import tracemalloc
+
+    rng = random.Random(9)
+    items = [(k, " ".join(str(rng.randrange(10**7)) for _ in range(100))) for k in range(decontaminate.BLOCK_BYTES // 800)]
+    tracemalloc.start()
+    seeds = decontaminate.Seeds(items)
+    held, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert held < 200e6 and seeds.matches(items[7][1])[0][0] == 7
+
+
 def test_decontamination_finds_planted_passages(spark, documents):
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
@@ -260,12 +395,12 @@ def test_decontamination_finds_planted_passages(spark, documents):
         3: noise(200) + " " + " ".join(items[3][1].split()[100:160]),  # a part of a long one
         5: noise(2000) + " " + items[5][1] + " " + noise(2000) + " " + items[0][1],
     }
-    clean = [(100 + k, noise(300), "en") for k in range(30)] + [(200, items[4][1], "en"), (201, " ".join(items[0][1].split()[:8]), "en"), (202, None, None), (203, "", None)]
+    clean = [(100 + k, noise(300), "en") for k in range(30)] + [(300, "a single word", None)] + [(200, items[4][1], "en"), (201, " ".join(items[0][1].split()[:8]), "en"), (202, None, None), (203, "", None)]
     rows = [(k, t, "en") for k, t in plant.items()] + [(0, plant[0], "en"), (None, items[1][1], None), (9, items[8][1], None)] + clean
     bench = spark.createDataFrame(items, "item_id long, text string")
     pairs = lambda df: sorted((r["doc_id"] is None, r["doc_id"] or 0, r["item_id"] is None, r["item_id"] or 0) for r in df.collect())
     got = pairs(decontaminate.contaminated(documents(rows), bench))
-    expected = [(0, 0), (0, 0), (1, 1), (2, 2), (3, 3), (5, 0), (5, 5), (9, None), (None, 1)]
+    expected = [(0, 0), (0, 0), (1, 1), (2, 2), (3, 3), (5, 0), (5, 5), (9, None), (None, 1), (200, 4)]
     assert got == sorted((d is None, d or 0, i is None, i or 0) for d, i in expected)
     assert pairs(decontaminate.contaminated(documents(rows), bench, block_bytes=200)) == got  # many blocks
     assert decontaminate.contaminated(documents([]), bench).count() == 0
