@@ -1,6 +1,8 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-A block is a line of a document, seen as the set of its words. It meets a template when it holds
+A block is a window of consecutive words, seen as a set: windows are twice as long as the longest
+template and start at every multiple of its length, so that each run of words as long as a template lies whole in
+one, however lines and comment marks break it. A block meets a template when it holds
 at least THRESHOLD of the template's distinct words. The join orders words by their global
 frequency (documents that hold them, over the whole table; ties by the word), rarest first, and
 finds every such block by three exact filters:
@@ -13,12 +15,17 @@ What passes is verified exactly. Templates are a parameter, expanded as literals
 are broadcast only while the templates have at most BROADCAST_WORDS words in all, else Spark
 chooses the join. All steps are built-in expressions.
 
-Beside the join, set phrases are located: every place where a phrase's words stand consecutively.
+Beside the join, set phrases are located: every place where a phrase's words stand consecutively,
+places that overlap included.
+
+The table is read and split into words once: what is located, and the words of documents that could meet a template as a
+whole, go to the shared folder; the frequencies and the join start from there.
 
 Words: A-Z lower-cased, then maximal runs of characters other than U+0000-U+002F, U+003A-U+0060
 and U+007B-U+007F. Defined results: a null text counts as empty and has no words, places or labels
-(empty strings) and score 0; lines without words match nothing; repeated rows are scanned alike; an
-empty table gives no rows; columns named like a result are replaced.
+(empty strings) and score 0; texts of any length are scanned whole; repeated rows, and rows that repeat an id, are scanned alike; an
+empty table gives no rows; without templates no label is added, without phrases none is located;
+columns other than id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +37,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talkloom.llm.common import ascii_lower
+from talkloom.llm.common import ascii_lower, written
 
 THRESHOLD = 0.9
 BROADCAST_WORDS = 100_000
@@ -77,68 +84,77 @@ def _count(spaced: Column) -> Column:
 def places(words: Column, phrases: Mapping[str, str]) -> dict[str, Column]:
     """n_base, first_word, last_word and the array of labels of the phrases found."""
     flat = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
-    n, first, last, labels = [], [], [], []
+    n, first, last, labels = [F.lit(0)], [F.lit(None).cast("int")] * 2, [F.lit(None).cast("int")] * 2, [F.lit(None).cast("string")]
     for phrase, label in phrases.items():
-        # only a text that holds the phrase is split at it
-        parts = F.when(F.contains(flat, F.lit(f" {phrase} ")), F.split(flat, f"(?<= ){re.escape(phrase)}(?= )"))
+        # only a text that holds the phrase is split, before each place
+        parts = F.when(F.contains(flat, F.lit(f" {phrase} ")), F.split(flat, f"(?<= )(?={re.escape(phrase)} )"))
         some = parts.isNotNull()
         n.append(F.when(some, F.size(parts) - 1).otherwise(0))
         first.append(F.when(some, _count(F.element_at(parts, 1))))
-        last.append(F.when(some, F.size(words) - len(phrase.split()) - _count(F.element_at(parts, -1))))
+        last.append(F.when(some, F.size(words) - _count(F.element_at(parts, -1)) - 1))
         labels.append(F.when(some, F.lit(label)))
     total = n[0]
     for x in n[1:]:
         total = total + x
-    both = lambda f, cols: f(*cols) if len(cols) > 1 else cols[0]
     return {
         "n_base": total.cast("long"),
-        "first_word": both(F.least, first).cast("long"),
-        "last_word": both(F.greatest, last).cast("long"),
+        "first_word": F.least(*first).cast("long"),
+        "last_word": F.greatest(*last).cast("long"),
         "_base": F.array_sort(F.array_distinct(F.array_compact(F.array(*labels)))),
     }
 
 
-def frequencies(docs: DataFrame, words: list[str], text: str = "text") -> dict[str, int]:
-    """In how many documents each of the words occurs; one row a word reaches the driver."""
-    universe = F.array(*map(F.lit, words))
-    found = docs.select(F.explode(F.array_intersect(words_col(F.col(text)), universe)).alias("word"))
+def needed(words: int, threshold: float) -> int:
+    """How many of a template's distinct words a block must hold."""
+    return max(1, math.ceil(threshold * words - 1e-9))
+
+
+def window(templates: Mapping[str, str]) -> int:
+    """Words between the starts of windows; a window has twice as many."""
+    return max((len(words_of(t)) for t in templates.values()), default=1) or 1
+
+
+def frequencies(staged: DataFrame) -> dict[str, int]:
+    """In how many documents each template word occurs; one row a word reaches the driver."""
+    found = staged.select(F.explode("_known").alias("word"))
     return {r["word"]: r["n"] for r in found.groupBy("word").agg(F.count("*").alias("n")).collect()}
 
 
-def matches(docs: DataFrame, keys: list[str], templates: Mapping[str, str], threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
-    """keys, label and containment: each (document, template) met by a block, with the best block's share."""
-    spark = docs.sparkSession
-    sets = {label: sorted(set(words_of(t))) for label, t in templates.items() if words_of(t)}
-    universe = sorted({w for s in sets.values() for w in s})
-    n_docs = frequencies(docs, universe, text)
-    ranked = sorted(universe, key=lambda w: (n_docs.get(w, 0), w))
+def matches(staged: DataFrame, keys: list[str], sets: Mapping[str, list[str]], step: int, threshold: float = THRESHOLD) -> DataFrame:
+    """keys, label and containment: each (document, template) met by a block, with the best block's share.
+
+    staged: keys, _known (a document's template words) and _words (all of them, null where no template can be met).
+    """
+    spark = staged.sparkSession
+    n_docs = frequencies(staged)
+    ranked = sorted({w for s in sets.values() for w in s}, key=lambda w: (n_docs.get(w, 0), w))
     rank = {w: i for i, w in enumerate(ranked)}
     rows, firsts = [], set()
     for label, words in sets.items():
         words = sorted(words, key=rank.get)
-        m, o = len(words), max(1, math.ceil(threshold * len(words) - 1e-9))
+        m, o = len(words), needed(len(words), threshold)
         for i, w in enumerate(words[: m - o + 1]):
             firsts.add(w)
             rows.append(F.struct(F.lit(w).alias("word"), F.lit(i + 1).alias("i"), F.lit(label).alias("label"), F.lit(m).alias("m"), F.lit(o).alias("o"), F.array(*map(F.lit, words)).alias("all")))
     prefixes = spark.range(1).select(F.inline(F.array(*rows)))
     if sum(map(len, sets.values())) <= BROADCAST_WORDS:
         prefixes = F.broadcast(prefixes)
-    least = min(math.ceil(threshold * len(s) - 1e-9) for s in sets.values())
+    least = min(needed(len(s), threshold) for s in sets.values())
     first_words = F.array(*map(F.lit, sorted(firsts)))
     in_order = F.array(*map(F.lit, ranked))  # array_intersect keeps the order of its first argument
-    lines = (
-        docs.select(*keys, F.col(text).alias("_text"))
-        .where(F.arrays_overlap(words_col(F.col("_text")), first_words))
-        .select(*keys, F.explode(F.split("_text", "\n")).alias("_line"))
-        .select(*keys, F.array_intersect(in_order, words_col(F.col("_line"))).alias("_words"))
-        .where((F.size("_words") >= max(1, least)) & F.arrays_overlap("_words", first_words))
+    starts = F.sequence(F.lit(1), F.greatest(F.size("_words"), F.lit(1)), F.lit(step))
+    blocks = (
+        staged.where(F.col("_words").isNotNull())
+        .select(*keys, "_words", F.explode(starts).alias("_at"))
+        .select(*keys, F.array_intersect(in_order, F.slice("_words", F.col("_at"), F.lit(2 * step))).alias("_words"))
+        .where((F.size("_words") >= least) & F.arrays_overlap("_words", first_words))
     )
-    pairs = lines.select(*keys, "_words", F.size("_words").alias("n"), F.posexplode("_words").alias("j", "word")).withColumn("j", F.col("j") + 1)
+    pairs = blocks.select(*keys, "_words", F.size("_words").alias("n"), F.posexplode("_words").alias("j", "word")).withColumn("j", F.col("j") + 1)
     close = pairs.join(prefixes, "word").where(
         (F.col("n") >= F.col("o")) & (F.col("j") <= F.col("n") - F.col("o") + 1) & (1 + F.least(F.col("m") - F.col("i"), F.col("n") - F.col("j")) >= F.col("o"))
     )
-    share = F.size(F.array_intersect("_words", "all")) / F.col("m")
-    return close.where(F.size(F.array_intersect("_words", "all")) >= F.col("o")).groupBy(*keys, "label").agg(F.max(share).alias("containment"))
+    common = F.size(F.array_intersect("_words", "all"))
+    return close.where(common >= F.col("o")).groupBy(*keys, "label").agg(F.max(common / F.col("m")).alias("containment"))
 
 
 def scan(
@@ -151,18 +167,24 @@ def scan(
 ) -> DataFrame:
     """id_col, n_words, n_base, first_word, last_word, base_labels, labels and score (the greatest
     containment of a template that is met, else 0)."""
-    # equal rows have equal results, so a row is known by its id and a hash of its text
-    keyed = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(text)).alias("_hash"), F.col(text).alias("text"))
-    met = (
-        matches(keyed, ["_id", "_hash"], templates, threshold)
-        .groupBy("_id", "_hash")
-        .agg(F.collect_set("label").alias("_labels"), F.max("containment").alias("_score"))
-        .select(F.col("_id").alias("_id2"), F.col("_hash").alias("_hash2"), "_labels", "_score")
-    )
-    base = keyed.select("_id", "_hash", words_col(F.col("text")).alias("_words"))
-    base = base.select("_id", "_hash", F.size("_words").cast("long").alias("n_words"), *[c.alias(k) for k, c in places(F.col("_words"), phrases).items()])
+    sets = {label: sorted(set(words_of(t))) for label, t in templates.items() if words_of(t)}
     none = F.array().cast("array<string>")
-    return base.join(met, base["_id"].eqNullSafe(met["_id2"]) & (base["_hash"] == met["_hash2"]), "left").select(
+    array = lambda ws: F.array(*map(F.lit, ws)) if ws else none
+    # equal rows have equal results, so a row is known by its id and a hash of its text
+    rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(text)).alias("_hash"), words_col(F.col(text)).alias("_words"))
+    rows = rows.withColumn("_known", F.array_intersect(array(sorted({w for s in sets.values() for w in s})), "_words"))
+    could = F.lit(False)
+    for words in sets.values():
+        could = could | (F.size(F.array_intersect("_known", array(words))) >= needed(len(words), threshold))
+    base = [c.alias(k) for k, c in places(F.col("_words"), phrases).items()]
+    staged = written(rows.select("_id", "_hash", F.size("_words").cast("long").alias("n_words"), *base, "_known", F.when(could, F.col("_words")).alias("_words")), "license-words")
+    if sets:
+        met = matches(staged, ["_id", "_hash"], sets, window(templates), threshold).groupBy("_id", "_hash").agg(F.collect_set("label").alias("_labels"), F.max("containment").alias("_score"))
+        met = met.select(F.col("_id").alias("_id2"), F.col("_hash").alias("_hash2"), "_labels", "_score")
+        staged = staged.join(met, staged["_id"].eqNullSafe(met["_id2"]) & (staged["_hash"] == met["_hash2"]), "left")
+    else:
+        staged = staged.withColumns({"_labels": none, "_score": F.lit(0.0)})
+    return staged.select(
         F.col("_id").alias(id_col),
         "n_words",
         "n_base",

@@ -91,7 +91,7 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """License phrases and templates met by the lines of every document."""
+    """License phrases and templates met by the words of every document."""
     from talkloom.llm.license_scan import scan
 
     return scan(table(spark, sf_dir, "documents"))
@@ -161,7 +161,9 @@ FROM b LEFT JOIN parts USING (doc_id)
 
 
 def _license_sql() -> str:
-    from talkloom.llm.license_scan import PHRASES, TEMPLATES, THRESHOLD, words_of
+    from talkloom.llm.license_scan import PHRASES, TEMPLATES, THRESHOLD, window, words_of
+
+    step = window(TEMPLATES)
 
     low = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     words = f"list_filter(regexp_split_to_array({low}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
@@ -173,7 +175,7 @@ w AS (SELECT doc_id, {words.format('t')} AS ws FROM d),
 t(label, ts) AS (VALUES {templates}), p(ps, label) AS (VALUES {phrases}),
 hits AS (SELECT doc_id, i, label FROM (SELECT doc_id, ws, unnest(range(len(ws))) AS i FROM w), p WHERE ws[i + 1] = ps[1] AND ws[i + 1 : i + len(ps)] = ps),
 base AS (SELECT doc_id, count(*) AS n, min(i) AS first, max(i) AS last, list_distinct(list(label)) AS labels FROM hits GROUP BY doc_id),
-lines AS (SELECT doc_id, list_distinct({words.format('line')}) AS ls FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)),
+lines AS (SELECT doc_id, list_distinct(ws[i : i + {2 * step - 1}]) AS ls FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws), 1) + 1, {step})) AS i FROM w)),
 met AS (SELECT doc_id, label, len(list_intersect(ls, ts)) / len(ts) AS share FROM lines, t WHERE len(list_intersect(ls, ts)) >= ceil({THRESHOLD} * len(ts) - 1e-9)),
 best AS (SELECT doc_id, max(share) AS score, list_distinct(list(label)) AS labels FROM met GROUP BY doc_id)
 SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_base, CAST(first AS BIGINT) AS first_word, CAST(last AS BIGINT) AS last_word,

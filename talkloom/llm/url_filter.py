@@ -1,17 +1,18 @@
 """URL filters: host and path rules, else logistic regression on hashed character n-grams.
 
-The classifier is fitted on the driver from a small labelled table of URLs (LABELLED, or any
-list of (url, blocked) pairs the caller passes; at most MAX_LABELLED are used) and its weights,
+The classifier is fitted on the driver from a small labelled table of URLs (url_labels.LABELLED, or any
+list of (url, blocked) pairs the caller passes, which is used whole) and its weights,
 2**BITS floats, travel with the task. Host, path and rules are built-in expressions.
 
 Defined results: a null URL, or one without "://", has an empty host and path, fits no rule and
-is judged by the classifier on the empty string (its intercept alone). Repeated rows are judged
+is judged by the classifier on the empty string. URLs of any length are read whole. Repeated rows are judged
 alike, an empty table gives no rows, and further columns of the input are kept unless they bear
-the name of a result column, which then replaces them.
+the name of a result column, which then replaces them. Of rules of equal length the first by name wins.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterable, Sequence
 
@@ -21,36 +22,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talkloom.llm.common import ascii_lower
+from talkloom.llm.url_labels import LABELLED
 
 BITS = 14
 ORDERS = (3, 4, 5)
-MAX_LABELLED = 10_000
-
-_BLOCKED = "casino poker bets betting jackpot adult porn xxx spam warez phishing malware pills".split()
-_ALLOWED = "news wiki docs library school museum weather recipes garden science history travel".split()
-_FORMS = (
-    "https://{w}-site.test/en/12345",
-    "http://www.{w}.test/de/view/889?page=2",
-    "https://best-{w}.test/fr/7071.html",
-    "http://m.{w}-home.test/es/31/",
-)
-#: The labelled table: forms of sites by the words in their names (1: blocked).
-LABELLED: list[tuple[str, int]] = [
-    (form.format(w=w), blocked)
-    for words, blocked in ((_BLOCKED, 1), (_ALLOWED, 0))
-    for w in words
-    for form in _FORMS
-] + [(f"https://{a}{b}.test/{lang}/{n}", 0) for n, (a, b, lang) in enumerate(
-    (a, b, lang) for a in ("north", "blue", "open", "hill") for b in ("river", "stone", "field", "works") for lang in ("en", "de", "fr", "es"))]
-
-
-def features(host: str, path: str) -> np.ndarray:
-    """Hashed character n-grams of host and path, each marked with its part."""
-    out = []
-    for mark, part in (("h", f"^{host}$"), ("p", f"^{path}$")):
-        for n in ORDERS:
-            out += [zlib.crc32((mark + part[i : i + n]).encode()) for i in range(len(part) - n + 1)]
-    return np.array(out, dtype=np.int64) & ((1 << BITS) - 1)
+_BREAK = re.compile(r"[-._/~]+")
+
+def features(host: str, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed character n-grams of host and path with their values. Names are read part by part, with marks at
+    either end of a part; host and path count alike, however long they are. The host's last label (com,
+    net) and a leading www are left out: they say nothing of what a site is."""
+    name = (host.rpartition(".")[0] or host).removeprefix("www.")
+    out, value = [], []
+    for mark, text in (("h", name), ("p", path)):
+        parts = [f"^{x}$" for x in _BREAK.split(text) if x]
+        grams = [zlib.crc32((mark + part[i : i + n]).encode()) for part in parts for n in ORDERS for i in range(len(part) - n + 1)]
+        out += grams
+        value += [max(1, len(grams)) ** -0.5] * len(grams)
+    return np.array(out, dtype=np.int64) & ((1 << BITS) - 1), np.array(value)
+
+
+def probability(w: np.ndarray, b: float, host: str, path: str) -> float:
+    """Of being blocked."""
+    grams, value = features(host, path)
+    return float(1 / (1 + np.exp(-((w[grams] * value).sum() + b))))
 
 
 def split_url(url: str | None) -> tuple[str, str]:
@@ -64,20 +59,19 @@ def split_url(url: str | None) -> tuple[str, str]:
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host), rest[:end]
 
 
-def fit(labelled: Iterable[tuple[str, int]] = LABELLED, steps: int = 300, l2: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Weights and intercept: gradient descent on the log loss of mean n-gram counts."""
-    rows = list(labelled)[:MAX_LABELLED]
-    feats = [features(*split_url(u)) for u, _ in rows]
+def fit(labelled: Iterable[tuple[str, int]] = LABELLED, steps: int = 500, l2: float = 1e-4, rate: float = 4.0) -> tuple[np.ndarray, float]:
+    """Weights and intercept: gradient descent on the log loss, both classes weighing alike."""
+    rows = list(labelled)
+    found = [features(*split_url(u)) for u, _ in rows]
     y = np.array([b for _, b in rows], dtype=float)
-    owner = np.repeat(np.arange(len(rows)), [len(f) for f in feats])
-    flat = np.concatenate(feats) if feats else np.zeros(0, np.int64)
-    size = np.array([max(1, len(f)) for f in feats], dtype=float) ** 0.5
+    owner = np.repeat(np.arange(len(rows)), [len(g) for g, _ in found])
+    flat, value = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0))
+    share = np.where(y == 1, 1 / max(1, y.sum()), 1 / max(1, (1 - y).sum())) / 2
     w, b = np.zeros(1 << BITS), 0.0
     for _ in range(steps):
-        z = np.bincount(owner, w[flat], len(rows)) / size + b
-        g = 1 / (1 + np.exp(-z)) - y
-        w -= 1.0 * (np.bincount(flat, (g / size)[owner], 1 << BITS) / max(1, len(rows)) * 8 + l2 * w)
-        b -= 1.0 * (g.mean() if len(rows) else 0.0)
+        g = share * (1 / (1 + np.exp(-(np.bincount(owner, w[flat] * value, len(rows)) + b))) - y)
+        w -= rate * (np.bincount(flat, value * g[owner], 1 << BITS) + l2 * w)
+        b -= rate * g.sum()
     return w, b
 
 
@@ -105,11 +99,7 @@ def judge(
 
     @F.pandas_udf("double")
     def score(host: pd.Series, path: pd.Series) -> pd.Series:
-        def one(h: str, p: str) -> float:
-            f = features(h, p)
-            return 1 / (1 + np.exp(-(w[f].sum() / max(1, len(f)) ** 0.5 + b)))
-
-        return pd.Series([one(h, p) for h, p in zip(host, path)], dtype="float64")
+        return pd.Series([probability(w, b, h, p) for h, p in zip(host, path)], dtype="float64")
 
     rule, said = F.lit(None).cast("string"), F.lit(None).cast("string")
     for verdict, r in sorted(rules, key=lambda x: (-len(x[1]), x[1]), reverse=True):
