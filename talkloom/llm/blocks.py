@@ -87,7 +87,9 @@ def make_blocks(docs: DataFrame, id_col: str, text: str, flag: Column | None = N
     for k, v in (("compression", "zstd"), ("parquet.block.size", 16 << 20), ("parquet.page.size.row.check.min", 1), ("parquet.block.size.row.check.min", 1)):
         writer = writer.option(k, v)
     writer.saveAsTable(name)
-    return Blocks(spark.table(name), n_bytes, size["docs"])
+    df = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # an external table: its files stay, and the plan above reads them
+    return Blocks(df, n_bytes, size["docs"])
 
 
 Message = tuple[int, list[bytes]]  # bucket, fields

@@ -127,11 +127,11 @@ FROM embeddings e LEFT JOIN comp c ON e.vec_id = c.x LEFT JOIN deg d ON e.vec_id
 @query
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's log10 probability, learned from four fifths of the ids."""
-    from talkloom.llm.lm_score import Lattice, score
+    from talkloom.llm.lm_score import Vocabulary, score
 
-    lattice = Lattice.from_sentencepiece(tokenizer_path("piece_bpe_32k.model"))
+    vocabulary = Vocabulary.from_sentencepiece(tokenizer_path("piece_bpe_32k.model"))
     train = F.crc32(F.col("doc_id").cast("string")) % 5 != 1
-    return score(table(spark, sf_dir, "documents"), lattice, train)
+    return score(table(spark, sf_dir, "documents"), vocabulary, train)
 
 
 @query

@@ -19,15 +19,18 @@ Three exchanges between blocks of documents and buckets of triggers (see blocks)
     that matters. Suffixes of one rank are occurrences of one string, and the least id among them is
     known. As all strings of a trigger are in one bucket, this is corpus order for them.
  3. The answers, a bit for each suffix, are laid on the block's parse, and removed bytes are cut.
-A trigger that more than HOT blocks share may have very many phrases (a common line between
-unlike neighbours); its strings are sent one by one, dealt out by their own hash, so no bucket
-holds them all.
+A trigger with more than HOT bytes of phrases (a common line between unlike neighbours) would fill its bucket;
+its strings are sent one by one, dealt out by their own hash, so no bucket
+holds them all. Blocks tell each trigger's bytes with its hash, to the next power of two.
+
+A block sends a message to each bucket that it has keys for, so there are never more messages than distinct
+keys: they grow as blocks times buckets only while a message has many keys, and in proportion to the corpus beyond.
 
 Distinct phrases within a block are told apart by 64-bit hashes of their first and last LENGTH bytes.
 
 Defined results: a null text is empty. Texts shorter than LENGTH are untouched. A null id counts
 as greater than all others (and equal to itself): such a text may be cut, and cuts none. Rows that
-repeat an id don't cut each other. Empty tables give no rows.
+repeat an id don't cut each other. Texts of any length are cut whole; columns other than id, text and those to keep are not read, whatever their names. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -44,13 +47,14 @@ from talkloom.llm.blocks import BLOCK_BYTES, NO_ID, answer, make_blocks, replies
 from talkloom.llm.common import written
 
 LENGTH, ANCHOR = 50, 20
-HOT = 1024
+#: Bytes of distinct phrases, over all blocks, from which a trigger's strings are sent one by one.
+HOT = 1 << 20
 #: Bytes of corpus for each bucket of triggers, and of phrases.
 TRIGGER_BYTES, PHRASE_BYTES = 16 << 20, 4 << 20
 _CHUNK = 1 << 17
 _BASE = 0x9E3779B97F4A7C15
 _WORD = (1 << 64) - 1
-_LOW = 44  # bits of a trigger's hash that are sent, beside its bucket
+_LOW = 40  # bits of a trigger's hash that are sent, beside its bucket
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -147,31 +151,37 @@ def _numbers(raw: bytes, kind: type) -> np.ndarray:
 
 
 def trigger_messages(parse: Parse, ids: np.ndarray, n_buckets: int) -> Iterator[tuple[int, list[bytes]]]:
-    """For each bucket the distinct triggers' hashes (as differences), and which have several ids in the block."""
+    """For each bucket the distinct triggers' hashes (as differences), which have several ids in the block, and
+    the bytes of their distinct phrases, as a power of two."""
     keys, at = parse.keys(n_buckets)
     if not len(keys):
         return
-    order = np.argsort(at, kind="stable")
+    order = np.lexsort((parse.name, at))
     cut = np.searchsorted(at[order], np.arange(len(keys)))
     owner = ids[parse.doc][order]
     several = np.minimum.reduceat(owner, cut) != np.maximum.reduceat(owner, cut)
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (parse.name[order][1:] != parse.name[order][:-1]) | (at[order][1:] != at[order][:-1])
+    size = np.add.reduceat(np.where(fresh, parse.count[order] + parse.length - 1, 0), cut)
+    power = np.ceil(np.log2(size)).astype(np.uint8)
     buckets = keys >> np.uint64(_LOW)
     low = keys & np.uint64((1 << _LOW) - 1)
     for b in np.unique(buckets).tolist():
         i, j = np.searchsorted(buckets, np.uint64(b)), np.searchsorted(buckets, np.uint64(b), "right")
-        yield b, [_planes(np.diff(low[i:j], prepend=np.uint64(0))), np.packbits(several[i:j]).tobytes()]
+        yield b, [_planes(np.diff(low[i:j], prepend=np.uint64(0))), np.packbits(several[i:j]).tobytes(), power[i:j].tobytes()]
 
 
 def shared_triggers(messages: list[list[bytes]], hot: int) -> list[bytes]:
-    """For each message two rows of bits: triggers that several ids have, and those in over hot blocks."""
+    """For each message two rows of bits: triggers that several ids have, and those with over hot bytes of phrases."""
     low = [np.cumsum(_numbers(m[0], np.uint64), dtype=np.uint64) for m in messages]
     several = [np.unpackbits(np.frombuffer(m[1], np.uint8), count=len(k)) for m, k in zip(messages, low)]
     keys, at, blocks = np.unique(np.concatenate(low), return_inverse=True, return_counts=True)
     shared = (blocks > 1) | (np.bincount(at, np.concatenate(several), len(keys)) > 0)
+    size = np.bincount(at, 2.0 ** np.concatenate([np.frombuffer(m[2], np.uint8) for m in messages]), len(keys))
     out, i = [], 0
     for k in low:
         here = at[i : i + len(k)]
-        out.append(np.packbits(np.stack([shared[here], blocks[here] > hot]), axis=1).tobytes())
+        out.append(np.packbits(np.stack([shared[here], size[here] > hot]), axis=1).tobytes())
         i += len(k)
     return out
 
@@ -320,7 +330,7 @@ def dedup(
     results = (id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
     keep = [c for c in keep or [] if c not in results]
     blocks = make_blocks(docs, id_col, text, None, block_bytes, keep)
-    n_triggers, n_phrases = (min(1 << 20, blocks.buckets(b)) for b in bucket_bytes)  # a key holds 20 bits of the bucket
+    n_triggers, n_phrases = (min(1 << 24, blocks.buckets(b)) for b in bucket_bytes)  # a key holds 24 bits of the bucket
 
     def parsed(batch: pa.RecordBatch, k: int) -> tuple[Parse, np.ndarray, np.ndarray, bytes]:
         ids, _, ends, data = texts(batch, k)
@@ -334,7 +344,7 @@ def dedup(
         parse, ids, _, _ = parsed(batch, k)
         return Entries(parse, ids, replies(batch, k, "triggers"), n_triggers, n_phrases).messages()
 
-    triggers = written(answer(send(blocks.df, ask_triggers, ["keys", "several"]), lambda m: (shared_triggers(m, hot), [])), "triggers")
+    triggers = written(answer(send(blocks.df, ask_triggers, ["keys", "several", "sizes"]), lambda m: (shared_triggers(m, hot), [])), "triggers")
     known = with_replies(blocks.df, triggers, "triggers")
     phrases = answer(send(known, ask_phrases, ["text", "counts", "least"]), lambda m: (repeated(m, length), []))
     rest = blocks.df.schema["rest"].dataType.elementType.fields[1:]
