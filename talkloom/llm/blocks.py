@@ -80,16 +80,26 @@ def make_blocks(docs: DataFrame, id_col: str, text: str, flag: Column | None = N
 
     schema = T.StructType([*T._parse_datatype_string("block long, ids array<long>, flags array<boolean>, ends array<long>, data binary").fields, T.StructField("rest", T.ArrayType(rest_type))])
     packed = rows.mapInArrow(pack, schema)
-    name = f"talkloom_blocks_{uuid.uuid4().hex}"
-    # a table with fewer buckets than a shuffle has partitions would be shuffled again for a join
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n_bytes / (4 * block_bytes)))
-    writer = packed.write.format("parquet").bucketBy(n, "block").option("path", scratch_path(spark, "blocks"))
-    for k, v in (("compression", "zstd"), ("parquet.block.size", 16 << 20), ("parquet.page.size.row.check.min", 1), ("parquet.block.size.row.check.min", 1)):
+    options = {"parquet.block.size": 16 << 20, "parquet.page.size.row.check.min": 1, "parquet.block.size.row.check.min": 1}
+    return Blocks(bucketed(packed, "block", math.ceil(n_bytes / (4 * block_bytes)), "blocks", options), n_bytes, size["docs"])
+
+
+def bucketed(df: DataFrame, key: str, least: int, name: str, options: dict | None = None) -> DataFrame:
+    """df, written to the shared folder in buckets of key: groupings and joins by it start where the rows are.
+
+    A table with fewer buckets than a shuffle has partitions would be shuffled again for a join, so there
+    are as many at least.
+    """
+    spark = df.sparkSession
+    table = f"talkloom_{name}_{uuid.uuid4().hex}"
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), least)
+    writer = df.write.format("parquet").bucketBy(n, key).option("path", scratch_path(spark, name)).option("compression", "zstd")
+    for k, v in (options or {}).items():
         writer = writer.option(k, v)
-    writer.saveAsTable(name)
-    df = spark.table(name)
-    spark.sql(f"DROP TABLE {name}")  # an external table: its files stay, and the plan above reads them
-    return Blocks(df, n_bytes, size["docs"])
+    writer.saveAsTable(table)
+    out = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # an external table: its files stay, and the plan above reads them
+    return out
 
 
 Message = tuple[int, list[bytes]]  # bucket, fields
