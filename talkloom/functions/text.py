@@ -62,8 +62,17 @@ def record_document(topic: Column, content: Column, keywords: Column, prediction
 
 
 def clean_keywords(keywords: Column) -> Column:
-    """Stripped, without blanks, each once in the order of first occurrence."""
-    return F.array_distinct(F.filter(F.transform(keywords, strip), lambda x: x != ""))
+    """Stripped, without blanks, each once in the order of first occurrence. A list with an item that is null is taken for broken: empty."""
+    cleaned = F.array_distinct(F.filter(F.transform(keywords, strip), lambda x: x != ""))
+    return F.when(F.exists(keywords, lambda x: x.isNull()), F.array().cast("array<string>")).otherwise(cleaned)
+
+
+def keywords_of(response: Column) -> Column:
+    """The keywords of a response, cleaned; empty where it isn't an object with a list of strings only."""
+    raw = F.get_json_object(json_text(response), "$.keywords")
+    items = F.from_json(raw, "array<variant>")
+    broken = items.isNull() | F.exists(items, lambda x: F.schema_of_variant(x) != "STRING")
+    return F.when(broken, F.array().cast("array<string>")).otherwise(clean_keywords(F.from_json(raw, "array<string>")))
 
 
 def ordered_distinct(values: Column, between: str = " | ") -> Column:
@@ -89,14 +98,17 @@ def parse_response(response: Column) -> Column:
 
 
 def parse_score(value: Column, strict: bool = False) -> Column:
-    """An integer from the digits and minus signs of a score's text; empty: 0; not an integer: null.
+    """A score's integer. The response is read as JSON first (fenced or not; what isn't JSON counts as an empty
+    object), and then the digits and minus signs of that value's text are the number; empty: 0; not an integer: null.
 
     strict: only a whole number from -5 to 5 counts, else null.
     """
     if strict:
         n = F.when(F.regexp_like(strip(value), F.lit(r"^[+-]?\d+$")), strip(value).try_cast("int"))
         return F.when(n.between(-5, 5), n)
-    kept = F.regexp_replace(text_or_empty(value), "[^-0-9]", "")
+    told = json_text(value)
+    # a text is its JSON string, so that the signs and digits of all kinds of values are kept alike
+    kept = F.regexp_replace(F.when(F.try_parse_json(told).isNotNull(), told).otherwise(""), "[^-0-9]", "")
     return F.when(kept == "", F.lit(0)).otherwise(kept.try_cast("int"))
 
 

@@ -1,4 +1,4 @@
-"""Dialogue rounds, topic segmentation and the topic records of topics.
+"""Dialogue rounds, topic segmentation and the records of topics.
 
 All state is keyed by conversation. The model's judgements (has the topic changed, is this noise,
 what does it suggest) are columns, which a provider fills; here they only have to be there.
@@ -66,10 +66,11 @@ def accumulate(segmented: DataFrame, own_topic: bool = False) -> DataFrame:
     return segmented.groupBy("conv_id", F.col(topic).alias("topic_no")).agg(*lists)
 
 
-def build_records(segmented: DataFrame, own_topic: bool = False, emit_open: bool = True) -> DataFrame:
+def build_records(segmented: DataFrame, own_topic: bool = False, emit_open: bool = True, model=None) -> DataFrame:
     """A topic record for each topic: conv_id, topic_no, is_open, n_rounds, topic, content, analyses.
 
-    Topic and content are the fallbacks that need no model. The last topic of a conversation is
+    Topic and content are the fallbacks that need no model; with a model (see judge.Model) they are its
+    summaries, and keywords come with them. The last topic of a conversation is
     still open; without emit_open it makes no record.
     """
     kept = segmented.where(~F.col("dropped"))
@@ -78,21 +79,32 @@ def build_records(segmented: DataFrame, own_topic: bool = False, emit_open: bool
     if not emit_open:
         topics = topics.where(~F.col("is_open"))
     told = topics.join(accumulate(segmented, own_topic), ["conv_id", "topic_no"], "left")
+    rounds, first = F.col("rounds"), F.element_at("rounds", 1)
+    if model is None:
+        summaries = [X.topic_from_round(first).alias("topic"), X.last_rounds(rounds).alias("content")]
+    else:
+        topic = model.topic_summary(rounds, model.first_topic(first))
+        summaries = [topic.alias("topic"), model.content_summary(rounds).alias("content"), model.keywords(rounds).alias("keywords")]
     return told.select(
         "conv_id",
         "topic_no",
         "is_open",
         F.size("rounds").alias("n_rounds"),
-        X.topic_from_round(F.element_at("rounds", 1)).alias("topic"),
-        X.last_rounds(F.col("rounds")).alias("content"),
+        *summaries,
         *[X.text_or_empty(F.col(a)).alias(a) for a in ANALYSES],
     )
 
 
 def top_terms(texts: DataFrame, keys: list[str], text: str, n: int = 5, least: int = 4) -> DataFrame:
-    """keys and keywords: the n most frequent words of at least that many letters, ties by the word."""
-    terms = texts.select(*keys, F.explode(X.words(F.col(text))).alias("term")).where(F.length("term") >= least)
-    counted = terms.groupBy(*keys, "term").agg(F.count("*").alias("tf"))
-    ranked = counted.withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("tf"), "term"))).where(F.col("rn") <= n)
-    lists = ranked.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rn", "term"))).alias("k"))
-    return lists.select(*keys, F.transform("k", lambda x: x["term"]).alias("keywords"))
+    """keys and keywords: the n most frequent words of at least that many letters, ties by the word.
+
+    All of a row's words lie in the row: they are counted there, as runs of the sorted words, and nothing is shuffled.
+    """
+    words = F.array_sort(F.filter(X.words(F.col(text)), lambda w: F.length(w) >= least))
+    sized = texts.select(*keys, words.alias("w")).where(F.size("w") > 0)
+    starts = F.filter(F.sequence(F.lit(1), F.size("w")), lambda i: (i == 1) | (F.element_at("w", i) != F.element_at("w", F.greatest(i - 1, F.lit(1)))))
+    placed = sized.withColumn("s", starts)
+    runs = F.zip_with("s", F.concat(F.slice("s", 2, F.size("s")), F.array(F.size("w") + 1)), lambda a, b: F.struct((a - b).alias("minus"), F.element_at("w", a).alias("term")))
+    return placed.select(*keys, F.transform(F.slice(F.array_sort(runs), 1, n), lambda x: x["term"]).alias("keywords"))
+
+

@@ -10,8 +10,10 @@ import re
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from talkloom.functions.text import WHITE_SPACE
 
@@ -90,6 +92,22 @@ def segment_streams(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("stream_id").applyInPandas(run, f"stream_id {kind}, segment_id int, segment string")
 
 
+def segment_rows(rows: DataFrame, chunks: str = "chunks") -> DataFrame:
+    """The same for streams that lie in one row each (chunks: an array, in order): the other columns, segment_id and segment, without a shuffle."""
+    others = [c for c in rows.columns if c != chunks]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [segments(c or "" for c in s.as_py() or ()) for s in batch.column(len(others))]
+            at = pa.array([k for k, g in enumerate(got) for _ in g], pa.int64())
+            new = [pa.array([n for g in got for n, _ in g], pa.int32()), pa.array([s for g in got for _, s in g], pa.string())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(len(others))), *new], names=[*others, "segment_id", "segment"])
+
+    plain = rows.select(*others, chunks)
+    schema = T.StructType([*plain.schema.fields[:-1], T.StructField("segment_id", T.IntegerType()), T.StructField("segment", T.StringType())])
+    return plain.mapInArrow(run, schema)
+
+
 def release_in_order(done: DataFrame) -> DataFrame:
     """Adds released_after: the completion (done_seq) with which a segment can be played, once all
     before it are complete. Failed segments (ok false) are passed over and hold nothing up."""

@@ -5,14 +5,18 @@ Every query takes (spark, sf_dir) and runs over its whole tables.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from talkloom.functions import text as X
 from talkloom.operators import events as E
-from talkloom.operators import retrieve, rounds, stream_text, trust
+from talkloom.operators import judge, retrieve, rounds, stream_text, trust
 from talkloom.operators.providers import MARKERS, contract_violations, provider
 from talkloom.sources import stores
+from talkloom.sources.scratch import shared_dir
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -204,10 +208,16 @@ def trust_stage_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.where(F.col("from_stage") != F.col("to_stage"))
 
 
-@query("""WITH k AS (SELECT event_id, regexp_replace(props, '[^-0-9]', '', 'g') AS s FROM events)
-SELECT event_id, CASE WHEN s = '' THEN 0 ELSE TRY_CAST(s AS INTEGER) END AS score FROM k""")
+#: Responses and the scores that they stand for (null: no whole number, and trust stays).
+_SCORES = [("2", 2), ("+2", 0), ('"+2"', 2), ("2.5", 25), ("[1,2]", 12), ('{"a-b": 2}', -2), ("-", 0), ("1-2", 0), ("评分：2", 0), ('"-"', None), ('"1-2"', None), ("null", 0), ("true", 0), ("", 0), ("```json\n-3\n```", -3), ("x ```\n4\n```", 4)]
+
+
+@query("SELECT event_id, CASE event_id % 17 " + " ".join(f"WHEN {k} THEN {'NULL' if n is None else n}" for k, (_, n) in enumerate(_SCORES)) + " ELSE TRY_CAST(regexp_extract(props, '[0-9]+') AS INTEGER) END AS score FROM events")
 def trust_score_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "events").select("event_id", X.parse_score(F.col("props")).alias("score"))
+    """Scores of responses of all kinds; every seventeenth is an object."""
+    k = (F.col("event_id") % 17).cast("int")
+    raw = F.when(k == 16, F.col("props")).otherwise(F.element_at(F.array(*[F.lit(x) for x, _ in _SCORES]), F.least(k, F.lit(15)) + 1))
+    return _table(spark, sf_dir, "events").select("event_id", X.parse_score(raw).alias("score"))
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -370,11 +380,33 @@ def stale_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.stale(files, F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")).select("event_id")
 
 
-@query()
+def _cut_sql() -> str:
+    """The rules of cutting, restated as SQL: one chunk a step, the pending text and the counts as state."""
+    marks = lambda m: "[" + m.replace(".", "\\.") + "]"
+    first = lambda m: f"length(regexp_extract(p, '^[^{m}]*{marks(m)}'))"
+    last = lambda m: f"length(regexp_extract(p, '(?s)^.*{marks(m)}'))"
+    pause = last(stream_text.PAUSE_MARKS)
+    at = f"""CASE WHEN trim(p, {_TRIM}) = '' THEN 0 WHEN {first(stream_text.END_MARKS)} > 0 THEN {first(stream_text.END_MARKS)}
+      WHEN cuts < {stream_text.EARLY} AND {first(stream_text.FIRST_MARKS)} > 0 THEN {first(stream_text.FIRST_MARKS)}
+      WHEN length(p) >= {stream_text.TARGET} AND {pause} > 0 AND length(p) - {pause} < {stream_text.TAIL} THEN {pause}
+      WHEN length(p) >= {stream_text.LONGEST} THEN CASE WHEN {last(stream_text.LAST_RESORT_MARKS)} > 0 THEN {last(stream_text.LAST_RESORT_MARKS)} ELSE {stream_text.LONGEST} END ELSE 0 END"""
+    said = "regexp_replace(regexp_replace(trim({}, " + _TRIM + "), '[\\x{{10000}}-\\x{{10FFFF}}]', '', 'g'), '[（(](?s:.*?)[）)]', '', 'g')"
+    return f"""WITH RECURSIVE c AS (SELECT conv_id, turn, string_split(text, ' ') AS ws FROM conversations WHERE role = 'assistant'),
+s(conv_id, turn, ws, k, rest, cuts, number, piece) AS (
+  SELECT conv_id, turn, ws, 0, '', 0, 0, '' FROM c
+  UNION ALL
+  SELECT conv_id, turn, ws, k + 1, CASE WHEN k = len(ws) THEN '' WHEN cut > 0 THEN trim(substring(p, cut + 1), {_TRIM}) ELSE p END,
+    cuts + CASE WHEN cut > 0 THEN 1 ELSE 0 END, number + CASE WHEN cut > 0 AND {said.format("left(p, cut)")} <> '' THEN 1 ELSE 0 END, CASE WHEN cut > 0 THEN {said.format("left(p, cut)")} ELSE '' END
+  FROM (SELECT *, CASE WHEN k = len(ws) THEN CASE WHEN trim(p, {_TRIM}) = '' THEN 0 ELSE length(p) END ELSE {at} END AS cut
+    FROM (SELECT *, CASE WHEN k = len(ws) THEN rest ELSE rest || ws[k + 1] || CASE WHEN k + 1 < len(ws) THEN ' ' ELSE '' END END AS p FROM s WHERE k <= len(ws)))
+) SELECT conv_id, turn, CAST(number AS INTEGER) AS segment_id, piece AS segment FROM s WHERE piece <> ''"""
+
+
+@query(_cut_sql())
 def sentence_stream_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents streamed word by word and cut into speakable pieces."""
-    words = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("stream_id"), F.posexplode(F.split("text", "(?<= )")).alias("chunk_seq", "chunk"))
-    return stream_text.segment_streams(words)
+    """Replies streamed word by word and cut into speakable pieces."""
+    replies = _table(spark, sf_dir, "conversations").where("role = 'assistant'")
+    return stream_text.segment_rows(replies.select("conv_id", "turn", F.split("text", "(?<= )").alias("chunks")))
 
 
 @query("""SELECT count(*) AS n_records, count(DISTINCT conv_id) AS n_conversations, CAST(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) AS BIGINT) AS n_user_turns FROM conversations""")
@@ -434,3 +466,81 @@ def profile_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     profiles = m.select("id").distinct().withColumn("document", F.lit(_layers_old()))
     judge = lambda ms: F.to_json(F.struct(F.size(ms).cast("string").alias("Behavior_Layer"), F.element_at(ms, -1)["topic"].alias("Concrete_Layer")))
     return update_profiles(profiles, m, judge)
+
+
+def _script(kind: str, inputs: Column) -> Column:
+    """A model for the queries below: plain, fenced, broken and failing responses, by conversation."""
+    told = {
+        "topic_init": '{"topic": " opening "}',
+        "topic_summary": '{"topic": " summary "}',
+        "content_summary": '{"content": "in short"}',
+        "keywords": '{"keywords": [" a", "", "b", "a"]}',
+        "user_activation": '{"Meta_Layer": "M", "Cognitive_Layer": null, "Other": 1}',
+        "own_activation": '{"Behavior_Layer": "B"}',
+        "user_update": '{"Meta_Layer": "U"}',
+        "own_update": '{"Concrete_Layer": "O"}',
+        "user_analysis": '{"present": {"emotion": "calm"}, "future": {"prediction": "more", "risk": 5}}',
+        "persona_analysis": '{"present": {"empathy": "warm"}, "future": {"action": "ask"}}',
+        "score": '{"score": 3}',
+        "reply": "well then\nso be it",
+    }[kind]
+    n = F.col("conv_id") % 4
+    return F.when(n == 0, F.lit(told)).when(n == 1, F.lit(f"so: ```json\n{told}\n```")).when(n == 2, F.lit("cannot say" if kind != "keywords" else '{"keywords": ["a", 3]}'))
+
+
+def _seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounds.build_records(_judged(spark, sf_dir), model=judge.Model(_script))
+
+
+@query(f"""SELECT conv_id, topic_no, CASE WHEN conv_id % 4 < 2 THEN 'summary' ELSE topic END AS topic, CASE WHEN conv_id % 4 < 2 THEN 'in short' ELSE content END AS content,
+  CASE WHEN conv_id % 4 < 2 THEN 'a,b' ELSE '' END AS keywords FROM ({_RECORDS.replace("{acc}", _accumulated_sql("analysis_topic"))})""")
+def model_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Topic, content and keywords from a model's responses, or their defaults."""
+    return _seen(spark, sf_dir).select("conv_id", "topic_no", "topic", "content", F.array_join("keywords", ",").alias("keywords"))
+
+
+@query(f"""WITH {_ROUNDS}, t AS (SELECT *, conv_id % 4 AS n, conv_id % 4 < 2 AS told, CAST(10 * round_no % 101 AS INTEGER) AS trust FROM rounds)
+SELECT conv_id, round_no, CASE WHEN told THEN 'M' ELSE 'm0' END AS user_meta, CASE WHEN told THEN NULL ELSE 'c0' END AS user_cognitive, 'b0' AS user_behavior,
+  CASE WHEN told THEN NULL ELSE 'm0' END AS own_meta, CASE WHEN told THEN 'B' ELSE 'b0' END AS own_behavior, CASE WHEN told THEN 'calm' ELSE '' END AS emotion, CASE WHEN told THEN 'more' ELSE '' END AS prediction,
+  CASE WHEN told THEN 'ask' ELSE '' END AS action, CASE n WHEN 0 THEN 'well |then' || chr(10) || '|so |be |it' WHEN 1 THEN 'so: |```json' || chr(10) || '|well |then' || chr(10) || '|so |be |it' || chr(10) || '|```' WHEN 2 THEN 'cannot |say' ELSE '{judge.APOLOGY}' END AS reply,
+  CASE WHEN trust < 30 THEN 'Initial (Suspicion)' WHEN trust < 80 THEN 'Process (Utilization)' ELSE 'Final (Symbiosis)' END AS stage,
+  CASE WHEN told THEN 3 ELSE 0 END AS change, least(100, trust + CASE WHEN told THEN 3 ELSE 0 END) AS trust_after FROM t""")
+def turn_judgements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole turns: both profiles activated, both sides analysed, the reply, and trust scored after it."""
+    r = rounds.pair_rounds(_table(spark, sf_dir, "conversations"))
+    turns = r.select("conv_id", "round_no", F.col("user_text").alias("message"), F.lit(_layers_old()).alias("user"), F.lit(_layers_old()).alias("own"), F.lit("[]").alias("records"), (10 * F.col("round_no") % 101).alias("trust"))
+    j = judge.judge_turns(turns, judge.Model(_script))
+    of = lambda doc, key, name: F.get_json_object(doc, f"$.{key}").alias(name)
+    return j.select(
+        "conv_id", "round_no", of("user_active", "Meta_Layer", "user_meta"), of("user_active", "Cognitive_Layer", "user_cognitive"), of("user_active", "Behavior_Layer", "user_behavior"),
+        of("own_active", "Meta_Layer", "own_meta"), of("own_active", "Behavior_Layer", "own_behavior"), F.col("profile.present.emotion").alias("emotion"), F.col("profile.future.prediction").alias("prediction"),
+        F.col("persona.future.action").alias("action"), F.array_join("chunks", "|").alias("reply"), "stage", "change", "trust_after",
+    )
+
+
+@query(f"""SELECT conv_id, CASE WHEN conv_id % 4 < 2 THEN 'U' ELSE 'm0' END AS user_meta, CASE WHEN conv_id % 4 < 2 THEN 'O' ELSE 'd0' END AS own_concrete
+FROM ({_RECORDS.replace("{acc}", _accumulated_sql("analysis_topic"))}) GROUP BY 1""")
+def model_profile_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both profiles after an update from all records, the agent's after the user's."""
+    m = rounds.build_records(_judged(spark, sf_dir)).select(F.col("conv_id").alias("id"), F.col("topic_no").alias("seq"), "topic")
+    profiles = m.select("id").distinct().select("id", F.lit(_layers_old()).alias("user"), F.lit(_layers_old()).alias("own"))
+    model = judge.Model(_script_by_id)
+    u = judge.update_profiles(profiles, m, model)
+    return u.select(F.col("id").alias("conv_id"), F.get_json_object("user", "$.Meta_Layer").alias("user_meta"), F.get_json_object("own", "$.Concrete_Layer").alias("own_concrete"))
+
+
+def _script_by_id(kind: str, inputs: Column) -> Column:
+    told = {"user_update": '{"Meta_Layer": "U"}', "own_update": '{"Concrete_Layer": "O"}'}[kind]
+    seen = F.lit(True) if kind == "user_update" else F.get_json_object(F.get_json_object(inputs, "$.user"), "$.Meta_Layer") == "U"
+    return F.when((F.col("id") % 4 < 2) & seen, F.lit(told)).otherwise("cannot say")
+
+
+@query("""SELECT conv_id, arg_max(text, turn) AS last_text, count(*) AS n FROM conversations GROUP BY 1""")
+def appended_store_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last record of each conversation in a store to which its turns were appended in three parts."""
+    path = f"{shared_dir(spark)}/talkloom-store-{uuid.uuid4().hex}"
+    c = _table(spark, sf_dir, "conversations")
+    for part in (c.where("turn < 2"), c.where("turn between 2 and 4"), c.where("turn > 4")):
+        stores.append_jsonl(part.select("conv_id", "turn", "text"), path, order=["turn", "conv_id"])
+    log = stores.read_jsonl(spark, path, T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("text", T.StringType())]))
+    return log.groupBy("conv_id").agg(F.max_by("text", "seq").alias("last_text"), F.count("*").alias("n"))

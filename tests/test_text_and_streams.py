@@ -30,12 +30,17 @@ def test_rounds_and_fallbacks(spark):
         query=X.expand_query(F.lit("q"), F.lit(""), F.lit("r")),
         document=X.record_document(F.lit("t"), F.lit("c"), F.array(F.lit("k1"), F.lit("k2")), F.lit("p"), F.lit("")),
         keywords=X.clean_keywords(F.array(*map(F.lit, [" a", "b ", "", "a"]))),
+        broken=X.clean_keywords(F.array(F.lit("a"), F.lit(None).cast("string"))),
+        listed=X.keywords_of(F.lit('```json\n{"keywords": [" a", "b"]}\n```')),
+        mixed=X.keywords_of(F.lit('{"keywords": ["a", 3]}')),
+        absent=X.keywords_of(F.lit("no json")),
         joined=X.ordered_distinct(F.array(*map(F.lit, ["b", "", "a", "b"]))),
     )
     assert got["round"] == "user: hi\nagent: "
     assert got["topic"] == ("user: 😀" + "x" * 40)[:30] and got["unnamed"] == X.UNNAMED_TOPIC
     assert (got["content"], got["short"]) == ("b\nc\nd", "a")
     assert got["query"] == "q r" and got["document"] == "t c k1 k2 p"
+    assert got["broken"] == [] and got["listed"] == ["a", "b"] and got["mixed"] == [] and got["absent"] == []
     assert got["keywords"] == ["a", "b"] and got["joined"] == "b | a"
 
 
@@ -52,7 +57,7 @@ def test_responses(spark):
     assert one(spark, none=X.fenced(F.lit("no fence")), null=F.to_json(X.parse_response(F.lit(None).cast("string")))) == {"none": None, "null": "{}"}
 
 
-@pytest.mark.parametrize("raw, loose, strict", [("2", 2, 2), ("-3", -3, -3), ("+2", 2, 2), ("2.5", 25, None), ("[1,2]", 12, None), ("", 0, None), ("-", None, None), ("1-2", None, None), ("[1,-2]", None, None), ("{'a-b': 2}", -2, None), (None, 0, None), ("9", 9, None)])
+@pytest.mark.parametrize("raw, loose, strict", [("2", 2, 2), ("-3", -3, -3), ("+2", 0, 2), ('"+2"', 2, None), ("2.5", 25, None), ("[1,2]", 12, None), ("", 0, None), ("-", 0, None), ('"-"', None, None), ("1-2", 0, None), ("评分：2", 0, None), ("[1,-2]", None, None), ('{"a-b": 2}', -2, None), (None, 0, None), ("9", 9, None)])
 def test_scores(spark, raw, loose, strict):
     assert one(spark, a=X.parse_score(F.lit(raw).cast("string")), b=X.parse_score(F.lit(raw).cast("string"), True)) == {"a": loose, "b": strict}
 
