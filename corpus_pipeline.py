@@ -34,8 +34,14 @@ def _unpacked(df: DataFrame, columns: list[str], *used: str) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter, and those that no language fits; learns from the labelled rows."""
+    """Drops documents without a letter, and those that no language fits; learns from the labelled rows.
+
+    Where no row has a label there is no language to fit: all documents with a letter stay. Null texts go;
+    an empty table stays empty.
+    """
     model = langid.train(docs, F.lit(True))
+    if not model.languages:
+        return docs.where(F.regexp_like("text", F.lit(r"\p{L}")))
     told = langid.predict(_packed(docs, "text"), model)
     kept = told.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
     return _unpacked(kept, docs.columns, "text")
@@ -44,7 +50,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of texts whose 5-word shingles are alike by 0.8 or more.
 
-    Documents without an id can't be told apart by one and stay; rows that repeat an id stay or go together.
+    Documents without an id can't be told apart by one and stay; rows that repeat an id stay or go together. Null
+    and empty texts are alike. An empty table stays empty.
     """
     groups = near_copies.near_duplicates(docs)
     gone = written(groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "near-duplicates")
@@ -54,7 +61,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts long strings that documents with smaller ids have; what is left of a cut character goes too.
 
-    A document of which nothing but white space is left goes.
+    A document of which nothing but white space is left goes, as do null texts. Documents without an id count as
+    the last ones. An empty table stays empty.
     """
     used = ("doc_id", "text", "n_chars")
     cut = suffix_dedup.dedup(_packed(docs, *used), keep=["_others"], decode=True)
@@ -63,14 +71,14 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item."""
+    """Drops documents that hold a benchmark item, by their ids; documents without one stay. With an empty benchmark all stay."""
     found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
     gone = written(found.where("doc_id is not null").select("doc_id").distinct(), "contaminated")
     return _without(docs, gone, gone.count()).select(*docs.columns)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of what is left, with the digests of the ids and of the decoded bytes."""
+    """Token ids of what is left, with the digests of the ids and of the decoded bytes. An empty table gives no rows."""
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     coded = bpe.encode(docs, ranks, public_tokenizers.PATTERN)
     return coded.select("doc_id", "lang", "source", "n_tokens", "token_ids", "ids_sha256", "decoded_sha256")
