@@ -409,6 +409,13 @@ def test_near_copies_match_brute_force(spark, documents):
     assert near_copies.near_duplicates(documents([])).count() == 0
 
 
+def test_language_stage_without_labels_keeps_what_has_letters(spark, documents):
+    import corpus_pipeline
+
+    docs = documents([(1, "some words", None), (2, "12 34", None), (3, None, None)])
+    assert [r["doc_id"] for r in corpus_pipeline.language_id(spark, docs, "").collect()] == [1]
+
+
 def test_pipeline_stage_drops_near_copies(spark, documents):
     import corpus_pipeline
 
