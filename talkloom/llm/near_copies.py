@@ -6,7 +6,8 @@ order for all texts, rare ones first. Of n shingles, a text in a link shares at
 one of its first n - ceil(s n) + 1 is among the first ones of the other text; pairs that meet in such
 a shingle pass a length filter and a position filter, and are then compared shingle by shingle.
 
-Any order is exact; which shingles are common is estimated on a bounded sample, for speed only.
+Any order is exact; which shingles are common, for speed, is counted over all texts: each task sends a
+bounded tally of the commonest it has seen, and the tallies are added.
 To keep a large group of copies from being compared pair by pair, each shingle's texts are first
 compared with one of them; pairs that are in one component by then aren't compared again.
 
@@ -31,8 +32,8 @@ from talkloom.llm.common import small_batches, written
 from talkloom.llm.components import components
 
 WORDS, SIMILARITY = 5, 0.8
-#: Texts in the sample that tells common shingles, the count there that makes one common, and how many are told at most.
-SAMPLE_ROWS, COMMON, MOST_COMMON = 20_000, 3, 200_000
+#: Entries of a task's tally of shingles, and how many common ones are told to all at most (16 bytes each).
+TALLY, MOST_COMMON = 1 << 17, 200_000
 #: Words whose hashes are kept; beyond that the cache starts anew.
 CACHE = 200_000
 
@@ -79,20 +80,64 @@ def prefix_length(n: int, similarity: float) -> int:
     return n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
 
 
+class Tally:
+    """Counts of the commonest shingles of a stream, in a table of at most `size` entries (lossy counting).
+
+    Whenever the table is full, the largest count that didn't fit is taken from all; so a count is too
+    low by at most the number of shingles seen, divided by `size`.
+    """
+
+    def __init__(self, size: int = TALLY):
+        self.size = size
+        self.keys, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.waiting: list[np.ndarray] = []
+        self.n_waiting = 0
+
+    def add(self, hashes: np.ndarray) -> None:
+        self.waiting.append(hashes)
+        self.n_waiting += len(hashes)
+        if self.n_waiting >= 4 * self.size:
+            self.merge()
+
+    def merge(self) -> None:
+        keys, n = np.unique(np.concatenate([*self.waiting, np.zeros(0, np.uint64)]), return_counts=True)
+        self.waiting, self.n_waiting = [], 0
+        both, at = np.unique(np.concatenate([self.keys, keys]), return_inverse=True)
+        counts = np.bincount(at, np.concatenate([self.counts, n]), len(both)).astype(np.int64)
+        if len(both) > self.size:
+            counts -= np.partition(counts, len(both) - self.size - 1)[len(both) - self.size - 1]
+        self.keys, self.counts = both[counts > 0], counts[counts > 0]
+
+
 def common_shingles(docs: DataFrame, text: str, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (sorted) and counts of the shingles that are common in a sample of the texts."""
+    """Hashes (sorted) and counts of the commonest shingles of all texts, MOST_COMMON at most.
+
+    Each task sends one bounded tally. A histogram of the added counts tells from which count on
+    the shingles are few enough; no task sorts them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hasher(words)
+        hashes, tally = Hasher(words), Tally()
         for batch in batches:
             for s in batch.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(hashes(s.as_py()).view(np.int64))], names=["shingle"])
-
-    some = docs.select(F.col(text).alias("text"))
-    share = min(1.0, SAMPLE_ROWS / max(1, some.count()))
-    some = some.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    counts = some.mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
-    got = counts.orderBy(F.desc("n"), "shingle").limit(MOST_COMMON).toArrow()
+                tally.add(hashes(s.as_py()))
+        tally.merge()
+        for i in range(0, len(tally.keys), 1 << 16):
+            part = slice(i, i + (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array(tally.keys[part].view(np.int64)), pa.array(tally.counts[part])], names=["shingle", "n"])
+
+    tallies = docs.select(F.col(text).alias("text")).mapInArrow(run, "shingle long, n long")
+    counts = tallies.groupBy("shingle").agg(F.sum("n").alias("n")).where("n > 1")
+    counts = written(counts.withColumn("step", F.floor(F.log2("n") * 8).cast("int")), "near-counts")
+    least, total = None, 0
+    for step, n in sorted(((r["step"], r["count"]) for r in counts.groupBy("step").count().collect()), reverse=True):
+        total += n
+        if total > MOST_COMMON:
+            break
+        least = step
+    if least is None:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    got = counts.where(F.col("step") >= least).select("shingle", "n").toArrow()
     shingles, n = got.column(0).to_numpy().astype(np.int64).view(np.uint64), got.column(1).to_numpy()
     order = np.argsort(shingles)
     return shingles[order], n[order]

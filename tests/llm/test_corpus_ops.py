@@ -409,6 +409,39 @@ def test_near_copies_match_brute_force(spark, documents):
     assert near_copies.near_duplicates(documents([])).count() == 0
 
 
+def test_tally_keeps_the_commonest():
+    from talkloom.llm import near_copies
+
+    rng = np.random.default_rng(4)
+    stream = np.concatenate([rng.integers(1 << 40, 1 << 41, 30_000), np.repeat(np.arange(20), 2_000)]).astype(np.uint64)
+    rng.shuffle(stream)
+    small, whole = near_copies.Tally(512), near_copies.Tally(1 << 20)
+    for part in np.array_split(stream, 300):
+        small.add(part)
+        whole.add(part)
+    small.merge()
+    whole.merge()
+    exact = Counter(stream.tolist())
+    assert dict(zip(whole.keys.tolist(), whole.counts.tolist())) == exact
+    got = dict(zip(small.keys.tolist(), small.counts.tolist()))
+    assert len(got) <= 512 and all(0 <= exact[k] - n <= len(stream) / 512 for k, n in got.items())
+    assert all(k in got for k in range(20))
+    empty = near_copies.Tally()
+    empty.merge()
+    assert not len(empty.keys)
+
+
+def test_common_shingles_are_told_up_to_the_bound(spark, documents, monkeypatch):
+    from talkloom.llm import near_copies
+
+    docs = documents([(k, "a b c d e" if k < 6 else "f g h i j" if k < 9 else f"{k} x y z w", None) for k in range(12)]).repartition(4)
+    assert near_copies.common_shingles(docs, "text", 5)[1].tolist() in ([6, 3], [3, 6])
+    monkeypatch.setattr(near_copies, "MOST_COMMON", 1)
+    assert near_copies.common_shingles(docs, "text", 5)[1].tolist() == [6]
+    monkeypatch.setattr(near_copies, "MOST_COMMON", 0)
+    assert not len(near_copies.common_shingles(docs, "text", 5)[1])
+
+
 def test_language_stage_without_labels_keeps_what_has_letters(spark, documents):
     import corpus_pipeline
 
