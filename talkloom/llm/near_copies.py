@@ -221,7 +221,8 @@ def links(rows: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -
     rest = a.join(b, (a.shingle == b.shingle) & close).select("src", "dst").distinct()
     tried = stars.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
     rest = written(rest.join(tried, ["src", "dst"], "left_anti"), "near-rest")
-    return first.union(verified(rest, rows, words, similarity))
+    # the first links' components as stars, which are shorter than their chains
+    return roots.select(F.col("node").alias("src"), F.col("root").alias("dst")).union(verified(rest, rows, words, similarity))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
