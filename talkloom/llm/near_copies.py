@@ -1,8 +1,9 @@
-"""Near copies by exact Jaccard similarity of word shingles: a prefix-filtered set-similarity join.
+"""Near copies by SimHash over word shingles, made whole by an exact set-similarity join.
 
 Two texts are linked when the sets of their word shingles have a Jaccard similarity of at least
-SIMILARITY. The join finds all such pairs; nothing in it is left to chance. Shingles stand in one
-order for all texts, rare ones first. Of n shingles, a text in a link shares at least ceil(s n), so
+SIMILARITY. SimHash's Golay keys (see simhash) find near-equal texts first, and each is compared
+with the least one found for it. Three bits of 64 reach no further than that, so a prefix-filtered
+join follows, which finds all pairs; nothing in it is left to chance. Shingles stand in one order for all texts, rare ones first. Of n shingles, a text in a link shares at least ceil(s n), so
 one of its first n - ceil(s n) + 1 is among the first ones of the other text; pairs that meet in such
 a shingle pass a length filter and a position filter, and are then compared shingle by shingle.
 
@@ -28,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from talkloom.llm import simhash
 from talkloom.llm.common import small_batches, written
 from talkloom.llm.components import components
 
@@ -144,7 +146,7 @@ def common_shingles(docs: DataFrame, text: str, words: int) -> tuple[np.ndarray,
 
 
 def shingled(docs: DataFrame, id_col: str, text: str, words: int, similarity: float) -> DataFrame:
-    """id, node (a hash of the shingle set), n (shingles), prefix (the first ones in the order) and text."""
+    """id, node (a hash of the shingle set), n (shingles), prefix (the first ones in the order), fp (SimHash) and text."""
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(common_shingles(docs, text, words))
@@ -155,21 +157,22 @@ def shingled(docs: DataFrame, id_col: str, text: str, words: int, similarity: fl
         hashes = Hasher(words)
         common, counts = shared.value
         for batch in batches:
-            node, size, prefix = [], [], []
+            node, size, prefix, fp = [], [], [], []
             for s in batch.column(1):
                 h = hashes(s.as_py())
                 node.append(xxhash.xxh64_intdigest(h.tobytes()))
                 size.append(len(h))
+                fp.append(simhash.fingerprint(s.as_py(), words))
                 weight = np.zeros(len(h), np.int64)
                 if len(common):
                     at = np.minimum(np.searchsorted(common, h), len(common) - 1)
                     weight = np.where(common[at] == h, counts[at], 0)
                 prefix.append(h[np.lexsort((h, weight))[: prefix_length(len(h), similarity)]].view(np.int64))
-            cols = [batch.column(0), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(size, pa.int32()), pa.array(prefix, pa.list_(pa.int64())), batch.column(1)]
-            yield pa.RecordBatch.from_arrays(cols, names=["id", "node", "n", "prefix", "text"])
+            cols = [batch.column(0), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(size, pa.int32()), pa.array(prefix, pa.list_(pa.int64())), pa.array(np.array(fp, np.uint64).view(np.int64)), batch.column(1)]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "node", "n", "prefix", "fp", "text"])
 
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
-    return plain.mapInArrow(run, "id long, node long, n int, prefix array<long>, text string")
+    return plain.mapInArrow(run, "id long, node long, n int, prefix array<long>, fp long, text string")
 
 
 def verified(pairs: DataFrame, rows: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -194,8 +197,25 @@ def verified(pairs: DataFrame, rows: DataFrame, words: int, similarity: float) -
     return pairs.join(left, "src").join(right, "dst").select("src", "dst", "a", "b").mapInArrow(run, "src long, dst long")
 
 
+def fingerprint_pairs(rows: DataFrame) -> DataFrame:
+    """src, dst: each node whose fingerprint is at most three bits from another's, with the least such one.
+
+    Of nodes with one fingerprint all pair with the least node; of fingerprints each pairs with the least
+    one near it. So pairs grow with the nodes, however large a group is.
+    """
+    nodes = rows.groupBy("node").agg(F.min("fp").alias("fp"))
+    hubs = written(nodes.groupBy("fp").agg(F.min("node").alias("hub")), "near-hubs")
+    same = nodes.join(hubs, "fp").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    near = simhash.links(hubs).groupBy("dst").agg(F.min("src").alias("src"))
+    low, high = hubs.select(F.col("fp").alias("src"), F.col("hub").alias("a")), hubs.select(F.col("fp").alias("dst"), F.col("hub").alias("b"))
+    pairs = same.union(near.join(low, "src").join(high, "dst").select("a", "b"))
+    return pairs.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"))
+
+
 def links(rows: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """src, dst: links that connect whatever the links of all pairs connect."""
+    near = written(fingerprint_pairs(rows), "near-fingerprints")
+    alike = written(verified(near, rows, words, similarity), "near-alike")
     nodes = rows.groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     keys = nodes.select("node", "n", F.posexplode("prefix").alias("at", "shingle"))
     # only shingles that two nodes share; hub is the one that all others meet first
@@ -207,8 +227,8 @@ def links(rows: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -
 
     stars = keys.where((F.col("hub.node") != F.col("node")) & fits(F.col("n"), F.col("hub.n")))
     stars = written(stars.select(F.col("hub.node").alias("src"), F.col("node").alias("dst")).distinct(), "near-stars")
-    first = written(verified(stars, rows, words, similarity), "near-links")
-    roots = written(components(first), "near-roots")
+    first = written(verified(stars.join(near, ["src", "dst"], "left_anti"), rows, words, similarity), "near-links")
+    roots = written(components(alike.union(first)), "near-roots")
 
     rooted = keys.join(roots, "node", "left").select("shingle", "node", "n", "at", F.coalesce("root", "node").alias("root"))
     mixed = rooted.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("shingle")

@@ -457,3 +457,17 @@ def test_pipeline_stage_drops_near_copies(spark, documents):
     copy = base[:40] + ["x", "y"] + base[42:]
     docs = documents([(1, " ".join(base), None), (2, " ".join(copy), None), (3, " ".join(reversed(base)), None)])
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [1, 3]
+
+
+def test_fingerprint_pairs_grow_with_the_texts_not_with_their_pairs(spark, documents):
+    from talkloom.llm import near_copies
+
+    rng = random.Random(14)
+    base = [f"w{rng.randrange(900)}" for _ in range(2000)]
+    texts = [" ".join(base[:k] + ["edit"] + base[k:]) for k in range(0, 2000, 50)]
+    rows = near_copies.shingled(documents([(i, t, None) for i, t in enumerate(texts)]), "doc_id", "text", 5, 0.8)
+    nodes = {r["node"] for r in rows.collect()}
+    pairs = [tuple(r) for r in near_copies.fingerprint_pairs(rows).collect()]
+    assert len(nodes) == 40 and 10 < len(pairs) < 40 and len(set(pairs)) == len(pairs)
+    assert all(a < b and {a, b} <= nodes for a, b in pairs)
+    assert near_copies.fingerprint_pairs(rows.limit(0)).count() == 0
