@@ -50,6 +50,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of texts whose 5-word shingles are alike by 0.8 or more.
 
+    SimHash's Golay keys find near-equal texts, and an exact join finds the pairs beyond three bits.
     Documents without an id can't be told apart by one and stay; rows that repeat an id stay or go together. Null
     and empty texts are alike. An empty table stays empty.
     """
