@@ -15,7 +15,7 @@ def plain(v):
     return round(v, 9) if isinstance(v, float) else v
 
 
-@pytest.mark.parametrize("name", ["op1_suffix_dedup", "op6_license_scan", "op9_embedding_pq"])
+@pytest.mark.parametrize("name", ["op1_suffix_dedup", "op6_license_scan", "op9_embedding_pq", "op11_line_dedup", "op12_spelling_variants", "op13_periodic_runs"])
 def test_query_equals_its_sql(spark, name):
     import duckdb
 
