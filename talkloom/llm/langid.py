@@ -9,7 +9,7 @@ the sample that training leaves out calibrates the probabilities.
 The classifier is fitted on the driver on a bounded sample of labelled rows: of every language that
 occurs, PER_LANGUAGE distinct texts (all, where it has fewer), chosen by a hash of the text, so that
 copies count once. With more than MANY_LANGUAGES languages each has a smaller share, LEAST_SHARE
-at least. Of a longer text the fit sees the first MAX_CHARS characters. Prediction reads every text whole.
+at least. Of a longer text the fit sees the first MAX_CHARS characters from its first letter on. Prediction reads every text whole.
 
 Defined results: "und" with score 0 where the text is null or has no letter, and everywhere if
 no labelled row exists. Ties go to the language first in order. Repeated rows are judged alike; texts of
@@ -141,7 +141,7 @@ def sample(docs: DataFrame, learn: Column, text: str, lang: str) -> list[tuple[s
     most = max(LEAST_SHARE, min(PER_LANGUAGE, PER_LANGUAGE * MANY_LANGUAGES // len(counts)))
     share = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, int((1 << 30) * min(1.0, 2 * most / max(1, n))))])
     # about twice as many as are taken, so that the window below sees a bounded number of each language
-    some = marked.where(F.col("mark") < F.element_at(share, F.col("lang"))).select("lang", "mark", F.substring("text", 1, MAX_CHARS).alias("text"))
+    some = marked.where(F.col("mark") < F.element_at(share, F.col("lang"))).select("lang", "mark", F.substring(F.regexp_replace("text", r"^\P{L}+", ""), 1, MAX_CHARS).alias("text"))
     some = some.groupBy("lang", "mark").agg(F.min("text").alias("text"))
     chosen = some.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("mark"))).where(F.col("place") <= most)
     got = chosen.select("text", "lang", F.xxhash64("mark", "lang").alias("h")).collect()

@@ -146,7 +146,7 @@ def common_shingles(docs: DataFrame, text: str, words: int) -> tuple[np.ndarray,
 
 
 def shingled(docs: DataFrame, id_col: str, text: str, words: int, similarity: float) -> DataFrame:
-    """id, node (a hash of the shingle set), n (shingles), prefix (the first ones in the order), fp (SimHash) and text."""
+    """id, mark (a hash of the text), node (a hash of the shingle set), n (shingles), prefix (the first ones in the order), fp (SimHash) and text."""
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(common_shingles(docs, text, words))
@@ -168,11 +168,11 @@ def shingled(docs: DataFrame, id_col: str, text: str, words: int, similarity: fl
                     at = np.minimum(np.searchsorted(common, h), len(common) - 1)
                     weight = np.where(common[at] == h, counts[at], 0)
                 prefix.append(h[np.lexsort((h, weight))[: prefix_length(len(h), similarity)]].view(np.int64))
-            cols = [batch.column(0), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(size, pa.int32()), pa.array(prefix, pa.list_(pa.int64())), pa.array(np.array(fp, np.uint64).view(np.int64)), batch.column(1)]
-            yield pa.RecordBatch.from_arrays(cols, names=["id", "node", "n", "prefix", "fp", "text"])
+            cols = [batch.column(0), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(size, pa.int32()), pa.array(prefix, pa.list_(pa.int64())), pa.array(np.array(fp, np.uint64).view(np.int64)), batch.column(1), batch.column(2)]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "node", "n", "prefix", "fp", "text", "mark"])
 
-    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
-    return plain.mapInArrow(run, "id long, node long, n int, prefix array<long>, fp long, text string")
+    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("mark"))
+    return plain.mapInArrow(run, "id long, node long, n int, prefix array<long>, fp long, text string, mark long")
 
 
 def verified(pairs: DataFrame, rows: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -245,11 +245,16 @@ def links(rows: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -
     return roots.select(F.col("node").alias("src"), F.col("root").alias("dst")).union(verified(rest, rows, words, similarity))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """id_col and component_id: the smallest id reachable by links."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY, marks: bool = False) -> DataFrame:
+    """id_col and component_id: the smallest id reachable by links.
+
+    With marks also mark, the hash of the row's text (of a column of any type, as F.xxhash64 has it), and component_mark, that of the
+    row that stands for its component: the one with the smallest id, then the smallest mark; without an id only if none has one.
+    """
     rows = written(shingled(docs, id_col, text, words, similarity), "shingled")
     roots = components(links(rows, words, similarity))
-    named = rows.groupBy("node").agg(F.min("id").alias("least")).join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "root").select("node", "component_id")
-    return rows.select("id", "node").join(named, "node").select(F.col("id").alias(id_col), "component_id")
+    first = F.struct(F.isnull("id").alias("none"), "id", "mark")
+    named = rows.groupBy("node").agg(F.min(first).alias("least")).join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
+    least = named.groupBy("root").agg(F.min("least").alias("least"))
+    named = named.join(least.select("root", F.col("least.id").alias("component_id"), F.col("least.mark").alias("component_mark")), "root").drop("root", "least")
+    return rows.select("id", "mark", "node").join(named, "node").select(F.col("id").alias(id_col), "component_id", *(["mark", "component_mark"] if marks else []))
