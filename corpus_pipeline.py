@@ -15,13 +15,15 @@ from talkloom.llm.common import table, written
 
 #: A document is rejected when no language has this probability.
 LEAST_SCORE = 0.5
-#: Ids (8 bytes each) that are sent to all executors at once; more are joined by shuffling.
-BROADCAST_IDS = 500_000
+#: Rows' names (16 bytes each) that are sent to all executors at once; more are joined by shuffling.
+BROADCAST_ROWS = 500_000
 
 
-def _without(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """docs without those ids (distinct, not null; n of them)."""
-    return docs.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "doc_id", "left_anti")
+def _without(docs: DataFrame, gone: DataFrame, name: str) -> DataFrame:
+    """docs without the rows that gone names by doc_id, null or not, and mark, the hash of their text: an id may be missing or repeated."""
+    gone = written(gone.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).distinct(), name)
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_mark")), "left_anti").select(*docs.columns)
 
 
 def _packed(docs: DataFrame, *used: str) -> DataFrame:
@@ -51,12 +53,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of texts whose 5-word shingles are alike by 0.8 or more.
 
     SimHash's Golay keys find near-equal texts, and an exact join finds the pairs beyond three bits.
-    Documents without an id can't be told apart by one and stay; rows that repeat an id stay or go together. Null
-    and empty texts are alike. An empty table stays empty.
+    Rows are told apart by id and text, so that those that repeat an id are judged alone and only equal rows stay or go together; rows
+    without an id stay only where no row of their group has one. Null and empty texts are alike. An empty table stays empty; texts of any length are read whole;
+    other columns are carried along, whatever their names.
     """
-    groups = near_copies.near_duplicates(docs)
-    gone = written(groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "near-duplicates")
-    return _without(docs, gone, gone.count()).select(*docs.columns)
+    groups = near_copies.near_duplicates(docs.select("doc_id", "text"), marks=True)
+    least = F.col("doc_id").eqNullSafe(F.col("component_id")) & ((F.col("mark") == F.col("component_mark")))
+    return _without(docs, groups.where(~least), "near-duplicates")
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,14 +75,21 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item, by their ids; documents without one stay. With an empty benchmark all stay."""
-    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
-    gone = written(found.where("doc_id is not null").select("doc_id").distinct(), "contaminated")
-    return _without(docs, gone, gone.count()).select(*docs.columns)
+    """Drops documents that hold a benchmark item, each by its id and text: a clean row that shares its id, or has none, stays.
+
+    With an empty benchmark all stay, null and empty texts too; an empty table stays empty; texts of any length are read whole; other columns are
+    carried along, whatever their names.
+    """
+    named = docs.select(F.struct("doc_id", F.xxhash64("text").alias("mark")).alias("row"), "text")
+    found = decontaminate.contaminated(named, table(spark, sf_dir, "benchmark"), id_col="row")
+    return _without(docs, found.select("row.*"), "contaminated")
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of what is left, with the digests of the ids and of the decoded bytes. An empty table gives no rows."""
+    """Token ids of what is left, with the digests of the ids and of the decoded bytes.
+
+    A null text counts as empty, repeated rows are coded alike, texts of any length whole; lang and source are carried along. An empty table gives no rows.
+    """
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     coded = bpe.encode(docs, ranks, public_tokenizers.PATTERN)
     return coded.select("doc_id", "lang", "source", "n_tokens", "token_ids", "ids_sha256", "decoded_sha256")
