@@ -471,3 +471,29 @@ def test_fingerprint_pairs_grow_with_the_texts_not_with_their_pairs(spark, docum
     assert len(nodes) == 40 and 10 < len(pairs) < 40 and len(set(pairs)) == len(pairs)
     assert all(a < b and {a, b} <= nodes for a, b in pairs)
     assert near_copies.fingerprint_pairs(rows.limit(0)).count() == 0
+
+
+def test_pipeline_tells_rows_apart_by_id_and_text(spark, tmp_path, documents):
+    import corpus_pipeline
+
+    rng = random.Random(15)
+    prose = lambda n: " ".join(f"w{rng.randrange(3000)}" for _ in range(n))
+    item, base, other = prose(30), prose(100), prose(60)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    near = " ".join(base.split()[:50] + ["x"] + base.split()[50:])
+    docs = documents([(1, base, None), (5, near, None), (5, prose(50), None), (None, near, None), (None, other, None), (None, other + " end", None), (7, None, None), (8, "", None)])
+    got = corpus_pipeline.near_dedup(spark, docs, str(tmp_path))
+    assert sorted(((r["doc_id"], r["text"] if r["doc_id"] != 7 else None) for r in got.where("doc_id is not null").collect()))[0] == (1, base)
+    assert sorted(r["doc_id"] for r in got.where("doc_id is not null").collect()) == [1, 5, 7]
+    assert [r["text"] in (other, other + " end") for r in got.where("doc_id is null").collect()] == [True] and got.columns == docs.columns
+    held = f"{prose(20)} {item} {prose(20)}"
+    docs = documents([(3, held, None), (3, other, None), (None, held, None), (None, base, None), (None, None, None), (4, None, None)])
+    got = corpus_pipeline.decontamination(spark, docs, str(tmp_path))
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in got.collect()) == sorted([(3, other), (0, base), (0, ""), (4, "")]) and got.columns == docs.columns
+
+
+def test_language_is_learned_from_the_first_letter_on(spark, documents):
+    from talkloom.llm import langid
+
+    docs = documents([(k, "1" * 10_050 + f" ein wort {k}", "de") for k in range(30)] + [(100 + k, f"some word {k}", "en") for k in range(30)])
+    assert langid.train(docs, F.lit(True)).languages == ["de", "en"]
