@@ -37,6 +37,10 @@ class Model:
     def __init__(self, respond: Respond):
         self.respond = respond
 
+    def column(self, df: DataFrame, name: str, judged: Callable[[Model], Column]) -> DataFrame:
+        """df with a judgement of this model as a column. What is to be judged are the rows of df, no more."""
+        return df.withColumn(name, judged(self))
+
     def topic_changed(self, history: Column, dialog: Column) -> Column:
         return flag(self.respond("topic_boundary", _inputs(history=history, dialog=dialog)), "topic_boundary", "topic_changed")
 
@@ -126,14 +130,15 @@ def judge_turns(turns: DataFrame, model: Model) -> DataFrame:
 
 
 def update_profiles(profiles: DataFrame, records: DataFrame, model: Model) -> DataFrame:
-    """id, user and own after an update from all of an id's records; without records nothing changes.
+    """id, user and own after an update from all of an id's records; without records nothing changes, and no call is made.
 
     profiles: id, user, own. records: id, seq and any other columns. The agent's update sees the user's.
     """
     others = [c for c in records.columns if c not in ("id", "seq")]
     lists = records.groupBy("id").agg(F.to_json(F.array_sort(F.collect_list(F.struct("seq", *others)))).alias("_records"))
-    some = F.col("_records").isNotNull()
-    joined = profiles.join(lists, "id", "left")
-    user = joined.withColumn("_user", F.when(some, model.update_user(F.col("user"), F.col("_records"))).otherwise(F.col("user")))
-    own = F.when(some, model.update_own(F.col("own"), F.col("_user"), F.col("_records"))).otherwise(F.col("own"))
-    return user.select("id", F.col("_user").alias("user"), own.alias("own"))
+    # in two parts: a condition in an expression doesn't hold back a call
+    seen = profiles.select("id", "user", "own").join(lists, "id")
+    seen = model.column(seen, "_user", lambda m: m.update_user(F.col("user"), F.col("_records")))
+    seen = model.column(seen, "_own", lambda m: m.update_own(F.col("own"), F.col("_user"), F.col("_records")))
+    unseen = profiles.join(lists.select("id"), "id", "left_anti")
+    return seen.select("id", F.col("_user").alias("user"), F.col("_own").alias("own")).unionByName(unseen.select("id", "user", "own"))

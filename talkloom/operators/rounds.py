@@ -70,11 +70,13 @@ def build_records(segmented: DataFrame, own_topic: bool = False, emit_open: bool
     """A topic record for each topic: conv_id, topic_no, is_open, n_rounds, topic, content, analyses.
 
     Topic and content are the fallbacks that need no model; with a model (see judge.Model) they are its
-    summaries, and keywords come with them. The last topic of a conversation is
+    summaries, and keywords come with them; where the rounds have open_topic (see wavefront), that is the name the topic had. The last topic of a conversation is
     still open; without emit_open it makes no record.
     """
     kept = segmented.where(~F.col("dropped"))
-    topics = kept.groupBy("conv_id", "topic_no").agg(_in_order(F.col("round_dialog")).alias("rounds"))
+    named = "open_topic" in segmented.columns
+    names = [F.min_by("open_topic", "round_no").alias("name")] if named else []
+    topics = kept.groupBy("conv_id", "topic_no").agg(_in_order(F.col("round_dialog")).alias("rounds"), *names)
     topics = topics.withColumn("is_open", F.col("topic_no") == F.max("topic_no").over(Window.partitionBy("conv_id")))
     if not emit_open:
         topics = topics.where(~F.col("is_open"))
@@ -83,8 +85,11 @@ def build_records(segmented: DataFrame, own_topic: bool = False, emit_open: bool
     if model is None:
         summaries = [X.topic_from_round(first).alias("topic"), X.last_rounds(rounds).alias("content")]
     else:
-        topic = model.topic_summary(rounds, model.first_topic(first))
-        summaries = [topic.alias("topic"), model.content_summary(rounds).alias("content"), model.keywords(rounds).alias("keywords")]
+        told = told if named else model.column(told, "name", lambda m: m.first_topic(first))
+        told = model.column(told, "_topic", lambda m: m.topic_summary(rounds, F.col("name")))
+        told = model.column(told, "_content", lambda m: m.content_summary(rounds))
+        told = model.column(told, "keywords", lambda m: m.keywords(rounds))
+        summaries = [F.col("_topic").alias("topic"), F.col("_content").alias("content"), "keywords"]
     return told.select(
         "conv_id",
         "topic_no",

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from talkloom.functions import text as X
 from talkloom.operators import events as E
-from talkloom.operators import judge, retrieve, rounds, stream_text, trust
+from talkloom.operators import judge, retrieve, rounds, stream_text, trust, wavefront
 from talkloom.operators.providers import MARKERS, contract_violations, provider
 from talkloom.sources import stores
 from talkloom.sources.scratch import shared_dir
@@ -499,6 +499,35 @@ def model_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _seen(spark, sf_dir).select("conv_id", "topic_no", "topic", "content", F.array_join("keywords", ",").alias("keywords"))
 
 
+def _script_by_history(kind: str, inputs: Column) -> Column:
+    """A model whose judgement of a round depends on the open topic: its rounds so far, and its name."""
+    of = lambda name: F.get_json_object(inputs, f"$.{name}")
+    told = {
+        "topic_boundary": lambda: (F.length(of("history")) + F.length(of("dialog")) > 900).alias("topic_changed"),
+        "noise": lambda: ((F.length(of("dialog")) + F.length(of("topic"))) % 3 == 0).alias("is_noise"),
+        "topic_init": lambda: F.substring(of("dialog"), F.lit(7), F.length(of("dialog")) % 10 + 3).alias("topic"),
+    }
+    return F.to_json(F.struct(told[kind]()))
+
+
+_FIRST_NAME = f"coalesce(nullif(trim(substring({{d}}, 7, CAST(length({{d}}) % 10 + 3 AS INTEGER)), {_TRIM}), ''), '')"
+
+
+@query(f"""WITH RECURSIVE {_ROUNDS}, run(conv_id, round_no, history, topic, topic_no, analysis_topic, boundary, dropped) AS (
+  SELECT conv_id, round_no, round_dialog, {_FIRST_NAME.format(d="round_dialog")}, 0, 0, false, false FROM rounds WHERE round_no = 1
+  UNION ALL
+  SELECT conv_id, round_no, CASE WHEN changed AND noise THEN history WHEN changed THEN d ELSE history || chr(10) || chr(10) || d END,
+    CASE WHEN changed AND NOT noise THEN {_FIRST_NAME.format(d="d")} ELSE topic END, topic_no + CASE WHEN changed AND NOT noise THEN 1 ELSE 0 END, topic_no, changed AND NOT noise, changed AND noise
+  FROM (SELECT r.conv_id, r.round_no, r.round_dialog AS d, history, topic, topic_no, length(history) + length(r.round_dialog) > 900 AS changed, (length(r.round_dialog) + length(topic)) % 3 = 0 AS noise
+    FROM run JOIN rounds r ON r.conv_id = run.conv_id AND r.round_no = run.round_no + 1)
+) SELECT conv_id, round_no, boundary, dropped, topic_no, analysis_topic, topic AS open_topic FROM run""")
+def model_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Topics by a model that sees each open topic as its own judgements have left it."""
+    r = rounds.pair_rounds(_table(spark, sf_dir, "conversations"))
+    told = wavefront.segment_with(r, judge.Model(_script_by_history))
+    return told.select("conv_id", "round_no", "boundary", "dropped", "topic_no", "analysis_topic", "open_topic")
+
+
 @query(f"""WITH {_ROUNDS}, t AS (SELECT *, conv_id % 4 AS n, conv_id % 4 < 2 AS told, CAST(10 * round_no % 101 AS INTEGER) AS trust FROM rounds)
 SELECT conv_id, round_no, CASE WHEN told THEN 'M' ELSE 'm0' END AS user_meta, CASE WHEN told THEN NULL ELSE 'c0' END AS user_cognitive, 'b0' AS user_behavior,
   CASE WHEN told THEN NULL ELSE 'm0' END AS own_meta, CASE WHEN told THEN 'B' ELSE 'b0' END AS own_behavior, CASE WHEN told THEN 'calm' ELSE '' END AS emotion, CASE WHEN told THEN 'more' ELSE '' END AS prediction,
