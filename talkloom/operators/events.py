@@ -26,15 +26,19 @@ def turn_frames(turns: DataFrame) -> DataFrame:
     return turns.select("turn_id", F.posexplode(events).alias("seq", "e")).select("turn_id", "seq", F.col("e.type").alias("type"), frame(F.col("e.type"), F.col("e.content")).alias("frame"))
 
 
+def parsed_frames(parts: DataFrame) -> DataFrame:
+    """stream_id, seq, type, content of the parts (stream_id, seq, part) that are data frames; what isn't one is passed over."""
+    parsed = parts.where(F.startswith("part", F.lit("data: "))).withColumn("e", F.from_json(F.substring("part", 7, 1 << 30), "type string, content string"))
+    return parsed.select("stream_id", "seq", F.col("e.type").alias("type"), F.col("e.content").alias("content"))
+
+
 def parse_frames(streams: DataFrame) -> DataFrame:
-    """stream_id, seq, type, content of the complete frames in text; what isn't a data frame is passed over.
+    """stream_id, seq, type, content of the complete data frames in text.
 
-    The tail after the last blank line is not complete and is left for later (see unfinished).
+    The tail after the last blank line is not complete and is left for later (see unfinished; streaming.stateful.frames carries it over).
     """
     parts = F.split("text", "\n\n")
-    whole = streams.select("stream_id", F.posexplode(F.slice(parts, 1, F.size(parts) - 1)).alias("seq", "part")).where(F.startswith("part", F.lit("data: ")))
-    parsed = whole.withColumn("e", F.from_json(F.substring("part", 7, 1 << 30), "type string, content string"))
-    return parsed.select("stream_id", "seq", F.col("e.type").alias("type"), F.col("e.content").alias("content"))
+    return parsed_frames(streams.select("stream_id", F.posexplode(F.slice(parts, 1, F.size(parts) - 1)).alias("seq", "part")))
 
 
 def unfinished(text: Column) -> Column:
@@ -42,7 +46,11 @@ def unfinished(text: Column) -> Column:
 
 
 def idle_sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
-    """user_id, session_start, session_end (of the last event) and n_events: runs without a longer gap."""
+    """user_id, session_start, session_end (of the last event) and n_events: runs of events less than gap apart.
+
+    An event that comes exactly gap after the last one begins the next session. (A conversation's topic is closed only when nothing was said for longer: see
+    rounds.after_silence.)
+    """
     w = F.session_window("ts", gap)
     return events.groupBy("user_id", w.alias("w")).agg(F.count("*").alias("n_events"), F.max("ts").alias("session_end")).select(
         "user_id", F.col("w.start").alias("session_start"), "session_end", "n_events"

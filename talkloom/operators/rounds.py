@@ -31,23 +31,38 @@ def pair_rounds(conversations: DataFrame) -> DataFrame:
     )
 
 
-def segment(rounds: DataFrame, changed: Column, noise: Column) -> DataFrame:
+def after_silence(idle: str = "30 minutes", ts: str = "ts") -> Column:
+    """Whether a round comes after a silence longer than idle: the conversation before it was over."""
+    last = F.max(ts).over(Window.partitionBy("conv_id").orderBy("round_no").rowsBetween(Window.unboundedPreceding, -1))
+    return F.coalesce(F.col(ts) - last > F.expr(f"INTERVAL {idle}"), F.lit(False))
+
+
+def segment(rounds: DataFrame, changed: Column, noise: Column, opens: Column | None = None) -> DataFrame:
     """Adds boundary, dropped, topic_no and analysis_topic.
 
     A changed round that isn't noise opens the next topic; one that is noise is dropped; both only
     from the second round on. analysis_topic is the topic open before the round was judged: to it
     the round's analyses count, even when the round opens the next topic or is dropped.
-    A flag that is null counts as false.
+    A flag that is null counts as false. A round for which opens holds (see after_silence) begins anew, as the first one does: it
+    isn't judged, opens the next topic, and its analyses are that topic's.
     """
-    later = F.col("round_no") > 1
+    fresh = F.coalesce(opens, F.lit(False)) if opens is not None else F.lit(False)
     changed, noise = F.coalesce(changed, F.lit(False)), F.coalesce(noise, F.lit(False))
     order = Window.partitionBy("conv_id").orderBy("round_no")
+    later = F.col("round_no") > 1
     b = F.col("boundary").cast("int")
-    return (
-        rounds.withColumns({"boundary": later & changed & ~noise, "dropped": later & changed & noise})
-        .withColumn("topic_no", F.sum(b).over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
-        .withColumn("analysis_topic", F.coalesce(F.sum(b).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int"))
-    )
+    before = F.coalesce(F.sum(b).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    topic = F.sum(b).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    if opens is None:
+        return (
+            rounds.withColumns({"boundary": later & changed & ~noise, "dropped": later & changed & noise})
+            .withColumn("topic_no", topic.cast("int"))
+            .withColumn("analysis_topic", before.cast("int"))
+        )
+    told = rounds.withColumn("_fresh", later & fresh)
+    told = told.withColumns({"boundary": F.col("_fresh") | (later & changed & ~noise), "dropped": later & ~F.col("_fresh") & changed & noise})
+    told = told.withColumn("topic_no", topic.cast("int")).withColumn("analysis_topic", before.cast("int"))
+    return told.withColumn("analysis_topic", F.when(F.col("_fresh"), F.col("topic_no")).otherwise(F.col("analysis_topic"))).drop("_fresh")
 
 
 def _in_order(value: Column) -> Column:

@@ -1,36 +1,76 @@
-"""Streaming forms of segmentation and trust: state by key, kept by the engine's state store.
+"""Streaming forms of segmentation, trust, release in order and event frames: state by key, kept by the engine's state store.
 
-Input must arrive in order within a key; rows of one micro-batch are sorted, order across batches is
-the source's duty.
+closed_topics, running_trust and pieces need their input in order within a key: rows of one micro-batch are sorted, order across batches
+is the source's duty, or that of in_order, which makes it from any order of arrival. frames puts its reads in order itself.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from talkloom.functions.text import UNNAMED_TOPIC, WHITE_SPACE
+from talkloom.operators.events import parsed_frames
 from talkloom.operators.rounds import ANALYSES
 from talkloom.operators.stream_text import Segmenter
 
 RECORD_SCHEMA = "conv_id long, topic_no int, n_rounds int, topic string, content string, " + ", ".join(f"{a} string" for a in ANALYSES)
 
 
+_TOPIC_COLUMNS = ["conv_id", "topic_no", "n_rounds", "topic", "content", *ANALYSES]
+_UNITS = {"second": 1_000, "minute": 60_000, "hour": 3_600_000, "day": 86_400_000}
+
+
+def _milliseconds(span: str) -> int:
+    """Of a span such as "30 minutes"."""
+    m = re.fullmatch(r"\s*(\d+)\s*(second|minute|hour|day)s?\s*", span)
+    if not m:
+        raise ValueError(f"no span of time: {span!r}")
+    return int(m[1]) * _UNITS[m[2]]
+
+
+def _at(ts: datetime | pd.Timestamp) -> int:
+    """Milliseconds of an event's time; one without a zone is taken as UTC."""
+    return round((ts if ts.tzinfo else ts.replace(tzinfo=timezone.utc)).timestamp() * 1000)
+
+
 class _Topics(StatefulProcessor):
-    """The open topic of each conversation: its rounds, and the analyses gathered so far."""
+    """The open topic of each conversation: its rounds, and the analyses gathered so far.
+
+    With idle (milliseconds) a conversation that has been silent for longer is over: its topic is closed, by a timer when the
+    watermark gets there, or by the round that comes after the silence, which opens the next one unjudged.
+    """
+
+    def __init__(self, idle: int | None = None):
+        self.idle = idle
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.open = handle.getValueState("open", "topic_no int, seen int, rounds array<string>, " + ", ".join(f"{a} array<string>" for a in ANALYSES))
+        self.handle = handle
+        self.open = handle.getValueState("open", "topic_no int, seen int, last long, rounds array<string>, " + ", ".join(f"{a} array<string>" for a in ANALYSES))
+
+    @staticmethod
+    def _record(key, topic_no: int, rounds: list[str], gathered: list[list[str]]) -> tuple:
+        topic = rounds[0][:30].strip(WHITE_SPACE) or UNNAMED_TOPIC
+        return (key[0], topic_no, len(rounds), topic, "\n".join(rounds[-3:]), *(" | ".join(dict.fromkeys(g)) for g in gathered))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         held = self.open.get() if self.open.exists() else None
-        topic_no, seen, rounds, *gathered = held if held else (0, 0, [], *([] for _ in ANALYSES))
-        rounds, gathered = list(rounds), [list(g) for g in gathered]
+        topic_no, seen, last, rounds, *gathered = held if held else (0, 0, None, [], *([] for _ in ANALYSES))
+        rounds, gathered, due = list(rounds), [list(g) for g in gathered], last
         out = []
         for r in pd.concat(list(rows)).sort_values("round_no").to_dict("records"):
+            if self.idle is not None:
+                now = _at(r["ts"])
+                if rounds and last is not None and now - last > self.idle:
+                    out.append(self._record(key, topic_no, rounds, gathered))
+                    topic_no, seen, rounds, gathered = topic_no + 1, 0, [], [[] for _ in ANALYSES]
+                last = now if last is None else max(last, now)
             for name, g in zip(ANALYSES, gathered):
                 if r[name]:
                     g.append(r[name])
@@ -38,21 +78,36 @@ class _Topics(StatefulProcessor):
             if seen > 1 and r["topic_changed"] is True:
                 if r["is_noise"] is True:
                     continue
-                topic = rounds[0][:30].strip(WHITE_SPACE) or UNNAMED_TOPIC
-                out.append((key[0], topic_no, len(rounds), topic, "\n".join(rounds[-3:]), *(" | ".join(dict.fromkeys(g)) for g in gathered)))
+                out.append(self._record(key, topic_no, rounds, gathered))
                 topic_no, rounds, gathered = topic_no + 1, [], [[] for _ in ANALYSES]
             rounds.append(r["round_dialog"])
-        self.open.update((topic_no, seen, rounds, *gathered))
-        yield pd.DataFrame(out, columns=["conv_id", "topic_no", "n_rounds", "topic", "content", *ANALYSES], dtype=object)
+        if self.idle is not None and last != due:
+            if due is not None:
+                self.handle.deleteTimer(due + self.idle + 1)
+            self.handle.registerTimer(last + self.idle + 1)
+        self.open.update((topic_no, seen, last, rounds, *gathered))
+        yield pd.DataFrame(out, columns=_TOPIC_COLUMNS, dtype=object)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        topic_no, _, last, rounds, *gathered = self.open.get()
+        if rounds:
+            # what stays is the number of the next topic; rounds from before the watermark don't come any more
+            self.open.update((topic_no + 1, 0, last, [], *([] for _ in ANALYSES)))
+            yield pd.DataFrame([self._record(key, topic_no, list(rounds), [list(g) for g in gathered])], columns=_TOPIC_COLUMNS, dtype=object)
 
     def close(self) -> None:
         pass
 
 
-def closed_topics(rounds: DataFrame) -> DataFrame:
+def closed_topics(rounds: DataFrame, idle: str | None = None) -> DataFrame:
     """topic records of topics as they close, from a stream of judged rounds (conv_id, round_no,
-    round_dialog, topic_changed, is_noise and the four analyses)."""
-    return rounds.groupBy("conv_id").transformWithStateInPandas(_Topics(), RECORD_SCHEMA, "Append", "None")
+    round_dialog, topic_changed, is_noise and the four analyses).
+
+    idle, such as "30 minutes": a conversation in which nothing was said for longer is over and its last topic is closed, once; the rounds need
+    a time (ts) with a watermark then. The batch form is rounds.segment with opens=rounds.after_silence(idle).
+    """
+    mode = "None" if idle is None else "EventTime"
+    return rounds.groupBy("conv_id").transformWithStateInPandas(_Topics(None if idle is None else _milliseconds(idle)), RECORD_SCHEMA, "Append", mode)
 
 
 class _Trust(StatefulProcessor):
@@ -98,3 +153,135 @@ class _Pieces(StatefulProcessor):
 def pieces(chunks: DataFrame) -> DataFrame:
     """stream_id, segment_id, segment from a stream of chunks (stream_id, chunk_seq, chunk, last)."""
     return chunks.groupBy("stream_id").transformWithStateInPandas(_Pieces(), "stream_id long, segment_id int, segment string", "Append", "None")
+
+
+class _InOrder(StatefulProcessor):
+    """Rows of a key wait, by their number, for those before them; what is next goes at once and takes along what has waited for it."""
+
+    def __init__(self, key: str, number: str, columns: list[T.StructField], first: int, limit: int | None, time: str, highest: str | None):
+        self.key, self.number, self.columns, self.first, self.limit, self.time, self.highest = key, number, [f.name for f in columns], first, limit, time, highest
+        self.schema = T.StructType(columns)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.at = handle.getValueState("at", "next long, released long, highest long, due long")
+        self.waiting = handle.getMapState("waiting", "number long", self.schema)
+
+    def _free(self, key, rows: list, state: list) -> Iterator[Row]:
+        """Releases these rows, which have the next numbers, and all that follow them without a gap."""
+        while rows:
+            row = rows.pop()
+            if self.highest is not None:
+                told = row[self.columns.index(self.highest)]
+                state[2] = told if state[2] is None else state[2] if told is None else max(state[2], told)
+            yield Row(**dict(zip(self.columns, row)), release=state[1], **({} if self.highest is None else {"released_after": state[2]}))
+            state[0], state[1] = state[0] + 1, state[1] + 1
+            if self.waiting.containsKey((state[0],)):
+                rows.append(tuple(self.waiting.getValue((state[0],))))
+                self.waiting.removeKey((state[0],))
+
+    def _watch(self, state: list) -> None:
+        """While rows wait, a timer stands at the time up to which the first of them waits."""
+        if self.limit is None:
+            return
+        i = self.columns.index(self.time)
+        due = min((_at(v[i]) + self.limit for _, v in self.waiting.iterator()), default=None)
+        if due != state[3]:
+            if state[3] is not None:
+                self.handle.deleteTimer(state[3])
+            if due is not None:
+                self.handle.registerTimer(due)
+            state[3] = due
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        state = list(self.at.get()) if self.at.exists() else [self.first, 0, None, None]
+        for row in rows:
+            number = row[self.number]
+            values = tuple(row[c] for c in self.columns)
+            if number is None or number < state[0]:
+                continue  # already out, or passed over
+            if number == state[0]:
+                yield from self._free(key, [values], state)
+            elif not self.waiting.containsKey((number,)):
+                self.waiting.updateValue((number,), values)
+        self._watch(state)
+        self.at.update(tuple(state))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        state = list(self.at.get())
+        state[3] = None
+        now, i = expiredTimerInfo.getExpiryTimeInMs(), self.columns.index(self.time) if self.limit is not None else 0
+        while True:  # the gap before the first row whose time is up is given up, and so are those before it
+            up = [k[0] for k, v in self.waiting.iterator() if _at(v[i]) + self.limit <= now]
+            if not up:
+                break
+            first = min(k[0] for k in self.waiting.keys())
+            state[0] = first
+            row = tuple(self.waiting.getValue((first,)))
+            self.waiting.removeKey((first,))
+            yield from self._free(key, [row], state)
+        self._watch(state)
+        self.at.update(tuple(state))
+
+    def close(self) -> None:
+        pass
+
+
+def in_order(rows: DataFrame, key: str, number: str, first: int = 1, limit: str | None = None, time: str = "ts", highest: str | None = None) -> DataFrame:
+    """The rows of a stream, each key's in the order of its numbers (integers from first on), and release: how many of the key went before.
+
+    A row waits until all numbers before its own have come, whatever order they come in. A number counts once: repeated rows are dropped, as are those
+    without a number. limit, such as "10 minutes": a row waits no longer than that after its own time, by the watermark of the
+    column time; then the missing ones before it are given up, and dropped should they come. highest adds released_after, the
+    largest value of that column so far: with the completion's number, batch's release_in_order.
+    """
+    columns = list(rows.schema.fields)
+    out = [*columns, T.StructField("release", T.LongType()), *([T.StructField("released_after", T.LongType())] if highest else [])]
+    span = None if limit is None else _milliseconds(limit)
+    p = _InOrder(key, number, columns, first, span, time, highest)
+    return rows.groupBy(key).transformWithState(p, T.StructType(out), "Append", "None" if limit is None else "EventTime")
+
+
+class _Frames(StatefulProcessor):
+    """The bytes of a stream after its last whole frame, and reads that came before their turn."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.at = handle.getValueState("at", "next long, seq long, tail binary")
+        self.early = handle.getMapState("early", "read_seq long", "data binary")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        nxt, seq, tail = self.at.get() if self.at.exists() else (0, 0, b"")
+        tail = bytes(tail)
+        for row in rows:
+            n, data = row["read_seq"], bytes(row["data"] or b"")
+            if n is None or n < nxt:
+                continue
+            if n > nxt:
+                self.early.updateValue((n,), (data,))
+                continue
+            while True:
+                # a character may be cut, a frame's end isn't: its bytes are no part of a longer character
+                *whole, tail = (tail + data).split(b"\n\n")
+                for part in whole:
+                    yield Row(stream_id=key[0], seq=seq, part=part.decode("utf-8", "replace"))
+                    seq += 1
+                nxt += 1
+                if not self.early.containsKey((nxt,)):
+                    break
+                data = bytes(self.early.getValue((nxt,))[0])
+                self.early.removeKey((nxt,))
+        self.at.update((nxt, seq, tail))
+
+    def close(self) -> None:
+        pass
+
+
+def frames(reads: DataFrame) -> DataFrame:
+    """stream_id, seq, type, content of the data frames of streams that arrive as reads of bytes (stream_id, read_seq from 0, data).
+
+    However a stream is cut into reads, in frames or in characters, and in whatever order they arrive, the frames are those that
+    events.parse_frames finds in the whole text. A null read is empty; a read that is repeated counts once; bytes that are no UTF-8 are replaced.
+    """
+    kind = reads.schema["stream_id"].dataType
+    out = T.StructType([T.StructField("stream_id", kind), T.StructField("seq", T.IntegerType()), T.StructField("part", T.StringType())])
+    return parsed_frames(reads.groupBy("stream_id").transformWithState(_Frames(), out, "Append", "None"))
