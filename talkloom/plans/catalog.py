@@ -15,8 +15,10 @@ from talkloom.functions import text as X
 from talkloom.operators import events as E
 from talkloom.operators import judge, retrieve, rounds, stream_text, trust, wavefront
 from talkloom.operators.providers import MARKERS, contract_violations, provider
-from talkloom.sources import stores
-from talkloom.sources.scratch import shared_dir
+from talkloom.sources import store_source, stores
+from talkloom.sources.scratch import shared_dir, written
+from talkloom.streaming import stateful
+from talkloom.streaming.drain import drained
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -573,3 +575,75 @@ def appended_store_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
         stores.append_jsonl(part.select("conv_id", "turn", "text"), path, order=["turn", "conv_id"])
     log = stores.read_jsonl(spark, path, T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("text", T.StringType())]))
     return log.groupBy("conv_id").agg(F.max_by("text", "seq").alias("last_text"), F.count("*").alias("n"))
+
+
+#: Rounds of a conversation are as many minutes after the one before as the user's text has characters, modulo 50.
+_PAUSE = "length(coalesce(user_text, '')) % 50"
+_IDLE_RECORDS = (
+    _RECORDS.replace("{acc}", _accumulated_sql("analysis_topic"))
+    .replace("SELECT *, round_no > 1 AND topic_changed AND NOT is_noise AS boundary, round_no > 1 AND topic_changed AND is_noise AS dropped FROM flagged",
+             f"SELECT *, fresh OR round_no > 1 AND topic_changed AND NOT is_noise AS boundary, NOT fresh AND round_no > 1 AND topic_changed AND is_noise AS dropped FROM (SELECT *, round_no > 1 AND {_PAUSE} > 30 AS fresh FROM flagged)")
+    .replace("CAST(coalesce(sum(CAST(boundary AS INTEGER)) OVER (PARTITION BY conv_id ORDER BY round_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS analysis_topic",
+             "CAST(coalesce(sum(CAST(boundary AS INTEGER)) OVER (PARTITION BY conv_id ORDER BY round_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + CASE WHEN fresh THEN 1 ELSE 0 END AS INTEGER) AS analysis_topic")
+)
+
+
+@query(f"SELECT conv_id, topic_no, n_rounds, topic, content, {', '.join(rounds.ANALYSES)} FROM ({_IDLE_RECORDS})")
+def stream_idle_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Topics of a stream of rounds, closed by the next one or by more than 30 minutes of silence, the last ones by a timer; over two restarts."""
+    from pyspark.sql import Window
+
+    p = provider("offline")
+    r = p.analyses(p.flags(rounds.pair_rounds(_table(spark, sf_dir, "conversations"))))
+    pause = F.length(X.text_or_empty(F.col("user_text"))) % 50
+    minutes = F.sum(pause).over(Window.partitionBy("conv_id").orderBy("round_no"))
+    columns = ["conv_id", "round_no", "round_dialog", "topic_changed", "is_noise", *rounds.ANALYSES]
+    r = written(r.select(*columns, F.timestamp_seconds(F.unix_timestamp(F.lit("2024-01-01 00:00:00")) + 60 * minutes).alias("ts")), "timed")
+    end = F.lit("2030-01-01 00:00:00").cast("timestamp")
+    last = r.limit(1).select(F.lit(-1).cast("long").alias("conv_id"), F.lit(1).alias("round_no"), *columns[2:], end.alias("ts"))
+    got = drained([r, last], lambda s: stateful.closed_topics(s.withWatermark("ts", "1 minute"), idle="30 minutes"), "idle", partitions=8)
+    return got.where("conv_id >= 0")
+
+
+@query(ORACLE_SQL["segments_in_order"])
+def stream_segments_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a stream, in which completions arrive in no order."""
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    done = _table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("stream_id"), F.row_number().over(order).alias("segment_id"), F.col("event_id").alias("done_seq"), (F.col("event_type") != "error").alias("ok")
+    )
+    done = written(done.repartition("done_seq").sortWithinPartitions(F.xxhash64("done_seq")), "done")
+    half = F.xxhash64("done_seq") % 2 == 0
+    got = drained([done.where(half), done.where(~half)], lambda s: stateful.in_order(s, "stream_id", "segment_id", highest="done_seq"), "order", partitions=8)
+    return got.where("ok").select("stream_id", "segment_id", "done_seq", "released_after")
+
+
+@query(ORACLE_SQL["sse_parse"])
+def stream_sse_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event streams that arrive as reads of 7 to 70 bytes, cut in frames and characters and out of order, parsed as they come."""
+    f = E.turn_frames(_turns(spark, sf_dir)).groupBy("turn_id").agg(F.array_sort(F.collect_list(F.struct("seq", "frame"))).alias("fs"))
+    text = F.concat(F.array_join(F.transform("fs", lambda x: x["frame"]), ""), F.lit('data: {"type":"chu'))
+    raw = f.select(F.col("turn_id").alias("stream_id"), F.encode(text, "utf-8").alias("raw"), (7 + F.col("turn_id") % 64).cast("int").alias("size"))
+    starts = F.sequence(F.lit(0), F.floor((F.octet_length("raw") - 1) / F.col("size")).cast("int"))
+    reads = raw.select("stream_id", "raw", "size", F.explode(starts).alias("n")).select("stream_id", F.col("n").cast("long").alias("read_seq"), F.substring("raw", F.col("n") * F.col("size") + 1, F.col("size")).alias("data"))
+    reads = written(reads.repartition("read_seq", "stream_id"), "reads")
+    half = F.xxhash64("read_seq") % 2 == 0
+    return drained([reads.where(half), reads.where(~half)], stateful.frames, "frames", partitions=8)
+
+
+@query("SELECT conv_id, turn, CAST(row_number() OVER (ORDER BY conv_id, turn) - 1 AS BIGINT) AS seq, trim(text, ' ') AS text FROM conversations WHERE role = 'user'")
+def store_source_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records appended to a store in two writes, streamed from it to another, and read there: each once, with its number."""
+    store_source.register(spark)
+    at = f"{shared_dir(spark)}/talkloom-records-{uuid.uuid4().hex}"
+    said = _table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", F.btrim("text", F.lit(" ")).alias("text"))
+    middle = said.agg(F.percentile_approx("conv_id", 0.5)).first()[0] or 0
+    for part in (said.where(F.col("conv_id") <= middle), said.where(F.col("conv_id") > middle)):
+        store_source.as_lines(part.orderBy("conv_id", "turn")).write.format("records").mode("append").save(f"{at}/a")
+        stream = spark.readStream.format("records").load(f"{at}/a").select("line")
+        q = stream.writeStream.format("records").option("txn", "copy").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start(f"{at}/b")
+        q.awaitTermination()
+    fields = T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("turn", T.LongType()), T.StructField("text", T.StringType())])
+    return store_source.from_lines(spark.read.format("records").load(f"{at}/b"), fields)

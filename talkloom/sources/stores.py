@@ -66,15 +66,15 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.where(F.btrim("line") != "")
 
 
-def _parsed(spark: SparkSession, path: str) -> DataFrame:
+def good(lines: DataFrame) -> DataFrame:
+    """Adds good: whether the line is a JSON object."""
     kind = F.schema_of_variant(F.try_parse_json("line"))
-    return read_lines(spark, path).withColumn("good", F.coalesce(F.startswith(kind, F.lit("OBJECT")), F.lit(False)))
+    return lines.withColumn("good", F.coalesce(F.startswith(kind, F.lit("OBJECT")), F.lit(False)))
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: T.StructType = RECORD) -> DataFrame:
-    """The records with their seq. Lines that aren't JSON objects are skipped; fields that are
-    missing or null are empty strings (or empty arrays) where the schema has strings (arrays)."""
-    lines = _parsed(spark, path).where("good").withColumn("r", F.from_json("line", schema))
+def parsed_records(lines: DataFrame, schema: T.StructType) -> DataFrame:
+    """seq and the fields of the good lines; missing or null ones are empty strings (or empty arrays) where the schema has strings (arrays)."""
+    lines = lines.where("good").withColumn("r", F.from_json("line", schema))
     cols = []
     for f in schema.fields:
         c = F.col(f"r.{f.name}")
@@ -86,9 +86,15 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType = RECORD) ->
     return lines.select("seq", *cols)
 
 
+def read_jsonl(spark: SparkSession, path: str, schema: T.StructType = RECORD) -> DataFrame:
+    """The records with their seq. Lines that aren't JSON objects are skipped; fields that are
+    missing or null are empty strings (or empty arrays) where the schema has strings (arrays)."""
+    return parsed_records(good(read_lines(spark, path)), schema)
+
+
 def bad_lines(spark: SparkSession, path: str) -> DataFrame:
     """seq and line of the lines that read_jsonl skips."""
-    return _parsed(spark, path).where(~F.col("good")).select("seq", "line")
+    return good(read_lines(spark, path)).where(~F.col("good")).select("seq", "line")
 
 
 def append_jsonl(records: DataFrame, path: str, columns: list[str] | None = None, order: list[str] | None = None) -> None:
