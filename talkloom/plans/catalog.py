@@ -6,6 +6,7 @@ Every query takes (spark, sf_dir) and runs over its whole tables.
 from __future__ import annotations
 
 import uuid
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from pyspark.sql import types as T
 
 from talkloom.functions import text as X
 from talkloom.operators import events as E
-from talkloom.operators import judge, retrieve, rounds, stream_text, trust, wavefront
+from talkloom.operators import asof, judge, refresh, retrieve, rounds, stream_text, trust, wavefront
 from talkloom.operators.providers import MARKERS, contract_violations, provider
 from talkloom.sources import store_source, stores
 from talkloom.sources.scratch import shared_dir, written
@@ -647,3 +648,41 @@ def store_source_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
         q.awaitTermination()
     fields = T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("turn", T.LongType()), T.StructField("text", T.StringType())])
     return store_source.from_lines(spark.read.format("records").load(f"{at}/b"), fields)
+
+
+@query(f"""{_PREFIX}, last AS (SELECT user_id, ts, arg_max(trust_score, event_id) AS trust_score FROM (SELECT r.user_id, e.ts, r.event_id, r.trust_score FROM r JOIN events e USING (event_id)) GROUP BY ALL),
+t AS (SELECT conv_id, turn, conv_id % 60 AS user_id, TIMESTAMP '2024-01-01' + to_minutes(CAST((conv_id * 7919 + turn * 613) % 43200 AS INTEGER)) AS ts FROM conversations WHERE role = 'user')
+SELECT t.conv_id, t.turn, coalesce(trust_score, 0) AS trust, {_STAGE.format(t='coalesce(trust_score, 0)')} AS stage FROM t ASOF LEFT JOIN last ON t.user_id = last.user_id AND t.ts > last.ts""")
+def trust_as_of_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trust and stage that each user turn finds: those after the user's last event before it."""
+    minutes = (F.col("conv_id") * 7919 + F.col("turn") * 613) % 43200
+    ts = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), minutes.cast("int"))
+    turns = _table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", (F.col("conv_id") % 60).alias("user_id"), ts.alias("ts"))
+    scores = trust.running_trust(_scored(spark, sf_dir)).select("user_id", "ts", "event_id", F.col("trust_score").alias("trust"))
+    told = asof.asof_join(turns, scores, ["user_id"], "ts", ["trust"], tie=["event_id"])
+    found = F.coalesce("trust", F.lit(0))
+    return told.select("conv_id", "turn", found.alias("trust"), X.trust_stage(found).alias("stage"))
+
+
+def _counting_script(kind: str, inputs: Column) -> Column:
+    """Tells how many records it was given; the agent's part tells what it sees of the user's."""
+    n = F.coalesce(F.size(F.from_json(F.get_json_object(inputs, "$.records"), "array<struct<seq: int>>")), F.lit(0))
+    if kind == "user_update":
+        return F.to_json(F.struct(n.cast("string").alias("Meta_Layer")))
+    return F.to_json(F.struct(F.get_json_object(F.get_json_object(inputs, "$.user"), "$.Meta_Layer").alias("Concrete_Layer")))
+
+
+@query(f"""SELECT conv_id AS id, CAST(max(topic_no) AS BIGINT) AS seen, CAST(count(*) AS VARCHAR) AS user_meta, CAST(count(*) AS VARCHAR) AS own_concrete,
+  CASE WHEN count(*) > 1 THEN 50 ELSE 25 END AS refreshed_hour
+FROM ({_RECORDS.replace("{acc}", _accumulated_sql("analysis_topic"))}) GROUP BY 1""")
+def profiles_refreshed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles entered, refreshed a day later from the records there are, left alone while they aren't due, and refreshed again where records have come."""
+    path = f"{shared_dir(spark)}/talkloom-profiles-{uuid.uuid4().hex}"
+    m = written(rounds.build_records(_judged(spark, sf_dir)).select(F.col("conv_id").alias("id"), F.col("topic_no").alias("seq"), "topic"), "records")
+    profiles = m.select("id").distinct().select("id", F.lit(_layers_old()).alias("user"), F.lit(_layers_old()).alias("own"))
+    model, start = judge.Model(_counting_script), datetime(2024, 1, 1)
+    for hour, there in ((0, m), (25, m.where("seq = 0")), (26, m), (50, m), (80, m)):
+        out = refresh.refresh(path, profiles, there, model, start + timedelta(hours=hour))
+    of = lambda doc, key, name: F.get_json_object(doc, f"$.{key}").alias(name)
+    hours = F.timestamp_diff("HOUR", F.lit(start).cast("timestamp"), F.col("refreshed")).cast("int")
+    return out.select("id", "seen", of("user", "Meta_Layer", "user_meta"), of("own", "Concrete_Layer", "own_concrete"), hours.alias("refreshed_hour"))
