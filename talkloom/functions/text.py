@@ -97,9 +97,20 @@ def parse_response(response: Column) -> Column:
     return F.coalesce(F.try_parse_json(json_text(response)), F.parse_json(F.lit("{}")))
 
 
+def _as_printed(told: Column) -> Column:
+    """JSON text with its numbers as they are printed once parsed: without zeros that end a fraction (but one), a number that stands alone also without
+    an exponent; and with the digits and minus signs that a text spells by escapes."""
+    plain = F.regexp_replace(F.regexp_replace(told, r"\\u003([0-9])", "$1"), r"\\u002[dD]", "-")
+    # a text is kept as it is, a fraction up to its last digit that counts
+    trimmed = F.regexp_replace(plain, r'("(?:[^"\\]|\\.)*")|(\.[0-9]*?[1-9])0+(?![0-9])|(\.0)0+(?![0-9])', "$1$2$3")
+    alone = F.regexp_like(told, F.lit(r"^-?[0-9]+(\.[0-9]+)?[eE][+-]?[0-9]+$"))
+    return F.when(alone, told.try_cast("double").cast("string")).otherwise(trimmed)
+
+
 def parse_score(value: Column, strict: bool = False) -> Column:
     """A score's integer. The response is read as JSON first (fenced or not; what isn't JSON counts as an empty
     object), and then the digits and minus signs of that value's text are the number; empty: 0; not an integer: null.
+    The value's text is that of what was parsed: 2.50 is 25, 1000.0 and 1e3 are 10000 (an exponent within a list or an object is left as written).
 
     strict: only a whole number from -5 to 5 counts, else null.
     """
@@ -108,7 +119,7 @@ def parse_score(value: Column, strict: bool = False) -> Column:
         return F.when(n.between(-5, 5), n)
     told = json_text(value)
     # a text is its JSON string, so that the signs and digits of all kinds of values are kept alike
-    kept = F.regexp_replace(F.when(F.try_parse_json(told).isNotNull(), told).otherwise(""), "[^-0-9]", "")
+    kept = F.regexp_replace(F.when(F.try_parse_json(told).isNotNull(), _as_printed(told)).otherwise(""), "[^-0-9]", "")
     return F.when(kept == "", F.lit(0)).otherwise(kept.try_cast("int"))
 
 

@@ -64,10 +64,12 @@ def provider(name: str, **options) -> Provider:
 
 
 def contract_violations(rows: DataFrame) -> DataFrame:
-    """Checks the limits that the contracts state: topic (20 characters), keywords (5 to 10, of 5
-    characters each), score (-5 to 5). Adds violations, an array of names; absent columns aren't checked."""
+    """Checks the limits that the contracts state: topic (20 characters), a topic's summary (topic_summary, 30) and its content
+    (300), keywords (5 to 10, of 5 characters each), score (-5 to 5). Adds violations, an array of names; absent columns aren't checked."""
     checks = {
         "topic_length": ("topic", lambda c: F.length(c) > 20),
+        "topic_summary_length": ("topic_summary", lambda c: F.length(c) > 30),
+        "content_length": ("content", lambda c: F.length(c) > 300),
         "keyword_count": ("keywords", lambda c: ~F.size(c).between(5, 10)),
         "keyword_length": ("keywords", lambda c: F.exists(c, lambda k: F.length(k) > 5)),
         "score_range": ("score", lambda c: F.abs(c) > 5),

@@ -11,13 +11,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from talkloom.functions import text as X
+from talkloom.operators import lexical_index
 
 TOP_K, THRESHOLD = 5, 0.3
-BLOCK_QUERIES = 20_000
+BLOCK_BYTES = 32 << 20
 
 
 def _normal(x: np.ndarray) -> np.ndarray:
@@ -30,15 +30,21 @@ def _best(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def dense_top_k(queries: DataFrame, records: DataFrame, k: int = TOP_K, threshold: float | None = THRESHOLD, others_only: bool = False) -> DataFrame:
-    """query_id, record_id, similarity, rank. Both sides have id and vec (array of a number, one length).
+def usable(vec: Column) -> Column:
+    """Whether a vector can be compared: not null or empty, and all its parts are numbers and finite."""
+    bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+    return F.coalesce((F.size(vec) > 0) & ~F.exists(vec, bad), F.lit(False))
 
-    A zero vector is similar to nothing (0). others_only leaves out the record with the query's id.
+
+def dense_top_k(queries: DataFrame, records: DataFrame, k: int = TOP_K, threshold: float | None = THRESHOLD, others_only: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """query_id, record_id, similarity, rank. Both sides have id and vec (array of a number).
+
+    A query is compared with the records whose vectors have its length. Vectors that are null or empty, or have a part that is null, NaN or infinite,
+    are compared with nothing; a zero vector is similar to nothing (0). others_only leaves out the record with the query's id. Queries
+    travel to the data in blocks of so many bytes, of one length each.
     """
     spark = records.sparkSession
-    n_blocks = -(-queries.count() // BLOCK_QUERIES)
-    plain = records.where("id is not null and vec is not null").select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"))
-    asked = queries.where("id is not null and vec is not null").select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"))
+    plain, asked = (t.select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec")).where(F.col("id").isNotNull() & usable(F.col("vec"))) for t in (records, queries))
     out = spark.createDataFrame([], "query_id long, record_id long, similarity double")
     least = -2.0 if threshold is None else threshold
 
@@ -49,7 +55,7 @@ def dense_top_k(queries: DataFrame, records: DataFrame, k: int = TOP_K, threshol
                 if not batch.num_rows:
                     continue
                 rid = batch.column(0).to_numpy()
-                x = _normal(batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(rid), -1))
+                x = _normal(batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(rid), q.shape[1]))
                 by_id = np.argsort(rid, kind="stable")
                 rid, x = rid[by_id], x[by_id]
                 for i in range(0, len(qid), 1024):
@@ -63,31 +69,24 @@ def dense_top_k(queries: DataFrame, records: DataFrame, k: int = TOP_K, threshol
 
         return run
 
-    for b in range(n_blocks):
-        rows = asked.where(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == b).collect()
-        if rows:
-            block = np.array([r["id"] for r in rows], np.int64), _normal(np.array([r["vec"] for r in rows], np.float64))
-            out = out.union(plain.mapInArrow(scorer(spark.sparkContext.broadcast(block)), out.schema))
+    for length, n in sorted((r["l"], r["count"]) for r in asked.groupBy(F.size("vec").alias("l")).count().collect()):
+        n_blocks = -(-n * 8 * length // block_bytes)
+        for b in range(n_blocks):
+            rows = asked.where((F.size("vec") == length) & (F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == b)).collect()
+            if rows:
+                block = np.array([r["id"] for r in rows], np.int64), _normal(np.array([r["vec"] for r in rows], np.float64))
+                out = out.union(plain.where(F.size("vec") == length).mapInArrow(scorer(spark.sparkContext.broadcast(block)), out.schema))
     return _best(out, k)
 
 
 def lexical_top_k(queries: DataFrame, records: DataFrame, k: int = TOP_K, threshold: float = THRESHOLD) -> DataFrame:
     """query_id, record_id, similarity, rank by the cosine of word counts. Both sides have id and text.
 
-    Records meet queries on shared words only (an inverted index); words no query has drop out before.
+    Records are indexed in their tasks and answer there (see lexical_index); search_index does the same with an index that was kept.
     """
+    return search_index(queries, lexical_index.shards(records), k, threshold)
 
-    def counts(t: DataFrame) -> DataFrame:
-        return t.select("id", F.explode(X.words(F.col("text"))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
-
-    def norms(c: DataFrame) -> DataFrame:
-        return c.groupBy("id").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf")).cast("double")).alias("norm"))
 
-    q, r = counts(queries), counts(records)
-    pairs = q.select(F.col("id").alias("query_id"), "term", F.col("tf").alias("qf")).join(r.select(F.col("id").alias("record_id"), "term", "tf"), "term")
-    dots = pairs.groupBy("query_id", "record_id").agg(F.sum(F.col("qf") * F.col("tf")).cast("double").alias("dot"))
-    placed = dots.join(norms(q).select(F.col("id").alias("query_id"), F.col("norm").alias("qn")), "query_id")
-    placed = placed.join(norms(r).select(F.col("id").alias("record_id"), F.col("norm").alias("rn")), "record_id")
-    # six places: equal scores stay equal whatever the order of summation
-    score = F.round(F.coalesce(F.try_divide(F.col("dot"), F.col("qn") * F.col("rn")), F.lit(0.0)), 6)
-    return _best(placed.select("query_id", "record_id", score.alias("similarity")).where(F.col("similarity") > threshold), k)
+def search_index(queries: DataFrame, index: DataFrame, k: int = TOP_K, threshold: float = THRESHOLD) -> DataFrame:
+    """As lexical_top_k, over an index made by lexical_index.add."""
+    return _best(lexical_index.search(queries, index, k, threshold), k)

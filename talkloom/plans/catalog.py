@@ -367,10 +367,11 @@ def prompt_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("conv_id", F.array_join(ds, "\n\n").alias("history"), F.array_join(ds, "\n").alias("dialogs"), X.trust_attitude(F.size("rs") * 10)["stage"].alias("stage"))
 
 
-@query("""SELECT conv_id, turn, CASE WHEN length(text) > 20 THEN 'topic_length,' ELSE '' END || CASE WHEN len(string_split(text, ' ')) NOT BETWEEN 5 AND 10 THEN 'keyword_count,' ELSE '' END
+@query("""SELECT conv_id, turn, CASE WHEN length(text) > 20 THEN 'topic_length,' ELSE '' END || CASE WHEN length(text) > 30 THEN 'topic_summary_length,' ELSE '' END || CASE WHEN length(text) > 300 THEN 'content_length,' ELSE '' END
+  || CASE WHEN len(string_split(text, ' ')) NOT BETWEEN 5 AND 10 THEN 'keyword_count,' ELSE '' END
   || CASE WHEN len(list_filter(string_split(text, ' '), lambda x: length(x) > 5)) > 0 THEN 'keyword_length,' ELSE '' END || CASE WHEN abs(turn - 3) > 5 THEN 'score_range,' ELSE '' END AS violations FROM conversations""")
 def contract_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("topic"), F.split("text", " ").alias("keywords"), (F.col("turn") - 3).alias("score"))
+    c = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("topic"), F.col("text").alias("topic_summary"), F.col("text").alias("content"), F.split("text", " ").alias("keywords"), (F.col("turn") - 3).alias("score"))
     v = contract_violations(c)
     return v.select("conv_id", "turn", F.array_join(F.transform("violations", lambda x: F.concat(x, F.lit(","))), "").alias("violations"))
 

@@ -57,7 +57,7 @@ def test_responses(spark):
     assert one(spark, none=X.fenced(F.lit("no fence")), null=F.to_json(X.parse_response(F.lit(None).cast("string")))) == {"none": None, "null": "{}"}
 
 
-@pytest.mark.parametrize("raw, loose, strict", [("2", 2, 2), ("-3", -3, -3), ("+2", 0, 2), ('"+2"', 2, None), ("2.5", 25, None), ("[1,2]", 12, None), ("", 0, None), ("-", 0, None), ('"-"', None, None), ("1-2", 0, None), ("评分：2", 0, None), ("[1,-2]", None, None), ('{"a-b": 2}', -2, None), (None, 0, None), ("9", 9, None)])
+@pytest.mark.parametrize("raw, loose, strict", [("2", 2, 2), ("-3", -3, -3), ("+2", 0, 2), ('"+2"', 2, None), ("2.5", 25, None), ("[1,2]", 12, None), ("", 0, None), ("-", 0, None), ('"-"', None, None), ("1-2", 0, None), ("评分：2", 0, None), ("[1,-2]", None, None), ('{"a-b": 2}', -2, None), (None, 0, None), ("9", 9, None), ("1e3", 10000, None), ("2.50", 25, None), ("1000.0", 10000, None), ('"\\u0032"', 2, None), ('{"score": 3.0}', 30, None), ('[1.50, "2.50"]', 15250, None), ("1.000", 10, None), ("-0.5", -5, None), ("10.05", 1005, None)])
 def test_scores(spark, raw, loose, strict):
     assert one(spark, a=X.parse_score(F.lit(raw).cast("string")), b=X.parse_score(F.lit(raw).cast("string"), True)) == {"a": loose, "b": strict}
 
