@@ -52,11 +52,27 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/talkloom-{name}-{uuid.uuid4().hex}"
 
 
+#: Spark's setting by which a job's shuffle files go when the job has ended.
+_LET_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def save(df: DataFrame, path: str) -> None:
+    """Writes df as Parquet. The job's shuffle files go with its end, as later jobs start from what it has written;
+    else those of all steps would lie on the disks until the driver collects its garbage."""
+    conf = df.sparkSession.conf
+    before = conf.get(_LET_GO, None)
+    conf.set(_LET_GO, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        conf.unset(_LET_GO) if before is None else conf.set(_LET_GO, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read back: later jobs start from the files."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    save(df, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

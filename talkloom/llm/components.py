@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talkloom.llm.common import remove, scratch_path
+from talkloom.llm.common import remove, save, scratch_path
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -34,17 +34,17 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     """
     spark = edges.sparkSession
 
-    def save(df: DataFrame) -> tuple[DataFrame, str]:
+    def saved(df: DataFrame) -> tuple[DataFrame, str]:
         path = scratch_path(spark, "edges")
-        df.write.option("compression", "zstd").parquet(path)
+        save(df, path)
         return spark.read.schema(df.schema).parquet(path), path
 
     # u > v: a node points to a lesser one
     start = edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
-    now, path = save(start.where("src is not null and dst is not null and src <> dst").distinct())
+    now, path = saved(start.where("src is not null and dst is not null and src <> dst").distinct())
     mark = None
     for _ in range(limit):
-        nxt, new_path = save(_star(_star(now, True), False))
+        nxt, new_path = saved(_star(_star(now, True), False))
         old, mark = mark, nxt.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if path:
             remove(spark, path)
