@@ -36,8 +36,10 @@ from talkloom.llm.components import components
 WORDS, SIMILARITY = 5, 0.8
 #: Entries of a task's tally of shingles, and how many common ones are told to all at most (16 bytes each).
 TALLY, MOST_COMMON = 1 << 17, 200_000
+#: Bytes of a batch of texts, whose shingles take several times as much, and of one of pairs of texts.
+SHINGLED_BYTES, COMPARED_BYTES = 4 << 20, 2 << 20
 #: Words whose hashes are kept; beyond that the cache starts anew.
-CACHE = 200_000
+CACHE = 100_000
 
 
 def shingle_set(text: str | None, words: int = WORDS) -> set[bytes]:
@@ -148,7 +150,7 @@ def common_shingles(docs: DataFrame, text: str, words: int) -> tuple[np.ndarray,
 def shingled(docs: DataFrame, id_col: str, text: str, words: int, similarity: float) -> DataFrame:
     """id, mark (a hash of the text), node (a hash of the shingle set), n (shingles), prefix (the first ones in the order), fp (SimHash) and text."""
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, size=SHINGLED_BYTES)
     shared = spark.sparkContext.broadcast(common_shingles(docs, text, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,6 +179,7 @@ def shingled(docs: DataFrame, id_col: str, text: str, words: int, similarity: fl
 
 def verified(pairs: DataFrame, rows: DataFrame, words: int, similarity: float) -> DataFrame:
     """src, dst: the pairs whose shingle sets are that similar."""
+    small_batches(rows.sparkSession, size=COMPARED_BYTES)
     wanted = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
     texts = written(rows.select("node", "text").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")), "near-texts")
     left = texts.select(F.col("node").alias("src"), F.col("text").alias("a"))
