@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from talkloom.functions import text as X
 from talkloom.operators import events as E
-from talkloom.operators import asof, judge, refresh, retrieve, rounds, stream_text, trust, wavefront
+from talkloom.operators import asof, extract, judge, refresh, retrieve, rounds, stream_text, trust, wavefront
 from talkloom.operators.providers import MARKERS, contract_violations, provider
 from talkloom.sources import store_source, stores
 from talkloom.sources.scratch import shared_dir, written
@@ -687,3 +687,33 @@ def profiles_refreshed(spark: SparkSession, sf_dir: str) -> DataFrame:
     of = lambda doc, key, name: F.get_json_object(doc, f"$.{key}").alias(name)
     hours = F.timestamp_diff("HOUR", F.lit(start).cast("timestamp"), F.col("refreshed")).cast("int")
     return out.select("id", "seen", of("user", "Meta_Layer", "user_meta"), of("own", "Concrete_Layer", "own_concrete"), hours.alias("refreshed_hour"))
+
+
+def _ranked_sql(steps: int, damping: float) -> str:
+    """The walk over sentences, a pair of tables for each step."""
+    each, key = "conv_id, topic_no, round_no, pos", "conv_id, topic_no"
+    out = f"""{_SEGMENTED}, pieces AS (
+  SELECT conv_id, topic_no, round_no, unnest(ls) AS s, CAST(generate_subscripts(ls, 1) - 1 AS INTEGER) AS pos FROM (
+    SELECT conv_id, topic_no, round_no, regexp_split_to_array(concat_ws(chr(10), user_text, agent_text), '[.!?。！？\\n]+') AS ls FROM segmented WHERE NOT dropped)
+), phrases AS MATERIALIZED (SELECT {each}, trim(s, {_TRIM}) AS sentence FROM pieces WHERE len({_WORDS.format("s")}) > 0),
+counts AS (SELECT {each}, word, CAST(count(*) AS DOUBLE) AS n FROM (SELECT {each}, unnest({_WORDS.format("sentence")}) AS word FROM phrases) GROUP BY ALL),
+unit AS MATERIALIZED (SELECT {each}, word, n / sqrt(sum(n * n) OVER (PARTITION BY {each})) AS x FROM counts),
+total AS (SELECT {key}, word, sum(x) AS y FROM unit GROUP BY ALL),
+fixed AS MATERIALIZED (SELECT {each}, degree, count(*) OVER (PARTITION BY {key}) AS size FROM (SELECT {each}, sum(x * y) AS degree FROM unit JOIN total USING ({key}, word) GROUP BY ALL)),
+r0 AS (SELECT {each}, 1.0 / size AS rank FROM fixed)"""
+    for k in range(steps):
+        out += f""",
+y{k} AS MATERIALIZED (SELECT {key}, word, sum(rank / degree * x) AS y FROM unit JOIN fixed USING ({each}) JOIN r{k} USING ({each}) GROUP BY {key}, word),
+r{k + 1} AS MATERIALIZED (SELECT {each}, {1 - damping!r} / any_value(size) + {damping!r} * sum(x * y) AS rank FROM unit JOIN y{k} USING ({key}, word) JOIN fixed USING ({each}) GROUP BY {each})"""
+    return out
+
+
+@query(f"""WITH {_ranked_sql(extract.STEPS, extract.DAMPING)}, placed AS (
+  SELECT *, row_number() OVER w AS k, substring(sentence, 1, {extract.CONTENT}) AS cut FROM phrases JOIN r{extract.STEPS} USING (conv_id, topic_no, round_no, pos)
+  WINDOW w AS (PARTITION BY conv_id, topic_no ORDER BY round(rank, {extract.PLACES}) DESC, round_no, pos)
+), used AS (SELECT *, sum(length(cut) + 1) OVER (PARTITION BY conv_id, topic_no ORDER BY k) - 1 AS used FROM placed WHERE k <= {extract.MOST})
+SELECT conv_id, topic_no, trim(substring(arg_min(cut, k), 1, {extract.TOPIC}), {_TRIM}) AS topic, string_agg(cut, chr(10) ORDER BY round_no, pos) AS content
+FROM used WHERE k = 1 OR used <= {extract.CONTENT} GROUP BY 1, 2""")
+def extractive_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summaries of topics by the rank of their sentences, without a model."""
+    return extract.summaries(_judged(spark, sf_dir))
