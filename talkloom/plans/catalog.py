@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from talkloom.functions import text as X
 from talkloom.operators import events as E
-from talkloom.operators import asof, extract, judge, refresh, retrieve, rounds, stream_text, trust, wavefront
+from talkloom.operators import asof, encoder, extract, judge, refresh, retrieve, rounds, stream_text, trust, wavefront
 from talkloom.operators.providers import MARKERS, contract_violations, provider
 from talkloom.sources import store_source, stores
 from talkloom.sources.scratch import shared_dir, written
@@ -717,3 +717,13 @@ FROM used WHERE k = 1 OR used <= {extract.CONTENT} GROUP BY 1, 2""")
 def extractive_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Summaries of topics by the rank of their sentences, without a model."""
     return extract.summaries(_judged(spark, sf_dir))
+
+
+@query()
+def dense_retrieval_from_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents nearest to each benchmark item, by vectors that are made here from the texts and kept by content."""
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    items = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
+    model, store = encoder.fit(docs), f"{shared_dir(spark)}/talkloom-vectors-{uuid.uuid4().hex}"
+    found = retrieve.dense_top_k(encoder.encoded(items, model, store), encoder.encoded(docs, model, store))
+    return found.select("query_id", "record_id", F.round("similarity", 6).alias("similarity"), "rank")
