@@ -10,6 +10,8 @@ WHITE_SPACE = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0 "
     "               　"
 )
+#: What stands between words.
+NO_WORD = r"[^\p{L}\p{N}]+"
 #: Fixed value: the name of a topic that has none.
 UNNAMED_TOPIC = "未命名主题"
 #: Stages of trust, with the bounds below which they hold.
@@ -185,4 +187,4 @@ def is_command(message: Column, *commands: str) -> Column:
 
 def words(c: Column) -> Column:
     """Lower-cased runs of letters and digits."""
-    return F.filter(F.split(F.lower(text_or_empty(c)), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+    return F.array_remove(F.split(F.lower(text_or_empty(c)), NO_WORD), "")

@@ -6,8 +6,14 @@ what does it suggest) are columns, which a provider fills; here they only have t
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from talkloom.functions import text as X
 
@@ -116,15 +122,34 @@ def build_records(segmented: DataFrame, own_topic: bool = False, emit_open: bool
 
 
 def top_terms(texts: DataFrame, keys: list[str], text: str, n: int = 5, least: int = 4) -> DataFrame:
-    """keys and keywords: the n most frequent words of at least that many letters, ties by the word.
+    """keys and keywords: the n most frequent words of at least that many letters, ties by the word. Texts without such a word have no row.
 
-    All of a row's words lie in the row: they are counted there, as runs of the sorted words, and nothing is shuffled.
+    All of a row's words lie in the row: they are counted there, an Arrow batch at a time, and nothing is shuffled.
     """
-    words = F.array_sort(F.filter(X.words(F.col(text)), lambda w: F.length(w) >= least))
-    sized = texts.select(*keys, words.alias("w")).where(F.size("w") > 0)
-    starts = F.filter(F.sequence(F.lit(1), F.size("w")), lambda i: (i == 1) | (F.element_at("w", i) != F.element_at("w", F.greatest(i - 1, F.lit(1)))))
-    placed = sized.withColumn("s", starts)
-    runs = F.zip_with("s", F.concat(F.slice("s", 2, F.size("s")), F.array(F.size("w") + 1)), lambda a, b: F.struct((a - b).alias("minus"), F.element_at("w", a).alias("term")))
-    return placed.select(*keys, F.transform(F.slice(F.array_sort(runs), 1, n), lambda x: x["term"]).alias("keywords"))
-
-
+    words = F.filter(F.split(F.lower(X.text_or_empty(F.col(text))), X.NO_WORD), lambda w: F.length(w) >= max(least, 1))
+    listed = texts.select(*keys, words.alias("_words"))
+    schema = T.StructType([*listed.schema.fields[:-1], T.StructField("keywords", T.ArrayType(T.StringType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(len(keys))
+            coded = lists.flatten().dictionary_encode()
+            if not len(coded):
+                continue
+            order = pc.sort_indices(coded.dictionary).to_numpy()
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            row = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+            pairs, counts = np.unique(row * len(order) + rank[coded.indices.to_numpy(zero_copy_only=False)], return_counts=True)
+            row, word = np.divmod(pairs, len(order))
+            by = np.lexsort((word, -counts, row))
+            row, word = row[by], word[by]
+            heads = np.flatnonzero(np.concatenate([[True], np.diff(row) != 0]))
+            sizes = np.diff(np.append(heads, len(row)))
+            top = np.arange(len(row)) - np.repeat(heads, sizes) < n
+            terms = coded.dictionary.take(pa.array(order[word[top]]))
+            offsets = np.concatenate([[0], np.cumsum(np.minimum(sizes, n))]).astype(np.int32)
+            some = pa.array(row[heads])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(some) for k in range(len(keys))), pa.ListArray.from_arrays(pa.array(offsets), terms)], names=schema.names)
+
+    return listed.mapInArrow(run, schema)
