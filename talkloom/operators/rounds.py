@@ -94,14 +94,23 @@ def build_records(segmented: DataFrame, own_topic: bool = False, emit_open: bool
     summaries, and keywords come with them; where the rounds have open_topic (see wavefront), that is the name the topic had. The last topic of a conversation is
     still open; without emit_open it makes no record.
     """
-    kept = segmented.where(~F.col("dropped"))
+    # a round has a part in its own topic, and its analyses one in the topic that was open, which is mostly the same: one grouping for both
+    own, open_ = F.col("topic_no"), F.col("topic_no" if own_topic else "analysis_topic")
     named = "open_topic" in segmented.columns
-    names = [F.min_by("open_topic", "round_no").alias("name")] if named else []
-    topics = kept.groupBy("conv_id", "topic_no").agg(_in_order(F.col("round_dialog")).alias("rounds"), *names)
-    topics = topics.withColumn("is_open", F.col("topic_no") == F.max("topic_no").over(Window.partitionBy("conv_id")))
+    said = F.when(~F.col("dropped"), F.struct("round_no", F.col("round_dialog").alias("v"), *(["open_topic"] if named else [])))
+    gives = F.struct(*ANALYSES)
+    part = lambda topic, round_, analyses: F.struct(topic.alias("topic_no"), round_.alias("said"), analyses.alias("gives"))
+    none = F.lit(None)
+    parts = F.when(own == open_, F.array(part(own, said, gives))).otherwise(F.array(part(own, said, none), part(open_, none, gives)))
+    each = segmented.select("conv_id", "round_no", F.explode(parts).alias("p")).select("conv_id", "round_no", "p.*")
+    told = each.groupBy("conv_id", "topic_no").agg(
+        F.array_sort(F.collect_list("said")).alias("said"), *[X.ordered_distinct(_in_order(F.col(f"gives.{a}"))).alias(a) for a in ANALYSES]
+    )
+    told = told.where(F.size("said") > 0).withColumn("rounds", F.transform("said", lambda r: r["v"]))
+    told = told.withColumn("name", F.element_at("said", 1)["open_topic"]) if named else told
+    told = told.withColumn("is_open", F.col("topic_no") == F.max("topic_no").over(Window.partitionBy("conv_id")))
     if not emit_open:
-        topics = topics.where(~F.col("is_open"))
-    told = topics.join(accumulate(segmented, own_topic), ["conv_id", "topic_no"], "left")
+        told = told.where(~F.col("is_open"))
     rounds, first = F.col("rounds"), F.element_at("rounds", 1)
     if model is None:
         summaries = [X.topic_from_round(first).alias("topic"), X.last_rounds(rounds).alias("content")]
