@@ -16,7 +16,8 @@ Words are those of SimHash: A-Z lower-cased, maximal runs of characters other th
 U+0009-U+000D. With fewer words than a shingle has, the whole sequence is the only shingle. Texts
 with equal sets are one node, also those without words. Shingles are known by 64-bit hashes up to
 the comparison, which uses the words themselves. Repeated ids and rows are allowed; a null id never
-becomes a component's id unless all ids in it are null.
+becomes a component's id unless all ids in it are null. Texts of any length are read whole; an empty table gives no rows; columns other
+than id and text are not read, whatever their names.
 """
 
 from __future__ import annotations

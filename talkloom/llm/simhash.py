@@ -16,7 +16,8 @@ fingerprints are one node throughout. Segment C is padded with zeros for the cod
 Defined results: lower-casing is of A-Z only; words are maximal runs of characters other than
 space and U+0009-U+000D. Without words (null or empty text) the fingerprint is zero, and is linked
 like any other. With fewer words than a shingle has, the whole sequence is the only shingle. Repeated
-ids and rows are allowed; a null id never becomes a component's id unless all ids in it are null.
+ids and rows are allowed; a null id never becomes a component's id unless all ids in it are null. Texts of any length are read whole; an empty
+table gives no rows; columns other than id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
