@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from talkloom.functions import text as X
+from talkloom.sources.stores import _exists
 
 
 def frame(kind: Column, content: Column) -> Column:
@@ -68,6 +69,14 @@ def stale(files: DataFrame, now: Column, hours: int = 24, prefix: str = "recordi
     return files.where(F.startswith("name", F.lit(prefix)) & F.endswith("name", F.lit(suffix)) & (now - F.col("modified") > F.expr(f"INTERVAL {hours} HOURS")))
 
 
+def stale_files(spark: SparkSession, folder: str, now: Column, hours: int = 24, prefix: str = "recording_", suffix: str = ".wav") -> DataFrame:
+    """path, name and modified of such files in a folder; the files themselves aren't read. A missing folder has none."""
+    if not _exists(spark, folder):
+        return spark.createDataFrame([], "path string, name string, modified timestamp")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", f"{prefix}*{suffix}").load(folder).select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("modificationTime").alias("modified"))
+    return stale(files, now, hours, prefix, suffix)
+
+
 def thinking(profile: Column, persona: Column) -> Column:
     """The analysis as it is shown: the present and future of both sides, a placeholder for the past.
 

@@ -54,7 +54,30 @@ class Offline:
         )
 
 
-REGISTRY = {"offline": Offline}
+class Judged:
+    """A model's judgements (see judge.Model, or calls.CallTable): flags in waves over conversations, as each topic stands; analyses of each round by itself.
+
+    user and own are the profiles (JSON text) that analyses start from, records what was retrieved.
+    """
+
+    def __init__(self, model, user: str = "{}", own: str = "{}", records: str = "[]"):
+        self.model, self.user, self.own, self.records = model, user, own, records
+
+    def flags(self, rounds: DataFrame) -> DataFrame:
+        from talkloom.operators.wavefront import segment_with
+
+        told = segment_with(rounds, self.model)
+        return told.select(*[c for c in rounds.columns if c not in ("topic_changed", "is_noise")], "topic_changed", "is_noise")
+
+    def analyses(self, rounds: DataFrame) -> DataFrame:
+        c = F.col
+        told = self.model.column(rounds, "_profile", lambda m: m.analyse_user(F.lit(self.user), c("user_text"), F.lit(self.records)))
+        told = self.model.column(told, "_persona", lambda m: m.analyse_own(F.lit(self.own), c("_profile"), c("user_text")))
+        found = {"user_prediction": "_profile.future.prediction", "user_risk": "_profile.future.risk", "agent_empathy": "_persona.present.empathy", "agent_action": "_persona.future.action"}
+        return told.withColumns({k: c(v) for k, v in found.items()}).drop("_profile", "_persona")
+
+
+REGISTRY = {"offline": Offline, "model": Judged}
 
 
 def provider(name: str, **options) -> Provider:

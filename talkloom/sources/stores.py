@@ -47,6 +47,16 @@ def _numbers(spark: SparkSession, path: str, prefix: str) -> list[int]:
     return sorted(int(n[len(prefix) :]) for n in names if n.startswith(prefix) and n[len(prefix) :].isdigit())
 
 
+def _claimed(spark: SparkSession, path: str, prefix: str) -> int:
+    """The next number of such entries of a folder. It is claimed by creating a file, which only one of two writers can."""
+    n = max(_numbers(spark, path, f"_{prefix}") + _numbers(spark, path, prefix), default=0) + 1
+    while True:
+        p, fs = _fs(spark, f"{path.rstrip('/')}/_{prefix}{n}")
+        if fs.createNewFile(p):
+            return n
+        n += 1
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """seq and line of the non-blank lines; seq is a struct that orders them. A missing store has none.
 
@@ -107,12 +117,7 @@ def append_jsonl(records: DataFrame, path: str, columns: list[str] | None = None
     spark = records.sparkSession
     cols = columns or records.columns
     line = F.to_json(F.struct(*cols), {"ignoreNullFields": "false"})
-    n = max(_numbers(spark, path, "_batch-") + _numbers(spark, path, "batch-"), default=0) + 1
-    while True:
-        p, fs = _fs(spark, f"{path.rstrip('/')}/_batch-{n}")
-        if fs.createNewFile(p):
-            break
-        n += 1
+    n = _claimed(spark, path, "batch-")
     lines = (records.orderBy(*order) if order else records).select(line.alias("value"))
     lines.write.text(f"{path.rstrip('/')}/batch-{n}")
 
@@ -178,10 +183,11 @@ def load_profile(spark: SparkSession, persisted: str, default: DataFrame, key: s
 
 def save_profile(profiles: DataFrame, path: str) -> None:
     """Overwrites a profile table. The new version stands beside the old one until it is complete, so
-    profiles may be computed from the very table; the version before the old one is deleted."""
+    profiles may be computed from the very table; the version before the old one is deleted. Of two writers each takes
+    a number of its own, and the higher one's version counts."""
     spark, at = profiles.sparkSession, path.rstrip("/")
     old = _version(spark, at)
-    new = max(_numbers(spark, at, "version-"), default=0) + 1
+    new = _claimed(spark, at, "version-")
     profiles.write.parquet(f"{at}/version-{new}")
     for n in _numbers(spark, at, "version-"):
         if n < old:

@@ -177,3 +177,25 @@ def test_profiles_without_records_are_not_judged(spark, tmp_path):
     records = spark.createDataFrame([(4, 1, "a"), (4, 2, "b")], "id long, seq int, topic string")
     got = {r["id"]: json.loads(r["user"])["Meta_Layer"] for r in judge.update_profiles(profiles, records, model).collect()}
     assert got == {k: "user_update" if k == 4 else "m" for k in range(10)} and made("user_update") >= 1 and made() <= 4
+
+
+def test_a_model_is_a_provider(spark, tmp_path):
+    from talkloom.operators import providers
+
+    def reply(kind, inputs):
+        told = json.loads(inputs)
+        if kind == "user_analysis":
+            return json.dumps({"future": {"prediction": f"after {told['message']}", "risk": "r"}})
+        if kind == "persona_analysis":
+            return json.dumps({"present": {"empathy": json.loads(told["profile"])["future"]["prediction"]}, "future": {"action": "a"}})
+        return answer(kind, inputs)
+
+    convs = conversations(3, 6)
+    df = table(spark, convs).drop("user_prediction", "user_risk", "agent_empathy", "agent_action").withColumn("user_text", F.concat(F.lit("u"), F.col("round_no")))
+    p = providers.provider("model", model=calls.CallTable(reply, str(tmp_path / "table"), tasks=2))
+    judged = rounds.segment(p.analyses(p.flags(df)), F.col("topic_changed"), F.col("is_noise"))
+    told = {(r["conv_id"], r["round_no"]): r for r in judged.collect()}
+    assert {k: (r["boundary"], r["dropped"], r["topic_no"], r["analysis_topic"]) for k, r in told.items()} == {(c, k + 1): x[:4] for c, ds in convs.items() for k, x in enumerate(one_by_one(ds)[0])}
+    assert all((r["user_prediction"], r["user_risk"], r["agent_empathy"], r["agent_action"]) == (f"after u{k}", "r", f"after u{k}", "a") for (_, k), r in told.items())
+    with pytest.raises(ValueError, match="no provider"):
+        providers.provider("unknown")

@@ -5,6 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from talkloom.operators import profiles
+from talkloom.sources import stores
 
 
 def test_contracts(spark):
@@ -33,3 +34,27 @@ def test_activation(spark):
     got = spark.createDataFrame([(c,) for c in chosen], "c string").select(profiles.activated(F.lit(doc), F.col("c")).alias("a")).collect()
     told = [{k: v for k, v in json.loads(r["a"]).items() if v is not None} for r in got]
     assert told == [{"Meta_Layer": "m"}, json.loads(doc), json.loads(doc), json.loads(doc)]
+
+
+def test_two_writers_of_profiles_take_two_versions(spark, tmp_path):
+    path = str(tmp_path / "profiles")
+    row = lambda v: spark.createDataFrame([(1, v)], "id int, v string")
+    stores.save_profile(row("a"), path)
+    assert stores._claimed(spark, path, "version-") == 2  # another writer is at it
+    stores.save_profile(row("b"), path)
+    assert stores.load_profile(spark, path, row("d")).first()["v"] == "b" and stores._version(spark, path) == 3
+
+
+def test_stale_files_are_found_by_their_times(spark, tmp_path):
+    import os
+    import time
+
+    from pyspark.sql import functions as F
+
+    from talkloom.operators import events
+
+    for name, age in (("recording_1.wav", 30), ("recording_2.wav", 2), ("other.wav", 90), ("recording_3.txt", 90)):
+        (tmp_path / name).write_text("x")
+        os.utime(tmp_path / name, (time.time() - age * 3600,) * 2)
+    assert [r["name"] for r in events.stale_files(spark, str(tmp_path), F.current_timestamp()).collect()] == ["recording_1.wav"]
+    assert events.stale_files(spark, str(tmp_path / "none"), F.current_timestamp()).count() == 0
