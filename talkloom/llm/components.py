@@ -2,8 +2,10 @@
 
 Each step lets a node's neighbours point to the smallest node among them (Kiveris et al.,
 Connected Components in MapReduce and Beyond), which takes a number of rounds that grows with the
-logarithm of the longest chain. No step holds a node's neighbours in one task: they are grouped by
-built-in aggregates and joins. Each round is written to the shared folder.
+logarithm of the longest chain. A node's neighbours are never listed: their least is an aggregate that combines before the shuffle, and
+is joined back to its edges, of which a hub's large partition is split by Spark's handling of skewed joins. Each round is written to the shared folder.
+
+A null end, a loop or a repeated edge adds nothing; an empty table gives no rows.
 """
 
 from __future__ import annotations
