@@ -129,6 +129,13 @@ def judge_turns(turns: DataFrame, model: Model) -> DataFrame:
     )
 
 
+def worthy_records(records: DataFrame, model: Model, user: Column, own: Column) -> DataFrame:
+    """The records that are worth keeping, judged one by one from all their fields and both profiles (JSON text). Where a response doesn't tell, a record is kept."""
+    fields = F.to_json(F.struct(*records.columns), {"ignoreNullFields": "false"})
+    judged = model.column(records, "_worthy", lambda m: m.is_worthy(fields, user, own))
+    return judged.where("_worthy").select(*records.columns)
+
+
 def update_profiles(profiles: DataFrame, records: DataFrame, model: Model) -> DataFrame:
     """id, user and own after an update from all of an id's records; without records nothing changes, and no call is made.
 
