@@ -730,12 +730,12 @@ def dense_retrieval_from_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _worthiness_script(kind: str, inputs: Column) -> Column:
-    """Judges a record by its number of rounds: no, a flag of the wrong type, yes."""
-    n = F.get_json_object(F.get_json_object(inputs, "$.record"), "$.n_rounds").cast("int") % 3
+    """Judges a record by the length of its topic: no, a flag of the wrong type, yes."""
+    n = F.char_length(F.get_json_object(F.get_json_object(inputs, "$.record"), "$.topic")) % 3
     return F.when(n == 0, '{"is_worthy": false}').when(n == 1, '{"is_worthy": "no"}').otherwise('```json\n{"is_worthy": true}\n```')
 
 
-@query(f"SELECT conv_id, topic_no, n_rounds FROM ({_RECORDS.replace('{acc}', _accumulated_sql('analysis_topic'))}) WHERE n_rounds % 3 <> 0")
+@query(f"SELECT conv_id, topic_no, n_rounds FROM ({_RECORDS.replace('{acc}', _accumulated_sql('analysis_topic'))}) WHERE length(topic) % 3 <> 0")
 def worthy_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Topic records that a model finds worth keeping; those it says nothing usable of are kept."""
     records = rounds.build_records(_judged(spark, sf_dir))
