@@ -8,10 +8,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from datetime import datetime, timezone
 
 import pandas as pd
 from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -35,9 +35,13 @@ def _milliseconds(span: str) -> int:
     return int(m[1]) * _UNITS[m[2]]
 
 
-def _at(ts: datetime | pd.Timestamp) -> int:
-    """Milliseconds of an event's time; one without a zone is taken as UTC."""
-    return round((ts if ts.tzinfo else ts.replace(tzinfo=timezone.utc)).timestamp() * 1000)
+def _with_ms(rows: DataFrame, time: str) -> DataFrame:
+    """Adds event_ms, an event's time in milliseconds as watermarks and timers count them, whatever the session's time zone."""
+    if isinstance(rows.schema[time].dataType, T.TimestampNTZType):
+        ms = F.timestamp_diff("MILLISECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(time))
+    else:
+        ms = F.unix_millis(F.col(time))
+    return rows.withColumn("event_ms", ms.cast("long"))
 
 
 class _Topics(StatefulProcessor):
@@ -66,11 +70,11 @@ class _Topics(StatefulProcessor):
         out = []
         for r in pd.concat(list(rows)).sort_values("round_no").to_dict("records"):
             if self.idle is not None:
-                now = _at(r["ts"])
+                now = last if pd.isna(r["event_ms"]) else int(r["event_ms"])
                 if rounds and last is not None and now - last > self.idle:
                     out.append(self._record(key, topic_no, rounds, gathered))
                     topic_no, seen, rounds, gathered = topic_no + 1, 0, [], [[] for _ in ANALYSES]
-                last = now if last is None else max(last, now)
+                last = now if last is None or now is None else max(last, now)
             for name, g in zip(ANALYSES, gathered):
                 if r[name]:
                     g.append(r[name])
@@ -104,10 +108,11 @@ def closed_topics(rounds: DataFrame, idle: str | None = None) -> DataFrame:
     round_dialog, topic_changed, is_noise and the four analyses).
 
     idle, such as "30 minutes": a conversation in which nothing was said for longer is over and its last topic is closed, once; the rounds need
-    a time (ts) with a watermark then. The batch form is rounds.segment with opens=rounds.after_silence(idle).
+    a time (ts) with a watermark then; one without a time counts as said when the one before it was. The batch form is rounds.segment with opens=rounds.after_silence(idle).
     """
-    mode = "None" if idle is None else "EventTime"
-    return rounds.groupBy("conv_id").transformWithStateInPandas(_Topics(None if idle is None else _milliseconds(idle)), RECORD_SCHEMA, "Append", mode)
+    if idle is None:
+        return rounds.groupBy("conv_id").transformWithStateInPandas(_Topics(), RECORD_SCHEMA, "Append", "None")
+    return _with_ms(rounds, "ts").groupBy("conv_id").transformWithStateInPandas(_Topics(_milliseconds(idle)), RECORD_SCHEMA, "Append", "EventTime")
 
 
 class _Trust(StatefulProcessor):
@@ -158,8 +163,8 @@ def pieces(chunks: DataFrame) -> DataFrame:
 class _InOrder(StatefulProcessor):
     """Rows of a key wait, by their number, for those before them; what is next goes at once and takes along what has waited for it."""
 
-    def __init__(self, key: str, number: str, columns: list[T.StructField], first: int, limit: int | None, time: str, highest: str | None):
-        self.key, self.number, self.columns, self.first, self.limit, self.time, self.highest = key, number, [f.name for f in columns], first, limit, time, highest
+    def __init__(self, number: str, columns: list[T.StructField], first: int, limit: int | None, highest: str | None):
+        self.number, self.columns, self.first, self.limit, self.highest = number, [f.name for f in columns], first, limit, highest
         self.schema = T.StructType(columns)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -184,8 +189,8 @@ class _InOrder(StatefulProcessor):
         """While rows wait, a timer stands at the time up to which the first of them waits."""
         if self.limit is None:
             return
-        i = self.columns.index(self.time)
-        due = min((_at(v[i]) + self.limit for _, v in self.waiting.iterator()), default=None)
+        i = self.columns.index("event_ms")
+        due = min((v[i] + self.limit for _, v in self.waiting.iterator() if v[i] is not None), default=None)
         if due != state[3]:
             if state[3] is not None:
                 self.handle.deleteTimer(state[3])
@@ -210,9 +215,9 @@ class _InOrder(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         state = list(self.at.get())
         state[3] = None
-        now, i = expiredTimerInfo.getExpiryTimeInMs(), self.columns.index(self.time) if self.limit is not None else 0
+        now, i = expiredTimerInfo.getExpiryTimeInMs(), self.columns.index("event_ms")
         while True:  # the gap before the first row whose time is up is given up, and so are those before it
-            up = [k[0] for k, v in self.waiting.iterator() if _at(v[i]) + self.limit <= now]
+            up = [k[0] for k, v in self.waiting.iterator() if v[i] is not None and v[i] + self.limit <= now]
             if not up:
                 break
             first = min(k[0] for k in self.waiting.keys())
@@ -231,15 +236,16 @@ def in_order(rows: DataFrame, key: str, number: str, first: int = 1, limit: str
     """The rows of a stream, each key's in the order of its numbers (integers from first on), and release: how many of the key went before.
 
     A row waits until all numbers before its own have come, whatever order they come in. A number counts once: repeated rows are dropped, as are those
-    without a number. limit, such as "10 minutes": a row waits no longer than that after its own time, by the watermark of the
+    without a number. limit, such as "10 minutes": a row that has a time waits no longer than that after it, by the watermark of the
     column time; then the missing ones before it are given up, and dropped should they come. highest adds released_after, the
     largest value of that column so far: with the completion's number, batch's release_in_order.
     """
-    columns = list(rows.schema.fields)
+    timed = rows if limit is None else _with_ms(rows, time)
+    columns = list(timed.schema.fields)
     out = [*columns, T.StructField("release", T.LongType()), *([T.StructField("released_after", T.LongType())] if highest else [])]
-    span = None if limit is None else _milliseconds(limit)
-    p = _InOrder(key, number, columns, first, span, time, highest)
-    return rows.groupBy(key).transformWithState(p, T.StructType(out), "Append", "None" if limit is None else "EventTime")
+    p = _InOrder(number, columns, first, None if limit is None else _milliseconds(limit), highest)
+    told = timed.groupBy(key).transformWithState(p, T.StructType(out), "Append", "None" if limit is None else "EventTime")
+    return told if limit is None else told.drop("event_ms")
 
 
 class _Frames(StatefulProcessor):

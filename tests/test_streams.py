@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from talkloom.operators import events, rounds, stream_text
@@ -27,7 +28,15 @@ def run(spark, tmp_path, name, schema, parts, start):
 ROUNDS = "conv_id long, round_no int, ts timestamp, round_dialog string, topic_changed boolean, is_noise boolean, user_prediction string, user_risk string, agent_empathy string, agent_action string"
 
 
-def test_idle_topics_are_closed_once(spark, tmp_path):
+@pytest.fixture
+def far(spark):
+    """A session whose time zone isn't the one that watermarks count in."""
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    yield
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_idle_topics_are_closed_once(spark, tmp_path, far):
     rng = random.Random(21)
     rows = []
     for conv in range(8):
@@ -66,7 +75,7 @@ def test_any_order_is_released_as_in_batch(spark, tmp_path):
     assert all(r["release"] == r["segment_id"] - 1 for r in got) and len(got) == len(rows) and told[0] < told[2]
 
 
-def test_a_gap_is_given_up_after_its_limit(spark, tmp_path):
+def test_a_gap_is_given_up_after_its_limit(spark, tmp_path, far):
     at = lambda m: START + timedelta(minutes=m)
     parts = [
         [(1, 1, 1, True, at(0)), (1, 3, 3, True, at(2)), (1, 4, 4, True, at(3)), (1, 7, 7, True, at(9)), (2, 2, 2, True, at(14))],
