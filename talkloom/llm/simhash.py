@@ -145,7 +145,8 @@ def links(nodes: DataFrame, distance: int = 3) -> DataFrame:
     index = only.mapInArrow(keyed(False), "fp long, key long").withColumnRenamed("fp", "src")
     probe = only.mapInArrow(keyed(True), "fp long, key long").withColumnRenamed("fp", "dst")
     near = (F.col("src") < F.col("dst")) & (F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) <= distance)
-    return index.join(probe, (index.key == probe.key) & near).select("src", "dst").distinct()
+    # Spark takes either side for as small as the fingerprints; a probe side has about ninety rows for each, too many to broadcast
+    return index.hint("shuffle_merge").join(probe.hint("shuffle_merge"), (index.key == probe.key) & near).select("src", "dst").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 3, distance: int = 3) -> DataFrame:
