@@ -224,7 +224,8 @@ def links(rows: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -
     keys = nodes.select("node", "n", F.posexplode("prefix").alias("at", "shingle"))
     # only shingles that two nodes share; hub is the one that all others meet first
     hubs = keys.groupBy("shingle").agg(F.min(F.struct("node", "n")).alias("hub"), F.count("*").alias("met")).where("met > 1").select("shingle", "hub")
-    keys = written(keys.join(hubs, "shingle"), "near-keys")
+    # never broadcast: Spark's estimates don't count what an array is exploded to
+    keys = written(keys.hint("shuffle_merge").join(hubs, "shingle"), "near-keys")
 
     def fits(n, m):
         return (n >= similarity * m - 1e-9) & (m >= similarity * n - 1e-9)
@@ -242,7 +243,7 @@ def links(rows: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -
     n, m = F.col("n1"), F.col("n2")
     most = 1 + F.least(n - F.col("at1") - 1, m - F.col("at2") - 1)  # shared shingles, if this one is the first
     close = (F.col("src") < F.col("dst")) & (F.col("root1") != F.col("root2")) & fits(n, m) & (most * (1 + similarity) >= similarity * (n + m) - 1e-6)
-    rest = a.join(b, (a.shingle == b.shingle) & close).select("src", "dst").distinct()
+    rest = a.hint("shuffle_merge").join(b, (a.shingle == b.shingle) & close).select("src", "dst").distinct()
     tried = stars.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
     rest = written(rest.join(tried, ["src", "dst"], "left_anti"), "near-rest")
     # the first links' components as stars, which are shorter than their chains
