@@ -607,6 +607,12 @@ def stream_idle_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.where("conv_id >= 0")
 
 
+def _state_partitions(rows: DataFrame) -> int:
+    """Of a stream's state: one for so many rows, eight at least and no more than a shuffle has."""
+    most = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(8, min(most, rows.count() // 200_000))
+
+
 @query(ORACLE_SQL["segments_in_order"])
 def stream_segments_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same from a stream, in which completions arrive in no order."""
@@ -618,7 +624,7 @@ def stream_segments_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     done = written(done.repartition("done_seq").sortWithinPartitions(F.xxhash64("done_seq")), "done")
     half = F.xxhash64("done_seq") % 2 == 0
-    got = drained([done.where(half), done.where(~half)], lambda s: stateful.in_order(s, "stream_id", "segment_id", highest="done_seq"), "order", partitions=8)
+    got = drained([done.where(half), done.where(~half)], lambda s: stateful.in_order(s, "stream_id", "segment_id", highest="done_seq"), "order", partitions=_state_partitions(done))
     return got.where("ok").select("stream_id", "segment_id", "done_seq", "released_after")
 
 
@@ -632,7 +638,7 @@ def stream_sse_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     reads = raw.select("stream_id", "raw", "size", F.explode(starts).alias("n")).select("stream_id", F.col("n").cast("long").alias("read_seq"), F.substring("raw", F.col("n") * F.col("size") + 1, F.col("size")).alias("data"))
     reads = written(reads.repartition("read_seq", "stream_id"), "reads")
     half = F.xxhash64("read_seq") % 2 == 0
-    return drained([reads.where(half), reads.where(~half)], stateful.frames, "frames", partitions=8)
+    return drained([reads.where(half), reads.where(~half)], stateful.frames, "frames", partitions=_state_partitions(reads))
 
 
 @query("SELECT conv_id, turn, CAST(row_number() OVER (ORDER BY conv_id, turn) - 1 AS BIGINT) AS seq, trim(text, ' ') AS text FROM conversations WHERE role = 'user'")

@@ -160,37 +160,109 @@ def pieces(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("stream_id").transformWithStateInPandas(_Pieces(), "stream_id long, segment_id int, segment string", "Append", "None")
 
 
+#: Waiting rows of a key that lie with its other state; numbers of a page of the others; and those held in a batch before they go to their pages.
+FEW, PAGE, HELD = 64, 64, 4096
+
+
+class _Waiting:
+    """Rows of a key that wait, by their number. A few lie with the key's own state, more in pages of a map, so that a batch asks the store once
+    for a page and not for each row; what a batch holds is bounded. Of rows with one number the first stays: pages are older than what is held."""
+
+    def __init__(self, pages, number: int):
+        self.pages, self.number = pages, number
+
+    def open(self, few: list, paged: int) -> _Waiting:
+        self.held = {r[self.number]: tuple(r) for r in few}
+        self.paged, self.page, self.rows, self.changed = paged, None, {}, False
+        return self
+
+    def add(self, number: int, values: tuple) -> None:
+        self.held.setdefault(number, values)
+        if len(self.held) > HELD:
+            self.store()
+
+    def take(self, number: int) -> tuple | None:
+        if self.paged:
+            self.turn_to(number // PAGE)
+            if number in self.rows:
+                self.held.pop(number, None)
+                self.paged, self.changed = self.paged - 1, True
+                return self.rows.pop(number)
+        return self.held.pop(number, None)
+
+    def turn_to(self, page: int | None, there: bool = True) -> None:
+        if page == self.page:
+            return
+        if self.changed:
+            if self.rows:
+                self.pages.updateValue((self.page,), ([self.rows[n] for n in sorted(self.rows)],))
+            else:
+                self.pages.removeKey((self.page,))
+        there = there and page is not None and self.pages.containsKey((page,))
+        self.rows = {r[self.number]: tuple(r) for r in self.pages.getValue((page,))[0]} if there else {}
+        self.page, self.changed = page, False
+
+    def store(self) -> None:
+        """Brings what is held to its pages."""
+        there = self.paged > 0
+        for n in sorted(self.held):
+            self.turn_to(n // PAGE, there)
+            if n not in self.rows:
+                self.rows[n], self.paged, self.changed = self.held[n], self.paged + 1, True
+        self.held = {}
+
+    def all(self) -> Iterator[tuple]:
+        self.turn_to(None)
+        if self.paged:
+            for _, v in self.pages.iterator():
+                yield from v[0]
+        yield from self.held.values()
+
+    def close(self) -> tuple[list, int]:
+        if len(self.held) > FEW:
+            self.store()
+        self.turn_to(None)
+        return [self.held[n] for n in sorted(self.held)], self.paged
+
+
 class _InOrder(StatefulProcessor):
     """Rows of a key wait, by their number, for those before them; what is next goes at once and takes along what has waited for it."""
 
     def __init__(self, number: str, columns: list[T.StructField], first: int, limit: int | None, highest: str | None):
         self.number, self.columns, self.first, self.limit, self.highest = number, [f.name for f in columns], first, limit, highest
-        self.schema = T.StructType(columns)
+        self.rows = T.ArrayType(T.StructType(columns))
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.at = handle.getValueState("at", "next long, released long, highest long, due long")
-        self.waiting = handle.getMapState("waiting", "number long", self.schema)
+        at = T.StructType([*(T.StructField(c, T.LongType()) for c in ("next", "released", "highest", "due", "paged")), T.StructField("few", self.rows)])
+        self.at = handle.getValueState("at", at)
+        self.waiting = _Waiting(handle.getMapState("waiting", "page long", T.StructType([T.StructField("rows", self.rows)])), self.columns.index(self.number))
 
-    def _free(self, key, rows: list, state: list) -> Iterator[Row]:
-        """Releases these rows, which have the next numbers, and all that follow them without a gap."""
-        while rows:
-            row = rows.pop()
+    def _open(self) -> list:
+        *state, paged, few = self.at.get() or (self.first, 0, None, None, 0, [])
+        self.waiting.open(few, paged)
+        return state
+
+    def _close(self, state: list) -> None:
+        self._watch(state)
+        few, paged = self.waiting.close()
+        self.at.update((*state, paged, few))
+
+    def _free(self, state: list) -> Iterator[Row]:
+        """Releases the row that has the next number, if it is there, and all that follow it without a gap."""
+        while (row := self.waiting.take(state[0])) is not None:
             if self.highest is not None:
                 told = row[self.columns.index(self.highest)]
                 state[2] = told if state[2] is None else state[2] if told is None else max(state[2], told)
             yield Row(**dict(zip(self.columns, row)), release=state[1], **({} if self.highest is None else {"released_after": state[2]}))
             state[0], state[1] = state[0] + 1, state[1] + 1
-            if self.waiting.containsKey((state[0],)):
-                rows.append(tuple(self.waiting.getValue((state[0],))))
-                self.waiting.removeKey((state[0],))
 
     def _watch(self, state: list) -> None:
         """While rows wait, a timer stands at the time up to which the first of them waits."""
         if self.limit is None:
             return
         i = self.columns.index("event_ms")
-        due = min((v[i] + self.limit for _, v in self.waiting.iterator() if v[i] is not None), default=None)
+        due = min((v[i] + self.limit for v in self.waiting.all() if v[i] is not None), default=None)
         if due != state[3]:
             if state[3] is not None:
                 self.handle.deleteTimer(state[3])
@@ -199,34 +271,34 @@ class _InOrder(StatefulProcessor):
             state[3] = due
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        state = list(self.at.get()) if self.at.exists() else [self.first, 0, None, None]
+        state = self._open()
         for row in rows:
             number = row[self.number]
-            values = tuple(row[c] for c in self.columns)
             if number is None or number < state[0]:
                 continue  # already out, or passed over
+            self.waiting.add(number, tuple(row[c] for c in self.columns))
             if number == state[0]:
-                yield from self._free(key, [values], state)
-            elif not self.waiting.containsKey((number,)):
-                self.waiting.updateValue((number,), values)
-        self._watch(state)
-        self.at.update(tuple(state))
+                yield from self._free(state)
+        self._close(state)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        state = list(self.at.get())
+        state = self._open()
         state[3] = None
-        now, i = expiredTimerInfo.getExpiryTimeInMs(), self.columns.index("event_ms")
-        while True:  # the gap before the first row whose time is up is given up, and so are those before it
-            up = [k[0] for k, v in self.waiting.iterator() if v[i] is not None and v[i] + self.limit <= now]
-            if not up:
-                break
-            first = min(k[0] for k in self.waiting.keys())
-            state[0] = first
-            row = tuple(self.waiting.getValue((first,)))
-            self.waiting.removeKey((first,))
-            yield from self._free(key, [row], state)
-        self._watch(state)
-        self.at.update(tuple(state))
+        now, i, n = expiredTimerInfo.getExpiryTimeInMs(), self.columns.index("event_ms"), self.columns.index(self.number)
+        # all gaps before the last row whose time is up are given up
+        last, pages = None, set()
+        for v in self.waiting.all():
+            pages.add(v[n] // PAGE)
+            if v[i] is not None and v[i] + self.limit <= now:
+                last = v[n] if last is None else max(last, v[n])
+        self.waiting.store()
+        for page in sorted(pages) if last is not None else ():
+            self.waiting.turn_to(page)
+            for number in sorted(self.waiting.rows):
+                if state[0] <= number <= last:
+                    state[0] = number
+                    yield from self._free(state)
+        self._close(state)
 
     def close(self) -> None:
         pass
@@ -252,31 +324,35 @@ class _Frames(StatefulProcessor):
     """The bytes of a stream after its last whole frame, and reads that came before their turn."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.at = handle.getValueState("at", "next long, seq long, tail binary")
-        self.early = handle.getMapState("early", "read_seq long", "data binary")
+        reads = "array<struct<read_seq: long, data: binary>>"
+        self.at = handle.getValueState("at", f"next long, seq long, tail binary, paged long, few {reads}")
+        self.early = _Waiting(handle.getMapState("early", "page long", f"reads {reads}"), 0)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        nxt, seq, tail = self.at.get() if self.at.exists() else (0, 0, b"")
-        tail = bytes(tail)
+        nxt, seq, tail, paged, few = self.at.get() or (0, 0, b"", 0, [])
+        self.early.open(few, paged)
+        ready = [bytes(tail)]
         for row in rows:
-            n, data = row["read_seq"], bytes(row["data"] or b"")
+            n = row["read_seq"]
             if n is None or n < nxt:
                 continue
+            self.early.add(n, (n, row["data"]))
             if n > nxt:
-                self.early.updateValue((n,), (data,))
                 continue
-            while True:
+            while (read := self.early.take(nxt)) is not None:
+                data, nxt = bytes(read[1] or b""), nxt + 1
+                ready.append(data)
+                # a frame's end may be cut; what can't have one is not searched again
+                if b"\n\n" not in (ready[-2][-1:] if len(ready[-2]) else b"".join(ready[:-1])[-1:]) + data:
+                    continue
                 # a character may be cut, a frame's end isn't: its bytes are no part of a longer character
-                *whole, tail = (tail + data).split(b"\n\n")
+                *whole, tail = b"".join(ready).split(b"\n\n")
+                ready = [tail]
                 for part in whole:
                     yield Row(stream_id=key[0], seq=seq, part=part.decode("utf-8", "replace"))
                     seq += 1
-                nxt += 1
-                if not self.early.containsKey((nxt,)):
-                    break
-                data = bytes(self.early.getValue((nxt,))[0])
-                self.early.removeKey((nxt,))
-        self.at.update((nxt, seq, tail))
+        few, paged = self.early.close()
+        self.at.update((nxt, seq, b"".join(ready), paged, few))
 
     def close(self) -> None:
         pass

@@ -117,3 +117,58 @@ def test_every_cut_of_a_stream_gives_the_same_frames(spark, tmp_path):
     for r in got.orderBy("stream_id", "seq").collect():
         of.setdefault(r["stream_id"], []).append(tuple(r)[1:])
     assert len(whole) == 4 and of == {s: whole for s in range(len(cuts))} and told[0] < told[2]
+
+
+class _Store:
+    """A map state that counts what it is asked."""
+
+    def __init__(self):
+        self.kept, self.asked = {}, 0
+
+    def containsKey(self, k):  # noqa: N802
+        self.asked += 1
+        return k in self.kept
+
+    def getValue(self, k):  # noqa: N802
+        self.asked += 1
+        return self.kept[k]
+
+    def updateValue(self, k, v):  # noqa: N802
+        self.asked += 1
+        self.kept[k] = v
+
+    def removeKey(self, k):  # noqa: N802
+        self.asked += 1
+        del self.kept[k]
+
+    def iterator(self):
+        return iter(self.kept.items())
+
+
+@pytest.mark.parametrize("n", [10, 5000, 20_000])
+def test_waiting_rows_ask_the_store_by_pages(n):
+    rng = random.Random(n)
+    store, out, few, paged, at = _Store(), [], [], 0, 0
+    numbers = rng.sample(range(n), n)
+    for batch in (numbers[: n // 2], numbers[n // 2 :]):
+        w = stateful._Waiting(store, 0).open(few, paged)
+        for k in batch:
+            w.add(k, (k, "first"))
+            w.add(k, (k, "again"))
+            while k == at and (row := w.take(at)) is not None:
+                out.append(row)
+                at = k = at + 1
+        few, paged = w.close()
+        assert paged == sum(len(v[0]) for v in store.kept.values()) and len(few) <= stateful.FEW
+    assert out == [(k, "first") for k in range(n)] and not few and not store.kept
+    assert store.asked < n / 2  # a row for itself asks four times
+
+
+def test_many_waiting_rows_and_gaps_over_pages(spark, tmp_path):
+    at = lambda m: START + timedelta(minutes=m)
+    numbers = [k for k in range(1, 400) if k % 50 and k != 1]
+    rows = [(1, k, k, True, at(1)) for k in numbers]
+    random.Random(5).shuffle(rows)
+    parts = [rows[:200], rows[200:], [(9, 1, 0, True, at(20))], [(9, 2, 0, True, at(40))]]
+    got, told = run(spark, tmp_path, "pages", DONE, parts, lambda s: stateful.in_order(s.withWatermark("ts", "1 minute"), "stream_id", "segment_id", limit="10 minutes"))
+    assert [r["segment_id"] for r in got.where("stream_id = 1").orderBy("release").collect()] == numbers and told[1] == 0
