@@ -1,7 +1,7 @@
 """Retrieval of related records: dense by cosine, lexical by shared words.
 
 Queries are a stated set. Dense queries travel to the data in blocks of bounded size; each task
-keeps only the best k of a query, and a window takes the best of those. Records may
+keeps only the best k of a query from all its batches, and a window takes the best of those. Records may
 be any number. The score must exceed the threshold; ties go to the smaller record id.
 """
 
@@ -18,6 +18,8 @@ from talkloom.operators import lexical_index
 
 TOP_K, THRESHOLD = 5, 0.3
 BLOCK_BYTES = 32 << 20
+#: Queries and records that are compared at once.
+TILE = 1024
 
 
 def _normal(x: np.ndarray) -> np.ndarray:
@@ -25,6 +27,37 @@ def _normal(x: np.ndarray) -> np.ndarray:
     return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
 
 
+class _Best:
+    """The k best records of each query, of all that a task has seen: highest scores first, ties by the smaller id. It holds k of a query, and one tile of scores."""
+
+    def __init__(self, qid: np.ndarray, k: int, least: float):
+        self.qid, self.k = qid, k
+        self.score, self.id = np.full((len(qid), k), -np.inf), np.zeros((len(qid), k), np.int64)
+        self.least = np.full(len(qid), np.nextafter(least, np.inf))  # what a record must reach to count
+
+    def add(self, first: int, scores: np.ndarray, ids: np.ndarray) -> None:
+        rows, cut = slice(first, first + len(scores)), len(ids) - self.k
+        if cut > 0:
+            self.least[rows] = np.maximum(self.least[rows], np.partition(scores, cut, axis=1)[:, cut])
+        r, c = np.nonzero(scores >= self.least[rows, None])
+        if not len(r):
+            return
+        some = np.unique(r)
+        query = np.concatenate([r, np.repeat(some, self.k)])
+        score = np.concatenate([scores[r, c], self.score[first + some].ravel()])
+        record = np.concatenate([ids[c], self.id[first + some].ravel()])
+        order = np.lexsort((record, -score, query))
+        heads = np.searchsorted(query[order], some)
+        top = order[heads[:, None] + np.arange(self.k)]
+        self.score[first + some], self.id[first + some] = score[top], record[top]
+        self.least[first + some] = np.maximum(self.least[first + some], self.score[first + some, -1])
+
+    def batches(self, names: list[str]) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(self.qid), 1 << 16):
+            r, c = np.nonzero(self.score[i : i + (1 << 16)] > -np.inf)
+            yield pa.RecordBatch.from_arrays([pa.array(self.qid[i + r]), pa.array(self.id[i + r, c]), pa.array(self.score[i + r, c])], names=names)
+
+
 def _best(scored: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "record_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
@@ -46,26 +79,24 @@ def dense_top_k(queries: DataFrame, records: DataFrame, k: int = TOP_K, threshol
     spark = records.sparkSession
     plain, asked = (t.select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec")).where(F.col("id").isNotNull() & usable(F.col("vec"))) for t in (records, queries))
     out = spark.createDataFrame([], "query_id long, record_id long, similarity double")
-    least = -2.0 if threshold is None else threshold
+    least, names = -2.0 if threshold is None else threshold, out.columns
 
     def scorer(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             qid, q = shared.value
+            best = _Best(qid, k, least)
             for batch in batches:
                 if not batch.num_rows:
                     continue
                 rid = batch.column(0).to_numpy()
                 x = _normal(batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(rid), q.shape[1]))
-                by_id = np.argsort(rid, kind="stable")
-                rid, x = rid[by_id], x[by_id]
-                for i in range(0, len(qid), 1024):
-                    s = q[i : i + 1024] @ x.T
-                    if others_only:
-                        s[qid[i : i + 1024, None] == rid[None, :]] = -3.0
-                    top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                    score = np.take_along_axis(s, top, 1)
-                    r, c = np.nonzero(score > least)
-                    yield pa.RecordBatch.from_arrays([pa.array(qid[i : i + 1024][r]), pa.array(rid[top[r, c]]), pa.array(score[r, c])], names=["query_id", "record_id", "similarity"])
+                for i in range(0, len(qid), TILE):
+                    for j in range(0, len(rid), TILE):
+                        s, other = q[i : i + TILE] @ x[j : j + TILE].T, rid[j : j + TILE]
+                        if others_only:
+                            s[qid[i : i + TILE, None] == other[None, :]] = -3.0
+                        best.add(i, s, other)
+            yield from best.batches(names)
 
         return run
 

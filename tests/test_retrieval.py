@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from talkloom.operators import lexical_index, retrieve
@@ -77,3 +78,23 @@ def test_vectors_that_cannot_be_compared(spark):
     for size in (32 << 20, 16):
         got = told(retrieve.dense_top_k(queries, records, threshold=None, block_bytes=size))
         assert got == {1: [(3, 1.0), (10, 0.6), (9, 0.0)], 2: [(2, 1.0)], 5: [(1, 1.0)]}
+
+
+@pytest.mark.parametrize("n, copies", [(3, 0), (3000, 0), (2500, 1500)])
+def test_a_task_keeps_the_best_of_all_its_batches(spark, monkeypatch, n, copies):
+    monkeypatch.setattr(retrieve, "TILE", 64)
+    rng = np.random.default_rng(n)
+    vecs = rng.integers(-3, 4, (n, 8)).astype(float)  # with many ties
+    vecs[n - copies :] = [1.0, 2, 0, 0, 0, 0, 0, 1]
+    best = retrieve._Best(np.arange(n), 5, -2.0)
+    s = vecs @ vecs.T
+    order = rng.permutation(n)
+    for i in range(0, n, 1000):
+        for j in range(0, n, 700):
+            best.add(i, s[i : i + 1000, order[j : j + 700]], order[j : j + 700])
+    wanted = np.argsort(-s, axis=1, kind="stable")[:, :5]
+    got = np.where(best.score > -np.inf, best.id, -1)[:, : wanted.shape[1]]
+    # ids of scores that do not count are not told
+    told = np.take_along_axis(s, wanted, 1) > -2.0
+    assert (got[told] == wanted[told]).all() and (got[~told] == -1).all()
+    assert sum(b.num_rows for b in best.batches(["q", "r", "s"])) == told.sum()
