@@ -32,22 +32,24 @@ def sentences(segmented: DataFrame) -> DataFrame:
 
 def ranked(said: DataFrame, steps: int = STEPS, damping: float = DAMPING) -> DataFrame:
     """The sentences with rank, their share of the walk after so many steps from an even start; a topic's ranks add up to 1."""
-    said = written(said, "sentences")
-    each = [*KEY, "round_no", "pos"]
-    counts = said.select(*each, F.explode(X.words(F.col("sentence"))).alias("word")).groupBy(*each, "word").agg(F.count("*").cast("double").alias("n"))
-    norms = counts.groupBy(*each).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
-    unit = written(counts.join(norms, each).select(*each, "word", (F.col("n") / F.col("norm")).alias("x")), "sentence-words")
-    total = unit.groupBy(*KEY, "word").agg(F.sum("x").alias("y"))
-    degree = unit.join(total, [*KEY, "word"]).groupBy(*each).agg(F.sum(F.col("x") * F.col("y")).alias("degree"))
-    size = said.groupBy(*KEY).agg(F.count("*").alias("size"))
-    fixed = written(degree.join(size, KEY), "sentence-degrees")
-    now = fixed.select(*each, (1 / F.col("size")).alias("rank"))
+    # a sentence and a topic's word are known by numbers, which are a fraction of their keys when rows are dealt
+    said = written(said.withColumn("_s", F.monotonically_increasing_id()), "sentences")
+    topic = said.groupBy(*KEY).agg(F.count("*").alias("size"))
+    counts = said.select("_s", *KEY, F.explode(X.words(F.col("sentence"))).alias("word")).groupBy("_s", *KEY, "word").agg(F.count("*").cast("double").alias("n"))
+    norms = counts.groupBy("_s").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
+    named = written(counts.join(norms, "_s").select("_s", *KEY, "word", (F.col("n") / F.col("norm")).alias("x")), "sentence-words")
+    total = written(named.groupBy(*KEY, "word").agg(F.sum("x").alias("y")).withColumn("_w", F.monotonically_increasing_id()), "topic-words")
+    unit = written(named.join(total, [*KEY, "word"]).select("_s", "_w", "x", "y"), "sentence-units")
+    degree = unit.groupBy("_s").agg(F.sum(F.col("x") * F.col("y")).alias("degree"))
+    unit = unit.select("_s", "_w", "x")
+    fixed = written(said.select("_s", *KEY).join(topic, KEY).join(degree, "_s").select("_s", "degree", "size"), "sentence-degrees")
+    now = fixed.select("*", (1 / F.col("size")).alias("rank"))
     for _ in range(steps):
-        share = fixed.join(now, each).select(*each, (F.col("rank") / F.col("degree")).alias("share"))
-        words = unit.join(share, each).groupBy(*KEY, "word").agg(F.sum(F.col("share") * F.col("x")).alias("y"))
-        got = unit.join(words, [*KEY, "word"]).groupBy(*each).agg(F.sum(F.col("x") * F.col("y")).alias("got"))
-        now = written(fixed.join(got, each).select(*each, ((1 - damping) / F.col("size") + damping * F.col("got")).alias("rank")), "sentence-ranks")
-    return said.join(now, each)
+        share = now.select("_s", (F.col("rank") / F.col("degree")).alias("share"))
+        words = unit.join(share, "_s").groupBy("_w").agg(F.sum(F.col("share") * F.col("x")).alias("y"))
+        got = unit.join(words, "_w").groupBy("_s").agg(F.sum(F.col("x") * F.col("y")).alias("got"))
+        now = written(fixed.join(got, "_s").select("_s", "degree", "size", ((1 - damping) / F.col("size") + damping * F.col("got")).alias("rank")), "sentence-ranks")
+    return said.join(now.select("_s", "rank"), "_s").drop("_s")
 
 
 def summaries(segmented: DataFrame, steps: int = STEPS, damping: float = DAMPING) -> DataFrame:

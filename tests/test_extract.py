@@ -56,3 +56,16 @@ def test_summaries(spark):
     assert got[2] == (long[:30].strip(), long[:300])
     assert got[4][0] == "same words" and got[4][1] == "same words\nsame words\nother"
     assert extract.summaries(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_steps_deal_numbers_not_words(spark, monkeypatch):
+    plans = []
+
+    def written(df, name, real=extract.written):
+        if name == "sentence-ranks":
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return real(df, name)
+
+    monkeypatch.setattr(extract, "written", written)
+    extract.ranked(extract.sentences(spark.createDataFrame([(1, 0, 1, False, "one two. two three", "")], SCHEMA)), 1).count()
+    assert len(plans) == 1 and not {"word#", "conv_id#", "round_no#"} & set(re.findall(r"\w+#", plans[0]))
