@@ -6,12 +6,14 @@ effect. All but the last return the columns of documents.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talkloom.llm import bpe, decontaminate, langid, near_copies, suffix_dedup
-from talkloom.llm.common import table, written
+from talkloom.llm.common import passing, save, scratch_path, table, written
 
 #: A document is rejected when no language has this probability.
 LEAST_SCORE = 0.5
@@ -19,9 +21,16 @@ LEAST_SCORE = 0.5
 BROADCAST_ROWS = 500_000
 
 
-def _without(docs: DataFrame, gone: DataFrame, name: str) -> DataFrame:
-    """docs without the rows that gone names by doc_id, null or not, and mark, the hash of their text: an id may be missing or repeated."""
-    gone = written(gone.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).distinct(), name)
+def _without(docs: DataFrame, find: Callable[[], DataFrame], name: str) -> DataFrame:
+    """docs without the rows that find's result names by doc_id, null or not, and mark, the hash of their text: an id may be missing or repeated.
+
+    What find has written is deleted as soon as the names are.
+    """
+    path = scratch_path(docs.sparkSession, name)
+    with passing(docs.sparkSession):
+        gone = find().select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).distinct()
+        save(gone, path)
+    gone = docs.sparkSession.read.schema(gone.schema).parquet(path)
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
     return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_mark")), "left_anti").select(*docs.columns)
 
@@ -57,9 +66,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     without an id stay only where no row of their group has one. Null and empty texts are alike. An empty table stays empty; texts of any length are read whole;
     other columns are carried along, whatever their names.
     """
-    groups = near_copies.near_duplicates(docs.select("doc_id", "text"), marks=True)
     least = F.col("doc_id").eqNullSafe(F.col("component_id")) & ((F.col("mark") == F.col("component_mark")))
-    return _without(docs, groups.where(~least), "near-duplicates")
+    return _without(docs, lambda: near_copies.near_duplicates(docs.select("doc_id", "text"), marks=True).where(~least), "near-duplicates")
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -81,8 +89,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     carried along, whatever their names.
     """
     named = docs.select(F.struct("doc_id", F.xxhash64("text").alias("mark")).alias("row"), "text")
-    found = decontaminate.contaminated(named, table(spark, sf_dir, "benchmark"), id_col="row")
-    return _without(docs, found.select("row.*"), "contaminated")
+    return _without(docs, lambda: decontaminate.contaminated(named, table(spark, sf_dir, "benchmark"), id_col="row").select("row.*"), "contaminated")
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

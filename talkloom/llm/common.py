@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import re
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,8 +51,32 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+#: Scratch folders made within `passing`, by thread.
+_PASSING: dict[int, list[str]] = {}
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/talkloom-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/talkloom-{name}-{uuid.uuid4().hex}"
+    if (made := _PASSING.get(threading.get_ident())) is not None:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Scratch folders that are made within it go at its end. What is read later must be written to a path from before."""
+    me = threading.get_ident()
+    outer = _PASSING.get(me)
+    made = _PASSING[me] = []
+    try:
+        yield
+    finally:
+        if outer is None:
+            del _PASSING[me]
+        else:
+            _PASSING[me] = outer
+        for path in made:
+            remove(spark, path)
 
 
 #: Spark's setting by which a job's shuffle files go when the job has ended.

@@ -5,10 +5,12 @@ SIMILARITY. SimHash's Golay keys (see simhash) find near-equal texts first, and
 with the least one found for it. Three bits of 64 reach no further than that, so a prefix-filtered
 join follows, which finds all pairs; nothing in it is left to chance. Shingles stand in one order for all texts, rare ones first. Of n shingles, a text in a link shares at least ceil(s n), so
 one of its first n - ceil(s n) + 1 is among the first ones of the other text; pairs that meet in such
-a shingle pass a length filter and a position filter, and are then compared shingle by shingle.
+a shingle pass a length filter, a position filter and one by sketches (parities of numbers of shingles, which differ in no more bits than
+the sets in shingles), and are then compared shingle by shingle.
 
-Any order is exact; which shingles are common, for speed, is counted over all texts: each task sends a
-bounded tally of the commonest it has seen, and the tallies are added.
+Any order is exact; how common shingles are, for speed, is counted over all texts at PLACES places of their hashes: tasks send
+their counts of the places, which are added. A place's count is at least that of each shingle in it, so what many texts share comes last,
+however many tasks there are.
 To keep a large group of copies from being compared pair by pair, each shingle's texts are first
 compared with one of them; pairs that are in one component by then aren't compared again.
 
@@ -37,6 +39,10 @@ from talkloom.llm.components import components
 WORDS, SIMILARITY = 5, 0.8
 #: Entries of a task's tally of shingles, and how many common ones are told to all at most (16 bytes each).
 TALLY, MOST_COMMON = 1 << 17, 200_000
+#: Places of shingles' hashes at which they are counted (a byte each is told to all), and how many of them travel in a row.
+PLACES, PLACES_A_ROW = 1 << 22, 1 << 14
+#: Longs of a shingle set's sketch, whose bits are parities of numbers of shingles.
+SKETCH = 8
 #: Bytes of a batch of texts, whose shingles take several times as much, and of one of pairs of texts.
 SHINGLED_BYTES, COMPARED_BYTES = 4 << 20, 2 << 20
 #: Words whose hashes are kept; beyond that the cache starts anew.
@@ -148,34 +154,91 @@ def common_shingles(docs: DataFrame, text: str, words: int) -> tuple[np.ndarray,
     return shingles[order], n[order]
 
 
+def place_of(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - PLACES.bit_length() + 1)).astype(np.int64)
+
+
+def place_steps(docs: DataFrame, text: str, words: int) -> np.ndarray:
+    """How many shingles of all texts fall in each place, as eighths of powers of two; a text's counts once.
+
+    A task's counts are rows of PLACES_A_ROW places, which are added as they stream by, so no task holds more than its own places and one row.
+    """
+    width, places = PLACES_A_ROW, PLACES
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, counts, waiting = Hasher(words), None, []
+        for batch in batches:
+            counts = np.zeros(places, np.uint32) if counts is None else counts
+            for s in batch.column(0):
+                waiting.append(place_of(hashes(s.as_py())))
+                if sum(map(len, waiting)) >= 1 << 18 or len(waiting) >= 256:
+                    np.add.at(counts, np.concatenate(waiting), 1)
+                    waiting = []
+        if waiting:
+            np.add.at(counts, np.concatenate(waiting), 1)
+        for i in range(0, 0 if counts is None else places, width):
+            part = counts[i : i + width]
+            if part.any():
+                part = part.astype(np.uint8) if part.max() < 256 else part
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["first", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, total = None, np.zeros(width, np.int64)
+
+        def row() -> pa.RecordBatch:
+            steps = np.floor(np.log2(np.maximum(total, 1)) * 8).clip(0, 255).astype(np.uint8)
+            return pa.RecordBatch.from_arrays([pa.array([first], pa.int32()), pa.array([steps.tobytes()], pa.binary())], names=["first", "steps"])
+
+        for batch in batches:
+            for at, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if at != first:
+                    if first is not None:
+                        yield row()
+                    first, total = at, np.zeros(width, np.int64)
+                data = counts.as_py()
+                total += np.frombuffer(data, np.uint8 if len(data) == width else np.uint32)
+        if first is not None:
+            yield row()
+
+    sent = docs.select(F.col(text).alias("text")).mapInArrow(count, "first int, counts binary")
+    told = sent.repartition("first").sortWithinPartitions("first").mapInArrow(add, "first int, steps binary")
+    out = np.zeros(PLACES, np.uint8)
+    for r in written(told, "near-places").collect():
+        out[r["first"] : r["first"] + width] = np.frombuffer(r["steps"], np.uint8)
+    return out
+
+
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """Each shingle flips one bit; so two sets differ in at least as many shingles as their sketches do in bits."""
+    bits = np.bincount((hashes & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def shingled(docs: DataFrame, id_col: str, text: str, words: int, similarity: float) -> DataFrame:
-    """id, mark (a hash of the text), node (a hash of the shingle set), n (shingles), prefix (the first ones in the order), fp (SimHash) and text."""
+    """id, mark (a hash of the text), node (a hash of the shingle set), n (shingles), prefix (the first ones in the order), sketch, fp (SimHash) and text."""
     spark = docs.sparkSession
     small_batches(spark, size=SHINGLED_BYTES)
-    shared = spark.sparkContext.broadcast(common_shingles(docs, text, words))
+    shared = spark.sparkContext.broadcast(place_steps(docs, text, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         hashes = Hasher(words)
-        common, counts = shared.value
+        steps = shared.value
         for batch in batches:
-            node, size, prefix, fp = [], [], [], []
+            node, size, prefix, sketches, fp = [], [], [], [], []
             for s in batch.column(1):
                 h = hashes(s.as_py())
                 node.append(xxhash.xxh64_intdigest(h.tobytes()))
                 size.append(len(h))
+                sketches.append(sketch(h))
                 fp.append(simhash.fingerprint(s.as_py(), words))
-                weight = np.zeros(len(h), np.int64)
-                if len(common):
-                    at = np.minimum(np.searchsorted(common, h), len(common) - 1)
-                    weight = np.where(common[at] == h, counts[at], 0)
-                prefix.append(h[np.lexsort((h, weight))[: prefix_length(len(h), similarity)]].view(np.int64))
-            cols = [batch.column(0), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(size, pa.int32()), pa.array(prefix, pa.list_(pa.int64())), pa.array(np.array(fp, np.uint64).view(np.int64)), batch.column(1), batch.column(2)]
-            yield pa.RecordBatch.from_arrays(cols, names=["id", "node", "n", "prefix", "fp", "text", "mark"])
+                prefix.append(h[np.lexsort((h, steps[place_of(h)]))[: prefix_length(len(h), similarity)]].view(np.int64))
+            cols = [batch.column(0), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(size, pa.int32()), pa.array(prefix, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64())), pa.array(np.array(fp, np.uint64).view(np.int64)), batch.column(1), batch.column(2)]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "node", "n", "prefix", "sketch", "fp", "text", "mark"])
 
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("mark"))
-    return plain.mapInArrow(run, "id long, node long, n int, prefix array<long>, fp long, text string, mark long")
+    return plain.mapInArrow(run, "id long, node long, n int, prefix array<long>, sketch array<long>, fp long, text string, mark long")
 
 
 def verified(pairs: DataFrame, rows: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -237,12 +300,17 @@ def links(rows: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -
 
     rooted = keys.join(roots, "node", "left").select("shingle", "node", "n", "at", F.coalesce("root", "node").alias("root"))
     mixed = rooted.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("shingle")
-    rooted = written(rooted.join(mixed, "shingle", "left_semi"), "near-rooted")
-    a = rooted.select("shingle", F.col("node").alias("src"), F.col("n").alias("n1"), F.col("at").alias("at1"), F.col("root").alias("root1"))
-    b = rooted.select("shingle", F.col("node").alias("dst"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("root").alias("root2"))
+    sketches = rows.groupBy("node").agg(F.first("sketch").alias("sketch"))
+    rooted = rooted.join(mixed, "shingle", "left_semi").join(sketches.hint("shuffle_merge"), "node")
+    bits = [f"bits{i}" for i in range(SKETCH)]
+    rooted = written(rooted.select("shingle", "node", "n", "at", "root", *[F.col("sketch")[i].alias(c) for i, c in enumerate(bits)]), "near-rooted")
+    a = rooted.select("shingle", F.col("node").alias("src"), F.col("n").alias("n1"), F.col("at").alias("at1"), F.col("root").alias("root1"), *[F.col(c).alias(c + "a") for c in bits])
+    b = rooted.select("shingle", F.col("node").alias("dst"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("root").alias("root2"), *[F.col(c).alias(c + "b") for c in bits])
     n, m = F.col("n1"), F.col("n2")
     most = 1 + F.least(n - F.col("at1") - 1, m - F.col("at2") - 1)  # shared shingles, if this one is the first
     close = (F.col("src") < F.col("dst")) & (F.col("root1") != F.col("root2")) & fits(n, m) & (most * (1 + similarity) >= similarity * (n + m) - 1e-6)
+    apart = sum((F.bit_count(F.col(c + "a").bitwiseXOR(F.col(c + "b"))) for c in bits), F.lit(0))  # shingles in one of both, at least
+    close = close & (apart * (1 + similarity) <= (1 - similarity) * (n + m) + 1e-6)
     rest = a.hint("shuffle_merge").join(b, (a.shingle == b.shingle) & close).select("src", "dst").distinct()
     tried = stars.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
     rest = written(rest.join(tried, ["src", "dst"], "left_anti"), "near-rest")
