@@ -6,8 +6,7 @@ marginal probability and not that of its best segmentation. A character that is
 bytes. The weights of the pieces start from the scores of the vocabulary file (where these are
 negative ranks, as in BPE files, by Zipf's law of them) and are fitted to the training rows by expectation
 maximisation: a round sums over distinct training words how often each piece is expected in the word's segmentations, and
-the file's weights stay in as PRIOR pseudo-counts. The first rounds, which only lead up to the last, take a part of the words
-(by a hash; PARTS); the last one, whose sums the weights are, takes all.
+the file's weights stay in as PRIOR pseudo-counts. There are two rounds, and each takes all words (PARTS).
 
 A word that occurs in training has one more arc, for the whole of it, of weight (c - D) / N with its count c; what all
 these arcs leave, D for each distinct word, is shared out by the pieces' lattice, so the words' marginals sum to one.
@@ -19,9 +18,8 @@ piece weights, word counts and number of texts; a component's words back off to
 A text's score is log10 of its marginal probability: the sum over components of share times product over
 words, and its end, which counts as a word.
 
-Training rows are dealt to components by a mixture of byte-pair distributions. Its starting point, SAMPLE_TEXTS distinct
-training texts of SAMPLE_BYTES bytes each at most, is the only thing that is sampled: all counts, piece weights and shares are those
-of all training rows, whole.
+Training rows are dealt to components by a mixture of byte-pair distributions, which is fitted to all distinct training texts, whole.
+Nothing is sampled: all counts, piece weights and shares too are those of all training rows.
 
 Words are counted as rows: a block of documents (see blocks) gives one row for each distinct word in it (and component that
 has it), so the rows grow with the table and a word that every text has costs a few rows a block. They are dealt
@@ -39,7 +37,7 @@ An empty table gives no rows.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from math import log
 
@@ -50,12 +48,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talkloom.llm.blocks import NO_ID, bucketed, make_blocks, texts
-from talkloom.llm.common import received, share, written
+from talkloom.llm.common import received, share, small_batches, written
 
 CLASSES = 6
-#: Each round of the fit takes one in so many distinct words; the last takes all.
-PARTS = (16, 8, 1)
-SAMPLE_TEXTS, SAMPLE_BYTES = 2000, 20_000
+#: Each round of the fit takes one in so many distinct words: all take all.
+PARTS = (1, 1)
+#: Rounds of the mixture's fit at most; components start from texts of at least so many byte pairs, where there are any.
+ROUNDS, STEADY = 15, 200
 #: Discount of a word's count; pseudo-counts of the file's weights, and of all components' weights in each one's; an end's probability when there is nothing to learn from.
 D, PRIOR, POOLED, END = 0.75, 100.0, 100.0, 0.001
 #: Texts are dealt in blocks of this size; the larger, the fewer rows a word has.
@@ -224,40 +223,166 @@ def pairs(text: bytes) -> np.ndarray:
     return b[:-1] << 8 | b[1:]
 
 
-def fit_kinds(sample: list[bytes], classes: int = CLASSES, rounds: int = 15) -> Kinds:
-    """By hard expectation maximisation from texts far from one another."""
-    counts = [np.unique(pairs(t.lower()), return_counts=True) for t in sample]
-    counts = [c for c in counts if len(c[0])]
-    if not counts:
+def _pair_counts(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct byte pairs of a text, and how often each occurs."""
+    if len(text) < 1 << 16:
+        return np.unique(pairs(text.lower()), return_counts=True)
+    total = np.zeros(1 << 16, np.int64)
+    for i in range(0, len(text) - 1, 1 << 20):
+        total += np.bincount(pairs(text[i : i + (1 << 20) + 1].lower()), minlength=1 << 16)
+    found = np.flatnonzero(total)
+    return found, total[found]
+
+
+class _Texts:
+    """Byte pairs of some texts: fit, members and farthest are those of fit_kinds, for these texts."""
+
+    def __init__(self, counts: list[tuple[np.ndarray, np.ndarray]]):
+        self.pair = np.concatenate([p for p, _ in counts])
+        self.n = np.concatenate([n for _, n in counts]).astype(np.int64)
+        self.sizes = np.array([len(p) for p, _ in counts])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.length = np.add.reduceat(self.n, self.starts)
+
+    def fit(self, tables: np.ndarray) -> np.ndarray:
+        """The mean log probability of each text's pairs (tables: by pair and component)."""
+        return np.add.reduceat(tables[self.pair] * self.n[:, None], self.starts) / self.length[:, None]
+
+    def members(self, tables: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of pairs of each component's texts, by pair and component, and its number of texts."""
+        k = tables.shape[1]
+        kind = self.fit(tables).argmax(1)
+        sums = np.bincount(self.pair * k + np.repeat(kind, self.sizes), self.n, k << 16).reshape(1 << 16, k)
+        return sums, np.bincount(kind, minlength=k)
+
+    def farthest(self, back: np.ndarray, tables: np.ndarray, least: int) -> tuple[float, int]:
+        """How much better the first such text of at least so many pairs would be alone, and its place; the one that the components so far suit least."""
+        fit = self.fit(np.column_stack([back, tables]))
+        gain = np.where(self.length >= least, fit[:, 0] - fit[:, 1:].max(1), -np.inf)
+        return float(gain.max()), int(gain.argmax())
+
+
+def _kinds(total: np.ndarray, n_texts: int, first: Callable, farthest: Callable, members: Callable, classes: int, rounds: int) -> Kinds:
+    """By hard expectation maximisation from texts far from one another; the functions ask all texts."""
+    if not n_texts:
         return Kinds(np.zeros((1 << 16, 1), np.float32), np.zeros(1))
-    back = np.full(1 << 16, 0.1)
-    for p, n in counts:
-        np.add.at(back, p, n)
-    back /= back.sum()
-
-    def logs(members: list[int]) -> np.ndarray:
-        total = back * 2000
-        for m in members:
-            np.add.at(total, counts[m][0], counts[m][1])
-        return np.log(total / total.sum())
-
-    fit = lambda tables: np.array([[(t[p] * n).sum() / n.sum() for t in tables] for p, n in counts])
-    long = max(range(len(counts)), key=lambda k: (counts[k][1].sum() >= 200, -k))
-    tables = [logs([long])]
-    own = np.array([(np.log(back[p]) * n).sum() / n.sum() for p, n in counts])
-    steady = np.array([n.sum() >= 200 for _, n in counts]) if any(n.sum() >= 200 for _, n in counts) else np.ones(len(counts), bool)
-    while len(tables) < min(classes, len(counts)):
-        gain = np.where(steady, own - fit(tables).max(1), -np.inf)  # the text that the components so far suit least
-        tables.append(logs([int(gain.argmax())]))
-    member = None
+    back = (total + 0.1) / (total + 0.1).sum()
+
+    def logs(sums: np.ndarray) -> np.ndarray:
+        sums = sums + back[:, None] * 2000
+        return np.log(sums / sums.sum(0))
+
+    def alone(counts: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        sums = np.zeros((1 << 16, 1))
+        sums[counts[0], 0] = counts[1]
+        return logs(sums)
+
+    tables = alone(first())
+    while tables.shape[1] < min(classes, n_texts):
+        tables = np.column_stack([tables, alone(farthest(np.log(back), tables))])
+    before = None
     for _ in range(rounds):
-        now = fit(tables).argmax(1)
-        if member is not None and (now == member).all():
+        sums, size = members(tables)
+        if before is not None and (sums == before).all():
             break
-        member = now
-        tables = [logs(np.flatnonzero(member == k).tolist()) for k in range(len(tables))]
-    size = np.bincount(member, minlength=len(tables))
-    return Kinds(np.stack(tables, axis=1).astype(np.float32), np.log((size + 1) / (size + 1).sum()))
+        before, tables = sums, logs(sums)
+    return Kinds(tables.astype(np.float32), np.log((size + 1) / (size + 1).sum()))
+
+
+def fit_kinds(texts: list[bytes], classes: int = CLASSES, rounds: int = ROUNDS) -> Kinds:
+    """The mixture of a list of texts (see fit_kinds_of)."""
+    counts = [c for c in map(_pair_counts, texts) if len(c[0])]
+    if not counts:
+        return _kinds(np.zeros(1 << 16), 0, None, None, None, classes, rounds)
+    mine = _Texts(counts)
+    least = STEADY if (mine.length >= STEADY).any() else 1
+    total = np.bincount(mine.pair, mine.n, 1 << 16)
+    return _kinds(total, len(counts), lambda: counts[int((mine.length >= least).argmax())], lambda b, t: counts[mine.farthest(b, t, least)[1]], mine.members, classes, rounds)
+
+
+def fit_kinds_of(docs: DataFrame, classes: int = CLASSES, rounds: int = ROUNDS) -> Kinds:
+    """The mixture of all distinct texts, whole; docs has t (their bytes) and h (their hash, by which they are ordered).
+
+    A text's pairs are counted once and written; each step of the fit is a job over all of them, whose tasks send sums.
+    """
+    spark = docs.sparkSession
+    small_batches(spark, rows=2048, size=2 << 20)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            rows = []
+            for h, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if h not in seen:
+                    seen.add(h)
+                    p, n = _pair_counts(t.as_py())
+                    if len(p):
+                        rows.append((h, int(n.sum()), p.astype(np.uint16).tobytes(), n.astype(np.uint8 if n.max() < 256 else np.int64).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["h", "n", "pairs", "counts"])
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            h = batch.column(0).to_pylist()
+            keep = [a != b for a, b in zip(h, [last, *h])]
+            last = h[-1] if h else last
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    schema = "h long, n long, pairs binary, counts binary"
+    sent = docs.select("h", "t").mapInArrow(count, schema)
+    texts = written(sent.repartition("h").sortWithinPartitions("h").mapInArrow(once, schema), "pairs")
+    read = lambda p, n: (np.frombuffer(p, np.uint16).astype(np.int64), np.frombuffer(n, np.uint8 if 2 * len(n) == len(p) else np.int64))
+
+    def asked(ask: Callable, found: str) -> DataFrame:
+        """What ask makes of a task's batches of texts, each with their hashes."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield from ask((batch.column(0).to_pylist(), _Texts([read(p.as_py(), n.as_py()) for p, n in zip(batch.column(2), batch.column(3))])) for batch in batches if batch.num_rows)
+
+        return texts.mapInArrow(run, found)
+
+    def summed(tables: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        k = tables.shape[1]
+        columns, shared = [f"c{i}" for i in range(k)], share(spark, tables)
+
+        def ask(some: Iterator[tuple[list[int], _Texts]]) -> Iterator[pa.RecordBatch]:
+            now, sums, size = received(shared), np.zeros((1 << 16, k)), np.zeros(k)
+            for _, t in some:
+                got = t.members(now)
+                sums, size = sums + got[0], size + got[1]
+            every = np.vstack([sums, size])  # the last row: numbers of texts
+            rows = np.flatnonzero(every.sum(1))
+            yield pa.RecordBatch.from_arrays([pa.array(rows.astype(np.int32)), *(pa.array(every[rows, i]) for i in range(k))], names=["pair", *columns])
+
+        got = asked(ask, "pair int, " + ", ".join(f"{c} double" for c in columns)).groupBy("pair").agg(*[F.sum(c).alias(c) for c in columns]).toArrow()
+        shared.destroy()
+        out = np.zeros(((1 << 16) + 1, k))
+        out[got.column(0).to_numpy()] = np.stack([got.column(1 + i).to_numpy() for i in range(k)], axis=1)
+        return out[:-1], out[-1].astype(np.int64)
+
+    def text(h: int) -> tuple[np.ndarray, np.ndarray]:
+        r = texts.where(F.col("h") == h).first()
+        return read(bytes(r["pairs"]), bytes(r["counts"]))
+
+    known = texts.agg(F.count("*").alias("n"), F.min("h").alias("any"), F.min(F.when(F.col("n") >= STEADY, F.col("h"))).alias("steady")).first()
+    least = 1 if known["steady"] is None else STEADY
+
+    def farthest(back: np.ndarray, tables: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        shared = share(spark, (back, tables))
+
+        def ask(some: Iterator[tuple[list[int], _Texts]]) -> Iterator[pa.RecordBatch]:
+            b, now = received(shared)
+            best = [(-gain, hashes[at]) for hashes, t in some for gain, at in [t.farthest(b, now, least)]]
+            if best:
+                gain, h = min(best)
+                yield pa.RecordBatch.from_arrays([pa.array([-gain]), pa.array([h], pa.int64())], names=["gain", "h"])
+
+        h = asked(ask, "gain double, h long").orderBy(F.desc("gain"), "h").first()["h"]
+        shared.destroy()
+        return text(h)
+
+    total = summed(np.zeros((1 << 16, 1)))[0][:, 0] if known["n"] else np.zeros(1 << 16)
+    return _kinds(total, known["n"], lambda: text(known["any"] if known["steady"] is None else known["steady"]), farthest, summed, classes, rounds)
 
 
 def score(
@@ -267,10 +392,7 @@ def score(
     spark = docs.sparkSession
     train = F.coalesce(train, F.lit(True))
     mine = docs.where(train & F.col(text).isNotNull()).select(F.encode(F.col(text), "UTF-8").alias("t"), F.xxhash64(F.col(text)).alias("h"))
-    n_texts = mine.agg(F.approx_count_distinct("h").alias("n")).first()["n"]
-    share_of = min(1.0, 2 * SAMPLE_TEXTS / max(1, n_texts))
-    some = mine.where(F.pmod("h", F.lit(1 << 30)) < int(share_of * (1 << 30))).groupBy("h").agg(F.min(F.substring("t", 1, SAMPLE_BYTES)).alias("t"))
-    kinds = fit_kinds([bytes(r["t"]) for r in some.orderBy("h").limit(SAMPLE_TEXTS).collect()], classes)
+    kinds = fit_kinds_of(mine, classes)
     k = len(kinds.share)
     blocks = make_blocks(docs, id_col, text, train, block_bytes)
     shared, kinds_shared = share(spark, vocabulary), share(spark, kinds)  # both grow with the vocabulary or not at all
