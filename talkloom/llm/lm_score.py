@@ -239,14 +239,14 @@ class _Texts:
 
     def __init__(self, counts: list[tuple[np.ndarray, np.ndarray]]):
         self.pair = np.concatenate([p for p, _ in counts])
-        self.n = np.concatenate([n for _, n in counts]).astype(np.int64)
+        self.n = np.concatenate([n for _, n in counts]).astype(np.float64)
         self.sizes = np.array([len(p) for p, _ in counts])
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.length = np.add.reduceat(self.n, self.starts)
 
     def fit(self, tables: np.ndarray) -> np.ndarray:
         """The mean log probability of each text's pairs (tables: by pair and component)."""
-        return np.add.reduceat(tables[self.pair] * self.n[:, None], self.starts) / self.length[:, None]
+        return np.stack([np.add.reduceat(column[self.pair] * self.n, self.starts) for column in np.ascontiguousarray(tables.T)], axis=1) / self.length[:, None]
 
     def members(self, tables: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Counts of pairs of each component's texts, by pair and component, and its number of texts."""
