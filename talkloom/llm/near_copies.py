@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talkloom.llm import simhash
@@ -244,7 +244,8 @@ def shingled(docs: DataFrame, id_col: str, text: str, words: int, similarity: fl
 def verified(pairs: DataFrame, rows: DataFrame, words: int, similarity: float) -> DataFrame:
     """src, dst: the pairs whose shingle sets are that similar."""
     small_batches(rows.sparkSession, size=COMPARED_BYTES)
-    wanted = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    # written, so that Spark knows how few they are: else it may deal out all texts before it has counted them
+    wanted = written(pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), "near-wanted")
     texts = written(rows.select("node", "text").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")), "near-texts")
     left = texts.select(F.col("node").alias("src"), F.col("text").alias("a"))
     right = texts.select(F.col("node").alias("dst"), F.col("text").alias("b"))
@@ -279,39 +280,65 @@ def fingerprint_pairs(rows: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"))
 
 
-def links(rows: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """src, dst: links that connect whatever the links of all pairs connect."""
-    near = written(fingerprint_pairs(rows), "near-fingerprints")
-    alike = written(verified(near, rows, words, similarity), "near-alike")
-    nodes = rows.groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+def close(n: Column, at: Column, m: Column, at2: Column, similarity: float) -> Column:
+    """Whether sets of n and m shingles can be that similar, if the ones at these places are the first that they share."""
+    fits = (n >= similarity * m - 1e-9) & (m >= similarity * n - 1e-9)
+    most = 1 + F.least(n - at - 1, m - at2 - 1)  # shared shingles
+    return fits & (most * (1 + similarity) >= similarity * (n + m) - 1e-6)
+
+
+def sketched(n: Column, m: Column, similarity: float) -> Column:
+    """Whether sets of n and m shingles can be that similar by their sketches, in bits0a and so on and bits0b and so on."""
+    apart = sum((F.bit_count(F.col(f"bits{i}a").bitwiseXOR(F.col(f"bits{i}b"))) for i in range(SKETCH)), F.lit(0))  # shingles in one of both, at least
+    return apart * (1 + similarity) <= (1 - similarity) * (n + m) + 1e-6
+
+
+def likely(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (src, dst) that can be that similar by their sketches: only their texts are moved to be compared."""
+    for end, to in (("a", "src"), ("b", "dst")):
+        pairs = pairs.join(sketches.select(F.col("node").alias(to), *[F.col(c).alias(c + end) for c in sketches.columns if c != "node"]), to)
+    return pairs.where(sketched(F.col("na"), F.col("nb"), similarity)).select("src", "dst")
+
+
+def shared_keys(nodes: DataFrame) -> DataFrame:
+    """shingle, node, n, at, and hub, hub_n, hub_at of the least node that has it: the prefixes' shingles that two nodes share.
+
+    Both sides of the join have the same columns, dealt by shingle, so that Spark shuffles the prefixes once.
+    """
     keys = nodes.select("node", "n", F.posexplode("prefix").alias("at", "shingle"))
-    # only shingles that two nodes share; hub is the one that all others meet first
-    hubs = keys.groupBy("shingle").agg(F.min(F.struct("node", "n")).alias("hub"), F.count("*").alias("met")).where("met > 1").select("shingle", "hub")
+    dealt = keys.select("shingle", "node", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("at").cast("long")).alias("place")).repartition("shingle")
+    hubs = dealt.groupBy("shingle").agg(F.min(F.struct("node", "place")).alias("hub"), F.count("*").alias("met")).where("met > 1").select("shingle", "hub")
     # never broadcast: Spark's estimates don't count what an array is exploded to
-    keys = written(keys.hint("shuffle_merge").join(hubs, "shingle"), "near-keys")
+    met = dealt.hint("shuffle_merge").join(hubs, "shingle")
+    n, at = lambda c: F.shiftright(c, 32).cast("int"), lambda c: c.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
+    place, hub = F.col("place"), F.col("hub.place")
+    return met.select("shingle", "node", n(place).alias("n"), at(place).alias("at"), F.col("hub.node").alias("hub"), n(hub).alias("hub_n"), at(hub).alias("hub_at"))
 
-    def fits(n, m):
-        return (n >= similarity * m - 1e-9) & (m >= similarity * n - 1e-9)
 
-    stars = keys.where((F.col("hub.node") != F.col("node")) & fits(F.col("n"), F.col("hub.n")))
-    stars = written(stars.select(F.col("hub.node").alias("src"), F.col("node").alias("dst")).distinct(), "near-stars")
-    first = written(verified(stars.join(near, ["src", "dst"], "left_anti"), rows, words, similarity), "near-links")
+def links(rows: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """src, dst: links that connect whatever the links of all pairs connect."""
+    nodes = rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "prefix", "sketch")])
+    bits = [f"bits{i}" for i in range(SKETCH)]
+    nodes = written(nodes.select("node", "n", "prefix", *[F.col("sketch")[i].alias(c) for i, c in enumerate(bits)]), "near-nodes")
+    sketches = nodes.select("node", "n", *bits)
+    near = written(fingerprint_pairs(rows), "near-fingerprints")
+    alike = written(verified(written(likely(near, sketches, similarity), "near-likely"), rows, words, similarity), "near-alike")
+    keys = written(shared_keys(nodes), "near-keys")
+    stars = keys.where((F.col("hub") != F.col("node")) & close(*map(F.col, ("n", "at", "hub_n", "hub_at")), similarity))
+    stars = written(stars.select(F.col("hub").alias("src"), F.col("node").alias("dst")).distinct(), "near-stars")
+    first = written(likely(stars.join(near, ["src", "dst"], "left_anti"), sketches, similarity), "near-likely")
+    first = written(verified(first, rows, words, similarity), "near-links")
     roots = written(components(alike.union(first)), "near-roots")
 
     rooted = keys.join(roots, "node", "left").select("shingle", "node", "n", "at", F.coalesce("root", "node").alias("root"))
     mixed = rooted.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("shingle")
-    sketches = rows.groupBy("node").agg(F.first("sketch").alias("sketch"))
-    rooted = rooted.join(mixed, "shingle", "left_semi").join(sketches.hint("shuffle_merge"), "node")
-    bits = [f"bits{i}" for i in range(SKETCH)]
-    rooted = written(rooted.select("shingle", "node", "n", "at", "root", *[F.col("sketch")[i].alias(c) for i, c in enumerate(bits)]), "near-rooted")
+    rooted = rooted.join(mixed, "shingle", "left_semi").join(sketches.drop("n").hint("shuffle_merge"), "node")
+    rooted = written(rooted.select("shingle", "node", "n", "at", "root", *bits), "near-rooted")
     a = rooted.select("shingle", F.col("node").alias("src"), F.col("n").alias("n1"), F.col("at").alias("at1"), F.col("root").alias("root1"), *[F.col(c).alias(c + "a") for c in bits])
     b = rooted.select("shingle", F.col("node").alias("dst"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("root").alias("root2"), *[F.col(c).alias(c + "b") for c in bits])
-    n, m = F.col("n1"), F.col("n2")
-    most = 1 + F.least(n - F.col("at1") - 1, m - F.col("at2") - 1)  # shared shingles, if this one is the first
-    close = (F.col("src") < F.col("dst")) & (F.col("root1") != F.col("root2")) & fits(n, m) & (most * (1 + similarity) >= similarity * (n + m) - 1e-6)
-    apart = sum((F.bit_count(F.col(c + "a").bitwiseXOR(F.col(c + "b"))) for c in bits), F.lit(0))  # shingles in one of both, at least
-    close = close & (apart * (1 + similarity) <= (1 - similarity) * (n + m) + 1e-6)
-    rest = a.hint("shuffle_merge").join(b, (a.shingle == b.shingle) & close).select("src", "dst").distinct()
+    fit = (F.col("src") < F.col("dst")) & (F.col("root1") != F.col("root2")) & close(*map(F.col, ("n1", "at1", "n2", "at2")), similarity)
+    fit = fit & sketched(F.col("n1"), F.col("n2"), similarity)
+    rest = a.hint("shuffle_merge").join(b, (a.shingle == b.shingle) & fit).select("src", "dst").distinct()
     tried = stars.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
     rest = written(rest.join(tried, ["src", "dst"], "left_anti"), "near-rest")
     # the first links' components as stars, which are shorter than their chains

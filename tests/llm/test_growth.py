@@ -40,6 +40,34 @@ def test_texts_below_the_similarity_are_not_compared_pair_by_pair(spark, documen
     assert made["near-rest"] < 3 * len(linked) + 40  # of 780 pairs
 
 
+def test_texts_apart_by_their_sketches_are_not_moved(spark, documents, monkeypatch):
+    moved = []
+
+    def written(df, name, real=near_copies.written):
+        out = real(df, name)
+        if name == "near-texts":
+            moved.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_copies, "written", written)
+    texts = [*unlike_copies(40), "a b c d e f g h i j k l m n o p q r s t", "a b c d e f g h i j k l m n o p q r s t u"]
+    got = {r["doc_id"]: r["component_id"] for r in near_copies.near_duplicates(documents([(i, t, None) for i, t in enumerate(texts)])).collect()}
+    assert got[41] == 40 and len(set(got.values())) > 20
+    sets = [near_copies.shingle_set(t) for t in texts]
+    linked = {i for i, a in enumerate(sets) for j, b in enumerate(sets) if i != j and len(a & b) >= 0.8 * len(a | b) - 1e-9}
+    assert sum(moved) <= 2 * len(linked) + 4  # each of 42 texts met the first one's shingles
+
+
+def test_prefixes_are_shuffled_once(spark):
+    nodes = spark.createDataFrame([(k, 10 + k, [1, k, 100 + k % 2]) for k in range(2, 8)], "node long, n int, prefix array<long>")
+    found = near_copies.shared_keys(nodes)
+    got = {(r["shingle"], r["node"]): tuple(r)[2:] for r in found.collect()}
+    assert got == {(s, k): (10 + k, at, hub, 10 + hub, at) for k in range(2, 8) for s, at, hub in ((1, 0, 2), (100 + k % 2, 2, 2 + k % 2))}
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning(shingle" in line]
+    assert sorted("ReusedExchange" in line for line in dealt) == [False, True]
+
+
 def test_places_do_not_depend_on_tasks(spark, documents):
     docs = documents([(i, f"{i} a b c d e", None) for i in range(64)])
     one, many = (near_copies.place_steps(docs.repartition(n), "text", 5) for n in (1, 32))
