@@ -23,8 +23,8 @@ from talkloom.functions import text as X
 from talkloom.sources.scratch import written
 from talkloom.sources.stores import _exists
 
-#: Buckets of words, directions, directions beyond them while fitting, power steps, tasks of a pass, and entries multiplied at a time.
-BUCKETS, DIRECTIONS, SPARE, STEPS, TASKS, ENTRIES = 1 << 13, 64, 16, 2, 256, 1 << 14
+#: Buckets of words, directions, directions beyond them while fitting, power steps, tasks of a pass, and entries and rows multiplied at a time.
+BUCKETS, DIRECTIONS, SPARE, STEPS, TASKS, ENTRIES, ROWS = 1 << 13, 64, 16, 2, 256, 1 << 14, 512
 
 
 @dataclass
@@ -42,12 +42,12 @@ def buckets_of(text: Column, buckets: int) -> Column:
 
 
 def _rows(lists: pa.Array, idf: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
-    """The sparse rows of some texts, ENTRIES or one text at a time: row, bucket and value of the entries, and the number of rows."""
+    """The sparse rows of some texts, ENTRIES or one text at a time, and ROWS at most: row, bucket and value of the entries, and the number of rows."""
     offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).astype(np.int64)
     at = 0
     while at < len(lists):
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + ENTRIES, "right")) - 1)
-        to = min(to, len(lists))
+        to = min(to, at + ROWS, len(lists))
         row = np.repeat(np.arange(to - at), np.diff(offsets[at : to + 1]))
         keys, n = np.unique(row * len(idf) + flat[offsets[at] : offsets[to]], return_counts=True)
         row, bucket = np.divmod(keys, len(idf))
@@ -57,13 +57,20 @@ def _rows(lists: pa.Array, idf: np.ndarray) -> Iterator[tuple[np.ndarray, np.nda
         at = to
 
 
+def _dense(row: np.ndarray, bucket: np.ndarray, value: np.ndarray, n: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets that the rows have, and the rows as a matrix of those alone, which is multiplied as a whole."""
+    has = np.zeros(buckets, bool)
+    has[bucket] = True
+    used = np.flatnonzero(has)
+    out = np.zeros((n, len(used)))
+    out[row, (np.cumsum(has) - 1)[bucket]] = value
+    return used, out
+
+
 def _times(row: np.ndarray, bucket: np.ndarray, value: np.ndarray, n: int, q: np.ndarray) -> np.ndarray:
     """The rows in the directions q."""
-    out = np.zeros((n, q.shape[1]))
-    heads = np.flatnonzero(np.concatenate([[True], np.diff(row) != 0])) if len(row) else np.zeros(0, np.int64)
-    if len(heads):
-        out[row[heads]] = np.add.reduceat(q[bucket] * value[:, None], heads, axis=0)
-    return out
+    used, a = _dense(row, bucket, value, n, len(q))
+    return a @ q[used]
 
 
 def _summed(coded: DataFrame, idf: np.ndarray, q: np.ndarray, inner: bool) -> np.ndarray:
@@ -76,13 +83,12 @@ def _summed(coded: DataFrame, idf: np.ndarray, q: np.ndarray, inner: bool) -> np
         total = np.zeros((size, q.shape[1]))
         for batch in batches:
             for row, bucket, value, n in _rows(batch.column(0), idf):
-                y = _times(row, bucket, value, n, q)
+                used, a = _dense(row, bucket, value, n, len(q))
+                y = a @ q[used]
                 if inner:
                     total += y.T @ y
-                elif len(row):
-                    by = np.argsort(bucket, kind="stable")
-                    heads = np.flatnonzero(np.concatenate([[True], np.diff(bucket[by]) != 0]))
-                    total[bucket[by][heads]] += np.add.reduceat(value[by][:, None] * y[row[by]], heads, axis=0)
+                else:
+                    total[used] += a.T @ y
         some = np.flatnonzero(np.abs(total).sum(1))
         for i in range(0, len(some), 1024):
             part = some[i : i + 1024]

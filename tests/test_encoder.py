@@ -28,6 +28,23 @@ def test_directions_are_those_of_the_dense_decomposition(spark):
     assert np.allclose(fitted.directions.T @ fitted.directions, np.eye(6), atol=1e-8)
 
 
+def test_rows_are_multiplied_in_bounded_parts():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    lists = [rng.integers(0, 64, n).tolist() for n in (3, 1, 40, 7, *[1] * 1500)]
+    idf, q = rng.random(64) + 1, rng.standard_normal((64, 5))
+    whole = np.zeros((len(lists), 64))
+    for i, buckets in enumerate(lists):
+        whole[i] = np.log1p(np.bincount(buckets, minlength=64)) * idf
+        whole[i] /= np.linalg.norm(whole[i])
+    parts = list(encoder._rows(pa.array(lists, pa.list_(pa.int32())), idf))
+    assert max(n for *_, n in parts) <= 512 and sum(n for *_, n in parts) == len(lists)
+    assert np.allclose(np.concatenate([encoder._times(*part, q) for part in parts]), whole @ q)
+    used, a = encoder._dense(*parts[0], 64)
+    assert np.allclose(a, whole[: len(a), used]) and not np.delete(whole[: len(a)], used, axis=1).any()
+
+
 def test_what_belongs_together_is_found_without_a_common_word(spark):
     df = spark.createDataFrame(texts(62, 300), "id long, text string")
     fitted = encoder.fit(df, directions=8, buckets=1024)
