@@ -199,3 +199,10 @@ def test_a_model_is_a_provider(spark, tmp_path):
     assert all((r["user_prediction"], r["user_risk"], r["agent_empathy"], r["agent_action"]) == (f"after u{k}", "r", f"after u{k}", "a") for (_, k), r in told.items())
     with pytest.raises(ValueError, match="no provider"):
         providers.provider("unknown")
+
+
+def test_profile_updates_make_the_records_once(spark):
+    from talkloom.plans import catalog
+
+    read = catalog.model_profile_updates(spark, "/root/testdata/sf0.001").inputFiles()
+    assert read and all("talkloom-records-" in f for f in read)  # not the conversations, once for each use
