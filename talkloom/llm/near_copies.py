@@ -12,7 +12,9 @@ Any order is exact; how common shingles are, for speed, is counted over all text
 their counts of the places, which are added. A place's count is at least that of each shingle in it, so what many texts share comes last,
 however many tasks there are.
 To keep a large group of copies from being compared pair by pair, each shingle's texts are first
-compared with one of them; pairs that are in one component by then aren't compared again.
+compared with one of them; pairs that are in one component by then aren't compared again. Where a shingle's texts are in many components
+even then (of a group about as similar as the limit, each text is linked with half of the others, say), one text of each component is compared
+with one drawn for the shingle, until components have merged so far that the pairs left grow with the texts; all these are compared.
 
 Words are those of SimHash: A-Z lower-cased, maximal runs of characters other than space and
 U+0009-U+000D. With fewer words than a shingle has, the whole sequence is the only shingle. Texts
@@ -43,6 +45,8 @@ TALLY, MOST_COMMON = 1 << 17, 200_000
 PLACES, PLACES_A_ROW = 1 << 22, 1 << 14
 #: Longs of a shingle set's sketch, whose bits are parities of numbers of shingles.
 SKETCH = 8
+#: Pairs of different components for each text of a shingle, on average, beyond which they are merged first, and how often this is done at most.
+CROWD, MERGES = 8, 6
 #: Bytes of a batch of texts, whose shingles take several times as much, and of one of pairs of texts.
 SHINGLED_BYTES, COMPARED_BYTES = 4 << 20, 2 << 20
 #: Words whose hashes are kept; beyond that the cache starts anew.
@@ -315,6 +319,47 @@ def shared_keys(nodes: DataFrame) -> DataFrame:
     return met.select("shingle", "node", n(place).alias("n"), at(place).alias("at"), F.col("hub.node").alias("hub"), n(hub).alias("hub_n"), at(hub).alias("hub_at"))
 
 
+def rooted_keys(keys: DataFrame, roots: DataFrame) -> DataFrame:
+    return keys.join(roots, "node", "left").select("shingle", "node", "n", "at", F.coalesce("root", "node").alias("root"))
+
+
+def crowded(rooted: DataFrame) -> DataFrame:
+    """The rows of shingles whose texts have more than CROWD pairs of different components each, on average."""
+    size = rooted.groupBy("shingle", "root").agg(F.count("*").alias("size")).groupBy("shingle")
+    size = size.agg(F.sum("size").alias("all"), F.sum(F.col("size") * F.col("size")).alias("same"))
+    many = size.where(F.col("all") * F.col("all") - F.col("same") > 2 * CROWD * F.col("all")).select("shingle")
+    return rooted.join(many, "shingle", "left_semi")
+
+
+def drawn_pairs(crowd: DataFrame, turn: int, similarity: float) -> DataFrame:
+    """src, dst: for each shingle one text of each component, with the one that is drawn for the shingle: a row for each text at most."""
+    order = F.xxhash64("shingle", "node", F.lit(turn)).alias("order")
+    one = crowd.groupBy("shingle", "root").agg(F.min(F.struct(order, "node", "n", "at")).alias("one"))
+    hubs = one.groupBy("shingle").agg(F.min("one").alias("hub"))
+    met = one.join(hubs, "shingle").where((F.col("one.node") != F.col("hub.node")) & close(*map(F.col, ("one.n", "one.at", "hub.n", "hub.at")), similarity))
+    return met.select(F.least("one.node", "hub.node").alias("src"), F.greatest("one.node", "hub.node").alias("dst")).distinct()
+
+
+def merged(keys: DataFrame, roots: DataFrame, sketches: DataFrame, rows: DataFrame, words: int, similarity: float) -> DataFrame:
+    """node, root: the components after links in crowded shingles have been looked for, MERGES times at most or until a turn finds few of the first one's number."""
+    most = 0
+    for turn in range(MERGES):
+        crowd = written(crowded(rooted_keys(keys, roots)), "near-crowd")
+        if crowd.isEmpty():
+            break
+        keys = crowd.drop("root")  # as components merge, no other shingle becomes crowded
+        drawn = written(likely(drawn_pairs(crowd, turn, similarity), sketches, similarity), "near-drawn")
+        found = written(verified(drawn, rows, words, similarity), "near-links")
+        n = found.count()
+        if not n:
+            break
+        roots = written(components(roots.select(F.col("root").alias("src"), F.col("node").alias("dst")).union(found)), "near-roots")
+        most = max(most, n)
+        if n < most / 8:
+            break
+    return roots
+
+
 def links(rows: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """src, dst: links that connect whatever the links of all pairs connect."""
     nodes = rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "prefix", "sketch")])
@@ -328,9 +373,9 @@ def links(rows: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -
     stars = written(stars.select(F.col("hub").alias("src"), F.col("node").alias("dst")).distinct(), "near-stars")
     first = written(likely(stars.join(near, ["src", "dst"], "left_anti"), sketches, similarity), "near-likely")
     first = written(verified(first, rows, words, similarity), "near-links")
-    roots = written(components(alike.union(first)), "near-roots")
+    roots = merged(keys, written(components(alike.union(first)), "near-roots"), sketches, rows, words, similarity)
 
-    rooted = keys.join(roots, "node", "left").select("shingle", "node", "n", "at", F.coalesce("root", "node").alias("root"))
+    rooted = rooted_keys(keys, roots)
     mixed = rooted.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("shingle")
     rooted = rooted.join(mixed, "shingle", "left_semi").join(sketches.drop("n").hint("shuffle_merge"), "node")
     rooted = written(rooted.select("shingle", "node", "n", "at", "root", *bits), "near-rooted")

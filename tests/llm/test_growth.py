@@ -40,6 +40,34 @@ def test_texts_below_the_similarity_are_not_compared_pair_by_pair(spark, documen
     assert made["near-rest"] < 3 * len(linked) + 40  # of 780 pairs
 
 
+def test_a_group_at_the_limit_of_similarity_is_merged_before_its_pairs_are_made(spark, documents, monkeypatch):
+    made = {}
+
+    def written(df, name, real=near_copies.written):
+        out = real(df, name)
+        made.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(near_copies, "written", written)
+    rng = random.Random(22)
+    texts = []
+    for i in range(120):
+        words = [f"w{k}" for k in range(265)]
+        for k, at in enumerate(rng.sample(range(265), 3)):
+            words[at] = f"x{i}-{k}"
+        texts.append(" ".join(words))
+    got = {r["doc_id"]: r["component_id"] for r in near_copies.near_duplicates(documents([(i, t, None) for i, t in enumerate(texts)])).collect()}
+    sets = [near_copies.shingle_set(t) for t in texts]
+    linked = [(a, b) for a in range(120) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9]
+    root = list(range(120))
+    for _ in root:
+        for a, b in linked:
+            root[a] = root[b] = min(root[a], root[b])
+    assert got == dict(enumerate(root))
+    assert 1000 < len(linked) < 6000  # of 7,140 pairs, so that the first text has not linked all
+    assert sum(made["near-rest"]) < 2 * len(texts) and sum(made["near-drawn"]) < 10 * len(texts), {k: v for k, v in made.items()}
+
+
 def test_texts_apart_by_their_sketches_are_not_moved(spark, documents, monkeypatch):
     moved = []
 
