@@ -36,7 +36,7 @@ An empty table gives no rows.
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from math import log
@@ -55,6 +55,8 @@ CLASSES = 6
 PARTS = (1, 1)
 #: Rounds of the mixture's fit at most; components start from texts of at least so many byte pairs, where there are any.
 ROUNDS, STEADY = 15, 200
+#: Byte pairs whose sums travel in one row.
+PAIRS_A_ROW = 1 << 12
 #: Discount of a word's count; pseudo-counts of the file's weights, and of all components' weights in each one's; an end's probability when there is nothing to learn from.
 D, PRIOR, POOLED, END = 0.75, 100.0, 100.0, 0.001
 #: Texts are dealt in blocks of this size; the larger, the fewer rows a word has.
@@ -64,6 +66,8 @@ UNITS = 2000
 _LN10 = log(10)
 _CELLS = 1 << 18  # places of words in one step
 LOWEST = -1e30
+#: The least log of a probability that is kept as it is in sums; those of longer words are logs.
+FAR = -600.0
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -71,6 +75,17 @@ def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
+def numbers() -> defaultdict[bytes, int]:
+    """Numbers words from 0 as they are first asked for."""
+    number: defaultdict[bytes, int] = defaultdict()
+    number.default_factory = number.__len__
+    return number
+
+
+def numbered(words: list[bytes], number: defaultdict[bytes, int]) -> np.ndarray:
+    return np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+
+
 class Vocabulary:
     """pieces: their numbers, of which those that start a word begin with U+2581; weight: theirs, and that of
     a byte (each of the 256 alike), summing to 1 with all bytes."""
@@ -93,15 +108,17 @@ class Vocabulary:
         return cls(weight, min(weight.values(), default=1.0))
 
     def tables(self) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each length of pieces their hashes, sorted, and their numbers."""
+        """For each length the hashes of pieces' beginnings, sorted, and the numbers of those that are pieces (else -1)."""
         if not hasattr(self, "_tables"):
-            by: list[list[tuple[int, int]]] = [[] for _ in range(self.longest + 1)]
+            by: list[dict[int, int]] = [{} for _ in range(self.longest + 1)]
             for p, k in self.number.items():
                 h = 0
-                for ch in p:
+                for n, ch in enumerate(p, 1):
                     h = (h * _BASE + ord(ch) + 1) & ((1 << 64) - 1)
-                by[len(p)].append((h, k))
-            self._tables = [(np.array([h for h, _ in sorted(x)], np.uint64), np.array([k for _, k in sorted(x)], np.int64)) for x in by]
+                    by[n].setdefault(h, -1)
+                if p:
+                    by[len(p)][h] = k
+            self._tables = [(np.array(sorted(x), np.uint64), np.array([x[h] for h in sorted(x)], np.int64)) for x in by]
         return self._tables
 
     def arcs(self, words: list[str]) -> np.ndarray:
@@ -120,17 +137,20 @@ class Vocabulary:
             keep = left[at] >= n
             at, h = at[keep], h[keep]
             h = h * np.uint64(_BASE) + codes[at + n - 1] + np.uint64(1)
+            number = np.full(len(at), -1)
+            begins = np.zeros(len(at), bool)
             if len(hashes):
                 k = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-                hit = hashes[k] == h
-                out.append(np.stack([word[at[hit]], place[at[hit]], place[at[hit]] + n, numbers[k[hit]], np.ones(hit.sum(), np.int64)]))
-            else:
-                hit = np.zeros(len(at), bool)
+                begins = hashes[k] == h
+                number[begins] = numbers[k[begins]]
+                hit = at[number >= 0]
+                out.append(np.stack([word[hit], place[hit], place[hit] + n, number[number >= 0], np.ones(len(hit), np.int64)]))
             if n == 1:
-                miss = at[~hit]
+                miss = at[number < 0]
                 c = codes[miss]
                 size = 1 + (c >= 0x80).astype(np.int64) + (c >= 0x800) + (c >= 0x10000)
                 out.append(np.stack([word[miss], place[miss], place[miss] + 1, np.full(len(miss), len(self.number)), size]))
+            at, h = at[begins], h[begins]  # no piece is longer there
         return np.concatenate(out, axis=1)
 
 
@@ -141,21 +161,43 @@ def _sum(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, size, axis=0)), starts, axis=0))
 
 
-def _sweep(word: np.ndarray, source: np.ndarray, target: np.ndarray, score: np.ndarray, table: np.ndarray) -> None:
-    """Fills table[word, target] by the recursion; arcs are in the order in which targets are reached, then by word."""
+def _sweep(word: np.ndarray, source: np.ndarray, target: np.ndarray, score: np.ndarray, table: np.ndarray, plain: bool) -> None:
+    """Fills table[target, word] by the recursion; arcs are in the order in which targets are reached, then by word."""
     cut = np.flatnonzero(np.concatenate([[True], target[1:] != target[:-1]]))
     for a, b in zip(cut, [*cut[1:], len(target)]):
         w = word[a:b]
         starts = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
-        table[w[starts], target[a]] = _sum(table[w, source[a:b]] + score[a:b], starts)
+        before = table[source[a:b], w]
+        table[target[a], w[starts]] = np.add.reduceat(before * score[a:b], starts, axis=0) if plain else _sum(before + score[a:b], starts)
+
+
+def _in_order(word: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The order by place, then word; numbers of 16 bits are sorted in linear time."""
+    if len(place) and place.max() < 1 << 15:
+        by_word = np.argsort(word.astype(np.int16), kind="stable")  # words of one step are few
+        return by_word[np.argsort(place[by_word].astype(np.int16), kind="stable")]
+    return np.lexsort((word, place))
+
+
+def _table(ends: np.ndarray, like: np.ndarray, plain: bool) -> np.ndarray:
+    """By place, word and component, if there are several: what no way reaches."""
+    return np.full((ends.max() + 1, len(ends), *like.shape[1:]), 0.0 if plain else LOWEST)
 
 
-def _forward(arcs: np.ndarray, score: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The logs of all ways from a word's start to each of its places, by word, place and component."""
-    table = np.full((len(ends), ends.max() + 1, score.shape[1]), LOWEST)
-    table[:, 0] = 0
-    order = np.lexsort((arcs[0], arcs[2]))
-    _sweep(arcs[0][order], arcs[1][order], arcs[2][order], score[order], table)
+def _is_plain(arcs: np.ndarray, least: np.ndarray) -> bool:
+    """Whether probabilities of all words can be added as they are: each has its way by single characters, and the least of these is far from underflow.
+
+    least: of the logs of each piece's weights.
+    """
+    one = np.flatnonzero(arcs[2] - arcs[1] == 1)
+    return np.bincount(arcs[0][one], least[arcs[3][one]] * arcs[4][one]).min(initial=0) > FAR
+
+
+def _forward(arcs: np.ndarray, score: np.ndarray, ends: np.ndarray, plain: bool) -> np.ndarray:
+    """All ways from a word's start to each of its places (arcs: in that order), by place, word and component: their probability if plain, else its log, as the score of the arcs."""
+    table = _table(ends, score, plain)
+    table[0] = 1 if plain else 0
+    _sweep(*arcs[:3], score, table, plain)
     return table
 
 
@@ -172,36 +214,46 @@ def _steps(words: list[str]) -> Iterator[list[int]]:
 def marginals(vocabulary: Vocabulary, words: list[str], logs: np.ndarray) -> np.ndarray:
     """Natural logs of the words' marginal probabilities by component (logs: of the pieces' weights, by piece and component)."""
     out = np.zeros((len(words), logs.shape[1]))
+    least, weights = logs.min(1), np.exp(logs)
     for some in _steps(words):
         ends = np.array([len(words[k]) + 1 for k in some])
         arcs = vocabulary.arcs([words[k] for k in some])
-        out[some] = _forward(arcs, logs[arcs[3]] * arcs[4][:, None], ends)[np.arange(len(some)), ends]
+        plain = _is_plain(arcs, least)
+        arcs = arcs[:, _in_order(arcs[0], arcs[2])]
+        if plain:
+            score, more = weights[arcs[3]], np.flatnonzero(arcs[4] > 1)
+            score[more] **= arcs[4][more, None]
+        else:
+            score = logs[arcs[3]] * arcs[4][:, None]
+        got = _forward(arcs, score, ends, plain)[ends, np.arange(len(some))]
+        out[some] = np.log(got) if plain else got
     return out
 
 
 def expected(vocabulary: Vocabulary, words: list[str], logs: np.ndarray, present: np.ndarray) -> np.ndarray:
     """How often each piece is expected in the segmentations of the words that a component has (present: by word and component)."""
-    out = np.zeros_like(logs)
+    k, out, least = logs.shape[1], np.zeros(logs.size), logs.min(1)
+    which, kinds = np.nonzero(present)
+    words = [words[i] for i in which.tolist()]  # once for each component that has it
     for some in _steps(words):
-        all_arcs = vocabulary.arcs([words[k] for k in some])
-        all_ends = np.array([len(words[k]) + 1 for k in some])
-        for c in range(logs.shape[1]):
-            has = present[some, c]
-            if not has.any():
-                continue
-            arcs = all_arcs[:, has[all_arcs[0]]]
-            arcs[0] = (np.cumsum(has) - 1)[arcs[0]]
-            ends, (w, i, j, q, size) = all_ends[has], arcs
-            score = (logs[q, c] * size)[:, None]
-            forward = _forward(arcs, score, ends)
-            backward = np.full_like(forward, LOWEST)
-            rows = np.arange(len(ends))
-            backward[rows, ends] = 0
-            order = np.lexsort((w, -i))
-            _sweep(w[order], j[order], i[order], score[order], backward)
-            post = np.exp(forward[w, i, 0] + score[:, 0] + backward[w, j, 0] - forward[rows, ends, 0][w])
-            out[:, c] += np.bincount(q, post * size, len(logs))
-    return out
+        ends, kind = np.array([len(words[i]) + 1 for i in some]), kinds[some]
+        arcs = vocabulary.arcs([words[i] for i in some])
+        arcs = arcs[:, _in_order(arcs[0], arcs[2])]
+        w, i, j, q, size = arcs
+        cell = q * k + kind[w]
+        score = logs.ravel()[cell] * size
+        plain = _is_plain(arcs, least)
+        score = np.exp(score) if plain else score
+        forward = _forward(arcs, score, ends, plain)
+        backward = _table(ends, score, plain)
+        rows = np.arange(len(ends))
+        backward[ends, rows] = 1 if plain else 0
+        order = _in_order(w, ends.max() - i)
+        _sweep(w[order], j[order], i[order], score[order], backward, plain)
+        total = forward[ends, rows][w]
+        post = forward[i, w] * score * backward[j, w] / total if plain else np.exp(forward[i, w] + score + backward[j, w] - total)
+        out += np.bincount(cell, post * size, len(out))
+    return out.reshape(logs.shape)
 
 
 @dataclass
@@ -343,7 +395,7 @@ def fit_kinds_of(docs: DataFrame, classes: int = CLASSES, rounds: int = ROUNDS)
 
     def summed(tables: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         k = tables.shape[1]
-        columns, shared = [f"c{i}" for i in range(k)], share(spark, tables)
+        shared = share(spark, tables)
 
         def ask(some: Iterator[tuple[list[int], _Texts]]) -> Iterator[pa.RecordBatch]:
             now, sums, size = received(shared), np.zeros((1 << 16, k)), np.zeros(k)
@@ -351,14 +403,32 @@ def fit_kinds_of(docs: DataFrame, classes: int = CLASSES, rounds: int = ROUNDS)
                 got = t.members(now)
                 sums, size = sums + got[0], size + got[1]
             every = np.vstack([sums, size])  # the last row: numbers of texts
-            rows = np.flatnonzero(every.sum(1))
-            yield pa.RecordBatch.from_arrays([pa.array(rows.astype(np.int32)), *(pa.array(every[rows, i]) for i in range(k))], names=["pair", *columns])
-
-        got = asked(ask, "pair int, " + ", ".join(f"{c} double" for c in columns)).groupBy("pair").agg(*[F.sum(c).alias(c) for c in columns]).toArrow()
+            for first in range(0, len(every), PAIRS_A_ROW):
+                part = every[first : first + PAIRS_A_ROW]
+                rows = np.flatnonzero(part.any(1))
+                if len(rows):
+                    cols = [pa.array([first], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (rows.astype(np.uint16), part[rows]))]
+                    yield pa.RecordBatch.from_arrays(cols, names=["first", "rows", "sums"])
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            last, part = None, np.zeros((PAIRS_A_ROW, k))
+            row = lambda: pa.RecordBatch.from_arrays([pa.array([last], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["first", "sums"])
+            for batch in batches:
+                for first, rows, sums in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                    if first != last:
+                        if last is not None:
+                            yield row()
+                        last, part = first, np.zeros((PAIRS_A_ROW, k))
+                    part[np.frombuffer(rows.as_py(), np.uint16)] += np.frombuffer(sums.as_py()).reshape(-1, k)
+            if last is not None:
+                yield row()
+
+        sent = asked(ask, "first int, rows binary, sums binary").repartition("first").sortWithinPartitions("first")
+        out = np.zeros((-(-((1 << 16) + 1) // PAIRS_A_ROW) * PAIRS_A_ROW, k))
+        for r in sent.mapInArrow(add, "first int, sums binary").collect():  # of all pairs, whatever the number of texts
+            out[r["first"] : r["first"] + PAIRS_A_ROW] = np.frombuffer(r["sums"]).reshape(-1, k)
         shared.destroy()
-        out = np.zeros(((1 << 16) + 1, k))
-        out[got.column(0).to_numpy()] = np.stack([got.column(1 + i).to_numpy() for i in range(k)], axis=1)
-        return out[:-1], out[-1].astype(np.int64)
+        return out[: 1 << 16], out[1 << 16].astype(np.int64)
 
     def text(h: int) -> tuple[np.ndarray, np.ndarray]:
         r = texts.where(F.col("h") == h).first()
@@ -403,28 +473,35 @@ def score(
         for batch in batches:
             for r in range(batch.num_rows):
                 _, learns, ends, data = texts(batch, r)
-                seen: dict[bytes, int] = {}
-                counts, n_docs, start = [Counter() for _ in range(k)], np.zeros(k, np.int64), 0
+                number, found = numbers(), [[np.zeros(0, np.int64)] for _ in range(k)]
+                n_docs, start = np.zeros(k, np.int64), 0
                 for learn, end in zip(learns.tolist(), ends.tolist()):
                     lower = data[start:end].lower()
-                    words = lower.split()
-                    seen.update(dict.fromkeys(words))
+                    at = numbered(lower.split(), number)
                     if learn:
                         kind = told.of(lower)
-                        counts[kind].update(words)
+                        found[kind].append(at.astype(np.int32))
                         n_docs[kind] += 1
                     start = end
                 block = batch.column(batch.schema.get_field_index("block"))[r].as_py()
                 # an empty word stands for the ends of training texts; it has no place among the block's words
-                place = {w: i for i, w in enumerate(seen)}
-                parts = [([b""], [-1], kind, [int(d)]) for kind, d in enumerate(n_docs)]
-                parts += [(list(c), [place.pop(w, -1) for w in c], kind, list(c.values())) for kind, c in enumerate(counts)]  # asked for once
-                parts.append((list(place), list(place.values()), 0, [0] * len(place)))
-                for word, at, kind, n in parts:
-                    for a in range(0, len(word), 1 << 16):
-                        cut = slice(a, a + (1 << 16))
-                        size = len(word[cut])
-                        cols = [pa.array(word[cut], pa.binary()), pa.array(np.full(size, block)), pa.array(at[cut], pa.int32()), pa.array(np.full(size, kind, np.int16)), pa.array(n[cut], pa.int64())]
+                cols = [pa.array([b""] * k, pa.binary()), pa.array(np.full(k, block)), pa.array(np.full(k, -1, np.int32)), pa.array(np.arange(k, dtype=np.int16)), pa.array(n_docs)]
+                yield pa.RecordBatch.from_arrays(cols, names=["word", "block", "place", "kind", "n"])
+                seen, asked = list(number), np.zeros(len(number), bool)
+                for kind in range(k + 1):  # the last one: words that no training text has
+                    if kind < k:
+                        counts = np.bincount(np.concatenate(found[kind]), minlength=len(seen))
+                        found[kind] = []
+                        at = np.flatnonzero(counts)
+                        place = np.where(asked[at], -1, at)  # asked for once
+                        asked[at] = True
+                    else:
+                        place = at = np.flatnonzero(~asked)
+                        counts = np.zeros(len(seen), np.int64)
+                    for a in range(0, len(at), 1 << 16):
+                        cut = at[a : a + (1 << 16)]
+                        word, size = pa.array([seen[i] for i in cut.tolist()], pa.binary()), len(cut)
+                        cols = [word, pa.array(np.full(size, block)), pa.array(place[a : a + (1 << 16)].astype(np.int32)), pa.array(np.full(size, kind % k, np.int16)), pa.array(counts[cut])]
                         yield pa.RecordBatch.from_arrays(cols, names=["word", "block", "place", "kind", "n"])
 
     sent = blocks.df.mapInArrow(count, "word binary, block long, place int, kind short, n long")
@@ -440,6 +517,7 @@ def score(
     prior = np.log(ends_k + 1) - np.log(ends_k.sum() + k)
 
     logs = np.repeat(np.log(vocabulary.weight)[:, None], k, axis=1)
+    small_batches(spark, rows=8192, size=2 << 20)  # of words; those of blocks have one each
     known = words.where((total > 0) & (F.length("word") > 0)).select("word", *columns)
     for part in parts if v else ():
         logs_shared = share(spark, logs)
@@ -513,12 +591,12 @@ def score(
                     wide = pc.binary_length(packed).to_numpy(zero_copy_only=False) == 4 * k
                     for rows, kind, unit in ((~wide, np.int16, UNITS), (wide, np.float32, 1)):
                         if rows.any():
-                            each[place[rows]] = np.frombuffer(b"".join(packed.filter(pa.array(rows)).to_pylist()), kind).reshape(-1, k) / unit
+                            some = packed.filter(pa.array(rows))  # of one width, so their bytes lie side by side
+                            each[place[rows]] = np.frombuffer(some.buffers()[2], kind, len(some) * k).reshape(-1, k) / unit
                 base, seen_before = base_of(counts), counts > 0
-                number: dict[bytes, int] = {}
-                rows, start = [], 0
+                number, rows, start = numbers(), [], 0
                 for end in ends_at.tolist():
-                    at = np.fromiter([number.setdefault(w, len(number)) for w in words_of(data[start:end])], np.int64)
+                    at = numbered(words_of(data[start:end]), number)
                     by_kind = each[at].sum(0) + end_logs + prior / _LN10
                     top = by_kind.max()
                     rows.append((len(at) + 1, int(seen_before[at].sum()) + (n_ends > 0), float(base[at].sum() + base_of(n_ends)), float(top + np.log10((10 ** (by_kind - top)).sum()))))
