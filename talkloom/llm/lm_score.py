@@ -266,7 +266,7 @@ class Kinds:
     def of(self, text: bytes) -> int:
         total = self.share.astype(np.float64).copy()
         for i in range(0, max(1, len(text)), 1 << 14):
-            total += np.take(self.table, pairs(text[i : i + (1 << 14) + 1]), axis=0).sum(0)
+            total += np.einsum("ij->j", np.take(self.table, pairs(text[i : i + (1 << 14) + 1]), axis=0))  # faster than sum(0), the same sums
         return int(total.argmax())
 
 
@@ -290,12 +290,20 @@ class _Texts:
     """Byte pairs of some texts: fit, members and farthest are those of fit_kinds, for these texts."""
 
     def __init__(self, counts: list[tuple[np.ndarray, np.ndarray]]):
-        self.pair = np.concatenate([p for p, _ in counts])
-        self.n = np.concatenate([n for _, n in counts]).astype(np.float64)
-        self.sizes = np.array([len(p) for p, _ in counts])
+        self._set(np.concatenate([p for p, _ in counts]), np.concatenate([n for _, n in counts]), np.array([len(p) for p, _ in counts]))
+
+    def _set(self, pair: np.ndarray, n: np.ndarray, sizes: np.ndarray) -> None:
+        self.pair, self.n, self.sizes = pair, n.astype(np.float64), sizes
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.length = np.add.reduceat(self.n, self.starts)
 
+    @classmethod
+    def of(cls, pair: np.ndarray, n: np.ndarray, sizes: np.ndarray) -> _Texts:
+        """From all texts' pairs and counts one after another, and how many each has."""
+        out = cls.__new__(cls)
+        out._set(pair, n, sizes)
+        return out
+
     def fit(self, tables: np.ndarray) -> np.ndarray:
         """The mean log probability of each text's pairs (tables: by pair and component)."""
         return np.stack([np.add.reduceat(column[self.pair] * self.n, self.starts) for column in np.ascontiguousarray(tables.T)], axis=1) / self.length[:, None]
@@ -388,8 +396,15 @@ def fit_kinds_of(docs: DataFrame, classes: int = CLASSES, rounds: int = ROUNDS)
     def asked(ask: Callable, found: str) -> DataFrame:
         """What ask makes of a task's batches of texts, each with their hashes."""
 
+        def side_by_side(batch: pa.RecordBatch) -> _Texts:
+            p, n = batch.column(2), batch.column(3)
+            sizes, widths = (pc.binary_length(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in (p, n))
+            if (2 * widths == sizes).all() and p.offset == n.offset == 0:  # bytes each
+                return _Texts.of(np.frombuffer(p.buffers()[2], np.uint16, sizes.sum() // 2).astype(np.int64), np.frombuffer(n.buffers()[2], np.uint8, widths.sum()), widths)
+            return _Texts([read(x.as_py(), y.as_py()) for x, y in zip(p, n)])
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            yield from ask((batch.column(0).to_pylist(), _Texts([read(p.as_py(), n.as_py()) for p, n in zip(batch.column(2), batch.column(3))])) for batch in batches if batch.num_rows)
+            yield from ask((batch.column(0).to_pylist(), side_by_side(batch)) for batch in batches if batch.num_rows)
 
         return texts.mapInArrow(run, found)
 

@@ -124,33 +124,32 @@ def test_pieces_are_looked_up_where_one_begins_and_once_for_all_components(monke
     from talkloom.llm import lm_score
 
     v = lm_score.Vocabulary({"\u2581": 0.1, "\u2581ab": 0.2, "a": 0.1, "b": 0.1, "abcabcabcabc": 0.1}, 0.001)
-    asked, real = [], np.searchsorted
+    asked, swept, real, sweep = [], [], np.searchsorted, lm_score._sweep
     monkeypatch.setattr(np, "searchsorted", lambda a, x, *more: asked.append(len(x)) or real(a, x, *more))
+    monkeypatch.setattr(lm_score, "_sweep", lambda *a: swept.append(1) or sweep(*a))
     logs = np.log(np.repeat(v.weight[:, None], 3, axis=1))
     got = lm_score.expected(v, ["ba" * 20] * 4, logs, np.ones((4, 3), bool))
     assert np.allclose(got, got[:, :1]) and np.isclose(got[v.number["b"], 0], 80)
-    assert sum(asked) <= 12 * (41 + 41 + 20 + 20)  # of places: 41 in a word, 20 where "ab" begins
+    assert len(swept) == 2 and sum(asked) <= 12 * (41 + 41 + 20 + 20)  # of places: 41 in a word, 20 where "ab" begins
 
     far = np.log(np.array([[1e-30]] * 6))  # of 40 characters, beyond what a float can hold
     assert np.isclose(lm_score.marginals(v, ["b" * 40], far)[0, 0], 41 * far[0, 0])
 
 
 def test_sums_of_pairs_travel_in_few_rows(spark, monkeypatch):
-    from pyspark.sql import DataFrame
-    from pyspark.sql import functions as F
-
     from talkloom.llm import lm_score
 
-    made, real = [], DataFrame.mapInArrow
+    texts = [bytes(32 + (i * k) % 90 for k in range(300)) for i in range(1, 30)]
+    docs = spark.createDataFrame([(bytearray(t), i) for i, t in enumerate(texts)], "t binary, h long")
+    frame = type(docs)
+    made, real = [], frame.mapInArrow
 
     def run(self, func, schema, *more, **named):
         out = real(self, func, schema, *more, **named)
         made.append(out) if "sums" in out.columns or "pair" in out.columns else None
         return out
 
-    monkeypatch.setattr(DataFrame, "mapInArrow", run)
-    texts = [bytes(32 + (i * k) % 90 for k in range(300)) for i in range(1, 30)]
-    docs = spark.createDataFrame([(bytearray(t), i) for i, t in enumerate(texts)], "t binary, h long")
+    monkeypatch.setattr(frame, "mapInArrow", run)
     kinds = lm_score.fit_kinds_of(docs, 2)
     plain = lm_score.fit_kinds(texts, 2)
     assert (kinds.table == plain.table).all() and (kinds.share == plain.share).all()
